@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import find_passages
 from .html_extract import extract_pages
+from .line_dedup import dedup_lines
 from .media import media_metadata, store_as_media
 from .packing import pack_documents
+from .secret_scan import scan_secrets
 from .sharding import hilbert_shards
 from .simhash import near_duplicate_components
 from .token_counts import count_tokens
@@ -27,6 +30,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "path", "word_no", "candidate", F.round("score", 6).alias("score"), F.col("is_secret").cast("int").alias("is_secret"))
+
+
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert_shards(table(spark, sf_dir, "documents"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
@@ -43,6 +51,10 @@ def op5_toxicity_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = store_as_media(table(spark, sf_dir, "documents"), keep=["doc_id"])
     out = media_metadata(media, digests=True)
@@ -56,6 +68,10 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="removed_lines")
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
@@ -65,7 +81,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_main_text, op2_pattern_packing, op4_hilbert_shards, op5_toxicity_zstd, op7_iso_media, op9_simhash_components, op10_token_counts)
+    f.__name__: f for f in (op1_html_main_text, op2_pattern_packing, op3_secret_forest, op4_hilbert_shards, op5_toxicity_zstd, op6_qgram_decontamination, op7_iso_media, op8_line_chunks, op9_simhash_components, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}

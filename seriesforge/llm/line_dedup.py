@@ -47,23 +47,30 @@ def _runs(rows: DataFrame) -> DataFrame:
     cuts = F.expr("filter(sequence(0, size(_h)), i -> i = 0 or i = size(_h) or (get(_mark, i - 1) and not get(_mark, i - 2)))")
     cut = rolled.select("_doc", "_order", "_h", cuts.alias("_cuts"))
     chunks = F.expr("filter(transform(_cuts, (c, i) -> struct(c as lo, coalesce(get(_cuts, i + 1), c) as hi)), c -> c.hi - c.lo > 1)")
+    # Lambda variables hold what is computed once per row: the chunk, then each run with its key.
     runs = F.expr(
-        """flatten(transform(_chunks, c -> filter(array(
-             struct(c.lo as clo, c.hi as chi, c.lo as lo, c.hi as hi),
-             struct(c.lo as clo, c.hi as chi, c.lo as lo, c.lo + 2 as hi),
-             struct(c.lo as clo, c.hi as chi, c.lo as lo, c.lo + 4 as hi),
-             struct(c.lo as clo, c.hi as chi, c.hi - 2 as lo, c.hi as hi),
-             struct(c.lo as clo, c.hi as chi, c.hi - 4 as lo, c.hi as hi)),
-             r -> r = struct(c.lo as clo, c.hi as chi, c.lo as lo, c.hi as hi) or r.hi - r.lo < c.hi - c.lo)))"""
+        """flatten(transform(_chunks, c -> transform(filter(array(
+             struct(c.lo as lo, c.hi as hi),
+             struct(c.lo as lo, c.lo + 2 as hi),
+             struct(c.lo as lo, c.lo + 4 as hi),
+             struct(c.hi - 2 as lo, c.hi as hi),
+             struct(c.hi - 4 as lo, c.hi as hi)), r -> r = struct(c.lo as lo, c.hi as hi) or r.hi - r.lo < c.hi - c.lo),
+           r -> struct(xxhash64(slice(_h, r.lo + 1, r.hi - r.lo)) as key, c.lo as clo, c.hi as chi, r.lo as lo, r.hi as hi))))"""
     )
-    each = cut.select("_doc", "_order", "_h", chunks.alias("_chunks")).select("_doc", "_order", "_h", F.explode(runs).alias("_r"))
-    key = F.expr("xxhash64(slice(_h, _r.lo + 1, _r.hi - _r.lo))")
-    # A run that is the whole of one chunk and the end of another has one key: only its lines count.
-    return each.select("_doc", "_order", key.alias("_key"), "_r.clo", "_r.chi", "_r.lo", "_r.hi")
+    each = cut.select("_doc", "_order", "_h", chunks.alias("_chunks")).select("_doc", "_order", F.explode(runs).alias("_r"))
+    return each.select("_doc", "_order", F.col("_r.key").alias("_key"), "_r.clo", "_r.chi", "_r.lo", "_r.hi")
 
 
-def _run_text(text: str, lo: str, hi: str) -> Column:
-    return F.expr(rf"rtrim(array_join(slice(split({text}, '(?<=\\n)|(?<=[.!?] )'), {lo} + 1, {hi} - {lo}), ''))")
+#: A text is cut once per row, as a lambda variable, whatever the number of its runs.
+RUN_TEXTS = r"""flatten(transform(array(split(_text, '(?<=\n)|(?<=[.!?] )')), lines ->
+    transform(_runs, r -> struct(r as run, rtrim(array_join(slice(lines, r.lo + 1, r.hi - r.lo), '')) as bytes))))"""
+
+
+def _with_texts(runs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """The runs (_doc, columns) with their bytes. A document's runs are bounded by its lines."""
+    by_doc = runs.groupBy("_doc").agg(F.collect_list(F.struct(*columns)).alias("_runs"))
+    each = by_doc.join(texts, "_doc").select("_doc", F.explode(F.expr(RUN_TEXTS)).alias("_e"))
+    return each.select("_doc", *(F.col(f"_e.run.{c}").alias(c) for c in columns), F.col("_e.bytes").alias("_bytes"))
 
 
 def repeated_runs(rows: DataFrame, min_chars: int) -> DataFrame:
@@ -80,9 +87,9 @@ def repeated_runs(rows: DataFrame, min_chars: int) -> DataFrame:
     wanted = F.broadcast(marked.select(bucket.alias("_bucket")).distinct())  # BUCKETS rows at most
     texts = rows.select("_doc", "_text").withColumn("_bucket", bucket).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"]).select("_doc", "_text")
     firsts = repeated.select("_key", F.col("_first._doc").alias("_doc"), F.col("_first.lo").alias("lo"), F.col("_first.hi").alias("hi"))
-    first_text = firsts.join(texts, "_doc").select("_key", _run_text("_text", "lo", "hi").alias("_bytes")).where(F.length("_bytes") >= min_chars)
-    later_text = later.join(texts, "_doc").select("_key", "_doc", "clo", "chi", "lo", "hi", _run_text("_text", "lo", "hi").alias("_own"))
-    return later_text.join(first_text, "_key").where("_own = _bytes").select("_doc", "clo", "chi", "lo", "hi")
+    first_text = _with_texts(firsts, texts, ["_key", "lo", "hi"]).select("_key", F.col("_bytes").alias("_of_first")).where(F.length("_of_first") >= min_chars)
+    later_text = _with_texts(later, texts, ["_key", "clo", "chi", "lo", "hi"])
+    return later_text.join(first_text, "_key").where("_bytes = _of_first").select("_doc", "clo", "chi", "lo", "hi")
 
 
 def dedup_lines(
@@ -121,14 +128,15 @@ def dedup_lines(
     untouched = with_bucket.join(wanted, "_bucket", "left_anti").withColumn("_spans", F.lit(None).cast(per_doc.schema["_spans"].dataType))
     every = touched.select(*inner, "_spans").unionByName(untouched.select(*inner, "_spans"))
     kept = F.expr(
-        rf"""array_join(transform(concat(_spans, array(struct(size(_lines) as lo, size(_lines) as hi))),
-             (s, i) -> array_join(slice(_lines, coalesce(get(_spans, i - 1).hi, 0) + 1, s.lo - coalesce(get(_spans, i - 1).hi, 0)), '')), '')"""
+        rf"""element_at(transform(array(split({text}, '(?<=\\n)|(?<=[.!?] )')), lines ->
+             array_join(transform(concat(_spans, array(struct(size(lines) as lo, size(lines) as hi))),
+               (s, i) -> array_join(slice(lines, coalesce(get(_spans, i - 1).hi, 0) + 1, s.lo - coalesce(get(_spans, i - 1).hi, 0)), '')), '')), 1)"""
     )
     has = F.col("_spans").isNotNull()
-    out = every.withColumn("_lines", F.when(has, F.split(text, LINE_ENDS))).withColumn("_kept", F.when(has, kept).otherwise(F.col(text)))
+    out = every.withColumn("_kept", F.when(has, kept).otherwise(F.col(text)))
     if whole_copy_share is not None:
         whole = F.length("_kept") <= (1 - whole_copy_share) * F.length(text)
-        out = out.withColumn("_spans", F.when(~whole, F.col("_spans"))).withColumn("_kept", F.when(has & whole, F.col(text)).otherwise(F.col("_kept")))
+        out = out.withColumn("_whole", has & whole).withColumn("_kept", F.when(F.col("_whole"), F.col(text)).otherwise(F.col("_kept"))).withColumn("_spans", F.when(~F.col("_whole"), F.col("_spans")))
     columns = [(F.col("_kept") if i == text else F.col(i)).alias(c) for i, c in zip(inner, names)]
     if removed_col:
         columns.append(F.coalesce(F.expr("aggregate(_spans, 0L, (n, s) -> n + s.hi - s.lo)"), F.lit(0)).alias(removed_col))

@@ -53,7 +53,7 @@ def piece_count(processor, tokens: list[str]) -> list[int]:
     return [len(ids) if t else 1 for t, ids in zip(tokens, processor.encode(tokens, num_threads=1))]
 
 
-def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str = "text", flush_at: int = 200_000) -> DataFrame:
+def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str = "text", flush_at: int = 600_000) -> DataFrame:
     """(pre_token, n_pieces, frequency) for every distinct pre-token of the table.
 
     A task holds at most ``flush_at`` different pre-tokens before it passes
@@ -88,7 +88,38 @@ def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str =
     return counted.mapInArrow(pieces, "pre_token string, n_pieces long, frequency long")
 
 
-def count_tokens(documents: DataFrame, model_path: str, head: int = 500_000, head_bytes: int = 48, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
+def _frequent(vocabulary: DataFrame, head: int, head_bytes: int) -> tuple[bytes, int]:
+    """The pre-tokens of the lowest frequency at which no more than ``head`` qualify, and above, as Arrow bytes."""
+    short = vocabulary.where(F.octet_length("pre_token") <= head_bytes)
+    histogram = short.groupBy(F.least("frequency", F.lit(10_000)).alias("f")).agg(F.count("*").alias("n")).collect()  # 10,000 rows at most
+    least, total = 10_001, 0
+    for f, n in sorted(((r["f"], r["n"]) for r in histogram), reverse=True):
+        total += n
+        if total > head:
+            break
+        least = f
+    rows = short.where(F.col("frequency") >= least).select("pre_token", F.col("n_pieces").cast("int").alias("n_pieces")).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows)
+    return sink.getvalue().to_pybytes(), least
+
+
+_KEPT: dict[int, dict[str, int]] = {}
+
+
+def _pieces_of(table) -> dict[str, int]:
+    """The broadcast table as a dict, built once per worker process."""
+    data = table.value
+    key = hash(data)
+    if key not in _KEPT:
+        _KEPT.clear()
+        rows = pa.ipc.open_stream(data).read_all()
+        _KEPT[key] = dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    return _KEPT[key]
+
+
+def count_tokens(documents: DataFrame, model_path: str, head: int = 1_500_000, head_bytes: int = 48, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """One row per row of the input: doc_id, n_bytes, n_tokens, over_limit.
 
     ``head`` and ``head_bytes`` bound what is held in a task; they do not
@@ -96,22 +127,21 @@ def count_tokens(documents: DataFrame, model_path: str, head: int = 500_000, hea
     """
     spark = documents.sparkSession
     vocabulary = stash(pre_token_vocabulary(documents, model_path, text_col), "vocabulary")
-    frequent = vocabulary.where(F.octet_length("pre_token") <= head_bytes).orderBy(F.desc("frequency"), "pre_token").limit(head).select("pre_token", "n_pieces").toPandas()
-    table = spark.sparkContext.broadcast(dict(zip(frequent["pre_token"], frequent["n_pieces"].tolist())))
-    del frequent
+    frequent, least = _frequent(vocabulary, head, head_bytes)
+    table = spark.sparkContext.broadcast(frequent)
+    others = vocabulary.where((F.octet_length("pre_token") > head_bytes) | (F.col("frequency") < least))
     small_batches(spark)
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
-    names = ["doc_id", "row_key", "n_bytes", "known_tokens", "pre_token", "n"]
+    names = ["doc_id", "row_key", "n_bytes", "n_tokens", "pre_token", "n"]
     schema = T.StructType([source.schema["doc_id"]] + [T.StructField(c, T.StringType() if c == "pre_token" else T.LongType()) for c in names[1:]])
 
     def split(batches):
-        """Known pre-tokens summed; the others one by one, at least one row per text."""
-        pieces, key = table.value, TaskContext.get().partitionId() << 40
+        """A row for each text with the sum of its known pre-tokens, and one for each rare pre-token of it."""
+        pieces, key = _pieces_of(table), TaskContext.get().partitionId() << 40
         for batch in batches:
-            take, keys, sizes, sums, tokens, counts = [], [], [], [], [], []
+            ids, keys, sizes, sums, tokens, counts = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 key += 1
-                size = len(text.encode()) if text else 0
                 known, rare = 0, {}
                 for token in pre_tokens(text):
                     n = pieces.get(token)
@@ -119,20 +149,18 @@ def count_tokens(documents: DataFrame, model_path: str, head: int = 500_000, hea
                         rare[token] = rare.get(token, 0) + 1
                     else:
                         known += n
-                # A text without rare pre-tokens carries a key of its own, so that none of them meet.
-                for token, n in rare.items() if rare else ((f" {key}", 0),):
-                    take.append(i)
-                    keys.append(key)
-                    sizes.append(size)
-                    sums.append(known)
-                    tokens.append(token)
-                    counts.append(n)
-                    known = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(x, pa.int64()) for x in (keys, sizes, sums)), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], names=names)
-
-    rows = source.mapInArrow(split, schema)
-    joined = rows.join(vocabulary.select("pre_token", "n_pieces"), "pre_token", "left")
-    total = joined.groupBy("row_key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sum(F.col("known_tokens") + F.col("n") * F.coalesce("n_pieces", F.lit(0))).alias("n_tokens")
-    )
+                ids += [i, *[None] * len(rare)]
+                keys += [key] * (len(rare) + 1)
+                sizes += [len(text.encode()) if text else 0, *[None] * len(rare)]
+                sums += [known, *[None] * len(rare)]
+                tokens += [None, *rare]
+                counts += [None, *rare.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(x, pa.int64()) for x in (keys, sizes, sums)), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], names=names)
+
+    rows = stash(source.mapInArrow(split, schema), "frequencies")
+    rare = rows.where("pre_token is not null").select("row_key", "pre_token", F.col("n").cast("int").alias("n"))
+    rare = rare.join(others.select("pre_token", F.col("n_pieces").cast("int").alias("n_pieces")), "pre_token").select("row_key", (F.col("n") * F.col("n_pieces")).cast("long").alias("n_tokens"))
+    texts = rows.where("pre_token is null").select("row_key", "doc_id", "n_bytes", "n_tokens")
+    summed = rare.groupBy("row_key").agg(F.sum("n_tokens").alias("_rare"))
+    total = texts.join(summed, "row_key", "left").select("doc_id", "n_bytes", (F.col("n_tokens") + F.coalesce("_rare", F.lit(0))).alias("n_tokens"))
     return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -17,7 +17,7 @@ calibrated score of no evidence. Equal texts score alike; every row is kept.
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -158,20 +158,23 @@ def fit_toxicity(
 
     The bound is ``max_rows`` rows for each label value and ``max_train_chars``
     characters a row (longer rows are not used for fitting): what reaches the
-    driver does not grow with the input. Rows are taken in the order of a hash
-    of the text, each text once. Rows without a label are not used.
+    driver does not grow with the input. Ids are taken from the labels in the
+    order of a hash; the documents themselves are not shuffled for it. Rows
+    without a label are not used, and each text counts once.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_y in (0, 1) and _id is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
+    chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_rows) for y in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * max_rows ids
     rows = (
         documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
         .where(F.length("_text").between(1, max_train_chars))
-        .join(known, "_id")
-        .select("_text", "_y", F.xxhash64("_text").alias("_h"))
+        .join(ids, "_id")
+        .groupBy("_id", "_y")
+        .agg(F.min("_text").alias("_text"))
+        .collect()
     )
-    taken = []
-    for y in (0, 1):
-        part = rows.where(F.col("_y") == y).orderBy("_h", "_text").limit(max_rows).collect()
-        taken.append([r["_text"] for i, r in enumerate(part) if not i or r["_text"] != part[i - 1]["_text"]])
+    texts = {(r["_y"], r["_text"]) for r in rows}
+    taken = [sorted((t for y_, t in texts if y_ == y), key=lambda t: zlib.crc32(t.encode("utf-8", "replace"))) for y in (0, 1)]
     ordinary, toxic = taken
     shown = [t[::3] + t[1::3] for t in taken]
     unseen = [t[2::3] for t in taken]

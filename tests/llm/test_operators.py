@@ -1,0 +1,481 @@
+"""The training-data operators against brute force, round trips and edge cases."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from seriesforge.llm import decontam, html_extract, line_dedup, media, packing, queries, secret_scan, sharding, simhash, token_counts, toxicity
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece string, shard string"
+EDGE = [
+    (1, "plain words here. and there.", "en", "src0", 28, "x", "y"),
+    (2, None, "en", None, None, None, None),
+    (3, "", None, "src1", 0, "x", None),
+    (None, "no id of its own, but text. and a second line of it.", "en", "src1", 5, "x", "y"),
+    (4, "plain words here. and there.", "en", "src0", 28, "x", "y"),
+    (4, "plain words here. and there.", "en", "src0", 28, "x", "y"),
+    (5, "long " * 20_000 + "end", "de", "src2", 100_003, None, "y"),
+    (6, " \t\n ", "en", "src0", 4, None, None),
+    (7, "x" * 30_000, "en", "src0", 4, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return spark.createDataFrame(EDGE, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# --- 1 pages
+
+
+def test_pages_keep_the_article_only():
+    page = (
+        "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class='cookie-notice'><p>We use cookies and that is all that there is to be said of it by us and them.</p></div>"
+        "<article><h1>Head &amp; line</h1><p>The first of the paragraphs is that which has   been written\nfor the test of it.<p>Short.<div class=ad><p>Buy it now</p></div></article>"
+        "<section id=comments><p>I think that this is the best of all that was said by the one who was here.</p></section><form><label>Name</label></form><footer>(c) us</footer></body></html>"
+    )
+    assert html_extract.extract_main_text(page) == "Head & line\nThe first of the paragraphs is that which has been written for the test of it.\nShort."
+
+
+def test_short_blocks_inherit_from_neighbours():
+    long = "The story of the house is that it was there for all of them and that they would be in it when the day was out, as it had been for the time of their being in the land of the free and of the brave, and more. "
+    page = f"<body><div><p>{long}</p><p>So it goes.</p><p>{long}</p></div><div><a href=a>one</a> <a href=b>two</a></div><p>Stray words</p></body>"
+    assert html_extract.extract_main_text(page).split("\n") == [long.strip(), "So it goes.", long.strip()]
+
+
+@pytest.mark.parametrize("html", [None, "", "<", "<p", "a < b & c", "<script>never ends", "<!-- open", "<p>" * 3000])
+def test_pages_survive_broken_markup(html):
+    assert isinstance(html_extract.extract_main_text(html), str)
+
+
+def test_page_query(spark, sf_dir):
+    rows = queries.op1_html_main_text(spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
+    assert all(r["n_chars"] == len(r["text"]) for r in rows) and sum(bool(r["text"]) for r in rows) == len(rows)
+
+
+# --- 2 packing
+
+
+def brute_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+
+
+def check_packing(rows, texts_by_id):
+    by_id = {}
+    fill = Counter()
+    for r in rows:
+        by_id.setdefault(r["doc_id"], []).append(r)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert fill[r["sequence_id"]] == r["offset"]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096
+    for doc, text in texts_by_id.items():
+        ids = brute_ids([text])[0]
+        got = sorted(by_id[doc], key=lambda r: r["piece"])
+        assert [(r["start"], r["length"]) for r in got] == [(i, len(ids[i : i + 4096])) for i in range(0, len(ids), 4096)]
+        assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(ids[i : i + 4096], "<u4").tobytes()) for i in range(0, len(ids), 4096)]
+    return len(fill), sum(fill.values())
+
+
+def test_packing_is_exact_and_tight(spark, docs):
+    rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    n, tokens = check_packing(rows, {r["doc_id"]: r["text"] for r in docs.collect()})
+    assert n == -(-tokens // 4096)
+
+
+def test_packing_edges(edge, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack_documents(edge, path).collect()
+    check_packing(rows, {1: EDGE[0][1], 2: None, 3: "", 5: EDGE[6][1], 7: EDGE[8][1]})
+    assert sum(r["doc_id"] == 4 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) == 1
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_token_bytes_equal_the_tokenizer():
+    tokens = packing.TokenBytes(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(3)
+    parts = ["The", "dön't", "it's", "x<|endoftext|>y", "...", "12a", "Σας", "İx", "é", "日本", "a\x1cb", "%%%", "naïve,", "’s", "'ll", " ", "\n", "\t"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(0, 8)))
+        assert np.frombuffer(tokens.of([text])[0], "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_plan_places_every_piece_once():
+    rng = np.random.default_rng(5)
+    for size in (1, 50, 3000):
+        counts = np.bincount(rng.integers(1, 65, size), minlength=65)
+        plan = packing.plan_packing(counts, 64)
+        fill = np.zeros(int((plan[:, 3] + plan[:, 2]).max()), int)
+        for length, rank, n, first, offset in plan:
+            assert (fill[first : first + n] == offset).all()
+            fill[first : first + n] += length
+        assert fill.max() <= 64 and fill.sum() == (counts * np.arange(65)).sum()
+        assert len(fill) <= -(-fill.sum() // 64) + max(1, len(fill) // 20)
+
+
+# --- 3 secrets
+
+
+def test_secrets_are_found_and_checksums_left(spark):
+    rng = random.Random(1)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + "7Q"
+    rows, secret = [], set()
+    for i in range(300):
+        kind = i % 5
+        value = {0: f"password={hexa(18)}1a", 1: f'token = "{hexa(38)}1a"', 2: key(), 3: f"see {rng.choice('abc')}xyz.{i}@mail1.example.com", 4: f"commit {hexa(38)}1a today"}[kind]
+        rows.append((i, f"some words of text here {value} and more words after it", f"src{i % 3}"))
+        if kind < 3:
+            secret.add(i)
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("is_secret").collect()
+    assert {r["doc_id"] for r in found} == secret
+
+
+def test_secret_edges(edge, empty):
+    assert secret_scan.scan_secrets(edge).count() == 0
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+# --- 4 shards
+
+
+def test_hilbert_neighbours_are_one_step_apart():
+    grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), axis=-1).reshape(-1, 3)
+    index = sharding.hilbert_index(grid, 3)
+    assert sorted(index) == list(range(512))
+    path = grid[np.argsort(index)]
+    assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_shards_differ_by_one_row_at_most(spark, sf_dir, docs):
+    rows = queries.op4_hilbert_shards(spark, sf_dir).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
+    for shard in range(40):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(counts[shard]))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(r["size"] == len(text[r["doc_id"]].encode()) + 16 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in rows)
+
+
+def test_shard_edges(edge, empty):
+    rows = sharding.hilbert_shards(edge, 4).collect()
+    assert len(rows) == len(EDGE) and sorted(Counter(r["shard"] for r in rows).values()) == [2, 2, 2, 3]
+    assert [r["size"] for r in rows if r["doc_id"] == 2] == [16]
+    assert sharding.hilbert_shards(empty, 4).count() == 0
+
+
+# --- 5 toxicity
+
+
+def toxic_corpus(spark, n=1600):
+    rng = random.Random(2)
+    syllables = ["ba", "ke", "li", "mo", "nu", "ra", "si", "to", "ve", "zu"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    rows, labels = [], []
+    for i in range(n):
+        words = [word() for _ in range(rng.randint(40, 120))]
+        bad = i % 4 == 0
+        if bad:
+            for _ in range(4):
+                words.insert(rng.randrange(len(words)), rng.choice(["wretchful", "grumblex", "snarkith"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_held_out_accuracy(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit_toxicity(docs, labels.where("doc_id % 3 != 0"))
+    scored = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where("doc_id % 3 = 0").collect()
+    assert np.mean([(r["score"] >= 0.3) == bool(r["toxic"]) for r in scored]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in scored)
+
+
+def test_toxicity_edges(spark, edge, empty):
+    docs, labels = toxic_corpus(spark, 200)
+    model = toxicity.fit_toxicity(docs, labels)
+    rows = toxicity.score_toxicity(edge, model).collect()
+    assert len(rows) == len(EDGE) and len({r["score"] for r in rows if not (r["text"] or "").strip()}) == 1
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    blank = toxicity.fit_toxicity(docs, labels.where("false"))
+    assert toxicity.score_toxicity(edge, blank).count() == len(EDGE)
+
+
+# --- 6 decontamination
+
+
+def least_edits(pattern, text):
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for j, x in enumerate(pattern):
+            new.append(min(row[j] + (x != c), row[j + 1] + 1, new[j] + 1))
+        row = new
+        best = min(best, row[-1])
+    return best
+
+
+def test_passages_equal_full_alignment():
+    rng = random.Random(4)
+    text = lambda n: decontam.normalise("".join(rng.choice("abcd e") for _ in range(n)))
+
+    def edited(s, k):
+        s = list(s)
+        for _ in range(k):
+            i = rng.randrange(len(s))
+            s[i : i + rng.choice([0, 1, 1])] = [rng.choice("abcd e")] * rng.choice([0, 1, 1])
+        return "".join(s)
+
+    for _ in range(6):
+        items = [(i, text(rng.choice([40, 90, 170]))) for i in range(5)]
+        windows = decontam.make_windows(items, 5, 0.1, 100, 32)
+        texts = [decontam.normalise(text(rng.randint(0, 150)) + edited(rng.choice(items)[1], rng.choice([0, 3, 8, 20])) + text(50)) for _ in range(8)]
+        got = decontam._search(texts, windows, decontam._slots(windows), [decontam._codes(t) for t in windows.texts])
+        for t, found in zip(texts, got):
+            assert set(found) == {int(i) for w, k, i in zip(windows.texts, windows.budget, windows.item) if least_edits(w, t) <= k}
+
+
+def test_exact_passages_of_the_tables(spark, sf_dir, docs):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    pairs = {(r["doc_id"], r["item_id"]) for r in queries.op6_qgram_decontamination(spark, sf_dir).collect()}
+    want = {(d["doc_id"], i["item_id"]) for d in docs.collect() for i in items.collect() if i["text"] in d["text"]}
+    assert want and want <= pairs
+    left = {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()}
+    assert left == {r["doc_id"] for r in docs.collect()} - {d for d, _ in pairs}
+    blocks = {(r["doc_id"], r["item_id"]) for r in decontam.find_passages(docs, items, block_chars=1000).collect()}
+    assert blocks == pairs
+
+
+def test_decontamination_edges(spark, edge, empty):
+    items = spark.createDataFrame([(1, "plain words here. and there, and a good deal more of it"), (2, None), (3, ""), (4, "long " * 40)], "item_id int, text string")
+    assert {r["item_id"] for r in decontam.find_passages(edge, items).collect()} == {4}
+    assert decontam.find_passages(empty, items).count() == 0
+    assert decontam.find_passages(edge, items.where("false")).count() == 0
+    assert decontam.drop_contaminated(edge, items).count() == len(EDGE) - 1
+
+
+# --- 7 media
+
+
+@pytest.mark.parametrize("data", [b"", b"a", b"b" * 576, b"c" * 577, bytes(range(256)) * 400])
+def test_containers_round_trip(data):
+    payload = media.pad_payload(data)
+    stored = media.write_container(payload)
+    assert payload.startswith(data) and len(payload) % 576 == 0 and payload and set(payload[len(data) :]) <= {255}
+    assert media.read_payload(stored) == payload
+    found = media._metadata(stored)
+    assert found["codec"] == "raw " and found["n_samples"] == len(payload) // 576
+    assert [stored[r["start"] : r["end"]] for r in found["key_ranges"]] == [payload[i * 576 : (i + 1) * 576] for i in range(0, len(payload) // 576, 8)]
+
+
+def test_broken_containers_give_errors_not_failures():
+    stored = media.write_container(media.pad_payload(b"x" * 2000))
+    for cut in range(0, 700, 7):
+        assert media._metadata(stored[:cut])["error"]
+    rng = random.Random(1)
+    for _ in range(300):
+        b = bytearray(stored)
+        b[rng.randrange(700)] = rng.randrange(256)
+        media._metadata(bytes(b))
+
+
+def test_media_query(spark, edge, empty):
+    out = media.media_metadata(media.store_as_media(edge, keep=["doc_id"]), digests=True).collect()
+    assert len(out) == len(EDGE) and all(r["error"] is None and r["payload_bytes"] % 576 == 0 for r in out)
+    assert media.media_metadata(media.store_as_media(empty, keep=["doc_id"])).count() == 0
+    assert [r["error"] for r in media.media_metadata(edge.select(F.lit(None).cast("binary").alias("media"))).collect()] == ["no track"] * len(EDGE)
+
+
+# --- 8 line dedup
+
+
+def brute_lines(rows, min_chars=64):
+    """The same rule in Python: keyed runs, first places, byte comparison."""
+    import re
+
+    cut = lambda t: [x for x in re.split(line_dedup.LINE_ENDS, t)]
+    marks = {}
+
+    def boundary(a, b):
+        return marks.setdefault((a, b), hash_pair(a, b))
+
+    lines = {i: cut(t) if t else [] for i, t in rows}
+    runs = {}
+    for i, _ in rows:
+        own = [x.rstrip(" ") for x in lines[i]]
+        n = len(own)
+        mark = [k > 0 and boundary(own[k - 1], own[k]) for k in range(n)]
+        cuts = [k for k in range(n + 1) if k in (0, n) or (mark[k - 1] and not (k > 1 and mark[k - 2]))]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi - lo > 1:
+                for a, b in {(lo, hi), *((lo, lo + k) for k in (2, 4) if k < hi - lo), *((hi - k, hi) for k in (2, 4) if k < hi - lo)}:
+                    runs.setdefault(tuple(own[a:b]), []).append((i, a, b))
+    gone = {i: set() for i, _ in rows}
+    for places in runs.values():
+        first = min(places)
+        text = "".join(lines[first[0]][first[1] : first[2]]).rstrip(" ")
+        for i, a, b in places:
+            if (i, a, b) != first and len(text) >= min_chars and "".join(lines[i][a:b]).rstrip(" ") == text:
+                gone[i] |= set(range(a, b))
+    return {i: "".join(x for k, x in enumerate(lines[i]) if k not in gone[i]) if t else t for i, t in rows}
+
+
+_PAIR = {}
+
+
+def hash_pair(a, b):
+    return _PAIR[(a, b)]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(6)
+    sentence = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(99)) for _ in range(rng.randint(3, 9))) + "."
+    passages = [" ".join(sentence() for _ in range(8)) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        parts = [sentence() + rng.choice(["\n", " "]) for _ in range(rng.randint(0, 12))]
+        if i % 2:
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(passages) + " ")
+        rows.append((i, "".join(parts)))
+    rows += [(60, rows[3][1]), (61, rows[5][1]), (62, None), (63, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    import re
+
+    pairs = {(a.rstrip(" "), b.rstrip(" ")) for _, t in rows if t for x in [re.split(line_dedup.LINE_ENDS, t)] for a, b in zip(x, x[1:])}
+    marks = spark.createDataFrame(list(pairs), "a string, b string").select("a", "b", (F.expr("xxhash64(xxhash64(b), xxhash64(a)) & 1L") == 0).alias("m"))
+    _PAIR.update({(r["a"], r["b"]): r["m"] for r in marks.collect()})
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame).collect()}
+    want = brute_lines(rows)
+    assert got == want
+    assert sum(got[i] != t for i, t in rows) > 20
+    for p in passages:  # the middle of a passage stays in one document only
+        middle = ". ".join(p.split(". ")[2:5])
+        assert sum(middle in (t or "") for t in got.values()) <= 2
+
+
+def test_line_dedup_edges(spark, edge, empty):
+    out = line_dedup.dedup_lines(edge, min_chars=1)
+    assert out.columns == edge.columns and out.count() == len(EDGE)
+    kept = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert kept[1] == EDGE[0][1] and kept[4] == "" and kept[2] is None and kept[3] == "" and kept[5] == EDGE[6][1]
+    whole = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(edge, min_chars=1, whole_copy_share=0.7).collect()}
+    assert whole[4] == EDGE[4][1]
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+# --- 9 SimHash
+
+
+def brute_components(prints):
+    ids = list(range(len(prints)))
+    parent = ids[:]
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in ids:
+        for j in ids[:i]:
+            if bin(prints[i] ^ prints[j]).count("1") <= 3:
+                parent[root(i)] = root(j)
+    return [root(i) for i in ids]
+
+
+def test_links_equal_all_pairs(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = base + [b ^ sum({1 << rng.randrange(64) for _ in range(rng.randint(1, 5))}) for b in base * 4] + [0, 1, 7, 2**64 - 1]
+    prints = list(dict.fromkeys(prints))
+    signed = [p - 2**64 if p >= 2**63 else p for p in prints]
+    got = {(r["a"], r["b"]) for r in simhash.link_fingerprints(spark.createDataFrame([(s,) for s in signed], "_fp long")).collect()}
+    want = {tuple(sorted((signed[i], signed[j]))) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 3}
+    assert got == want
+
+
+def test_simhash_components(spark, sf_dir, docs):
+    rows = docs.collect()
+    prints = [simhash.fingerprint(r["text"]) for r in rows]
+    roots = brute_components(prints)
+    least = {}
+    for r, c in zip(rows, roots):
+        least[c] = min(least.get(c, 2**62), r["doc_id"])
+    want = {(r["doc_id"], f"{p:016x}", least[c]) for r, p, c in zip(rows, prints, roots)}
+    assert {tuple(r) for r in queries.op9_simhash_components(spark, sf_dir).collect()} == want
+
+
+def test_fingerprint_counts_repeats_and_handles_few_words():
+    import xxhash
+
+    h = lambda s: xxhash.xxh64_intdigest(s, seed=42)
+    assert simhash.fingerprint("One two") == h("one two") and simhash.fingerprint(None) == simhash.fingerprint(" \t") == 0
+    hashes = [h("a b c"), h("b c a"), h("c a b"), h("a b c")]
+    assert simhash.fingerprint("A b  c a\nb c") == sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in hashes) > 4)
+
+
+def test_spark_hash_is_the_same(spark):
+    import xxhash
+
+    row = spark.sql("select xxhash64('the quick fox') h").first()["h"]
+    assert row % 2**64 == xxhash.xxh64_intdigest("the quick fox", seed=42)
+
+
+def test_near_duplicate_edges(edge, empty):
+    rows = simhash.near_duplicate_components(edge).collect()
+    assert len(rows) == len(EDGE) and {r["component_id"] for r in rows if r["doc_id"] in (1, 4)} == {1} and {r["component_id"] for r in rows if r["doc_id"] in (2, 3, 6)} == {2}
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None]
+    kept = simhash.keep_one_per_component(edge)
+    assert kept.columns == edge.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 5, 7]
+    assert simhash.near_duplicate_components(empty).count() == 0 and simhash.keep_one_per_component(empty).count() == 0
+
+
+# --- 10 token counts
+
+
+@pytest.mark.parametrize("head", [0, 50, 10**6])
+def test_token_counts_equal_the_library(edge, docs, head):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for table in (docs.select("doc_id", "text"), edge.select("doc_id", "text")):
+        want = Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or ""))) for r in table.collect())
+        got = token_counts.count_tokens(table, path, head=head).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+        assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got)
+
+
+def test_pre_tokens_sum_to_the_text():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    parts = [" ", " ", "a", "the", "▁", "\n", "é", "<s>", "語", "　", "\t", "1", "  ", "🙂"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert sum(token_counts.piece_count(library, token_counts.pre_tokens(text))) == len(library.encode(text))
+
+
+def test_token_counts_of_nothing(empty):
+    assert token_counts.count_tokens(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0

@@ -1,8 +1,5 @@
 """Registered queries and the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from seriesforge.plans.spectra import ORACLE_SQL, QUERIES, flagship
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

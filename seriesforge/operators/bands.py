@@ -37,7 +37,7 @@ def variance_by_band(psd: DataFrame, keys: list[str], bands: DataFrame, half_ope
     crossed = psd.where("k > 0").select(*keys, "freq", "psd").join(F.broadcast(bands), inside)  # a handful of bands
     sums = crossed.groupBy(*keys, "band").agg(F.sum("psd").alias("_s"), F.count("*").alias("n_bins"))
     every = step.crossJoin(F.broadcast(bands)).join(sums, [*keys, "band"], "left")
-    out = every.withColumn("variance", F.coalesce("_s", F.lit(0.0)) * F.col("_df")).withColumn("variance_frac", F.coalesce("_s", F.lit(0.0)) / F.col("_all"))
+    out = every.withColumn("variance", F.coalesce("_s", F.lit(0.0)) * F.col("_df")).withColumn("variance_frac", F.try_divide(F.coalesce("_s", F.lit(0.0)), "_all"))
     run = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("cumulative_frac", F.sum("variance_frac").over(run)).select(*keys, "band", "label", "low", "high", F.coalesce("n_bins", F.lit(0)).alias("n_bins"), "variance", "variance_frac", "cumulative_frac")
 

@@ -95,8 +95,8 @@ def coherence_table(field: DataFrame) -> DataFrame:
     cell = field.groupBy("cell_id").agg(F.var_pop("value").alias("v")).agg(F.avg("v").alias("cell_variance"))
     mean = field.groupBy("t").agg(F.avg("value").alias("m")).agg(F.var_pop("m").alias("mean_variance"))
     one = n.crossJoin(cell).crossJoin(mean)  # a row each
-    kept = F.col("mean_variance") / F.col("cell_variance")
-    return one.withColumn("suppression", kept).withColumn("coherence", (F.col("n_cells") * kept - 1) / (F.col("n_cells") - 1))
+    kept = F.try_divide("mean_variance", "cell_variance")
+    return one.withColumn("suppression", kept).withColumn("coherence", F.try_divide(F.col("n_cells") * kept - 1, F.col("n_cells") - 1))
 
 
 def generate_field(field: DataFrame, cells: DataFrame, experiment, n_modes: int = 4, nperseg: int = 30) -> DataFrame:

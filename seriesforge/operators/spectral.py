@@ -149,7 +149,7 @@ def band_variance(psd: DataFrame, keys: list[str], low_period: float, high_perio
 def parseval(psd: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
     """Share of the variance that the spectrum holds."""
     power = psd.groupBy(*keys).agg((F.sum("psd") * F.max(F.when(F.col("k") == 1, F.col("freq")))).alias("_p"))
-    return power.join(series.groupBy(*keys).agg(F.var_pop("value").alias("_v")), keys).select(*keys, (F.col("_p") / F.col("_v")).alias("share"))
+    return power.join(series.groupBy(*keys).agg(F.var_pop("value").alias("_v")), keys).select(*keys, F.try_divide("_p", "_v").alias("share"))
 
 
 def nearest(psd: DataFrame, keys: list[str], freq: float) -> DataFrame:

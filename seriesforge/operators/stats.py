@@ -46,7 +46,7 @@ def autocorrelation(series: DataFrame, keys: list[str], lags: int) -> DataFrame:
     total = x.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias("_all"))
     shifted = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(*keys, (F.col("t") - F.col("lag")).alias("t"), "lag", F.col("_x").alias("_y"))
     sums = x.join(shifted, [*keys, "t"]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
-    return sums.join(total, keys).select(*keys, "lag", (F.col("_s") / F.col("_all")).alias("acf"))
+    return sums.join(total, keys).select(*keys, "lag", F.try_divide("_s", "_all").alias("acf"))
 
 
 def lag1(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,4 +106,4 @@ def rms_difference(pairs: DataFrame, keys: list[str], a: Column, b: Column) -> D
 def ratio_to_baseline(psd: DataFrame, keys: list[str], baseline: str) -> DataFrame:
     """Each experiment's spectrum over the baseline's, bin by bin."""
     base = psd.where(F.col("experiment") == baseline).select(*keys, "k", F.col("psd").alias("_b"))
-    return psd.join(base, [*keys, "k"]).select("experiment", *keys, "k", "freq", (F.col("psd") / F.col("_b")).alias("ratio"))
+    return psd.join(base, [*keys, "k"]).select("experiment", *keys, "k", "freq", F.try_divide("psd", "_b").alias("ratio"))

@@ -23,7 +23,7 @@ def compute_metrics(observed: DataFrame, ensemble: DataFrame, keys: list[str], n
     by = ["experiment", *keys]
     obs = observed.groupBy(*keys).agg(F.avg("value").alias("_om"), F.var_pop("value").alias("_ov"))
     syn = ensemble.groupBy(*by).agg(F.avg("value").alias("_sm"), F.var_pop("value").alias("_sv"))
-    base = syn.join(obs, keys).select(*by, (F.col("_sm") / F.col("_om")).alias("mean_ratio"), (F.col("_sv") / F.col("_ov")).alias("variance_ratio"))
+    base = syn.join(obs, keys).select(*by, F.try_divide("_sm", "_om").alias("mean_ratio"), F.try_divide("_sv", "_ov").alias("variance_ratio"))
     names = ensemble.select(*by).distinct()
     both = ensemble.select(*by, "value", F.lit(1).alias("second")).unionByName(observed.select(*keys, "value").join(names, keys).select(*by, "value", F.lit(0).alias("second")))
     ks = gaussian.ks_two_sample(both, by).select(*by, F.col("d").alias("ks_distance"))
@@ -45,7 +45,7 @@ def convergence(observed: DataFrame, ensemble: DataFrame, keys: list[str], count
     table = ensemble.sparkSession.createDataFrame([(c,) for c in counts], "n_members int")
     obs = observed.groupBy(*keys).agg(F.avg("value").alias("_om"), F.var_pop("value").alias("_ov"))
     syn = ensemble.join(F.broadcast(table), F.col("member") < F.col("n_members")).groupBy(*keys, "n_members").agg(F.avg("value").alias("_sm"), F.var_pop("value").alias("_sv"))
-    return syn.join(obs, keys).select(*keys, "n_members", (F.col("_sm") / F.col("_om")).alias("mean_ratio"), (F.col("_sv") / F.col("_ov")).alias("variance_ratio"))
+    return syn.join(obs, keys).select(*keys, "n_members", F.try_divide("_sm", "_om").alias("mean_ratio"), F.try_divide("_sv", "_ov").alias("variance_ratio"))
 
 
 def calibration_split(series: DataFrame, keys: list[str], n_members: int = 5, n_years: int = 50, nperseg: int = 12, seed: int = 0) -> DataFrame:
@@ -57,7 +57,7 @@ def calibration_split(series: DataFrame, keys: list[str], n_members: int = 5, n_
         ensemble = synthesis.generate(model, [Experiment(n_years, n_members, seed)])
         syn = ensemble.groupBy(*keys).agg(F.avg("value").alias("_sm"), F.var_pop("value").alias("_sv"))
         obs = halves.where(F.col("half") == 1 - half).groupBy(*keys).agg(F.avg("value").alias("_om"), F.var_pop("value").alias("_ov"))
-        part = syn.join(obs, keys).select(*keys, F.lit(half).alias("fitted_half"), (F.col("_sm") / F.col("_om")).alias("mean_ratio"), (F.col("_sv") / F.col("_ov")).alias("variance_ratio"))
+        part = syn.join(obs, keys).select(*keys, F.lit(half).alias("fitted_half"), F.try_divide("_sm", "_om").alias("mean_ratio"), F.try_divide("_sv", "_ov").alias("variance_ratio"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -66,7 +66,7 @@ def map_metrics(observed: DataFrame, ensemble: DataFrame) -> DataFrame:
     """Correlation of mean and variance maps, and pooled ratios, over cells."""
     o = observed.groupBy("cell_id").agg(F.avg("value").alias("om"), F.var_pop("value").alias("ov"))
     s = ensemble.groupBy("cell_id").agg(F.avg("value").alias("sm"), F.var_pop("value").alias("sv"))
-    return o.join(s, "cell_id").agg(F.corr("om", "sm").alias("mean_corr"), F.corr("ov", "sv").alias("variance_corr"), (F.avg("sm") / F.avg("om")).alias("mean_ratio"), (F.avg("sv") / F.avg("ov")).alias("variance_ratio"), F.avg(F.col("sv") / F.col("ov")).alias("map_ratio"))
+    return o.join(s, "cell_id").agg(F.corr("om", "sm").alias("mean_corr"), F.corr("ov", "sv").alias("variance_corr"), F.try_divide(F.avg("sm"), F.avg("om")).alias("mean_ratio"), F.try_divide(F.avg("sv"), F.avg("ov")).alias("variance_ratio"), F.avg(F.try_divide("sv", "ov")).alias("map_ratio"))
 
 
 def validate_fields(observed: DataFrame, cells: DataFrame, experiment, n_modes: int = 4) -> DataFrame:

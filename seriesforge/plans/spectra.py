@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriesforge.functions import kernels
 from seriesforge.functions.normal import norm_cdf_sql, norm_ppf_sql
 from seriesforge.operators import bands, field, gaussian, preprocess, significance, spectral, stats, synthesis, validation
+from seriesforge.plans import suite
 from seriesforge.plans.experiments import Experiment
 from seriesforge.plans.relational import ORACLE_SQL, QUERIES, K, query, residuals, rounded
 from seriesforge.plans.sql import FIELD, PERIODOGRAM, RANKED, RESID, SERIES, TWO_PI, dft, welch, with_
@@ -494,6 +495,33 @@ def field_generate(spark, sf_dir):
     return e.groupBy("member", "cell_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
 
 
+@query()
+def calibrated_suite(spark, sf_dir):
+    return suite.calibrated_suite(_model(spark, sf_dir), [0.5, 1.0, 3.0, 10.0, 30.0], 20, 2)
+
+
+@query()
+def suite_summary(spark, sf_dir):
+    return suite.suite_summary(synthesis.generate(_model(spark, sf_dir), Experiment.standard_suite(**SMALL)).cache(), K)
+
+
+@query()
+def band_variance_ratio(spark, sf_dir):
+    model = _model(spark, sf_dir)
+    base, scaled = (synthesis.generate(model, [e]) for e in (Experiment.baseline(**SMALL), Experiment.scaled("annual", (0.8, 1.5), 10.0, **SMALL)))
+    return suite.band_variance_ratio(base, scaled, K, (0.8, 1.5), NPERSEG)
+
+
+@query()
+def spatial_diagnostic(spark, sf_dir):
+    return suite.spatial_diagnostic(_field_residuals(spark, sf_dir))
+
+
+@query()
+def component_survey(spark, sf_dir):
+    return suite.component_survey(_field_residuals(spark, sf_dir).cache(), nation_cells(spark, sf_dir), 3, 30)
+
+
 @query(with_(RESID, "SELECT series_id, round(var_pop(value), 2) AS residual_variance, count(*) AS n FROM r GROUP BY 1"))
 def flagship(spark, sf_dir):
     return rounded(residuals(spark, sf_dir).groupBy("series_id").agg(F.var_pop("value").alias("residual_variance"), F.count("*").alias("n")), 2)

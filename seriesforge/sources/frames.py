@@ -177,7 +177,7 @@ def points_in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
 def basin_means(field: DataFrame, cells: DataFrame, cell_basin: DataFrame) -> DataFrame:
     """Area-weighted mean per basin and time; plain where a cell has no area."""
     joined = field.join(cells.select("cell_id", "area"), "cell_id").join(cell_basin, "cell_id")
-    weighted = F.sum(F.col("value") * F.col("area")) / F.sum(F.when(F.col("value").isNotNull(), F.col("area")))
+    weighted = F.try_divide(F.sum(F.col("value") * F.col("area")), F.sum(F.when(F.col("value").isNotNull(), F.col("area"))))
     return joined.groupBy("basin", "t").agg(F.coalesce(weighted, F.avg("value")).alias("value"), F.countDistinct("cell_id").alias("n_cells"))
 
 

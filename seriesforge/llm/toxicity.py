@@ -58,24 +58,31 @@ def _dictionaries(toxic: list[str], ordinary: list[str], shared: int, own: int,
     A fragment counts by the different word neighbourhoods it occurs in, so a
     text that was copied often counts once.
     """
-    word_counts: Counter[str] = Counter()
-    for text in ordinary:
-        word_counts.update(set(text.lower().split()))
-    seen_ordinary: Counter[str] = Counter()
-    for word, n in word_counts.items():
-        for fragment in _fragments(word.strip(EDGE), low, high):
-            seen_ordinary[fragment] += n
     around: dict[str, set[int]] = {}
     for text in toxic:
         words = text.lower().split()
         for before, word, after in zip(["", *words], words, [*words[1:], ""]):
             around.setdefault(word.strip(EDGE), set()).add(hash((before, after)))
-    places: dict[str, set[int]] = {}
+    # Most fragments are rare: slots of added counts, from above, tell which need counting.
+    least = max(4, 0.012 * len(toxic))
+    slots = np.zeros(1 << 22, np.int32)
+    mask = len(slots) - 1
     for word, where in around.items():
         for fragment in _fragments(word, low, high):
-            if seen_ordinary[fragment] * 20 <= len(ordinary):
-                places.setdefault(fragment, set()).update(where)
-    least = max(4, 0.012 * len(toxic))
+            slots[hash(fragment) & mask] += len(where)
+    seen_ordinary = {f: 0 for word in around for f in _fragments(word, low, high) if slots[hash(f) & mask] >= least}
+    word_counts: Counter[str] = Counter()
+    for text in ordinary:
+        word_counts.update(set(text.lower().split()))
+    for word, n in word_counts.items():
+        for fragment in _fragments(word.strip(EDGE), low, high):
+            if fragment in seen_ordinary:
+                seen_ordinary[fragment] += n
+    rare = {f for f, n in seen_ordinary.items() if n * 20 <= len(ordinary)}
+    places: dict[str, set[int]] = {}
+    for word, where in around.items():
+        for fragment in _fragments(word, low, high) & rare:
+            places.setdefault(fragment, set()).update(where)
     rate = lambda f: (seen_ordinary[f] + 0.5) / max(1, len(ordinary))
     strong = [(f, len(p)) for f, p in places.items() if len(p) >= least and len(p) / len(toxic) > 20 * rate(f)]
     strong.sort(key=lambda x: (-x[1] * (len(x[0].encode()) - 3), x[0]))

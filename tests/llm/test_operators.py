@@ -479,3 +479,31 @@ def test_pre_tokens_sum_to_the_text():
 
 def test_token_counts_of_nothing(empty):
     assert token_counts.count_tokens(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_similar_texts_are_linked(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, group = [], {}
+    for g in range(40):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        for k in range(3):
+            copy = list(base)
+            for _ in range(k * len(base) // 120):
+                copy[rng.randrange(len(copy))] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    kept = [r["doc_id"] for r in simhash.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [3 * g for g in range(40)]
+    strict = simhash.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string"), similarity=None).count()
+    assert 40 < strict <= 120
+
+
+def test_sketch_similarity():
+    rng = np.random.default_rng(3)
+    a = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))
+    for shared in (4800, 4000, 2000):
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[:shared]], rng.integers(0, 2**32, 5000 - shared, dtype=np.uint32)]))
+        truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs(simhash.sketch_similarity(a[:128].tobytes(), b[:128].tobytes()) - truth) < 0.12
+    assert simhash.sketch_similarity(b"", b"") == 0

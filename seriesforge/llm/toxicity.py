@@ -78,7 +78,8 @@ def _dictionaries(toxic: list[str], ordinary: list[str], shared: int, own: int,
         for fragment in _fragments(word.strip(EDGE), low, high):
             if fragment in seen_ordinary:
                 seen_ordinary[fragment] += n
-    rare = {f for f, n in seen_ordinary.items() if n * 20 <= len(ordinary)}
+    # No part that ordinary text uses: a compound's common ending would match it everywhere.
+    rare = {f for f, n in seen_ordinary.items() if n * 20 <= len(ordinary) and all(seen_ordinary.get(f[i : i + 5], 0) * 40 <= len(ordinary) for i in range(len(f) - 4))}
     places: dict[str, set[int]] = {}
     for word, where in around.items():
         for fragment in _fragments(word, low, high) & rare:
@@ -107,7 +108,8 @@ def _dictionaries(toxic: list[str], ordinary: list[str], shared: int, own: int,
         used += len(piece)
     base = b"".join(reversed(common)) or b" ordinary"
     base = base if len(base) >= 8 else base * 8
-    return base, b"".join(reversed(chosen)) + base
+    # A mark between fragments: two of them in a row must not match ordinary text across their border.
+    return base, b"".join(b"\x01" + f for f in reversed(chosen)) + b"\x01" + base
 
 
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:

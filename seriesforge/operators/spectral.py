@@ -66,15 +66,16 @@ def welch(series: DataFrame, keys: list[str], nperseg: int = 60, fs: float = 12.
     return out if alpha is None else with_bounds(out, alpha)
 
 
-def with_bounds(psd: DataFrame, alpha: float = 0.05, most_segments: int = 4096) -> DataFrame:
+def with_bounds(psd: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Chi-squared bounds with two degrees of freedom a segment.
 
-    The quantiles are constants of the few segment counts that occur.
+    The quantiles are constants of the segment counts that occur, which record
+    lengths bound.
     """
-    counts = [r[0] for r in psd.select("n_segments").distinct().limit(most_segments).collect()]
+    counts = [r[0] for r in psd.select("n_segments").distinct().collect()]
     table = psd.sparkSession.createDataFrame([(int(k), kernels.chi2_ppf(1 - alpha / 2, 2 * int(k)), kernels.chi2_ppf(alpha / 2, 2 * int(k))) for k in counts] or [(0, 1.0, 1.0)], "n_segments long, _hi double, _lo double")
     nu = 2 * F.col("n_segments")
-    return psd.join(F.broadcast(table), "n_segments").withColumn("ci_lower", F.col("psd") * nu / F.col("_hi")).withColumn("ci_upper", F.col("psd") * nu / F.col("_lo")).drop("_hi", "_lo")
+    return psd.join(table, "n_segments").withColumn("ci_lower", F.col("psd") * nu / F.col("_hi")).withColumn("ci_upper", F.col("psd") * nu / F.col("_lo")).drop("_hi", "_lo")
 
 
 def tapers(spark, n: int, nw: float = 1.5, k: int | None = None) -> DataFrame:

@@ -58,12 +58,12 @@ def _runs(rows: DataFrame) -> DataFrame:
     chunks = F.expr("filter(transform(_cuts, (c, i) -> struct(c as lo, coalesce(get(_cuts, i + 1), c) as hi)), c -> c.hi - c.lo > 1)")
     # Lambda variables hold what is computed once per row: the chunk, then each run with its key.
     runs = F.expr(
-        """flatten(transform(_chunks, c -> transform(filter(array(
+        """flatten(transform(_chunks, c -> transform(slice(array(
              struct(c.lo as lo, c.hi as hi),
              struct(c.lo as lo, c.lo + 2 as hi),
-             struct(c.lo as lo, c.lo + 4 as hi),
              struct(c.hi - 2 as lo, c.hi as hi),
-             struct(c.hi - 4 as lo, c.hi as hi)), r -> r = struct(c.lo as lo, c.hi as hi) or r.hi - r.lo < c.hi - c.lo),
+             struct(c.lo as lo, c.lo + 4 as hi),
+             struct(c.hi - 4 as lo, c.hi as hi)), 1, if(c.hi - c.lo > 4, 5, if(c.hi - c.lo > 2, 3, 1))),
            r -> struct(xxhash64(slice(_h, r.lo + 1, r.hi - r.lo)) as key, c.lo as clo, c.hi as chi, r.lo as lo, r.hi as hi))))"""
     )
     each = cut.select("_doc", "_number", "_name", "_h", chunks.alias("_chunks")).select("_doc", "_number", "_name", F.explode(runs).alias("_r"))
@@ -85,8 +85,9 @@ def _with_texts(runs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFr
 def repeated_runs(rows: DataFrame, min_chars: int) -> DataFrame:
     """(doc, clo, chi, lo, hi) of runs whose bytes occurred before. ``rows``: _doc, _number, _name, _text."""
     runs = stash(_runs(rows), "runs")
+    # Few keys repeat: as the built side of a hash join they spare sorting all runs.
     counts = runs.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    candidates = stash(runs.join(counts, "_key").select(*runs.columns), "candidates")
+    candidates = stash(runs.join(counts.hint("shuffle_hash"), "_key").select(*runs.columns), "candidates")
     place = F.struct(F.coalesce("_number", F.lit(2**63 - 1)).alias("a"), F.col("_name").alias("b"), "_doc", "lo", "hi")
     repeated = stash(candidates.groupBy("_key").agg(F.min(place).alias("_first")), "repeated")
     same = (F.col("_doc") == F.col("_first._doc")) & (F.col("lo") == F.col("_first.lo"))

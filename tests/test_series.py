@@ -13,7 +13,7 @@ K = ["series_id"]
 
 
 @pytest.fixture(scope="module")
-def smb(spark):
+def record(spark):
     rng = np.random.default_rng(42)
     t = np.arange(540)
     value = 0.04 + 5e-5 * t + 0.03 * np.sin(2 * np.pi * (t % 12 + 1 - 3) / 12) + rng.normal(0, 0.02, 540)
@@ -22,15 +22,15 @@ def smb(spark):
 
 
 @pytest.fixture(scope="module")
-def model(smb):
-    return synthesis.fit_generator(smb, K, 60)
+def model(record):
+    return synthesis.fit_generator(record, K, 60)
 
 
 def column(df, name="value"):
     return np.array([r[name] for r in df.orderBy("t").collect()])
 
 
-def test_residuals_have_no_trend_and_no_season(smb, model):
+def test_residuals_have_no_trend_and_no_season(record, model):
     r = model.residuals
     by_month = r.groupBy("month").agg(F.avg("value").alias("m")).collect()
     assert max(abs(x["m"]) for x in by_month) < 1e-10
@@ -38,9 +38,9 @@ def test_residuals_have_no_trend_and_no_season(smb, model):
     assert abs(slope) < 1e-5
 
 
-def test_round_trip(smb, model):
+def test_round_trip(record, model):
     back = preprocess.inverse_transform(model.residuals, model.decomposition, add_trend=True)
-    assert np.allclose(column(back), column(smb), atol=1e-10)
+    assert np.allclose(column(back), column(record), atol=1e-10)
 
 
 def test_gaussian_transform(model):
@@ -70,17 +70,17 @@ def test_welch_segments_and_bounds(model):
     assert psd[3]["ci_upper"] / psd[3]["ci_lower"] == pytest.approx(2.6237, abs=1e-3)
 
 
-def test_ensembles(model, smb):
+def test_ensembles(model, record):
     base, wide = Experiment.baseline(n_years=50, n_members=4), Experiment.scaled("wide", (0.8, 1.5), 10.0, n_years=50, n_members=4)
     ens = synthesis.generate(model, [base, wide]).cache()
     sizes = {(r["experiment"], r["member"]): r["n"] for r in ens.groupBy("experiment", "member").agg(F.count("*").alias("n")).collect()}
     assert set(sizes.values()) == {600} and len(sizes) == 8
-    observed = smb.agg(F.avg("value")).first()[0]
+    observed = record.agg(F.avg("value")).first()[0]
     for r in ens.groupBy("experiment", "member").agg(F.avg("value").alias("m"), F.var_pop("g").alias("v")).collect():
         assert r["m"] == pytest.approx(observed, abs=1e-9) and r["v"] == pytest.approx(1, abs=1e-9)
     again = synthesis.generate(model, [base]).where("member = 2").orderBy("t").collect()
     assert [r["value"] for r in again] == [r["value"] for r in ens.where("experiment = 'baseline' and member = 2").orderBy("t").collect()]
-    metrics = {r["experiment"]: r for r in validation.compute_metrics(smb, ens, K, 60).collect()}
+    metrics = {r["experiment"]: r for r in validation.compute_metrics(record, ens, K, 60).collect()}
     assert metrics["baseline"]["mean_ratio"] == pytest.approx(1, abs=0.05) and metrics["baseline"]["seasonal_rmse"] < 0.005
     resid = ens.withColumn("value", F.col("resid"))
     ratio = suite.band_variance_ratio(resid.where("experiment = 'baseline'"), resid.where("experiment = 'wide'"), K, (0.8, 1.5)).first()
@@ -158,27 +158,27 @@ def test_polygons(spark):
     assert {r["cell_id"] for r in frames.points_in_polygons(cells, ring).collect()} == {0, 2}
 
 
-def test_loader_rules(spark, smb):
+def test_loader_rules(spark, record):
     with pytest.raises(ValueError):
-        frames.validate_series(smb.limit(5), K)
+        frames.validate_series(record.limit(5), K)
     with pytest.raises(ValueError):
-        frames.validate_series(smb.withColumn("value", F.when(F.col("t") != 3, F.col("value"))), K)
-    assert frames.validate_series(smb, K) is smb
+        frames.validate_series(record.withColumn("value", F.when(F.col("t") != 3, F.col("value"))), K)
+    assert frames.validate_series(record, K) is record
     with pytest.raises(ValueError):
-        frames.drop_constant_dimensions(smb, ["t"])
+        frames.drop_constant_dimensions(record, ["t"])
     with pytest.raises(ValueError):
-        frames.find_column(smb, ("nothing",))
+        frames.find_column(record, ("nothing",))
 
 
-def test_sinks(spark, smb, model, tmp_path):
+def test_sinks(spark, record, model, tmp_path):
     suite_ = [Experiment.baseline(n_years=2, n_members=2), Experiment.decadal_enhanced(n_years=2, n_members=2)]
     ens = synthesis.generate(model, suite_)
     frames.write_ensemble(ens, str(tmp_path / "e"), experiments_table(spark, suite_))
     one = frames.read_ensemble(spark, str(tmp_path / "e"), "decadal_enhanced")
     assert one.count() == 48 and "PartitionFilters: [isnotnull(experiment" in one._jdf.queryExecution().toString()
-    frames.write_table_csv(smb.limit(3), str(tmp_path / "c"))
+    frames.write_table_csv(record.limit(3), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
-    frames.write_basins(smb.withColumn("basin", F.lit("b")), str(tmp_path / "b"))
+    frames.write_basins(record.withColumn("basin", F.lit("b")), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).where("basin = 'b'").count() == 540
 
 
@@ -206,11 +206,11 @@ def test_experiments():
     assert suite_[0].rng().random() == suite_[0].rng().random()
 
 
-def test_convergence_uses_prefixes(model, smb):
+def test_convergence_uses_prefixes(model, record):
     ens = synthesis.generate(model, [Experiment.baseline(n_years=10, n_members=5)]).cache()
-    rows = {r["n_members"]: r for r in validation.convergence(smb, ens, K, [2, 5]).collect()}
+    rows = {r["n_members"]: r for r in validation.convergence(record, ens, K, [2, 5]).collect()}
     alone = synthesis.generate(model, [Experiment.baseline(n_years=10, n_members=2)]).agg(F.var_pop("value")).first()[0]
-    assert rows[2]["variance_ratio"] * smb.agg(F.var_pop("value")).first()[0] == pytest.approx(alone)
+    assert rows[2]["variance_ratio"] * record.agg(F.var_pop("value")).first()[0] == pytest.approx(alone)
 
 
 def test_percentile_rules(spark):

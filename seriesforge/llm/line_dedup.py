@@ -8,9 +8,17 @@ them alone and so fall alike wherever a passage stands. Lines between two
 boundaries form a chunk of two lines or more.
 
 Of each chunk the whole and its first and last two and four lines are keyed by
-a hash. Keys that occur at more than one place are candidates; the text of
+a hash. Chunks alone miss a repeated passage that holds no boundary. With
+``every_run`` (op8 and the pipeline) the least sufficient run from each line on
+and up to each line is keyed instead: two lines or more, or one line of 50
+words or more, of ``min_chars`` characters. Any passage that is large enough is
+covered by such runs from its first line to its last, whatever surrounds it.
+
+Keys that occur at more than one place are candidates; the text of
 every occurrence is compared with that of the first one, byte by byte, and
-equal ones are removed. The first occurrence (least id) stays.
+equal ones are removed. The first occurrence (least id) stays. (With
+``every_run`` a line goes if it lies in any repeated run, and a run that
+overlaps its own first occurrence is no repeat.)
 
 What is shuffled are keys and positions. Texts are read again only for the
 documents in question, found by a table of id buckets of fixed size; all other
@@ -34,6 +42,7 @@ from .common import stash
 
 LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
 BUCKETS = 1 << 20
+LONG_LINE = 50  # words from which a line alone is a run
 
 
 def _lines(text: str) -> str:
@@ -70,6 +79,46 @@ def _runs(rows: DataFrame) -> DataFrame:
     return each.select("_doc", "_number", "_name", F.col("_r.key").alias("_key"), "_r.clo", "_r.chi", "_r.lo", "_r.hi")
 
 
+def _every_run(rows: DataFrame, min_chars: int) -> DataFrame:
+    """The columns of ``_runs`` for the least sufficient runs from each line on and up to each line.
+
+    A run's size is the length of its lines without the spaces behind the last.
+    Every line but a text's last has a character, so ``min_chars`` + 1 lines suffice.
+    """
+    long = f"length(line) >= {2 * LONG_LINE - 1} and regexp_count(line, '\\\\S+') >= {LONG_LINE}"
+    line = f"struct(xxhash64(rtrim(line)) as h, length(line) as n, length(rtrim(line)) as r, {long} as long)"
+    lines = rows.select("_doc", "_number", "_name", F.expr(f"transform({_lines('_text')}, line -> {line})").alias("_l"))
+    step = f"(a, x) -> if(a.e > 0, a, struct(a.s + x.n as s, a.k + 1 as k, if(a.k > 0 and a.s + x.r >= {min_chars}, a.k + 1, 0) as e))"
+    back = f"(a, x) -> if(a.e > 0, a, struct(a.s + x.n as s, a.k + 1 as k, if(a.s + x.n >= {min_chars}, a.k + 1, 0) as e))"
+    last = "get(_l, j - 1)"
+    # Two or three lines suffice nearly always; the sums over more lines are for lists of short ones.
+    ends = F.expr(
+        f"""transform(sequence(0, size(_l) - 1), i -> case
+              when get(_l, i).long and get(_l, i).r >= {min_chars} then i + 1
+              when get(_l, i).n + get(_l, i + 1).r >= {min_chars} then i + 2
+              when get(_l, i).n + get(_l, i + 1).n + get(_l, i + 2).r >= {min_chars} then i + 3
+              else aggregate(slice(_l, i + 1, {min_chars} + 1), struct(0 as s, 0 as k, 0 as e), {step}, a -> if(a.e > 0, i + a.e, null)) end)"""
+    )
+    starts = F.expr(
+        f"""transform(sequence(1, size(_l)), j -> case
+              when {last}.long and {last}.r >= {min_chars} then j - 1
+              when get(_l, j - 2).n + {last}.r >= {min_chars} then j - 2
+              when get(_l, j - 3).n + get(_l, j - 2).n + {last}.r >= {min_chars} then j - 3
+              when j < 2 then null
+              else aggregate(reverse(slice(_l, greatest(j - 1 - {min_chars}, 0) + 1, j - 1 - greatest(j - 1 - {min_chars}, 0))),
+                     struct({last}.r as s, 1 as k, 0 as e), {back}, a -> if(a.e > 0, j - a.e, null)) end)"""
+    )
+    bounded = lines.select("_doc", "_number", "_name", F.expr("transform(_l, x -> x.h)").alias("_h"), ends.alias("_ends"), starts.alias("_starts"))
+    runs = F.expr(
+        """transform(concat(
+             filter(transform(_ends, (e, i) -> struct(i as lo, e as hi)), r -> r.hi is not null),
+             filter(transform(_starts, (s, i) -> struct(s as lo, i + 1 as hi)), r -> r.lo is not null and not (get(_ends, r.lo) <=> r.hi))),
+           r -> struct(xxhash64(slice(_h, r.lo + 1, r.hi - r.lo)) as key, r.lo as lo, r.hi as hi))"""
+    )
+    each = bounded.select("_doc", "_number", "_name", F.explode(runs).alias("_r"))
+    return each.select("_doc", "_number", "_name", F.col("_r.key").alias("_key"), F.col("_r.lo").alias("clo"), F.col("_r.hi").alias("chi"), "_r.lo", "_r.hi")
+
+
 #: A text is cut once per row, as a lambda variable, whatever the number of its runs.
 RUN_TEXTS = f"""flatten(transform(array({_lines('_text')}), lines ->
     transform(_runs, r -> struct(r as run, rtrim(array_join(slice(lines, r.lo + 1, r.hi - r.lo), '')) as bytes))))"""
@@ -82,15 +131,15 @@ def _with_texts(runs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFr
     return each.select("_doc", *(F.col(f"_e.run.{c}").alias(c) for c in columns), F.col("_e.bytes").alias("_bytes"))
 
 
-def repeated_runs(rows: DataFrame, min_chars: int) -> DataFrame:
+def repeated_runs(rows: DataFrame, min_chars: int, every_run: bool = False) -> DataFrame:
     """(doc, clo, chi, lo, hi) of runs whose bytes occurred before. ``rows``: _doc, _number, _name, _text."""
-    runs = stash(_runs(rows), "runs")
+    runs = stash(_every_run(rows, min_chars) if every_run else _runs(rows), "runs")
     # Few keys repeat: as the built side of a hash join they spare sorting all runs.
     counts = runs.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
     candidates = stash(runs.join(counts.hint("shuffle_hash"), "_key").select(*runs.columns), "candidates")
     place = F.struct(F.coalesce("_number", F.lit(2**63 - 1)).alias("a"), F.col("_name").alias("b"), "_doc", "lo", "hi")
     repeated = stash(candidates.groupBy("_key").agg(F.min(place).alias("_first")), "repeated")
-    same = (F.col("_doc") == F.col("_first._doc")) & (F.col("lo") == F.col("_first.lo"))
+    same = (F.col("_doc") == F.col("_first._doc")) & (F.col("lo") < F.col("_first.hi") if every_run else F.col("lo") == F.col("_first.lo"))
     later = stash(candidates.join(repeated, "_key").where(~same).select("_key", "_doc", "clo", "chi", "lo", "hi"), "later")
     repeated = repeated.join(later.select("_key").distinct(), "_key", "left_semi")
     bucket = F.pmod("_doc", F.lit(BUCKETS))
@@ -103,6 +152,26 @@ def repeated_runs(rows: DataFrame, min_chars: int) -> DataFrame:
     return later_text.join(first_text, "_key").where("_bytes = _of_first").select("_doc", "clo", "chi", "lo", "hi")
 
 
+def _chunk_spans(found: DataFrame) -> DataFrame:
+    """(doc, spans) of the lines to take out, in order and apart."""
+    # Within a chunk the runs overlap: what counts is how far they reach from its start and its end.
+    per_chunk = found.groupBy("_doc", "clo", "chi").agg(
+        F.max(F.when(F.col("lo") == F.col("clo"), F.col("hi"))).alias("_to"), F.min(F.when(F.col("hi") == F.col("chi"), F.col("lo"))).alias("_from")
+    )
+    to, from_ = F.coalesce("_to", "clo"), F.coalesce("_from", "chi")
+    spans = F.when(from_ <= to, F.array(F.struct(F.col("clo").alias("lo"), F.col("chi").alias("hi")))).otherwise(
+        F.array(F.struct(F.col("clo").alias("lo"), to.alias("hi")), F.struct(from_.alias("lo"), F.col("chi").alias("hi")))
+    )
+    return per_chunk.select("_doc", F.explode(spans).alias("_s")).where("_s.hi > _s.lo").groupBy("_doc").agg(F.sort_array(F.collect_list("_s")).alias("_spans"))
+
+
+def _line_spans(found: DataFrame) -> DataFrame:
+    """(doc, spans) like ``_chunk_spans`` for runs that may overlap: a span per line."""
+    gone = F.expr("array_sort(array_distinct(flatten(transform(_runs, r -> sequence(r.lo, r.hi - 1)))))")
+    spans = F.transform(gone, lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi")))
+    return found.groupBy("_doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs")).select("_doc", spans.alias("_spans"))
+
+
 def dedup_lines(
     documents: DataFrame,
     min_chars: int = 64,
@@ -110,10 +179,12 @@ def dedup_lines(
     id_col: str = "doc_id",
     text_col: str = "text",
     removed_col: str | None = None,
+    every_run: bool = False,
 ) -> DataFrame:
     """The documents with repeated runs of lines taken out of their texts.
 
     All columns and rows stay; ``removed_col`` adds the number of lines removed.
+    ``every_run`` finds repeats wherever they stand, not at chunk boundaries only.
     """
     names = documents.columns
     inner = [f"c{i}" for i in range(len(names))]
@@ -122,16 +193,8 @@ def dedup_lines(
     keyed = renamed.withColumn("_doc", F.xxhash64(doc, text))
     number = F.expr(f"try_cast({doc} AS bigint)")
     rows = keyed.select("_doc", number.alias("_number"), F.when(number.isNull(), F.coalesce(F.col(doc).cast("string"), F.lit("\U0010ffff"))).alias("_name"), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    found = repeated_runs(rows, min_chars)
-    # Within a chunk the runs overlap: what counts is how far they reach from its start and its end.
-    per_chunk = found.groupBy("_doc", "clo", "chi").agg(
-        F.max(F.when(F.col("lo") == F.col("clo"), F.col("hi"))).alias("_to"), F.min(F.when(F.col("hi") == F.col("chi"), F.col("lo"))).alias("_from")
-    )
-    to, from_ = F.coalesce("_to", "clo"), F.coalesce("_from", "chi")
-    spans = F.when(from_ <= to, F.array(F.struct(F.col("clo").alias("lo"), F.col("chi").alias("hi")))).otherwise(
-        F.array(F.struct(F.col("clo").alias("lo"), to.alias("hi")), F.struct(from_.alias("lo"), F.col("chi").alias("hi")))
-    )
-    per_doc = stash(per_chunk.select("_doc", F.explode(spans).alias("_s")).where("_s.hi > _s.lo").groupBy("_doc").agg(F.sort_array(F.collect_list("_s")).alias("_spans")), "spans")
+    found = repeated_runs(rows, min_chars, every_run)
+    per_doc = stash(_line_spans(found) if every_run else _chunk_spans(found), "spans")
     bucket = F.pmod("_doc", F.lit(BUCKETS))
     wanted = F.broadcast(per_doc.select(bucket.alias("_bucket")).distinct())  # BUCKETS rows at most
     with_bucket = keyed.withColumn("_bucket", F.when(F.length(text) > 0, bucket))

@@ -69,7 +69,7 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="removed_lines")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="removed_lines", every_run=True)
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,6 +373,57 @@ def test_line_dedup_equals_brute_force(spark):
         assert sum(middle in (t or "") for t in got.values()) <= 2
 
 
+def brute_runs(rows, min_chars=64):
+    """Every run of two lines, or one of 50 words, of min_chars that occurred before, without keys."""
+    import re
+
+    lines = {i: re.split(line_dedup.LINE_ENDS, t) if t else [] for i, t in rows}
+    places = {}
+    for i, own in lines.items():
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                text = "".join(own[a:b]).rstrip(" ")
+                if len(text) >= min_chars and (b - a > 1 or len(text.split()) >= line_dedup.LONG_LINE):
+                    places.setdefault((b - a, text), []).append((i, a, b))
+                    break
+        for b in range(1, len(own) + 1):
+            for a in range(b - 1, -1, -1):
+                text = "".join(own[a:b]).rstrip(" ")
+                if len(text) >= min_chars and (b - a > 1 or len(text.split()) >= line_dedup.LONG_LINE):
+                    places.setdefault((b - a, text), []).append((i, a, b))
+                    break
+    gone = {i: set() for i in lines}
+    for where in places.values():
+        first = min(where)
+        for i, a, b in where:
+            if not (i == first[0] and a < first[2]):
+                gone[i] |= set(range(a, b))
+    return {i: "".join(x for k, x in enumerate(own) if k not in gone[i]) for i, own in lines.items()}
+
+
+def test_passages_of_any_lines_are_found(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n: " ".join(word() for _ in range(n)) + "."
+    own = lambda: [line(rng.randint(2, 12)) + rng.choice(" \n") for _ in range(rng.randint(2, 6))]
+    passages = [[line(60 // m + 1) + " " for _ in range(m)] for m in (1, 2, 3, 3, 4, 4, 5, 5, 6, 6) for _ in range(6)]
+    passages += [["ok\n", *(line(1) + "\n" for _ in range(30)), line(20) + " ", "no.\n", "so.\n"]]
+    rows = []
+    for p in passages:
+        for _ in range(3):
+            rows.append((len(rows), "".join([*own(), *p, *own()])))
+    rows.append((len(rows), "".join(passages[0] * 3 + ["Again and again and again and again and again.\n"] * 5)))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([*rows, (None, None), (999, "")], "doc_id long, text string")
+    out = line_dedup.dedup_lines(frame, every_run=True, removed_col="n").collect()
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert got == {**brute_runs(sorted(rows)), None: None, 999: ""}
+    assert all(sum("".join(p).strip() in (t or "") for t in got.values()) == 1 for p in passages)
+    for p in passages:  # and no line of it is left elsewhere
+        assert all(sum(x.strip() in (t or "") for t in got.values()) == 1 for x in p if len(x) > 40)
+    assert sum(r["n"] for r in out) > 0
+
+
 def test_line_dedup_edges(spark, edge, empty):
     out = line_dedup.dedup_lines(edge, min_chars=1)
     assert out.columns == edge.columns and out.count() == len(EDGE)

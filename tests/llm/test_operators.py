@@ -550,6 +550,40 @@ def test_similar_texts_are_linked(spark):
     assert 40 < strict <= 120
 
 
+def near_texts(rng, word, words, low, high):
+    """Two texts of a five-word Jaccard similarity in [low, high)."""
+    sets = lambda t: set(zip(*(t[i:] for i in range(5))))
+    while True:
+        a = [word() for _ in range(words)]
+        b = list(a)
+        while True:
+            b[rng.randrange(words)] = word()
+            j = len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+            if low <= j < high:
+                return " ".join(a), " ".join(b)
+            if j < low:
+                break
+
+
+def test_every_similar_pair_is_linked(spark):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    shared = " ".join(word() for _ in range(12))
+    texts = [f"{shared} {t}" for _ in range(150) for t in near_texts(rng, word, 60, 0.72, 0.8)]
+    texts += [texts[0], None, "", "one two", "One two"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for t in texts for w in [(t or "").lower().split()]]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) > 0 or bin(prints[i] ^ prints[j]).count("1") <= 3:
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    kept = {r["doc_id"] for r in simhash.keep_one_per_component(frame).collect()}
+    assert kept == set(least) and 160 < len(kept) < 300
+
+
 def test_sketch_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))

@@ -565,6 +565,16 @@ def near_texts(rng, word, words, low, high):
                 break
 
 
+def test_texts_below_the_similarity_are_kept(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = [t for _ in range(60) for t in near_texts(rng, word, 300, 0.765, 0.8)]
+    prints = [simhash.fingerprint(t, 5) for t in rows]
+    lone = [i for i in range(0, 120, 2) if bin(prints[i] ^ prints[i + 1]).count("1") > 3]
+    frame = spark.createDataFrame([(k, rows[k]) for i in lone for k in (i, i + 1)], "doc_id long, text string")
+    assert len(lone) > 30 and simhash.keep_one_per_component(frame).count() == 2 * len(lone)
+
+
 def test_every_similar_pair_is_linked(spark):
     rng = random.Random(22)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))

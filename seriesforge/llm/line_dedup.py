@@ -30,7 +30,10 @@ Defined results: null and empty texts have no lines and stay as they are. Rows
 with equal id and equal text are one document: they are treated alike, and no
 occurrence in one is a repeat of the other. A document without id comes after
 all others. With ``whole_copy_share`` a document that would lose that share of
-its characters or more is a copy as a whole and is left to document dedup.
+its characters or more is left whole, to document dedup, if it is a near-copy:
+if its five-word shingles have a Jaccard similarity of 0.8 or more, compared
+exactly, with what is kept of the document that holds most of its first
+occurrences (one that is not such a document itself). All others are cut.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from .common import stash
 
 LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
 BUCKETS = 1 << 20
+NEAR_COPY = 0.8  # Jaccard similarity of five-word shingle sets
 LONG_LINE = 50  # words from which a line alone is a run
 
 
@@ -131,16 +135,17 @@ def _with_texts(runs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFr
     return each.select("_doc", *(F.col(f"_e.run.{c}").alias(c) for c in columns), F.col("_e.bytes").alias("_bytes"))
 
 
-def repeated_runs(rows: DataFrame, min_chars: int, every_run: bool = False) -> DataFrame:
-    """(doc, clo, chi, lo, hi) of runs whose bytes occurred before. ``rows``: _doc, _number, _name, _text."""
+def repeated_runs(rows: DataFrame, min_chars: int, every_run: bool = False, holders: bool = False) -> DataFrame:
+    """(doc, clo, chi, lo, hi) of runs whose bytes occurred before, with ``holders`` also the first one's document. ``rows``: _doc, _number, _name, _text."""
     runs = stash(_every_run(rows, min_chars) if every_run else _runs(rows), "runs")
     # Few keys repeat: as the built side of a hash join they spare sorting all runs.
     counts = runs.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
     candidates = stash(runs.join(counts.hint("shuffle_hash"), "_key").select(*runs.columns), "candidates")
+    columns = ["clo", "chi", "lo", "hi", *(["_holder"] if holders else [])]
     place = F.struct(F.coalesce("_number", F.lit(2**63 - 1)).alias("a"), F.col("_name").alias("b"), "_doc", "lo", "hi")
     repeated = stash(candidates.groupBy("_key").agg(F.min(place).alias("_first")), "repeated")
     same = (F.col("_doc") == F.col("_first._doc")) & (F.col("lo") < F.col("_first.hi") if every_run else F.col("lo") == F.col("_first.lo"))
-    later = stash(candidates.join(repeated, "_key").where(~same).select("_key", "_doc", "clo", "chi", "lo", "hi"), "later")
+    later = stash(candidates.join(repeated, "_key").where(~same).withColumn("_holder", F.col("_first._doc")).select("_key", "_doc", *columns), "later")
     repeated = repeated.join(later.select("_key").distinct(), "_key", "left_semi")
     bucket = F.pmod("_doc", F.lit(BUCKETS))
     marked = later.select("_doc").unionByName(repeated.select("_first._doc"))
@@ -148,8 +153,8 @@ def repeated_runs(rows: DataFrame, min_chars: int, every_run: bool = False) -> D
     texts = rows.select("_doc", "_text").withColumn("_bucket", bucket).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"]).select("_doc", "_text")
     firsts = repeated.select("_key", F.col("_first._doc").alias("_doc"), F.col("_first.lo").alias("lo"), F.col("_first.hi").alias("hi"))
     first_text = _with_texts(firsts, texts, ["_key", "lo", "hi"]).select("_key", F.col("_bytes").alias("_of_first")).where(F.length("_of_first") >= min_chars)
-    later_text = _with_texts(later, texts, ["_key", "clo", "chi", "lo", "hi"])
-    return later_text.join(first_text, "_key").where("_bytes = _of_first").select("_doc", "clo", "chi", "lo", "hi")
+    later_text = _with_texts(later, texts, ["_key", *columns])
+    return later_text.join(first_text, "_key").where("_bytes = _of_first").select("_doc", *columns)
 
 
 def _chunk_spans(found: DataFrame) -> DataFrame:
@@ -172,6 +177,25 @@ def _line_spans(found: DataFrame) -> DataFrame:
     return found.groupBy("_doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs")).select("_doc", spans.alias("_spans"))
 
 
+def _shingles(text: str) -> str:
+    """SQL of the set of five-word shingle hashes of a text, words as in the near-dedup stage."""
+    lower = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"filter(split({lower}, '[ \\\\x09-\\\\x0D]+'), w -> w != '')"
+    return f"element_at(transform(array({words}), ws -> array_distinct(transform(sequence(0, greatest(size(ws) - 5, 0)), i -> xxhash64(slice(ws, i + 1, 5))))), 1)"
+
+
+def _near_copies(copies: DataFrame, others: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc) of the copies (_doc, _x) similar to what is kept of the document that holds most of their lines, among ``others`` (_doc, _y)."""
+    lines = found.where("_holder != _doc").groupBy("_doc", "_holder").agg(F.sum(F.col("hi") - F.col("lo")).alias("_n"))
+    holder = lines.groupBy("_doc").agg(F.max(F.struct("_n", "_holder")).alias("_m")).select("_doc", F.col("_m._holder").alias("_holder"))
+    pairs = stash(copies.dropDuplicates(["_doc"]).join(holder, "_doc"), "copies")
+    wanted = F.broadcast(pairs.select(F.pmod("_holder", F.lit(BUCKETS)).alias("_bucket")).distinct())  # BUCKETS rows at most
+    held = others.withColumn("_bucket", F.pmod("_doc", F.lit(BUCKETS))).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"])
+    sets = pairs.join(held.select(F.col("_doc").alias("_holder"), "_y"), "_holder").select("_doc", F.expr(_shingles("_x")).alias("_a"), F.expr(_shingles("_y")).alias("_b"))
+    both = sets.select("_doc", F.size("_a").alias("_na"), F.size("_b").alias("_nb"), F.size(F.array_intersect("_a", "_b")).alias("_n"))
+    return stash(both.where(F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")) >= NEAR_COPY).select("_doc"), "whole")
+
+
 def dedup_lines(
     documents: DataFrame,
     min_chars: int = 64,
@@ -193,14 +217,16 @@ def dedup_lines(
     keyed = renamed.withColumn("_doc", F.xxhash64(doc, text))
     number = F.expr(f"try_cast({doc} AS bigint)")
     rows = keyed.select("_doc", number.alias("_number"), F.when(number.isNull(), F.coalesce(F.col(doc).cast("string"), F.lit("\U0010ffff"))).alias("_name"), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    found = repeated_runs(rows, min_chars, every_run)
+    found = repeated_runs(rows, min_chars, every_run, whole_copy_share is not None)
+    if whole_copy_share is not None:
+        found = stash(found, "found")
     per_doc = stash(_line_spans(found) if every_run else _chunk_spans(found), "spans")
     bucket = F.pmod("_doc", F.lit(BUCKETS))
     wanted = F.broadcast(per_doc.select(bucket.alias("_bucket")).distinct())  # BUCKETS rows at most
     with_bucket = keyed.withColumn("_bucket", F.when(F.length(text) > 0, bucket))
     touched = with_bucket.join(wanted, "_bucket", "left_semi").join(per_doc, "_doc", "left")
     untouched = with_bucket.join(wanted, "_bucket", "left_anti").withColumn("_spans", F.lit(None).cast(per_doc.schema["_spans"].dataType))
-    every = touched.select(*inner, "_spans").unionByName(untouched.select(*inner, "_spans"))
+    every = touched.select("_doc", *inner, "_spans").unionByName(untouched.select("_doc", *inner, "_spans"))
     kept = F.expr(
         f"""element_at(transform(array({_lines(text)}), lines ->
              array_join(transform(concat(_spans, array(struct(size(lines) as lo, size(lines) as hi))),
@@ -209,8 +235,13 @@ def dedup_lines(
     has = F.col("_spans").isNotNull()
     out = every.withColumn("_kept", F.when(has, kept).otherwise(F.col(text)))
     if whole_copy_share is not None:
-        whole = F.length("_kept") <= (1 - whole_copy_share) * F.length(text)
-        out = out.withColumn("_whole", has & whole).withColumn("_kept", F.when(F.col("_whole"), F.col(text)).otherwise(F.col("_kept"))).withColumn("_spans", F.when(~F.col("_whole"), F.col("_spans")))
+        out = stash(out, "cut")
+        large = has & (F.length("_kept") <= (1 - whole_copy_share) * F.length(text))
+        most, rest = out.where(large), out.where(~F.coalesce(large, F.lit(False)))
+        whole = _near_copies(most.select("_doc", F.col(text).alias("_x")), rest.select("_doc", F.col("_kept").alias("_y")), found)
+        most = most.join(whole.withColumn("_whole", F.lit(True)), "_doc", "left")
+        most = most.withColumn("_kept", F.when(F.col("_whole"), F.col(text)).otherwise(F.col("_kept"))).withColumn("_spans", F.when(F.col("_whole").isNull(), F.col("_spans")))
+        out = most.drop("_whole").unionByName(rest)
     columns = [(F.col("_kept") if i == text else F.col(i)).alias(c) for i, c in zip(inner, names)]
     if removed_col:
         columns.append(F.coalesce(F.expr("aggregate(_spans, 0L, (n, s) -> n + s.hi - s.lo)"), F.lit(0)).alias(removed_col))

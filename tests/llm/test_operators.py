@@ -424,6 +424,19 @@ def test_passages_of_any_lines_are_found(spark):
     assert sum(r["n"] for r in out) > 0
 
 
+def test_only_near_copies_stay_whole(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    lines = lambda n: "".join(" ".join(word() for _ in range(9)) + ". " for _ in range(n))
+    one, two, three = lines(10), lines(10), lines(12)
+    near = three.replace(three.split(". ")[5], "one line is another")
+    texts = [one + lines(8), two + lines(8), one + two + "Own words here.", three, near, three + "More.", one + lines(1) + two]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame, whole_copy_share=0.7, every_run=True).collect()}
+    assert all(out[i] == texts[i] for i in (0, 1, 3, 4, 5))
+    assert out[2] == "Own words here." and out[6] == texts[6][len(one) : -len(two)]
+
+
 def test_line_dedup_edges(spark, edge, empty):
     out = line_dedup.dedup_lines(edge, min_chars=1)
     assert out.columns == edge.columns and out.count() == len(EDGE)

@@ -1,22 +1,28 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. The first pass decides blocks
-by stop-word density, length and link density; blocks inside elements that are
-never article text (menus, headers of the page, footers, asides, forms, or a
-class or id that says advert, notice, comments ...) are decided as boilerplate
-at once. Ambiguous blocks, most of them short, are left for the second pass:
-they inherit the label of their nearest decided neighbours. Inside an
-``article`` or ``main`` element the density rules never reject a block alone,
-they make it ambiguous: an odd paragraph of an article stays article.
+The page is cut into blocks at block-level tags. The first pass scores each
+block by its stop-word density, its length and its link density. Where the
+block stands and what the elements around it are called are further evidence
+with a weight beside these (``Weights``); only elements that hold no text of an
+article by their nature (menus, the page's header, footers, asides, forms) and
+hidden ones decide alone. Blocks of a clear score are decided, short ones and
+those of a middle score are ambiguous. In the second pass they inherit the
+label of their nearest decided neighbours: blocks of an article from those of
+the same article, others from all others. Where the two sides differ, a block
+of the article, a heading in front of text and a block of fair density stay,
+short ones go. An article without any decided block is kept as it is; on a page
+without article and good blocks the fair ones count as decided.
 
 Defined results: null and empty html give empty text. Malformed markup is read
 as far as it goes: a tag that never ends is text, an open script runs to the
-end of the page. Every page is one row; long pages are read whole.
+end of the page. Every page is one row; long pages are read whole. Columns may
+have any names; one called like the text column is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import in_batches, slices
 
 # Common function words of the languages served.
 STOP_WORDS = frozenset(
@@ -47,15 +53,18 @@ BLOCK_TAGS = frozenset(
 )
 NEVER_TEXT = frozenset("head title nav footer aside form menu select option textarea button dialog label legend fieldset datalist".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in a class, id or role that mark what surrounds articles.
+# Names in a class, id or role that mark what surrounds articles.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
-    "alert popup modal overlay sidebar aside widget menu nav navbar navigation navigationbar breadcrumb breadcrumbs footer header masthead "
+    "alert popup modal overlay sidebar aside widget menu nav navbar navigation navigationbar breadcrumb breadcrumbs masthead "
     "topbar toolbar comment comments commentlist discussion replies reply respond disqus share sharing social related recommended "
-    "newsletter subscribe subscription signup login search form pagination pager skip legal copyright disclaimer complementary contentinfo "
-    "search-form".split()
+    "newsletter subscribe subscription signup login search pagination pager skip legal copyright disclaimer complementary contentinfo".split()
 )
-KEEP_HEADER_IN = frozenset(("article", "main"))
+# Names that count only as a whole or for the page, since articles have headers and footers too.
+WHOLE_HINTS = frozenset("header footer form site-header site-footer page-header page-footer search-form page-form".split())
+# Parts that make a name a state of the page, not a kind of element.
+STATES = frozenset("has no is not with without open closed enabled disabled hidden layout page single type format status category tag post entry hentry main body content container wrapper".split())
+ARTICLES = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -64,48 +73,83 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
     re.S | re.I,
 )
-_MARKS = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def _marked(attrs: str) -> bool:
-    if _HIDDEN.search(attrs):
+@dataclass(frozen=True)
+class Weights:
+    """What speaks for a block and against it. ``density`` switches the stop-word rules off."""
+
+    short: int = 70  # characters under which a block is ambiguous
+    long: int = 200
+    low: float = 0.15  # stop words among a block's words
+    high: float = 0.25
+    link_limit: float = 0.4
+    density: bool = True
+    dense: int = 2
+    some: int = 1
+    none: int = -1
+    length: int = 1
+    linked: int = -4
+    linked_inside: int = -1  # in an article, where links are part of the text
+    article: int = 1
+    outside: int = -4  # not in the page's article, where it has one
+    hint: int = -5
+    good_from: int = 3
+    bad_to: int = -1
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {name.lower(): unescape(value.strip("\"'")) for name, value in _ATTRIBUTE.findall(text)}
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    if attributes.get("hidden", "false").lower() != "false":
         return True
-    for found in _MARKS.findall(attrs):
-        for value in found:
-            if value and not HINTS.isdisjoint(_PARTS.findall(value.lower())):
-                return True
+    return attributes.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def _hinted(attributes: dict[str, str]) -> bool:
+    """Whether a name of the element is, or has as a part, one that marks what surrounds articles."""
+    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).split():
+        if name.lower() in WHOLE_HINTS:
+            return True
+        parts = {p.lower() for p in _PARTS.split(name)}
+        if parts & HINTS and not parts & STATES:
+            return True
     return False
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "heading", "barred", "article")
+    __slots__ = ("parts", "linked", "heading", "barred", "hinted", "article")
 
-    def __init__(self, heading: bool, barred: bool, article: int):
-        self.parts, self.linked, self.heading, self.barred, self.article = [], 0, heading, barred, article
+    def __init__(self, heading: bool, barred: bool, hinted: bool, article: int):
+        self.parts, self.linked, self.heading, self.barred, self.hinted, self.article = [], 0, heading, barred, hinted, article
 
 
-def _blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
-    """(text, link density, heading, barred, number of its article or 0) in page order."""
-    out: list[tuple[str, float, bool, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: name, barred, article
+def _blocks(html: str) -> list[tuple[str, float, bool, bool, bool, int]]:
+    """(text, link density, heading, barred, hinted, number of its article or 0) in page order."""
+    out: list[tuple[str, float, bool, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # open block elements: name, barred, hinted, article
     articles = breaks = in_link = 0
-    block = _Block(False, False, 0)
+    unseen: list[str] = []  # open inline elements from the first hidden one on
+    block = _Block(False, False, False, 0)
 
     def flush() -> None:
         nonlocal block, breaks
         text = " ".join(unescape("".join(block.parts)).split())
         if text:
-            out.append((text, min(1.0, block.linked / len(text)), block.heading, block.barred, block.article))
-        name, barred, article = stack[-1] if stack else ("", False, 0)
-        block = _Block(len(name) == 2 and name[0] == "h" and name[1].isdigit(), barred, article)
+            out.append((text, min(1.0, block.linked / len(text)), block.heading, block.barred, block.hinted, block.article))
+        name, barred, hinted, article = stack[-1] if stack else ("", False, False, 0)
+        block = _Block(len(name) == 2 and name[0] == "h" and name[1].isdigit(), barred, hinted, article)
         breaks = 0
 
     def say(text: str) -> None:
         nonlocal breaks
-        if text:
+        if text and not unseen:
             block.parts.append(text)
             if text.strip():
                 breaks = 0
@@ -124,9 +168,8 @@ def _blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
             block.parts.append(" ")
             if breaks > 1:
                 flush()
-        elif tag == "a":
-            in_link = 0 if m["close"] else 1
-        elif tag in BLOCK_TAGS or (tag not in VOID_TAGS and tag in NEVER_TEXT):
+        elif tag in BLOCK_TAGS or tag in NEVER_TEXT:
+            unseen.clear()
             if m["close"]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if depth is not None:
@@ -136,79 +179,96 @@ def _blocks(html: str) -> list[tuple[str, float, bool, bool, int]]:
                     stack.pop()
                 if tag not in ("p", "li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == "p":
                     stack.pop()
-                _, barred, article = stack[-1] if stack else ("", False, 0)
-                if tag in KEEP_HEADER_IN and not article:
+                _, barred, hinted, article = stack[-1] if stack else ("", False, False, 0)
+                attributes = _attributes(m["attrs"]) if m["attrs"] and tag not in ("html", "body") else {}
+                hint = tag != "main" and _hinted(attributes)
+                if tag in ARTICLES and not article and not hint:
                     articles += 1
-                    article = articles
-                barred = barred or tag in NEVER_TEXT or (tag == "header" and not article) or (tag not in ("html", "body") and _marked(m["attrs"]))
-                stack.append((tag, barred, article))
+                    article, hinted = articles, False  # names around an article say nothing of it
+                barred = barred or tag in NEVER_TEXT or (tag == "header" and not article) or _hidden(attributes)
+                stack.append((tag, barred, hinted or hint, article))
             in_link = 0 if tag != "li" else in_link
             flush()
-        elif not m["close"] and m["attrs"] and tag not in VOID_TAGS and _HIDDEN.search(m["attrs"]):
-            pass
+        elif tag not in VOID_TAGS:
+            if unseen:
+                if not m["close"]:
+                    unseen.append(tag)
+                elif tag in unseen:
+                    del unseen[len(unseen) - 1 - unseen[::-1].index(tag) :]
+            elif not m["close"] and m["attrs"] and _hidden(_attributes(m["attrs"])):
+                unseen.append(tag)
+            if tag == "a":
+                in_link = 0 if m["close"] else 1
     say(html[at:])
     flush()
     return out
 
 
-GOOD, BAD, NEAR, SHORT = 1, 0, 2, 3
+GOOD, BAD, FAIR, SHORT = 1, 0, 2, 3
 
 
-def _first_pass(text: str, links: float, barred: bool, article: int, short: int, long: int, low: float, high: float, link_limit: float) -> int:
-    """Density rules for one block."""
+def _first_pass(block: tuple[str, float, bool, bool, bool, int], has_article: bool, w: Weights) -> int:
+    """A block's label by its score, FAIR or SHORT if it is ambiguous."""
+    text, links, _, barred, hinted, article = block
     if barred:
         return BAD
-    if links > link_limit:
-        return BAD
-    words = _WORDS.findall(text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(text) < short:
-        return BAD if links > 0.1 and not article else SHORT
-    if density >= high:
-        return GOOD if len(text) > long or article else NEAR
-    if density >= low:
-        return NEAR
-    return SHORT if article else BAD
-
-
-def extract_main_text(html: str | None, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.25, link_limit: float = 0.4) -> str:
-    """The article's blocks, joined by one line feed."""
-    blocks = _blocks(html or "")
-    label = [_first_pass(t, links, barred, art, short, long, low, high, link_limit) for t, links, _, barred, art in blocks]
-    decided = list(label)
-    n = len(blocks)
-    before, after = [None] * n, [None] * n  # nearest decided label in either direction
-    for order, store in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last, own = BAD, {}
+    score = w.article if article else w.outside * has_article
+    score += w.hint * hinted + (w.linked_inside if article else w.linked) * (links > w.link_limit)
+    if len(text) < w.short:
+        return BAD if score <= w.bad_to else SHORT
+    if w.density:
+        words = _WORDS.findall(text.lower())
+        density = sum(x in STOP_WORDS for x in words) / max(1, len(words))
+        score += w.dense if density >= w.high else w.some if density >= w.low else w.none
+    score += w.length * (len(text) > w.long)
+    if score >= w.good_from:
+        return GOOD
+    return BAD if score <= w.bad_to else FAIR
+
+
+def _second_pass(blocks: list, label: list[int]) -> list[int]:
+    """Ambiguous blocks get the label of their nearest decided neighbours."""
+    n, decided = len(blocks), list(label)
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        last: dict[int, int] = {}  # by article
+        side = [BAD] * n
         for i in order:
-            art = blocks[i][4]
-            store[i] = own.get(art, GOOD) if art else last
+            barred, hinted, article = blocks[i][3:]
+            side[i] = last.get(article, GOOD if article else BAD)
             if label[i] in (GOOD, BAD):
-                if art and not (label[i] == BAD and blocks[i][3]):
-                    own[art] = label[i]
-                last = label[i]
-    for i, (text, _, heading, _, art) in enumerate(blocks):
-        if label[i] in (NEAR, SHORT):
-            both = before[i] + after[i]
-            if both == 2:
-                decided[i] = GOOD
-            elif both == 0:
-                decided[i] = BAD
-            else:
-                decided[i] = GOOD if label[i] == NEAR or art or (heading and after[i] == GOOD) else BAD
-    return "\n".join(b[0] for b, d in zip(blocks, decided) if d == GOOD)
+                if article and not barred and not hinted:
+                    last[article] = label[i]
+                last[0] = label[i]
+        sides.append(side)
+    for i, (before, after) in enumerate(zip(*sides)):
+        if label[i] in (FAIR, SHORT):
+            heading, article = blocks[i][2], blocks[i][5]
+            mixed = article or label[i] == FAIR or (heading and after == GOOD)
+            decided[i] = before if before == after else GOOD if mixed else BAD
+    return decided
+
+
+def extract_main_text(html: str | None, weights: Weights = Weights()) -> str:
+    """The article's blocks, joined by one line feed."""
+    blocks = _blocks(html or "")
+    has_article = any(b[5] and not b[3] for b in blocks)
+    label = [_first_pass(b, has_article, weights) for b in blocks]
+    if GOOD not in label and not has_article:
+        label = [GOOD if x == FAIR else x for x in label]
+    label = _second_pass(blocks, label)
+    return "\n".join(b[0] for b, kept in zip(blocks, label) if kept == GOOD)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all but the html) and the main text. A narrow pass."""
-    small_batches(pages.sparkSession)
     names = [c for c in (keep if keep is not None else [c for c in pages.columns if c != html_col]) if c != text_col]
-    source = pages.select(*names, F.col(html_col).alias("_page_html"))
-    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(text_col, T.StringType())])
+    schema = T.StructType([pages.schema[c] for c in names] + [T.StructField(text_col, T.StringType())])
+    source = pages.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*names, html_col])))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [extract_main_text(h) for h in batch.column(len(names)).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(texts, pa.string())], names=[*names, text_col])
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

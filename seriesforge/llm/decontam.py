@@ -8,18 +8,23 @@ overlapping bands of diagonals, and only bands that reach the bound are
 verified: by equality first, else by banded alignment. The filter loses no
 region within the budget; the verification drops all others.
 
-Items are read in blocks of bounded size, each of them against all documents
-in one narrow pass: nothing is shuffled, whatever key or passage is frequent,
-and what a task holds of the items is bounded by ``block_chars``.
+Items are read in blocks of bounded size, each of them broadcast, and all
+documents pass once: a task holds one block and a bounded stretch of texts at a
+time. Nothing is shuffled, whatever key or passage is frequent. Hits are
+counted in slices of bounded size, texts of millions of characters in pieces
+that overlap by more than a window.
 
 Texts are compared lower-cased with white space made single; spans refer to
-that form. Defined results: null and empty texts match nothing; items under
-``min_chars`` characters are too short to tell and are not used; repeated rows
-match each for themselves; all windows of a long text are searched.
+that form. For each document and item the least distance, the first start and
+the last end of its regions are given. Defined results: null and empty texts
+match nothing; items under ``min_chars`` characters are too short for windows
+and match texts equal to them; repeated rows match each for themselves; all of
+a long text is searched. Columns may have any names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,11 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import in_batches, slices
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 22
 GROUP_CHARS = 1_000_000
+PIECE_CHARS = 2_000_000
+HITS = 2_000_000
+STRETCH_BYTES = 32_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -81,6 +89,7 @@ class Windows:
     first: np.ndarray = field(repr=False)
     window_of: np.ndarray = field(repr=False)
     position: np.ndarray = field(repr=False)
+    short: dict[str, list[int]] = field(repr=False)
 
     @property
     def band(self) -> int:
@@ -88,10 +97,12 @@ class Windows:
 
 
 def make_windows(items: list[tuple[object, str]], q: int, rate: float, width: int, min_chars: int) -> Windows:
-    texts, item, start = [], [], []
+    texts, item, start, short = [], [], [], {}
     for number, (_, text) in enumerate(items):
         text = normalise(text)
         if len(text) < max(min_chars, q + 3):
+            if text:
+                short.setdefault(text, []).append(number)
             continue
         ends = list(range(width, len(text), width // 2)) + [len(text)] if len(text) > width else [len(text)]
         for end in ends:
@@ -107,7 +118,7 @@ def make_windows(items: list[tuple[object, str]], q: int, rate: float, width: in
     position = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)]).astype(np.int64)
     order = np.argsort(every, kind="stable")
     grams, first = np.unique(every[order], return_index=True)
-    return Windows(q, texts, np.array(item, np.int64), np.array(start, np.int64), budget, sizes - q + 1 - budget * q, grams, np.append(first, len(every)), window_of[order], position[order])
+    return Windows(q, texts, np.array(item, np.int64), np.array(start, np.int64), budget, sizes - q + 1 - budget * q, grams, np.append(first, len(every)), window_of[order], position[order], short)
 
 
 def banded_distance(pattern: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:
@@ -165,54 +176,85 @@ def _matches(texts: list[str], windows: Windows, table: np.ndarray, codes_of: li
     if not len(where):
         return
     n = windows.first[gram + 1] - windows.first[gram]
-    hit = np.repeat(windows.first[gram] + n - np.cumsum(n), n) + np.arange(n.sum())
-    window = windows.window_of[hit]
     longest = int(windows.position.max(initial=0)) + q
-    diagonal = np.repeat(where, n) - windows.position[hit] + longest  # not below 0
     # Bands of 2*half diagonals, one starting each `half`: budgets are at most half.
     half = band // 2
     bands = (len(joined) + longest) // half + 2
-    low = diagonal // half
-    keys, counts = np.unique(np.concatenate([window * bands + low, (window * bands + low - 1)[low > 0]]), return_counts=True)
-    strong = counts >= windows.least[keys // bands]
-    for key in keys[strong].tolist():
+    ends = np.cumsum(n)
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(HITS, int(ends[-1]), HITS)), [len(n)]]))
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo, hi in zip(cuts, cuts[1:]):
+        m, at = n[lo:hi], np.cumsum(n[lo:hi])
+        hit = np.repeat(windows.first[gram[lo:hi]] + m - at, m) + np.arange(at[-1])
+        low = (np.repeat(where[lo:hi], m) - windows.position[hit] + longest) // half  # not below 0
+        key = windows.window_of[hit] * bands + low
+        some, times = np.unique(np.concatenate([key, key[low > 0] - 1]), return_counts=True)
+        keys, of = np.unique(np.concatenate([keys, some]), return_inverse=True)
+        counts = np.bincount(of, np.concatenate([counts, times])).astype(np.int64)
+    strong: dict[tuple[int, int], list[int]] = {}  # (text, window) -> first diagonals of bands
+    for key in keys[counts >= windows.least[keys // bands]].tolist():
         w, b = divmod(key, bands)
-        pattern, most = windows.texts[w], int(windows.budget[w])
         first = b * half - longest  # first diagonal of the band in the joined texts
-        size = len(pattern)
+        size, most = len(windows.texts[w]), int(windows.budget[w])
         last = int(np.searchsorted(begins, first + band + size + most, side="left"))
         for i in range(max(0, int(np.searchsorted(begins, first - most, side="right")) - 1), last):
-            text, begin = texts[i], int(begins[i])
-            start, end = max(0, first - begin - most), min(len(text), first - begin + band + size + most)
-            if end - start < size - most:
-                continue
-            region = text[start:end]
-            same = region.find(pattern)
+            strong.setdefault((i, w), []).append(first - int(begins[i]))
+    for (i, w), firsts in strong.items():
+        text, pattern, most = texts[i], windows.texts[w], int(windows.budget[w])
+
+        letters = Counter(pattern)
+
+        def verified(first: int, text=text, pattern=pattern, letters=letters, most=most, w=w) -> tuple[int, int, int] | None:
+            """(distance, start, end) of the region of a band, if it is within budget."""
+            start, end = max(0, first - most), min(len(text), first + band + len(pattern) + most)
+            if end - start < len(pattern) - most:
+                return None
+            same = text.find(pattern, start, end)
             if same >= 0:
-                yield i, w, start + same, start + same + size, 0
-                continue
-            offset = first - begin - start
-            distance, s, e = banded_distance(codes_of[w], _codes(region), offset - most, offset + band + most, most)
-            if distance <= most:
-                yield i, w, start + s, start + e, distance
+                return 0, same, same + len(pattern)
+            if (letters - Counter(text[start:end])).total() > most:  # more characters are missing than the budget has edits
+                return None
+            offset = first - start
+            distance, s, e = banded_distance(codes_of[w], _codes(text[start:end]), offset - most, offset + band + most, most)
+            return (distance, start + s, start + e) if distance <= most else None
+
+        # From both ends: the first and the last region say most, the others at best a lesser distance.
+        left = next((x for f in firsts if (x := verified(f))), None)
+        if left is None:
+            continue
+        right = next(x for f in reversed(firsts) if (x := verified(f)))
+        distance = min(left[0], right[0])
+        if distance:
+            distance = min(x[0] for f in firsts if (x := verified(f)))
+        yield i, w, left[1], max(left[2], right[2]), distance
 
 
 def _search(texts: list[str | None], windows: Windows, table: np.ndarray, codes_of: list[np.ndarray]) -> list[dict[int, tuple[int, int, int]]]:
     """For each text: item number -> (least distance, first start, last end)."""
     out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-    ready = [normalise(t) for t in texts]
-    group: list[int] = []
+    overlap = 2 * (max(map(len, windows.texts), default=0) + windows.band)
+    group: list[tuple[int, int, str]] = []  # text, offset, piece
     size = 0
-    for i, text in enumerate(ready):
-        group.append(i)
-        size += len(text)
-        if size < GROUP_CHARS and i < len(ready) - 1:
-            continue
-        for k, w, start, end, distance in _matches([ready[g] for g in group], windows, table, codes_of):
-            found, item = out[group[k]], int(windows.item[w])
-            d, s, e = found.get(item, (distance, start, end))
-            found[item] = (min(d, distance), min(s, start), max(e, end))
-        group, size = [], 0
+
+    def flush() -> None:
+        for k, w, start, end, distance in _matches([piece for _, _, piece in group], windows, table, codes_of):
+            i, offset, _ = group[k]
+            item = int(windows.item[w])
+            d, s, e = out[i].get(item, (distance, start + offset, end + offset))
+            out[i][item] = (min(d, distance), min(s, start + offset), max(e, end + offset))
+
+    for i, text in enumerate(texts):
+        ready = normalise(text)
+        for number in windows.short.get(ready, ()):
+            out[i][number] = (0, 0, len(ready))
+        for at in range(0, max(1, len(ready) - overlap), PIECE_CHARS):
+            piece = ready[at : at + PIECE_CHARS + overlap]
+            group.append((i, at, piece))
+            size += len(piece)
+            if size >= GROUP_CHARS:
+                flush()
+                group, size = [], 0
+    flush()
     return out
 
 
@@ -228,8 +270,8 @@ def _whole(items: DataFrame, id_col: str) -> bool:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     block, size = [], 0
-    item_id = F.col(id_col).cast("long" if _whole(items, id_col) else "string")
-    for row in items.select(item_id.alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
+    item_id = F.col(f"`{id_col}`").cast("long" if _whole(items, id_col) else "string")
+    for row in items.select(item_id.alias("i"), F.col(f"`{text_col}`").alias("t")).where("t is not null").toLocalIterator():
         block.append((row["i"], row["t"]))
         size += len(row["t"])
         if size >= block_chars:
@@ -239,45 +281,58 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> I
         yield block
 
 
+def _broadcast(documents: DataFrame, items: DataFrame, q: int, rate: float, width: int, min_chars: int, block_chars: int, item_col: str, text_col: str) -> list:
+    """Each block's windows and ids as a broadcast; the driver holds one block at a time."""
+    context = documents.sparkSession.sparkContext
+    return [context.broadcast((make_windows(block, q, rate, width, min_chars), [i for i, _ in block])) for block in _blocks(items, item_col, text_col, block_chars)]
+
+
+def _found(batches: Iterator[pa.RecordBatch], column: int, blocks: list) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
+    """Stretches of rows, and for each row: item id -> (least distance, first start, last end)."""
+    for batch in slices(batches, STRETCH_BYTES):
+        texts = batch.column(column).to_pylist()
+        out: list[dict] = [{} for _ in texts]
+        for block in blocks:
+            windows, ids = block.value
+            if not hasattr(windows, "ready"):
+                windows.ready = _slots(windows), [_codes(t) for t in windows.texts]
+            for i, found in enumerate(_search(texts, windows, *windows.ready)):
+                out[i].update((ids[number], span) for number, span in found.items())
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # a worker holds one block at a time
+        yield batch, out
+
+
 def find_passages(
     documents: DataFrame, items: DataFrame, rate: float = 0.08, q: int = 10, width: int = 160, min_chars: int = 32, block_chars: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, item_id, distance, start, end) for each document and item that share a region."""
-    small_batches(documents.sparkSession)
-    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
+    """(doc_id, item_id, distance, start, end) for each document and item that share a region.
+
+    Of items with equal ids the last one that matches counts.
+    """
+    source = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     whole = _whole(items, item_col)
     schema = T.StructType([source.schema["doc_id"], T.StructField("item_id", T.LongType() if whole else T.StringType())] + [T.StructField(c, T.LongType()) for c in ("distance", "start", "end")])
-    empty = documents.sparkSession.createDataFrame([], schema)
-    out = None
-    for block in _blocks(items, item_col, item_text_col, block_chars):
-        windows, ids = make_windows(block, q, rate, width, min_chars), [i for i, _ in block]
+    blocks = _broadcast(documents, items, q, rate, width, min_chars, block_chars, item_col, item_text_col)
 
-        def run(batches, windows=windows, ids=ids):
-            table, codes_of = _slots(windows), [_codes(t) for t in windows.texts]
-            for batch in batches:
-                rows = [(i, ids[item], *span) for i, found in enumerate(_search(batch.column(1).to_pylist(), windows, table, codes_of)) for item, span in found.items()]
-                take, item, *spans = zip(*rows) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(item, pa.int64() if whole else pa.string()), *(pa.array(s, pa.int64()) for s in spans)], names=schema.names)
+    def run(batches):
+        for batch, out in _found(batches, 1, blocks):
+            rows = [(i, item, *span) for i, found in enumerate(out) for item, span in found.items()]
+            take, item, *spans = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), pa.array(item, pa.int64() if whole else pa.string()), *(pa.array(s, pa.int64()) for s in spans)], names=schema.names)
 
-        part = source.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return empty if out is None else out
+    return in_batches(source, run, schema)
 
 
 def drop_contaminated(
     documents: DataFrame, items: DataFrame, rate: float = 0.08, q: int = 10, width: int = 160, min_chars: int = 32, block_chars: int = 2_000_000, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """The documents that share no region with an item; all columns stay."""
-    small_batches(documents.sparkSession)
     at = documents.columns.index(text_col)
-    for block in _blocks(items, item_col, item_text_col, block_chars):
-        windows = make_windows(block, q, rate, width, min_chars)
+    blocks = _broadcast(documents, items, q, rate, width, min_chars, block_chars, item_col, item_text_col)
 
-        def run(batches, windows=windows):
-            table, codes_of = _slots(windows), [_codes(t) for t in windows.texts]
-            for batch in batches:
-                clean = [not found for found in _search(batch.column(at).to_pylist(), windows, table, codes_of)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+    def run(batches):
+        for batch, out in _found(batches, at, blocks):
+            yield batch.filter(pa.array([not found for found in out], pa.bool_()))
 
-        documents = documents.mapInArrow(run, documents.schema)
-    return documents
+    return in_batches(documents, run, documents.schema)

@@ -11,7 +11,11 @@ duration and the byte ranges of key frames.
 
 Defined results: a null payload is an empty one. Bytes that are no container,
 or whose tables contradict the file's size, give null metadata and an
-``error`` text; they do not fail the job. Without stss every sample is a key.
+``error`` text; they do not fail the job: boxes lie within their parents, 32
+deep at most, tables within their boxes, samples within the file. Files whose
+samples are in fragments (moof) are told apart by their error. Without stss
+every sample is a key. Columns may have any names; those called like a result
+are replaced.
 """
 
 from __future__ import annotations
@@ -26,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import in_batches, slices
 
 FRAME = 576
 SIDE = 24
 KEY_EVERY = 8
 TIMESCALE = 25
+MOST_DEEP = 32
 NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex")
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
@@ -79,10 +84,13 @@ def write_container(payload: bytes) -> bytes:
     return start + movie(at) + _box(b"mdat", payload)
 
 
-def walk_boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()):
+def walk_boxes(data: memoryview):
     """(path, body start, body end) of each box, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    open_boxes: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]  # where to go on, the end, the path
+    while open_boxes:
+        start, end, path = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
@@ -95,55 +103,71 @@ def walk_boxes(data: memoryview, start: int = 0, end: int | None = None, path: t
             raise ValueError(f"box {kind!r} leaves its parent")
         here = (*path, kind)
         yield here, start + head, start + size
+        open_boxes.append((start + size, end, path))
         if kind in NESTED:
-            yield from walk_boxes(data, start + head, start + size, here)
-        start += size
+            if len(here) >= MOST_DEEP:
+                raise ValueError("boxes are nested too deep")
+            open_boxes.append((start + head, start + size, here))
 
 
-def _counted(data: memoryview, at: int, end: int, columns: int, kind: str = ">u4") -> np.ndarray:
-    """A table of a full box: its count, then rows."""
-    n = struct.unpack_from(">I", data, at + 4)[0]
-    width = columns * np.dtype(kind).itemsize
-    if at + 8 + n * width > end:
+def _field(data: memoryview, box: tuple[int, int], form: str, at: int) -> tuple:
+    """Numbers of a box's body, which must hold them."""
+    if box[0] + at + struct.calcsize(form) > box[1]:
+        raise ValueError("box is cut")
+    return struct.unpack_from(form, data, box[0] + at)
+
+
+def _rows(data: memoryview, box: tuple[int, int], n: int, columns: int, at: int, kind: str = ">u4") -> np.ndarray:
+    if box[0] + at + n * columns * np.dtype(kind).itemsize > box[1]:
         raise ValueError("table is cut")
-    return np.frombuffer(data, kind, n * columns, at + 8).astype(np.int64).reshape(n, columns)
+    rows = np.frombuffer(data, kind, n * columns, box[0] + at)
+    if kind == ">u8" and len(rows) and int(rows.max()) > len(data):
+        raise ValueError("a chunk leaves the file")
+    return rows.astype(np.int64).reshape(n, columns)
+
+
+def _counted(data: memoryview, box: tuple[int, int], columns: int, kind: str = ">u4") -> np.ndarray:
+    """A table of a full box: its count, then rows."""
+    return _rows(data, box, _field(data, box, ">I", 4)[0], columns, 8, kind)
 
 
 def read_tracks(data: bytes) -> list[dict]:
     """For each track: codec, timescale, duration, sample offsets and sizes, key samples."""
-    view, tracks, boxes = memoryview(data), [], None
+    view, tracks, boxes, fragments = memoryview(data), [], None, False
     for path, at, end in walk_boxes(view):
+        fragments = fragments or path[-1] == b"moof"
         if path[-1] == b"trak":
             boxes = {}
             tracks.append(boxes)
         elif boxes is not None and b"trak" in path:
             boxes[path[-1]] = (at, end)
+    if fragments:
+        raise ValueError("samples are in fragments")
     if not tracks:
         raise ValueError("no track")
     out = []
     for boxes in tracks:
         if missing := [k.decode() for k in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz") if k not in boxes]:
             raise ValueError(f"no {missing[0]}")
-        at, _ = boxes[b"mdhd"]
-        timescale, duration = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
-        codec = bytes(view[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16]).decode("latin-1")
-        at, end = boxes[b"stsz"]
-        fixed, n = struct.unpack_from(">II", view, at + 4)
+        version = _field(view, boxes[b"mdhd"], ">B", 0)[0]
+        timescale, duration = _field(view, boxes[b"mdhd"], ">IQ", 20) if version == 1 else _field(view, boxes[b"mdhd"], ">II", 12)
+        codec = _field(view, boxes[b"stsd"], "4s", 12)[0].decode("latin-1")
+        fixed, n = _field(view, boxes[b"stsz"], ">II", 4)
         if n > len(data):
             raise ValueError("more samples than bytes")
-        sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(view, ">u4", n, at + 12).astype(np.int64)
+        sizes = np.full(n, fixed, np.int64) if fixed else _rows(view, boxes[b"stsz"], n, 1, 12)[:, 0]
         if b"co64" in boxes:
-            chunks = _counted(view, *boxes[b"co64"], 1, ">u8")[:, 0]
+            chunks = _counted(view, boxes[b"co64"], 1, ">u8")[:, 0]
         elif b"stco" in boxes:
-            chunks = _counted(view, *boxes[b"stco"], 1)[:, 0]
+            chunks = _counted(view, boxes[b"stco"], 1)[:, 0]
         else:
             raise ValueError("no chunk offsets")
-        groups = _counted(view, *boxes[b"stsc"], 3)
+        groups = _counted(view, boxes[b"stsc"], 3)
         runs = np.diff(np.append(groups[:, 0], len(chunks) + 1)) if len(groups) else np.zeros(0, np.int64)
-        if (runs < 0).any():
+        if (runs < 0).any() or (len(groups) and groups[0, 0] != 1):
             raise ValueError("chunk runs go back")
         per_chunk = np.repeat(groups[:, 1], runs)[: len(chunks)] if len(groups) else np.zeros(0, np.int64)
-        if per_chunk.sum() != n:
+        if int(per_chunk.max(initial=0)) > n or per_chunk.sum() != n:
             raise ValueError("chunks and sizes differ in samples")
         chunk_of = np.repeat(np.arange(len(per_chunk)), per_chunk)
         ends = np.cumsum(sizes)
@@ -152,10 +176,10 @@ def read_tracks(data: bytes) -> list[dict]:
         offsets = chunks[chunk_of] + before - before[first[chunk_of]] if n else np.zeros(0, np.int64)
         if n and (offsets + sizes).max() > len(data):
             raise ValueError("a sample leaves the file")
-        keys = _counted(view, *boxes[b"stss"], 1)[:, 0] - 1 if b"stss" in boxes else np.arange(n)
+        keys = _counted(view, boxes[b"stss"], 1)[:, 0] - 1 if b"stss" in boxes else np.arange(n)
         if len(keys) and (keys.min() < 0 or keys.max() >= n):
             raise ValueError("a key sample does not exist")
-        times = _counted(view, *boxes[b"stts"], 2)
+        times = _counted(view, boxes[b"stts"], 2)
         out.append({"codec": codec, "timescale": timescale, "duration": duration, "ticks": int((times[:, 0] * times[:, 1]).sum()), "offsets": offsets, "sizes": sizes, "keys": keys})
     return out
 
@@ -171,18 +195,17 @@ def read_payload(data: bytes) -> bytes:
 
 def store_as_media(table: DataFrame, text_col: str = "text", media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns, n_bytes of the text and a container that holds it."""
-    small_batches(table.sparkSession)
     names = [c for c in (keep if keep is not None else table.columns) if c not in (media_col, "n_bytes")]
-    source = table.select(*names, F.col(text_col).cast("binary").alias("_bytes"))
-    schema = T.StructType([source.schema[c] for c in names] + [T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())])
+    source = table.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{text_col}`").cast("binary").alias("bytes"))
+    schema = T.StructType([table.schema[c] for c in names] + [T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data = [b or b"" for b in batch.column(len(names)).to_pylist()]
             media = [write_container(pad_payload(b)) for b in data]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([len(b) for b in data], pa.int64()), pa.array(media, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
 METADATA = T.StructType(
@@ -209,12 +232,11 @@ def _metadata(data: bytes | None) -> dict:
 
 def media_metadata(table: DataFrame, media_col: str = "media", keep: list[str] | None = None, digests: bool = False) -> DataFrame:
     """``keep`` columns and METADATA's; with ``digests`` also those of payload and file."""
-    small_batches(table.sparkSession)
     more = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType())] if digests else []
     added = [*METADATA.names, *(n for n, _ in more)]
     names = [c for c in (keep if keep is not None else table.columns) if c != media_col and c not in added]
-    source = table.select(*names, F.col(media_col).alias("_media"))
-    schema = T.StructType([source.schema[c] for c in names] + METADATA.fields + [T.StructField(n, t) for n, t in more])
+    source = table.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(f"`{media_col}`").alias("media"))
+    schema = T.StructType([table.schema[c] for c in names] + METADATA.fields + [T.StructField(n, t) for n, t in more])
     arrow = pa.struct([("codec", pa.string()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("key_ranges", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("error", pa.string())])
 
     def digest(data: bytes | None, error: str | None) -> tuple:
@@ -223,7 +245,7 @@ def media_metadata(table: DataFrame, media_col: str = "media", keep: list[str] |
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             data = batch.column(len(names)).to_pylist()
             rows = [_metadata(d) for d in data]
             columns = [*batch.columns[: len(names)], *pa.array(rows, arrow).flatten()]
@@ -232,4 +254,4 @@ def media_metadata(table: DataFrame, media_col: str = "media", keep: list[str] |
                 columns += [pa.array(list(c), pa.string() if n.endswith("sha256") else pa.int64()) for c, (n, _) in zip(found, more)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)

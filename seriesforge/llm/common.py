@@ -1,11 +1,16 @@
-"""Shared helpers: reading tables, cutting lineage, small Arrow batches."""
+"""Shared helpers: reading tables, cutting lineage, Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+#: Bytes of a batch that a function works on at once; a longer row is a batch of its own.
+BATCH_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,15 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (tests in local mode) a folder is made.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-stash-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stash"
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
@@ -32,9 +31,41 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Delete the files of tables that ``stash`` wrote, when all that reads them is written itself."""
+    for df in stashed:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+def in_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of a few megabytes.
 
-def small_batches(spark: SparkSession, rows: int = 200) -> None:
-    """Bound Arrow batches by rows: texts can be long, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    Spark's default of 64 MB a batch, held by the JVM and the worker of each
+    task, is too much beside their other memory. The session's bound on bytes
+    is lowered for that (rows are not bounded: batches of small rows stay as
+    they are); a lower one is left.
+    """
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "64m")
+    if not now.isdigit() or int(now) > 2 * BATCH_BYTES:
+        conf.set(name, str(2 * BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes, without copies.
+
+    The Python forms of texts are several times as large as their bytes.
+    """
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -1,52 +1,57 @@
 """Line dedup by content-defined chunks of lines. DataFrame functions only.
 
 A line is what ends at a line feed or at the end of a sentence, so that a
-passage which is spliced into a paragraph still has whole lines of its own.
-A rolling hash over two line hashes marks boundaries (every second place on
-average, the first of adjacent ones counts): they depend on the lines around
-them alone and so fall alike wherever a passage stands. Lines between two
-boundaries form a chunk of two lines or more.
-
-Of each chunk the whole and its first and last two and four lines are keyed by
-a hash. Chunks alone miss a repeated passage that holds no boundary. With
-``every_run`` (op8 and the pipeline) the least sufficient run from each line on
-and up to each line is keyed instead: two lines or more, or one line of 50
-words or more, of ``min_chars`` characters. Any passage that is large enough is
-covered by such runs from its first line to its last, whatever surrounds it.
-
-Keys that occur at more than one place are candidates; the text of
-every occurrence is compared with that of the first one, byte by byte, and
-equal ones are removed. The first occurrence (least id) stays. (With
-``every_run`` a line goes if it lies in any repeated run, and a run that
-overlaps its own first occurrence is no repeat.)
-
-What is shuffled are keys and positions. Texts are read again only for the
+passage which is spliced into a paragraph still has whole lines of its own;
+blank lines belong to the line before them.
+
+A rolling hash over two line hashes is taken at every line, and a line of
+LONG_LINE words or more has a hash of its own. Chunks are set by these hashes
+alone: a chunk runs on as long as the rolling hash repeats, line by line, that
+of an earlier place (the least id's, then the least line's) at the same
+distance, and its boundaries are where it stops to. They fall alike wherever a
+passage stands, and any repeated passage of two lines lies within chunks,
+whatever surrounds it. (Marks at fixed values of the rolling hash would lose
+every passage that happens to hold none.)
+
+The text of each chunk is compared with that of the earlier place, byte by
+byte (but for white space behind its last line), and equal ones are removed,
+where what is removed in one stretch has ``min_chars`` characters or more. The
+earlier place stays, and a chunk that overlaps its own earlier place is no
+repeat.
+
+What is shuffled are hashes and positions. Texts are read again only for the
 documents in question, found by a table of id buckets of fixed size; all other
-documents pass through. A passage that a third of all documents share is one
-key whose counts are added before the shuffle and whose rows meet one row in a
-join that Spark splits; nothing is collected by key.
+documents pass through. A passage that a third of all documents share is a few
+hashes whose counts are added before the shuffle and whose rows meet one row in
+a join that Spark splits; nothing is collected by hash. The repeated hashes of
+one shuffle partition are held in memory for that join: eight bytes each, and
+the number of partitions follows the input.
 
 Defined results: null and empty texts have no lines and stay as they are. Rows
 with equal id and equal text are one document: they are treated alike, and no
-occurrence in one is a repeat of the other. A document without id comes after
-all others. With ``whole_copy_share`` a document that would lose that share of
-its characters or more is left whole, to document dedup, if it is a near-copy:
-if its five-word shingles have a Jaccard similarity of 0.8 or more, compared
-exactly, with what is kept of the document that holds most of its first
-occurrences (one that is not such a document itself). All others are cut.
+occurrence in one is a repeat of the other. Ids that are no whole numbers come
+after all others, in the order of their strings, and rows without id last. With
+``whole_copy_share`` a document that would lose that share of its characters or
+more is left whole, to document dedup, if it is a near-copy: if its five-word
+shingles have a Jaccard similarity of 0.8 or more, compared exactly, with what
+is kept of the document that holds most of its earlier places (one that would
+not lose that share itself). All others are cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash
+from .common import discard, stash
 
-LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
+LINE_ENDS = r"(?<=\n)(?!\n)|(?<=[.!?] )(?!\n)"
 BUCKETS = 1 << 20
 NEAR_COPY = 0.8  # Jaccard similarity of five-word shingle sets
-LONG_LINE = 50  # words from which a line alone is a run
+LONG_LINE = 50  # words from which a line alone is a chunk
 
 
 def _lines(text: str) -> str:
@@ -59,122 +64,103 @@ def _lines(text: str) -> str:
     marked = text
     for end in (r"\n", ". ", "! ", "? "):
         marked = f"replace({marked}, '{end}', '{end}\\u001e')"
-    return f"if(contains({text}, '\\u001e'), split({text}, '(?<=\\\\n)|(?<=[.!?] )'), split({marked}, '\\u001e'))"
-
-
-def _runs(rows: DataFrame) -> DataFrame:
-    """(doc, number, name, key, clo, chi, lo, hi) of each keyed run of lines."""
-    hashed = rows.select("_doc", "_number", "_name", F.expr(f"transform({_lines('_text')}, line -> xxhash64(rtrim(line)))").alias("_h"))
-    rolled = hashed.withColumn("_mark", F.expr("transform(_h, (x, i) -> i > 0 and (xxhash64(x, get(_h, i - 1)) & 1L) = 0)"))
-    cuts = F.expr("filter(sequence(0, size(_h)), i -> i = 0 or i = size(_h) or (get(_mark, i - 1) and not get(_mark, i - 2)))")
-    cut = rolled.select("_doc", "_number", "_name", "_h", cuts.alias("_cuts"))
-    chunks = F.expr("filter(transform(_cuts, (c, i) -> struct(c as lo, coalesce(get(_cuts, i + 1), c) as hi)), c -> c.hi - c.lo > 1)")
-    # Lambda variables hold what is computed once per row: the chunk, then each run with its key.
-    runs = F.expr(
-        """flatten(transform(_chunks, c -> transform(slice(array(
-             struct(c.lo as lo, c.hi as hi),
-             struct(c.lo as lo, c.lo + 2 as hi),
-             struct(c.hi - 2 as lo, c.hi as hi),
-             struct(c.lo as lo, c.lo + 4 as hi),
-             struct(c.hi - 4 as lo, c.hi as hi)), 1, if(c.hi - c.lo > 4, 5, if(c.hi - c.lo > 2, 3, 1))),
-           r -> struct(xxhash64(slice(_h, r.lo + 1, r.hi - r.lo)) as key, c.lo as clo, c.hi as chi, r.lo as lo, r.hi as hi))))"""
-    )
-    each = cut.select("_doc", "_number", "_name", "_h", chunks.alias("_chunks")).select("_doc", "_number", "_name", F.explode(runs).alias("_r"))
-    return each.select("_doc", "_number", "_name", F.col("_r.key").alias("_key"), "_r.clo", "_r.chi", "_r.lo", "_r.hi")
+    marked = f"replace({marked}, '\\u001e\\n', '\\n')"
+    pattern = LINE_ENDS.replace("\\", "\\\\")
+    return f"if(contains({text}, '\\u001e'), split({text}, '{pattern}'), split({marked}, '\\u001e'))"
+
 
+def _bare(text: str) -> str:
+    """SQL of a text without white space behind its last line."""
+    return f"rtrim(replace({text}, '\\n', ' '))"
 
-def _every_run(rows: DataFrame, min_chars: int) -> DataFrame:
-    """The columns of ``_runs`` for the least sufficient runs from each line on and up to each line.
 
-    A run's size is the length of its lines without the spaces behind the last.
-    Every line but a text's last has a character, so ``min_chars`` + 1 lines suffice.
+def _rolling(rows: DataFrame) -> DataFrame:
+    """(_key, document's columns, _lo, _hi): the hash of each two lines in a row, and of each long line.
+
+    Everything but the search for long lines is compiled: lines and their
+    followers are zipped and exploded, and hashed as rows.
     """
-    long = f"length(line) >= {2 * LONG_LINE - 1} and regexp_count(line, '\\\\S+') >= {LONG_LINE}"
-    line = f"struct(xxhash64(rtrim(line)) as h, length(line) as n, length(rtrim(line)) as r, {long} as long)"
-    lines = rows.select("_doc", "_number", "_name", F.expr(f"transform({_lines('_text')}, line -> {line})").alias("_l"))
-    step = f"(a, x) -> if(a.e > 0, a, struct(a.s + x.n as s, a.k + 1 as k, if(a.k > 0 and a.s + x.r >= {min_chars}, a.k + 1, 0) as e))"
-    back = f"(a, x) -> if(a.e > 0, a, struct(a.s + x.n as s, a.k + 1 as k, if(a.s + x.n >= {min_chars}, a.k + 1, 0) as e))"
-    last = "get(_l, j - 1)"
-    # Two or three lines suffice nearly always; the sums over more lines are for lists of short ones.
-    ends = F.expr(
-        f"""transform(sequence(0, size(_l) - 1), i -> case
-              when get(_l, i).long and get(_l, i).r >= {min_chars} then i + 1
-              when get(_l, i).n + get(_l, i + 1).r >= {min_chars} then i + 2
-              when get(_l, i).n + get(_l, i + 1).n + get(_l, i + 2).r >= {min_chars} then i + 3
-              else aggregate(slice(_l, i + 1, {min_chars} + 1), struct(0 as s, 0 as k, 0 as e), {step}, a -> if(a.e > 0, i + a.e, null)) end)"""
-    )
-    starts = F.expr(
-        f"""transform(sequence(1, size(_l)), j -> case
-              when {last}.long and {last}.r >= {min_chars} then j - 1
-              when get(_l, j - 2).n + {last}.r >= {min_chars} then j - 2
-              when get(_l, j - 3).n + get(_l, j - 2).n + {last}.r >= {min_chars} then j - 3
-              when j < 2 then null
-              else aggregate(reverse(slice(_l, greatest(j - 1 - {min_chars}, 0) + 1, j - 1 - greatest(j - 1 - {min_chars}, 0))),
-                     struct({last}.r as s, 1 as k, 0 as e), {back}, a -> if(a.e > 0, j - a.e, null)) end)"""
-    )
-    bounded = lines.select("_doc", "_number", "_name", F.expr("transform(_l, x -> x.h)").alias("_h"), ends.alias("_ends"), starts.alias("_starts"))
-    runs = F.expr(
-        """transform(concat(
-             filter(transform(_ends, (e, i) -> struct(i as lo, e as hi)), r -> r.hi is not null),
-             filter(transform(_starts, (s, i) -> struct(s as lo, i + 1 as hi)), r -> r.lo is not null and not (get(_ends, r.lo) <=> r.hi))),
-           r -> struct(xxhash64(slice(_h, r.lo + 1, r.hi - r.lo)) as key, r.lo as lo, r.hi as hi))"""
-    )
-    each = bounded.select("_doc", "_number", "_name", F.explode(runs).alias("_r"))
-    return each.select("_doc", "_number", "_name", F.col("_r.key").alias("_key"), F.col("_r.lo").alias("clo"), F.col("_r.hi").alias("chi"), "_r.lo", "_r.hi")
-
-
-#: A text is cut once per row, as a lambda variable, whatever the number of its runs.
-RUN_TEXTS = f"""flatten(transform(array({_lines('_text')}), lines ->
-    transform(_runs, r -> struct(r as run, rtrim(array_join(slice(lines, r.lo + 1, r.hi - r.lo), '')) as bytes))))"""
-
-
-def _with_texts(runs: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """The runs (_doc, columns) with their bytes. A document's runs are bounded by its lines."""
-    by_doc = runs.groupBy("_doc").agg(F.collect_list(F.struct(*columns)).alias("_runs"))
-    each = by_doc.join(texts, "_doc").select("_doc", F.explode(F.expr(RUN_TEXTS)).alias("_e"))
-    return each.select("_doc", *(F.col(f"_e.run.{c}").alias(c) for c in columns), F.col("_e.bytes").alias("_bytes"))
-
-
-def repeated_runs(rows: DataFrame, min_chars: int, every_run: bool = False, holders: bool = False) -> DataFrame:
-    """(doc, clo, chi, lo, hi) of runs whose bytes occurred before, with ``holders`` also the first one's document. ``rows``: _doc, _number, _name, _text."""
-    runs = stash(_every_run(rows, min_chars) if every_run else _runs(rows), "runs")
-    # Few keys repeat: as the built side of a hash join they spare sorting all runs.
-    counts = runs.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1")
-    candidates = stash(runs.join(counts.hint("shuffle_hash"), "_key").select(*runs.columns), "candidates")
-    columns = ["clo", "chi", "lo", "hi", *(["_holder"] if holders else [])]
-    place = F.struct(F.coalesce("_number", F.lit(2**63 - 1)).alias("a"), F.col("_name").alias("b"), "_doc", "lo", "hi")
-    repeated = stash(candidates.groupBy("_key").agg(F.min(place).alias("_first")), "repeated")
-    same = (F.col("_doc") == F.col("_first._doc")) & (F.col("lo") < F.col("_first.hi") if every_run else F.col("lo") == F.col("_first.lo"))
-    later = stash(candidates.join(repeated, "_key").where(~same).withColumn("_holder", F.col("_first._doc")).select("_key", "_doc", *columns), "later")
-    repeated = repeated.join(later.select("_key").distinct(), "_key", "left_semi")
-    bucket = F.pmod("_doc", F.lit(BUCKETS))
-    marked = later.select("_doc").unionByName(repeated.select("_first._doc"))
-    wanted = F.broadcast(marked.select(bucket.alias("_bucket")).distinct())  # BUCKETS rows at most
-    texts = rows.select("_doc", "_text").withColumn("_bucket", bucket).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"]).select("_doc", "_text")
-    firsts = repeated.select("_key", F.col("_first._doc").alias("_doc"), F.col("_first.lo").alias("lo"), F.col("_first.hi").alias("hi"))
-    first_text = _with_texts(firsts, texts, ["_key", "lo", "hi"]).select("_key", F.col("_bytes").alias("_of_first")).where(F.length("_of_first") >= min_chars)
-    later_text = _with_texts(later, texts, ["_key", *columns])
-    return later_text.join(first_text, "_key").where("_bytes = _of_first").select("_doc", *columns)
-
-
-def _chunk_spans(found: DataFrame) -> DataFrame:
-    """(doc, spans) of the lines to take out, in order and apart."""
-    # Within a chunk the runs overlap: what counts is how far they reach from its start and its end.
-    per_chunk = found.groupBy("_doc", "clo", "chi").agg(
-        F.max(F.when(F.col("lo") == F.col("clo"), F.col("hi"))).alias("_to"), F.min(F.when(F.col("hi") == F.col("chi"), F.col("lo"))).alias("_from")
-    )
-    to, from_ = F.coalesce("_to", "clo"), F.coalesce("_from", "chi")
-    spans = F.when(from_ <= to, F.array(F.struct(F.col("clo").alias("lo"), F.col("chi").alias("hi")))).otherwise(
-        F.array(F.struct(F.col("clo").alias("lo"), to.alias("hi")), F.struct(from_.alias("lo"), F.col("chi").alias("hi")))
+    who = [c for c in rows.columns if c != "_text"]
+    lines = rows.select(*who, F.expr(_lines("_text")).alias("_l"))
+    zipped = lines.select(*who, F.expr("arrays_zip(sequence(0, size(_l) - 1), _l, slice(_l, 2, size(_l)))").alias("_z"))
+    # A long line comes once more, with a negative number and no follower.
+    long = f"""transform(filter(_z, z -> length(z._l) >= {2 * LONG_LINE - 1} and regexp_count(z._l, '\\\\S+') >= {LONG_LINE}),
+        z -> named_struct('0', -1 - z['0'], '_l', z._l, '2', cast(null as string)))"""
+    each = zipped.select(*who, F.explode(F.expr(f"concat(_z, {long})")).alias("_e")).select(*who, F.col("_e.0").alias("_at"), F.col("_e._l").alias("_a"), F.expr(_bare("_e['2']")).alias("_b"))
+    pair = F.col("_at") >= 0
+    each = each.where(~pair | (F.col("_b") != ""))
+    key = F.when(pair, F.xxhash64("_a", "_b")).otherwise(F.xxhash64(F.expr(_bare("_a"))))
+    lo = F.when(pair, F.col("_at")).otherwise(-1 - F.col("_at"))
+    return each.select(key.alias("_key"), *who, lo.alias("_lo"), (lo + F.when(pair, 2).otherwise(1)).alias("_hi"))
+
+
+def _with_texts(chunks: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """The chunks (_doc, columns) with their bytes and the document's length. A document's chunks are bounded by its lines."""
+    by_doc = chunks.groupBy("_doc").agg(F.collect_list(F.struct(*columns)).alias("_chunks"))
+    lines = by_doc.join(texts, "_doc").select("_doc", F.length("_text").alias("_length"), F.expr(_lines("_text")).alias("_l"), "_chunks")
+    # A text is cut once below the explode, whatever the number of its chunks.
+    each = lines.select("_doc", "_length", "_l", F.explode("_chunks").alias("_c"))
+    return each.select("_doc", "_length", *(F.col(f"_c.{c}").alias(c) for c in columns), F.expr(_bare("array_join(slice(_l, _c._lo + 1, _c._hi - _c._lo), '')")).alias("_bytes"))
+
+
+def _bucket(doc: str = "_doc") -> Column:
+    return F.pmod(doc, F.lit(BUCKETS))
+
+
+def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(_doc, _text) of these documents and of the few others in their buckets."""
+    wanted = F.broadcast(docs.select(_bucket().alias("_bucket")).distinct())  # BUCKETS rows at most
+    return rows.select("_doc", "_text").withColumn("_bucket", _bucket()).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"]).select("_doc", "_text")
+
+
+def repeated_chunks(rows: DataFrame) -> DataFrame:
+    """(_doc, _length, _lo, _hi, _chars, _holder) of the chunks whose bytes occur at an earlier place, in the document ``_holder``.
+
+    ``rows``: _doc, _order (of the document among all), _text.
+    """
+    hashes = _rolling(rows)
+    # A place is the document's order and the line, as one number: so the first place is found as the hashes are counted.
+    place = F.col("_order") * F.lit(2**31).cast("decimal(10,0)") + F.col("_lo")
+    counted = hashes.select("_key", "_doc", place.alias("_place")).groupBy("_key").agg(F.count("*").alias("_n"), F.min("_place").alias("_place"), F.min_by("_doc", "_place").alias("_holder"))
+    repeated = counted.where("_n > 1").select("_key", "_holder", F.pmod("_place", F.lit(2**31).cast("decimal(10,0)")).cast("int").alias("_flo"))
+    # Written by itself, so the join has two plain sides, and Spark can split hot hashes.
+    repeated = stash(repeated, "repeated")
+    joined = hashes.select("_key", "_doc", "_lo", "_hi").join(repeated.hint("shuffle_hash"), "_key").select("_doc", "_lo", "_hi", "_holder", (F.col("_flo") - F.col("_lo")).alias("_shift"))
+    later = joined.where((F.col("_doc") != F.col("_holder")) | (F.col("_shift") <= F.col("_lo") - F.col("_hi")))
+    # Hashes in a row that repeat the same place are one chunk.
+    rank = F.dense_rank().over(Window.partitionBy("_doc", "_holder", "_shift").orderBy("_lo"))
+    chunks = later.withColumn("_chunk", F.col("_lo") - rank).groupBy("_doc", "_holder", "_shift", "_chunk").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    chunks = stash(chunks.select("_doc", "_lo", "_hi", "_holder", (F.col("_lo") + F.col("_shift")).alias("_flo"), (F.col("_hi") + F.col("_shift")).alias("_fhi")), "chunks")
+    discard(repeated)
+    places = chunks.select(F.col("_holder").alias("_doc"), F.col("_flo").alias("_lo"), F.col("_fhi").alias("_hi")).distinct()
+    texts = _texts_of(rows, chunks.select("_doc").unionByName(chunks.select(F.col("_holder").alias("_doc"))))
+    own = _with_texts(chunks, texts, ["_lo", "_hi", "_holder", "_flo", "_fhi"])
+    first = _with_texts(places, texts, ["_lo", "_hi"]).select(F.col("_doc").alias("_holder"), F.col("_lo").alias("_flo"), F.col("_hi").alias("_fhi"), F.col("_bytes").alias("_of_first"))
+    same = own.join(first, ["_holder", "_flo", "_fhi"]).where("_bytes = _of_first")
+    found = stash(same.select("_doc", "_length", "_lo", "_hi", F.length("_bytes").alias("_chars"), "_holder"), "found")
+    discard(chunks)
+    return found
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """(_doc, _spans): the lines to take out of each document, as spans in order and apart."""
+    joined = F.expr(
+        """aggregate(array_sort(_all), cast(array() as array<struct<_lo:int,_hi:int>>), (done, s) ->
+             if(size(done) > 0 and element_at(done, -1)._hi >= s._lo,
+                concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1)._lo as _lo, greatest(element_at(done, -1)._hi, s._hi) as _hi))),
+                concat(done, array(s))))"""
     )
-    return per_chunk.select("_doc", F.explode(spans).alias("_s")).where("_s.hi > _s.lo").groupBy("_doc").agg(F.sort_array(F.collect_list("_s")).alias("_spans"))
+    return found.groupBy("_doc").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_all")).select("_doc", joined.alias("_spans"))
 
 
-def _line_spans(found: DataFrame) -> DataFrame:
-    """(doc, spans) like ``_chunk_spans`` for runs that may overlap: a span per line."""
-    gone = F.expr("array_sort(array_distinct(flatten(transform(_runs, r -> sequence(r.lo, r.hi - 1)))))")
-    spans = F.transform(gone, lambda i: F.struct(i.alias("lo"), (i + 1).alias("hi")))
-    return found.groupBy("_doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_runs")).select("_doc", spans.alias("_spans"))
+def _cut(text: str, min_chars: int) -> str:
+    """SQL of struct(kept, removed): the text without its spans of ``min_chars``, and the number of lines removed."""
+    size = f"length({_bare("array_join(slice(lines, s._lo + 1, s._hi - s._lo), '')")})"
+    kept = """array_join(transform(concat(spans, array(struct(size(lines) as _lo, size(lines) as _hi))),
+        (s, i) -> array_join(slice(lines, coalesce(get(spans, i - 1)._hi, 0) + 1, s._lo - coalesce(get(spans, i - 1)._hi, 0)), '')), '')"""
+    removed = "aggregate(spans, 0L, (n, s) -> n + s._hi - s._lo)"
+    return f"""element_at(flatten(transform(array({_lines(text)}), lines -> transform(array(filter(_spans, s -> {size} >= {min_chars})),
+        spans -> struct({kept} as kept, {removed} as removed)))), 1)"""
 
 
 def _shingles(text: str) -> str:
@@ -184,65 +170,52 @@ def _shingles(text: str) -> str:
     return f"element_at(transform(array({words}), ws -> array_distinct(transform(sequence(0, greatest(size(ws) - 5, 0)), i -> xxhash64(slice(ws, i + 1, 5))))), 1)"
 
 
-def _near_copies(copies: DataFrame, others: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc) of the copies (_doc, _x) similar to what is kept of the document that holds most of their lines, among ``others`` (_doc, _y)."""
-    lines = found.where("_holder != _doc").groupBy("_doc", "_holder").agg(F.sum(F.col("hi") - F.col("lo")).alias("_n"))
-    holder = lines.groupBy("_doc").agg(F.max(F.struct("_n", "_holder")).alias("_m")).select("_doc", F.col("_m._holder").alias("_holder"))
-    pairs = stash(copies.dropDuplicates(["_doc"]).join(holder, "_doc"), "copies")
-    wanted = F.broadcast(pairs.select(F.pmod("_holder", F.lit(BUCKETS)).alias("_bucket")).distinct())  # BUCKETS rows at most
-    held = others.withColumn("_bucket", F.pmod("_doc", F.lit(BUCKETS))).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"])
-    sets = pairs.join(held.select(F.col("_doc").alias("_holder"), "_y"), "_holder").select("_doc", F.expr(_shingles("_x")).alias("_a"), F.expr(_shingles("_y")).alias("_b"))
-    both = sets.select("_doc", F.size("_a").alias("_na"), F.size("_b").alias("_nb"), F.size(F.array_intersect("_a", "_b")).alias("_n"))
-    return stash(both.where(F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")) >= NEAR_COPY).select("_doc"), "whole")
-
-
-def dedup_lines(
-    documents: DataFrame,
-    min_chars: int = 64,
-    whole_copy_share: float | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    removed_col: str | None = None,
-    every_run: bool = False,
-) -> DataFrame:
-    """The documents with repeated runs of lines taken out of their texts.
-
-    All columns and rows stay; ``removed_col`` adds the number of lines removed.
-    ``every_run`` finds repeats wherever they stand, not at chunk boundaries only.
+def near_copies(rows: DataFrame, found: DataFrame, spans: DataFrame, share: float, min_chars: int) -> DataFrame:
+    """(_doc) of the documents that would lose ``share`` of their characters and are near-copies of what is kept of the document they repeat most."""
+    lost = found.groupBy("_doc").agg(F.sum("_chars").alias("_lost"), F.max("_length").alias("_length"))
+    large = stash(lost.where(F.col("_lost") >= share * F.col("_length")).select("_doc"), "large")
+    lines = found.join(large, "_doc", "left_semi").where("_holder != _doc").groupBy("_doc", "_holder").agg(F.sum("_chars").alias("_n"))
+    most = lines.groupBy("_doc").agg(F.max(F.struct("_n", "_holder")).alias("_m")).select("_doc", F.col("_m._holder").alias("_holder"))
+    pairs = stash(most.join(large.select(F.col("_doc").alias("_holder")), "_holder", "left_anti"), "pairs")
+    discard(large)
+    texts = _texts_of(rows, pairs.select("_doc").unionByName(pairs.select(F.col("_holder").alias("_doc"))))
+    copies = pairs.join(texts, "_doc").select("_doc", "_holder", F.expr(_shingles("_text")).alias("_a"))
+    cut = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.expr(_cut("_text", min_chars))["kept"])
+    holders = texts.join(pairs.select(F.col("_holder").alias("_doc")).distinct(), "_doc", "left_semi").join(spans, "_doc", "left").select(F.col("_doc").alias("_holder"), cut.alias("_text"))
+    both = copies.join(holders.select("_holder", F.expr(_shingles("_text")).alias("_b")), "_holder")
+    sizes = both.select("_doc", F.size("_a").alias("_na"), F.size("_b").alias("_nb"), F.size(F.array_intersect("_a", "_b")).alias("_n"))
+    whole = stash(sizes.where(F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")) >= NEAR_COPY).select("_doc"), "whole")
+    discard(pairs)
+    return whole
+
+
+def dedup_lines(documents: DataFrame, min_chars: int = 64, whole_copy_share: float | None = None, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
+    """The documents with repeated chunks of lines taken out of their texts.
+
+    All columns and rows stay; ``removed_col`` adds the number of lines removed
+    (a column of that name is replaced).
     """
     names = documents.columns
     inner = [f"c{i}" for i in range(len(names))]
     doc, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
-    renamed = documents.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)))
-    keyed = renamed.withColumn("_doc", F.xxhash64(doc, text))
-    number = F.expr(f"try_cast({doc} AS bigint)")
-    rows = keyed.select("_doc", number.alias("_number"), F.when(number.isNull(), F.coalesce(F.col(doc).cast("string"), F.lit("\U0010ffff"))).alias("_name"), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    found = repeated_runs(rows, min_chars, every_run, whole_copy_share is not None)
-    if whole_copy_share is not None:
-        found = stash(found, "found")
-    per_doc = stash(_line_spans(found) if every_run else _chunk_spans(found), "spans")
-    bucket = F.pmod("_doc", F.lit(BUCKETS))
-    wanted = F.broadcast(per_doc.select(bucket.alias("_bucket")).distinct())  # BUCKETS rows at most
-    with_bucket = keyed.withColumn("_bucket", F.when(F.length(text) > 0, bucket))
-    touched = with_bucket.join(wanted, "_bucket", "left_semi").join(per_doc, "_doc", "left")
-    untouched = with_bucket.join(wanted, "_bucket", "left_anti").withColumn("_spans", F.lit(None).cast(per_doc.schema["_spans"].dataType))
-    every = touched.select("_doc", *inner, "_spans").unionByName(untouched.select("_doc", *inner, "_spans"))
-    kept = F.expr(
-        f"""element_at(transform(array({_lines(text)}), lines ->
-             array_join(transform(concat(_spans, array(struct(size(lines) as lo, size(lines) as hi))),
-               (s, i) -> array_join(slice(lines, coalesce(get(_spans, i - 1).hi, 0) + 1, s.lo - coalesce(get(_spans, i - 1).hi, 0)), '')), '')), 1)"""
-    )
-    has = F.col("_spans").isNotNull()
-    out = every.withColumn("_kept", F.when(has, kept).otherwise(F.col(text)))
+    keyed = documents.toDF(*inner).withColumn("_doc", F.xxhash64(doc, text))
+    number = F.col(doc) if isinstance(documents.schema[id_col].dataType, T.IntegralType) else F.expr(f"try_cast({doc} AS bigint)")
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(doc).cast("string")), 2).cast("decimal(20,0)") + F.lit(Decimal(2**63))
+    order = F.coalesce(number.cast("decimal(20,0)"), F.when(F.col(doc).isNotNull(), hashed), F.lit(Decimal(2**64))).cast("decimal(20,0)")
+    order = (order * F.lit(2**16).cast("decimal(5,0)") + F.col("_doc").bitwiseAND(2**16 - 1)).cast("decimal(26,0)")  # rows of one id by their hash
+    rows = keyed.select("_doc", order.alias("_order"), F.col(text).alias("_text")).where(F.length("_text") > 0)
+    found = repeated_chunks(rows)
+    spans = stash(_spans(found), "spans")
     if whole_copy_share is not None:
-        out = stash(out, "cut")
-        large = has & (F.length("_kept") <= (1 - whole_copy_share) * F.length(text))
-        most, rest = out.where(large), out.where(~F.coalesce(large, F.lit(False)))
-        whole = _near_copies(most.select("_doc", F.col(text).alias("_x")), rest.select("_doc", F.col("_kept").alias("_y")), found)
-        most = most.join(whole.withColumn("_whole", F.lit(True)), "_doc", "left")
-        most = most.withColumn("_kept", F.when(F.col("_whole"), F.col(text)).otherwise(F.col("_kept"))).withColumn("_spans", F.when(F.col("_whole").isNull(), F.col("_spans")))
-        out = most.drop("_whole").unionByName(rest)
-    columns = [(F.col("_kept") if i == text else F.col(i)).alias(c) for i, c in zip(inner, names)]
+        whole = near_copies(rows, found, spans, whole_copy_share, min_chars)
+        spans = stash(spans.join(whole, "_doc", "left_anti"), "spans")
+    discard(found)
+    wanted = F.broadcast(spans.select(_bucket().alias("_bucket")).distinct())  # BUCKETS rows at most
+    with_bucket = keyed.withColumn("_bucket", F.when(F.length(text) > 0, _bucket()))
+    touched = with_bucket.join(wanted, "_bucket", "left_semi").join(spans, "_doc", "left").select(*inner, F.when(F.col("_spans").isNotNull(), F.expr(_cut(text, min_chars))).alias("_cut"))
+    untouched = with_bucket.join(wanted, "_bucket", "left_anti").select(*inner, F.lit(None).cast(touched.schema["_cut"].dataType).alias("_cut"))
+    out = touched.unionByName(untouched)
+    columns = [(F.coalesce("_cut.kept", text) if i == text else F.col(i)).alias(c) for i, c in zip(inner, names) if c != removed_col]
     if removed_col:
-        columns.append(F.coalesce(F.expr("aggregate(_spans, 0L, (n, s) -> n + s.hi - s.lo)"), F.lit(0)).alias(removed_col))
+        columns.append(F.coalesce("_cut.removed", F.lit(0)).alias(removed_col))
     return out.select(*columns)

@@ -32,7 +32,7 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "path", "word_no", "candidate", F.round("score", 6).alias("score"), F.col("is_secret").cast("int").alias("is_secret"))
+    return out.select("doc_id", "path", "word_no", "run_no", "candidate", F.round("score", 6).alias("score"), F.col("is_secret").cast("int").alias("is_secret"))
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op7_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="removed_lines", every_run=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="removed_lines")
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

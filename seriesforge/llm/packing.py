@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stash
+from .common import in_batches, slices, stash
 
 _SPACE = re.compile(r"[ \t\n\r]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
 CACHE_ENTRIES = 600_000
 CACHE_CHARS = 64
+ROUNDS = 6
+LEAN = 0.3  # added to a fitted count before it is rounded: every pattern fills its sequence, so rounding up wastes nothing
 
 
 # Latin letters below U+0130: composed already, lower-cased one to one.
@@ -112,7 +114,6 @@ class TokenBytes:
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, and its task and rank there."""
-    small_batches(documents.sparkSession)
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     schema = T.StructType(
         [source.schema["doc_id"]]
@@ -124,7 +125,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096
         tokens, task = TokenBytes.here(tokenizer_path), TaskContext.get().partitionId()
         counts = np.zeros(capacity + 1, np.int64)
         end, step = end_id.to_bytes(4, "little"), capacity * 4
-        for batch in batches:
+        for batch in slices(batches):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, ids in enumerate(tokens.of(batch.column(1).to_pylist())):
                 ids += end
@@ -142,25 +143,38 @@ def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096
                 [batch.column(0).take(pa.array(row, kind)), pa.array(piece, pa.int32()), *(pa.array(x, kind) for x in (start, length, crc)), pa.array([task] * len(row), pa.int32()), pa.array(rank, kind)], names=schema.names
             )
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
-def _patterns(capacity: int) -> np.ndarray:
-    """Patterns of one to four lengths that sum to the capacity, padded with zeros."""
-    out = {(capacity, 0, 0, 0)}
-    for a in range(1, capacity):
-        out.add(tuple(sorted((a, capacity - a), reverse=True)) + (0, 0))
-        if (rest := capacity - 2 * a) > 0:
-            out.add(tuple(sorted((a, a, rest), reverse=True)) + (0,))
-        if (rest := capacity - 3 * a) > 0:
-            out.add(tuple(sorted((a, a, a, rest), reverse=True)))
-        if capacity % 2 == 0 and 2 * a < capacity:
-            out.add(tuple(sorted((a, a, capacity // 2 - a, capacity // 2 - a), reverse=True)))
-    return np.array(sorted(out, reverse=True), np.int64)
+def _patterns(capacity: int, present: np.ndarray, most: int = 150_000) -> np.ndarray:
+    """Patterns of one to four lengths that are present and sum to the capacity, padded with zeros.
 
-
-def _nnls(patterns: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndarray:
-    """min |Ax - counts|, x >= 0, by accelerated projected gradient.
+    Of the triples, which grow with the square of the lengths, every so many
+    are taken that there are ``most`` at most.
+    """
+    lengths = np.flatnonzero(present)
+    rows = [np.array([[capacity, 0, 0, 0]])]
+    rest = capacity - lengths
+    rows.append(np.stack([lengths, rest, 0 * rest, 0 * rest], axis=1)[lengths >= rest])
+    for times in (2, 3):
+        rest = capacity - times * lengths
+        rows.append(np.stack([*[lengths] * times, rest, *[0 * rest] * (3 - times)], axis=1)[rest > 0])
+    half = capacity // 2 - lengths
+    rows.append(np.stack([lengths, lengths, half, half], axis=1)[(half > 0) & (lengths >= half) & (capacity % 2 == 0)])
+    triples = []
+    for a in lengths.tolist():
+        b = lengths[(lengths < a) & (2 * lengths > capacity - a) & (lengths < capacity - a)]
+        b = b[present[capacity - a - b]]
+        triples.append(np.stack([np.full(len(b), a), b, capacity - a - b, 0 * b], axis=1))
+    triples = np.concatenate([np.zeros((0, 4), np.int64), *triples])
+    rows.append(triples[:: max(1, -(-len(triples) // most))])
+    out = np.concatenate(rows).astype(np.int64)
+    out = out[present[out].all(axis=1, where=out > 0)]
+    return np.unique(-np.sort(-out, axis=1), axis=0)[::-1]
+
+
+def _nnls(patterns: np.ndarray, counts: np.ndarray, steps: int = 400, settled: float = 1e-4) -> np.ndarray:
+    """min |Ax - counts|, x >= 0, by accelerated projected gradient until no count moves by more than ``settled`` of the largest.
 
     A is never built: Ax is a weighted bincount of the patterns' lengths and
     its transpose a gather.
@@ -181,7 +195,10 @@ def _nnls(patterns: np.ndarray, counts: np.ndarray, steps: int = 400) -> np.ndar
         new = np.maximum(0, y - rate * residual[patterns].sum(axis=1))
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t_new * (new - x)
+        moved = np.abs(new - x).max(initial=0)
         x, t = new, t_new
+        if moved <= settled * x.max(initial=0):
+            break
     return x
 
 
@@ -199,10 +216,11 @@ def plan_packing(counts: np.ndarray, capacity: int) -> np.ndarray:
         taken[length] += n
         left[length] -= n
 
-    patterns = _patterns(capacity)
-    patterns = patterns[(counts[patterns] > 0).all(axis=1, where=patterns > 0)]
-    if len(patterns):
-        fitted = _nnls(patterns, counts.astype(float))
+    for _ in range(ROUNDS):  # what rounding leaves is fitted again
+        patterns = _patterns(capacity, left > 0)
+        if not len(patterns):
+            break
+        fitted, before = np.rint(_nnls(patterns, left.astype(float)) + LEAN), sequences
         for i in np.argsort(-fitted, kind="stable"):
             n = int(fitted[i])
             if not n:
@@ -216,6 +234,8 @@ def plan_packing(counts: np.ndarray, capacity: int) -> np.ndarray:
                         place(length, n, sequences, offset)
                         offset += length
                 sequences += n
+        if sequences == before:
+            break
     room: dict[int, list[list[int]]] = {}  # free tokens: runs of [first sequence, count]
     free = np.zeros(capacity + 1, bool)
     for length in range(capacity, 0, -1):
@@ -259,12 +279,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     def run(batches):
         wide = np.int64(1) << np.int64(44)
         keys = plan[:, 0] * wide + plan[:, 1]
-        for batch in batches:
+        for batch in slices(batches):
             length, rank = batch.column(at).to_numpy(zero_copy_only=False), batch.column(len(names)).to_numpy(zero_copy_only=False)
             i = np.searchsorted(keys, length * wide + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(plan[i, 3] + rank - plan[i, 1]), pa.array(plan[i, 4])], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return in_batches(source, run, schema)
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, stash
+from .common import in_batches, slices, stash
 
 SPACE_MARK = "▁"
 _RUNS = re.compile(r" +[^ ]*")
@@ -53,13 +53,12 @@ def piece_count(processor, tokens: list[str]) -> list[int]:
     return [len(ids) if t else 1 for t, ids in zip(tokens, processor.encode(tokens, num_threads=1))]
 
 
-def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str = "text", flush_at: int = 600_000) -> DataFrame:
+def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str = "text", flush_at: int = 600_000, flush_chars: int = 100_000_000) -> DataFrame:
     """(pre_token, n_pieces, frequency) for every distinct pre-token of the table.
 
-    A task holds at most ``flush_at`` different pre-tokens before it passes
-    its counts on.
+    A task passes its counts on when it holds ``flush_at`` different
+    pre-tokens, or has read ``flush_chars`` characters, and so holds no more.
     """
-    small_batches(documents.sparkSession)
 
     def count(batches):
         seen: Counter[str] = Counter()
@@ -67,12 +66,15 @@ def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str =
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pre_token", "n"])
 
-        for batch in batches:
+        read = 0
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(pre_tokens(text))
-            if len(seen) >= flush_at:
+                read += len(text or "")
+            if len(seen) >= flush_at or read >= flush_chars:
                 yield out()
                 seen.clear()
+                read = 0
         if seen:
             yield out()
 
@@ -80,12 +82,12 @@ def pre_token_vocabulary(documents: DataFrame, model_path: str, text_col: str =
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        for batch in batches:
+        for batch in slices(batches):
             counts = piece_count(processor, batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), batch.column(1)], names=["pre_token", "n_pieces", "frequency"])
 
-    counted = documents.select(text_col).mapInArrow(count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("frequency"))
-    return counted.mapInArrow(pieces, "pre_token string, n_pieces long, frequency long")
+    counted = in_batches(documents.select(F.col(f"`{text_col}`")), count, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("frequency"))
+    return in_batches(counted, pieces, "pre_token string, n_pieces long, frequency long")
 
 
 def _frequent(vocabulary: DataFrame, head: int, head_bytes: int) -> tuple[bytes, int]:
@@ -130,15 +132,14 @@ def count_tokens(documents: DataFrame, model_path: str, head: int = 1_500_000, h
     frequent, least = _frequent(vocabulary, head, head_bytes)
     table = spark.sparkContext.broadcast(frequent)
     others = vocabulary.where((F.octet_length("pre_token") > head_bytes) | (F.col("frequency") < least))
-    small_batches(spark)
-    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
+    source = documents.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("_t"))
     names = ["doc_id", "row_key", "n_bytes", "n_tokens", "pre_token", "n"]
     schema = T.StructType([source.schema["doc_id"]] + [T.StructField(c, T.StringType() if c == "pre_token" else T.LongType()) for c in names[1:]])
 
     def split(batches):
         """A row for each text with the sum of its known pre-tokens, and one for each rare pre-token of it."""
         pieces, key = _pieces_of(table), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             ids, keys, sizes, sums, tokens, counts = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 key += 1
@@ -157,7 +158,7 @@ def count_tokens(documents: DataFrame, model_path: str, head: int = 1_500_000, h
                 counts += [None, *rare.values()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(x, pa.int64()) for x in (keys, sizes, sums)), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], names=names)
 
-    rows = stash(source.mapInArrow(split, schema), "frequencies")
+    rows = stash(in_batches(source, split, schema), "frequencies")
     rare = rows.where("pre_token is not null").select("row_key", "pre_token", F.col("n").cast("int").alias("n"))
     rare = rare.join(others.select("pre_token", F.col("n_pieces").cast("int").alias("n_pieces")), "pre_token").select("row_key", (F.col("n") * F.col("n_pieces")).cast("long").alias("n_tokens"))
     texts = rows.where("pre_token is null").select("row_key", "doc_id", "n_bytes", "n_tokens")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -27,18 +28,81 @@ def chi2_ppf(p: float, dof: int) -> float:
     return (low + high) / 2
 
 
+def _top_eigenvalues(diagonal: np.ndarray, off: np.ndarray, k: int) -> list[float]:
+    """The k largest eigenvalues of a symmetric tridiagonal matrix, by bisection on sign counts."""
+    reach = np.abs(np.append(off, 0.0)) + np.abs(np.append(0.0, off))
+    low, high = float((diagonal - reach).min()), float((diagonal + reach).max())
+    d, squares, tiny = diagonal.tolist(), (off * off).tolist(), 1e-300
+
+    def above(x: float) -> int:
+        q, n = d[0] - x, 0
+        for i in range(len(d)):
+            if i:
+                q = d[i] - x - squares[i - 1] / (q or tiny)
+            n += q > 0
+        return n
+
+    out = []
+    for i in range(k):
+        a, b = low, high
+        while b - a > 4e-16 * max(abs(a), abs(b)):
+            mid = (a + b) / 2
+            if mid in (a, b):
+                break
+            a, b = (mid, b) if above(mid) > i else (a, mid)
+        out.append((a + b) / 2)
+    return out
+
+
+def _inverse_iteration(diagonal: np.ndarray, off: np.ndarray, value: float, found: list[np.ndarray], steps: int = 4) -> np.ndarray:
+    """The unit eigenvector of an eigenvalue; ``found`` are those to stay orthogonal to."""
+    n = len(diagonal)
+    shifted, o = (diagonal - value).tolist(), off.tolist()
+    least = 1e-16 * float(np.abs(diagonal).max())
+    pivots, factors = [0.0] * n, [0.0] * n
+    for i in range(n):
+        pivot = shifted[i] - (factors[i - 1] * o[i - 1] if i else 0.0)
+        pivots[i] = pivot if abs(pivot) > least else least
+        factors[i] = o[i] / pivots[i] if i < n - 1 else 0.0
+    x = np.cos(np.arange(n) * 0.7) + 1.5
+    for _ in range(steps):
+        y = x.tolist()
+        for i in range(1, n):
+            y[i] -= factors[i - 1] * y[i - 1]
+        y[-1] /= pivots[-1]
+        for i in range(n - 2, -1, -1):
+            y[i] = y[i] / pivots[i] - factors[i] * y[i + 1]
+        x = np.array(y)
+        x /= np.linalg.norm(x)
+        for v in found:
+            x -= (x @ v) * v
+        x /= np.linalg.norm(x)
+    return x
+
+
+@lru_cache(maxsize=16)
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
-    """The first k Slepian tapers (unit norm) from the tridiagonal eigenproblem."""
+    """The first k Slepian tapers (unit norm) from the tridiagonal eigenproblem.
+
+    Made once per process and record length. Long records never hold a matrix:
+    their few vectors come from bisection and inverse iteration.
+    """
     t = np.arange(n)
     w = nw / n
     diagonal = ((n - 1 - 2 * t) / 2.0) ** 2 * np.cos(2 * np.pi * w)
     off = t[1:] * (n - t[1:]) / 2.0
-    matrix = np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1)
-    _, vectors = np.linalg.eigh(matrix)
-    tapers = vectors[:, ::-1][:, :k].T
+    if n <= 512:
+        matrix = np.diag(diagonal) + np.diag(off, 1) + np.diag(off, -1)
+        tapers = np.linalg.eigh(matrix)[1][:, ::-1][:, :k].T.copy()
+    else:
+        found: list[np.ndarray] = []
+        for value in _top_eigenvalues(diagonal, off, k):
+            found.append(_inverse_iteration(diagonal, off, value, found))
+        tapers = np.stack(found)
     for i, taper in enumerate(tapers):  # sign convention: symmetric ones sum to above 0, others start upwards
         lead = taper.sum() if i % 2 == 0 else (n - 1 - 2 * t) @ taper
         tapers[i] = taper if lead >= 0 else -taper
+    tapers.setflags(write=False)
     return tapers
 
 
@@ -64,14 +128,15 @@ def multitaper(x: np.ndarray, fs: float, nw: float = 1.5, tapers: np.ndarray | N
     return np.fft.rfftfreq(n, 1 / fs), power
 
 
-def welch(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray]:
-    """Half-overlapping periodic-Hann segments, each without its mean."""
+def welch(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Half-overlapping periodic-Hann segments, each without its mean; a shorter record is one segment."""
+    nperseg = min(nperseg, len(x))
     hop = nperseg - nperseg // 2
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
     starts = range(0, len(x) - nperseg + 1, hop)
     segments = np.stack([x[s : s + nperseg] for s in starts])
     spectra = np.abs(np.fft.rfft((segments - segments.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2
-    return np.fft.rfftfreq(nperseg, 1 / fs), one_sided(spectra / (fs * (window**2).sum()), nperseg).mean(axis=0)
+    return np.fft.rfftfreq(nperseg, 1 / fs), one_sided(spectra / (fs * (window**2).sum()), nperseg).mean(axis=0), len(segments)
 
 
 def band_variance(freqs: np.ndarray, psd: np.ndarray, low_period: float, high_period: float) -> float:
@@ -116,16 +181,16 @@ def ar1_fit(x: np.ndarray) -> tuple[float, float]:
     return phi, float(x.std() * math.sqrt(max(1e-12, 1 - phi * phi)))
 
 
-def ar1_surrogate(n: int, phi: float, sigma: float, rng: np.random.Generator) -> np.ndarray:
-    noise = rng.normal(0, sigma, n)
-    out = np.zeros(n)
+def ar1_surrogates(n: int, phi: float, sigma: float, rngs: list[np.random.Generator]) -> np.ndarray:
+    """A record of each random stream: one step for all of them at a time."""
+    noise = np.stack([rng.normal(0, sigma, n) for rng in rngs], axis=1)
+    out = np.zeros_like(noise)
     for i in range(1, n):
         out[i] = phi * out[i - 1] + noise[i]
-    return out
+    return out.T
 
 
 # MacKinnon (1994, 2010), one variable, with constant.
-ADF_CRITICAL = {"1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809)}
 ADF_SMALL = (2.1659, 1.4412, 3.8269e-2)
 ADF_LARGE = (1.7339, 9.3202e-1, -1.2745e-1, -1.0368e-2)
 ADF_STAR, ADF_MIN, ADF_MAX = -1.61, -18.83, 2.74
@@ -163,27 +228,20 @@ def adf_test(x: np.ndarray) -> tuple[float, float, int]:
     return statistic, p, lag
 
 
-def find_peaks(log_psd: np.ndarray, least_prominence: float) -> list[tuple[int, float]]:
-    """Local maxima (middle of plateaus) with their prominence."""
-    out, i, n = [], 1, len(log_psd)
-    while i < n - 1:
-        if log_psd[i] > log_psd[i - 1]:
-            j = i
-            while j < n - 1 and log_psd[j + 1] == log_psd[i]:
-                j += 1
-            if j < n - 1 and log_psd[j + 1] < log_psd[i]:
-                mid, top = (i + j) // 2, log_psd[i]
-                left = right = top
-                a = mid
-                while a >= 0 and log_psd[a] <= top:
-                    left = min(left, log_psd[a])
-                    a -= 1
-                b = mid
-                while b < n and log_psd[b] <= top:
-                    right = min(right, log_psd[b])
-                    b += 1
-                if (prominence := float(top - max(left, right))) >= least_prominence:
-                    out.append((mid, prominence))
-            i = j
-        i += 1
+def find_peaks(values: np.ndarray, least_prominence: float) -> list[tuple[int, float]]:
+    """Local maxima (middle of plateaus) with their prominence.
+
+    The bases lie between a peak and the nearest higher values on either side.
+    """
+    starts = np.flatnonzero(np.append(True, np.diff(values) != 0))  # of runs of equal values
+    levels, ends = values[starts], np.append(starts[1:], len(values)) - 1
+    out = []
+    for run in np.flatnonzero((levels[1:-1] > levels[:-2]) & (levels[1:-1] > levels[2:])) + 1:
+        higher = np.flatnonzero(levels > levels[run])
+        left, right = higher[higher < run], higher[higher > run]
+        low = levels[(left[-1] + 1 if len(left) else 0) : run + 1].min()
+        other = levels[run : (right[0] if len(right) else len(levels))].min()
+        prominence = float(levels[run] - max(low, other))
+        if prominence >= least_prominence:
+            out.append((int(starts[run] + ends[run]) // 2, prominence))
     return out

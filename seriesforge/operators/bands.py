@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesforge.functions import kernels
+
 # Default edges in years.
 PERIOD_EDGES = (0.1, 0.8, 1.5, 8.0, 20.0, 100.0)
 
@@ -56,47 +58,34 @@ def smooth_log_psd(psd: DataFrame, keys: list[str]) -> DataFrame:
     return logs.withColumn("smooth", (F.coalesce(F.lag("_l").over(w), "_l") + F.col("_l") + F.coalesce(F.lead("_l").over(w), "_l")) / 3.0).drop("_l")
 
 
-def local_maxima(smooth: DataFrame, keys: list[str]) -> DataFrame:
-    """Strict maxima of the smoothed spectrum, with prominence.
+def find_peaks(psd: DataFrame, keys: list[str], least_prominence: float = 0.3, min_period: float = 0.5, max_period: float = 50.0) -> DataFrame:
+    """Peaks with their half-power band, one bin wider on each side, ranked by share of variance.
 
-    The bases lie between the peak and the nearest higher bins on each side.
+    A spectrum's bins meet in one group, where its peaks are found in one pass.
     """
-    w = Window.partitionBy(*keys).orderBy("k")
-    s = smooth.select(*keys, "k", "freq", "psd", "smooth")
-    peaks = s.withColumn("_a", F.lag("smooth").over(w)).withColumn("_b", F.lead("smooth").over(w)).where("smooth > _a and smooth > _b").select(*keys, "k", "freq", "psd", "smooth")
-    other = s.select(*keys, F.col("k").alias("k2"), F.col("smooth").alias("s2"))
-    pairs = peaks.join(other, keys)
-    walls = pairs.groupBy(*keys, "k").agg(
-        F.max(F.when((F.col("k2") < F.col("k")) & (F.col("s2") > F.col("smooth")), F.col("k2"))).alias("_l"), F.min(F.when((F.col("k2") > F.col("k")) & (F.col("s2") > F.col("smooth")), F.col("k2"))).alias("_r")
-    )
-    bases = pairs.join(walls, [*keys, "k"]).groupBy(*keys, "k").agg(
-        F.min(F.when((F.col("k2") <= F.col("k")) & (F.col("k2") > F.coalesce("_l", F.lit(-1))), F.col("s2"))).alias("_lb"),
-        F.min(F.when((F.col("k2") >= F.col("k")) & (F.col("k2") < F.coalesce("_r", F.lit(2**62))), F.col("s2"))).alias("_rb"),
-    )
-    return peaks.join(bases, [*keys, "k"]).withColumn("prominence", F.col("smooth") - F.greatest("_lb", "_rb")).drop("_lb", "_rb")
+    smooth = smooth_log_psd(psd, keys).select(*keys, "k", "freq", "psd", "smooth")
+    types = ", ".join(f"`{k}` {psd.schema[k].dataType.simpleString()}" for k in keys)
+    columns = ["k", "freq_peak", "psd_peak", "prominence", "pmin", "pmax", "variance", "variance_frac"]
 
-
-def find_peaks(psd: DataFrame, keys: list[str], least_prominence: float = 0.3, min_period: float = 0.5, max_period: float = 50.0) -> DataFrame:
-    """Peaks with their half-power band, one bin wider on each side, ranked by share of variance."""
-    smooth = smooth_log_psd(psd, keys).cache()  # a spectrum's bins, joined with themselves below
-    peaks = local_maxima(smooth, keys).where((F.col("prominence") >= least_prominence) & F.col("freq").between(1 / max_period, 1 / min_period)).cache()
-    bins = smooth.select(*keys, F.col("k").alias("k2"), F.col("freq").alias("f2"), F.col("psd").alias("p2"))
-    pairs = peaks.join(bins, keys)
-    weak = F.col("p2") < F.col("psd") / 2
-    edge = pairs.groupBy(*keys, "k").agg(
-        F.max(F.when(weak & (F.col("k2") < F.col("k")), F.col("k2"))).alias("_l"), F.min(F.when(weak & (F.col("k2") > F.col("k")), F.col("k2"))).alias("_r"), F.min("k2").alias("_k0"), F.max("k2").alias("_k1")
-    )
-    left, right = F.coalesce("_l", "_k0"), F.coalesce("_r", "_k1")
-    total = F.sum("p2").alias("_all")
-    inside = F.col("k2").between(left, right)
-    sums = pairs.join(edge, [*keys, "k"]).groupBy(*keys, "k").agg(
-        F.sum(F.when(inside, F.col("p2"))).alias("_in"), total, F.min(F.when(inside, F.col("f2"))).alias("_fl"), F.max(F.when(inside, F.col("f2"))).alias("_fr"), F.min("f2").alias("_df")
-    )
-    out = peaks.join(sums, [*keys, "k"]).select(
-        *keys, "k", F.col("freq").alias("freq_peak"), (1 / F.col("freq")).alias("period_peak"), F.col("psd").alias("psd_peak"), "prominence", (1 / F.col("_fr")).alias("pmin"), (1 / F.col("_fl")).alias("pmax"),
-        (F.col("_in") * F.col("_df")).alias("variance"), (F.col("_in") / F.col("_all")).alias("variance_frac"), auto_label(1 / F.col("freq")).alias("label"),
-    )
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("variance_frac"), "k")).cast("long"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        freq, power, rows = pdf["freq"].to_numpy(float), pdf["psd"].to_numpy(float), []
+        for i, prominence in kernels.find_peaks(pdf["smooth"].to_numpy(float), least_prominence):
+            if not 1 / max_period <= freq[i] <= 1 / min_period:
+                continue
+            weak = np.flatnonzero(power < power[i] / 2)
+            left, right = weak[weak < i], weak[weak > i]
+            lo, hi = (left[-1] if len(left) else 0), (right[0] if len(right) else len(power) - 1)
+            inside = power[lo : hi + 1].sum()
+            rows.append((int(pdf["k"].iloc[i]), freq[i], power[i], prominence, 1 / freq[hi], 1 / freq[lo], inside * freq[0], inside / power.sum()))
+        out = pd.DataFrame(rows, columns=columns)
+        for k in keys:
+            out[k] = [pdf[k].iloc[0]] * len(out)
+        return out[[*keys, *columns]]
+
+    found = smooth.groupBy(*keys).applyInPandas(run, f"{types}, k long, {', '.join(f'{c} double' for c in columns[1:])}")
+    ranked = found.withColumn("period_peak", 1 / F.col("freq_peak")).withColumn("label", auto_label(1 / F.col("freq_peak")))
+    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("variance_frac"), "k")).cast("long"))
 
 
 def suggest_scalings(peaks: DataFrame, n_bands: int = 3, enhance: float = 10.0, suppress: float = 0.1) -> DataFrame:
@@ -125,18 +114,3 @@ def invert_curve(curve: DataFrame, targets: DataFrame, keys: list[str]) -> DataF
     found = joined.groupBy(*keys, "target").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_floor").alias("_floor"), F.max(F.when(here, line)).alias("_line"))
     gamma = F.when(F.col("target") <= F.col("_lo"), F.col("_floor")).when(F.col("target") >= F.col("_hi"), F.lit(None).cast("double")).otherwise(F.col("_line"))
     return found.select(*keys, "target", gamma.alias("gamma"))
-
-
-def peak_kernel(psd: DataFrame, keys: list[str], least_prominence: float = 0.3) -> DataFrame:
-    """Peaks with plateaus, by a grouped kernel."""
-    schema = ", ".join([*(f"{k} {psd.schema[k].dataType.simpleString()}" for k in keys), "k long, prominence double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from seriesforge.functions.kernels import find_peaks as kernel
-
-        pdf = pdf.sort_values("k")
-        found = kernel(np.log10(pdf["psd"].to_numpy(float)), least_prominence)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(found) for k in keys})
-        return out.assign(k=[int(pdf["k"].iloc[i]) for i, _ in found], prominence=[p for _, p in found])
-
-    return psd.where("k > 0").select(*keys, "k", "psd").groupBy(*keys).applyInPandas(run, schema)

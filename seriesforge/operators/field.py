@@ -1,17 +1,18 @@
 """Two-dimensional fields: EOFs from a Gram matrix, reconstruction, coherence.
 
-The matrix of scalar products over cells is times x times and is added up by
-Spark; only that, bounded by the square of the record's length, reaches the
-driver.
+Each task multiplies blocks of whole records into one partial matrix of scalar
+products, and Spark adds these. The matrix is times x times, or cells x cells
+where records are longer than there are cells; only that reaches the driver.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_TIMES = 4000
+MOST = 4000  # rows of the matrix, on the shorter side of a field
 
 
 def with_weights(field: DataFrame, cells: DataFrame) -> DataFrame:
@@ -20,36 +21,76 @@ def with_weights(field: DataFrame, cells: DataFrame) -> DataFrame:
     return field.join(cells.select("cell_id", F.when(c > 0, F.sqrt(c)).otherwise(1.0).alias("weight")), "cell_id")
 
 
+def _gram(points: DataFrame, row: str, column: str, size: int) -> DataFrame:
+    """(a, b, dot), a <= b < size: sums over ``row`` of products of the values x at columns a and b.
+
+    Pairs of columns that no row has together are left out.
+    """
+    rows = points.groupBy(row).agg(F.collect_list(column).alias("at"), F.collect_list("x").alias("x"))  # one record
+
+    def run(batches):
+        total, met = np.zeros((size, size)), np.zeros((size, size))
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.iloc[lo : lo + 256]
+                block, there = np.zeros((len(part), size)), np.zeros((len(part), size))
+                for i, (at, x) in enumerate(zip(part["at"], part["x"])):
+                    block[i, at], there[i, at] = x, 1.0
+                total += block.T @ block
+                met += there.T @ there
+        a, b = np.nonzero(np.triu(met))
+        yield pd.DataFrame({"a": a.astype(np.int32), "b": b.astype(np.int32), "dot": total[a, b]})
+
+    return rows.mapInPandas(run, "a int, b int, dot double").groupBy("a", "b").agg(F.sum("dot").alias("dot"))
+
+
 def gram_matrix(field: DataFrame, cells: DataFrame) -> DataFrame:
     """(t1, t2, dot) of the weighted field, t1 <= t2."""
-    w = with_weights(field, cells).select("cell_id", "t", (F.col("value") * F.col("weight")).alias("x"))
-    rows = w.groupBy("cell_id").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("p"))  # one cell's record
-    pairs = rows.select(F.explode("p").alias("a"), "p").select("a", F.explode("p").alias("b")).where("a.t <= b.t")
-    return pairs.groupBy(F.col("a.t").alias("t1"), F.col("b.t").alias("t2")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("dot"))
+    w = with_weights(field, cells).where("value is not null").select("cell_id", "t", (F.col("value") * F.col("weight")).alias("x"))
+    size = (field.agg(F.max("t")).first()[0] or 0) + 1
+    return _gram(w, "cell_id", "t", size).select(F.col("a").alias("t1"), F.col("b").alias("t2"), "dot")
+
+
+def _decomposed(gram: DataFrame, size: int, n_modes: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Largest eigenvalues with their vectors, and the sum of all."""
+    matrix = np.zeros((size, size))
+    for r in gram.toLocalIterator():
+        matrix[r["a"], r["b"]] = matrix[r["b"], r["a"]] = r["dot"]
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(-values)
+    values, vectors = np.maximum(values[order], 0), vectors[:, order]
+    modes = min(n_modes, int((values > values[0] * 1e-12).sum()))
+    return values[:modes], vectors[:, :modes], float(values.sum())
 
 
 def fit_eofs(field: DataFrame, cells: DataFrame, n_modes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """eofs(mode, cell_id, loading), pcs(mode, t, value), spectrum(mode, s, expvar).
 
     A mode's sign makes its first loading (least cell) that is not 0 positive.
+    The shorter side of the field, times or cells, may have MOST entries.
     """
     spark = field.sparkSession
-    gram = gram_matrix(field, cells)
-    n = gram.agg(F.max("t2")).first()[0] + 1
-    if n > MOST_TIMES:
-        raise ValueError(f"records over {MOST_TIMES} steps need the Gram matrix over cells")
-    matrix = np.zeros((n, n))
-    for r in gram.toLocalIterator():
-        matrix[r["t1"], r["t2"]] = matrix[r["t2"], r["t1"]] = r["dot"]
-    values, vectors = np.linalg.eigh(matrix)
-    order = np.argsort(-values)
-    values, vectors = np.maximum(values[order], 0), vectors[:, order]
-    modes = min(n_modes, n - 1, int((values > values[0] * 1e-12).sum()))
-    scores = vectors[:, :modes] * np.sqrt(values[:modes])
-    pcs = spark.createDataFrame([(m, t, float(scores[t, m])) for m in range(modes) for t in range(n)], "mode int, t int, value double")
-    spectrum = spark.createDataFrame([(m, float(np.sqrt(values[m])), float(values[m] / values.sum())) for m in range(modes)], "mode int, s double, expvar double")
-    joined = with_weights(field, cells).join(F.broadcast(pcs.withColumnRenamed("value", "_pc")), "t").join(F.broadcast(spectrum), "mode")  # times x modes rows
-    raw = joined.groupBy("mode", "cell_id").agg((F.sum(F.col("value") * F.col("weight") * F.col("_pc")) / F.max(F.col("s") * F.col("s"))).alias("loading"))
+    n_times, n_cells = field.agg(F.max("t") + 1, F.countDistinct("cell_id")).first()
+    if min(n_times, n_cells) > MOST:
+        raise ValueError(f"fields of over {MOST} times and over {MOST} cells need a truncated decomposition")
+    w = with_weights(field, cells).where("value is not null").select("cell_id", "t", (F.col("value") * F.col("weight")).alias("x"))
+    by_time = n_times <= MOST
+    if by_time:
+        values, vectors, total = _decomposed(_gram(w, "cell_id", "t", n_times), n_times, min(n_modes, n_times - 1))
+    else:
+        ids = [r[0] for r in w.select("cell_id").distinct().orderBy("cell_id").collect()]  # MOST at most
+        numbers = F.broadcast(spark.createDataFrame(list(enumerate(ids)), f"_i int, cell_id {field.schema['cell_id'].dataType.simpleString()}"))
+        values, vectors, total = _decomposed(_gram(w.join(numbers, "cell_id"), "t", "_i", n_cells), n_cells, n_modes)
+    modes = range(len(values))
+    spectrum = spark.createDataFrame([(m, float(np.sqrt(values[m])), float(values[m] / total)) for m in modes], "mode int, s double, expvar double")
+    if by_time:
+        scores = vectors * np.sqrt(values)
+        pcs = spark.createDataFrame([(m, t, float(scores[t, m])) for m in modes for t in range(n_times)], "mode int, t int, value double")
+        joined = w.join(F.broadcast(pcs.withColumnRenamed("value", "_pc")), "t").join(F.broadcast(spectrum), "mode")  # times x modes rows
+        raw = joined.groupBy("mode", "cell_id").agg((F.sum(F.col("x") * F.col("_pc")) / F.max(F.col("s") * F.col("s"))).alias("loading"))
+    else:
+        raw = spark.createDataFrame([(m, c, float(vectors[i, m])) for m in modes for i, c in enumerate(ids)], f"mode int, cell_id {field.schema['cell_id'].dataType.simpleString()}, loading double")
+        pcs = w.join(F.broadcast(raw), "cell_id").groupBy("mode", "t").agg(F.sum(F.col("x") * F.col("loading")).alias("value"))  # cells x modes rows
     sign = raw.where("abs(loading) > 1e-12").groupBy("mode").agg(F.signum(F.min_by("loading", "cell_id")).alias("_sign"))
     eofs = raw.join(F.broadcast(sign), "mode").select("mode", "cell_id", (F.col("loading") * F.col("_sign")).alias("loading"))
     pcs = pcs.join(F.broadcast(sign), "mode").select("mode", "t", (F.col("value") * F.col("_sign")).alias("value"))

@@ -88,19 +88,22 @@ def fit(series: DataFrame, keys: list[str], kind: str = DAY, remove_trend: bool
 
 
 def transform(series: DataFrame, model: Decomposition) -> DataFrame:
-    """Residuals, also of another stretch of time than the one fitted."""
+    """Residuals, also of another stretch of time than the one fitted.
+
+    A month that the fitted stretch lacks has no seasonal value to remove.
+    """
     keys = model.keys
     if model.centre:
         series = series.join(model.mean, keys).withColumn("value", F.col("value") - F.col("mean")).drop("mean")
     flat = detrend(series, model.trend, keys, model.axis).withColumn("phase", model.phase)
-    return flat.join(model.season, [*keys, "phase"]).withColumn("value", F.col("value") - F.col("season")).drop("phase", "season", "trend")
+    return flat.join(model.season, [*keys, "phase"], "left").withColumn("value", F.col("value") - F.coalesce("season", F.lit(0.0))).drop("phase", "season", "trend")
 
 
 def inverse_transform(residuals: DataFrame, model: Decomposition, add_trend: bool = False, season_scale: float | Column = 1.0, add_mean: bool = False) -> DataFrame:
     """Seasonal cycle back, scaled; trend and mean only on request."""
     keys = model.keys
     scale = season_scale if isinstance(season_scale, Column) else F.lit(float(season_scale))
-    out = residuals.withColumn("phase", model.phase).join(model.season, [*keys, "phase"]).withColumn("value", F.col("value") + scale * F.col("season")).drop("phase", "season")
+    out = residuals.withColumn("phase", model.phase).join(model.season, [*keys, "phase"], "left").withColumn("value", F.col("value") + scale * F.coalesce("season", F.lit(0.0))).drop("phase", "season")
     if add_trend:
         out = out.join(model.trend, keys).withColumn("value", F.col("value") + F.col("slope") * axis(model.axis) + F.col("intercept")).drop("slope", "intercept")
     if add_mean:
@@ -108,6 +111,13 @@ def inverse_transform(residuals: DataFrame, model: Decomposition, add_trend: boo
     return out
 
 
+def summarize(model: Decomposition, series: DataFrame) -> DataFrame:
+    """One row per series: steps, line, and range of the seasonal cycle."""
+    season = model.season.groupBy(*model.keys).agg(F.min("season").alias("season_low"), F.max("season").alias("season_high"))
+    out = series.groupBy(*model.keys).agg(F.count("*").alias("n_obs")).join(model.trend, model.keys).join(season, model.keys)
+    return out.withColumn("season_range", F.col("season_high") - F.col("season_low"))
+
+
 def fill_gaps(series: DataFrame, keys: list[str]) -> DataFrame:
     """Missing values on the line between their neighbours; ends take the nearest."""
     from pyspark.sql import Window

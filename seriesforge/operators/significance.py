@@ -27,7 +27,8 @@ def surrogate_bands(series: DataFrame, keys: list[str], bands: dict[str, tuple[f
     Surrogates are made in blocks, a task each; tapers are made once a block.
     """
     stats = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("points"))  # one series
-    work = stats.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_surrogates - 1) // block)))).repartition(8, *keys, "block")
+    work = stats.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_surrogates - 1) // block))))
+    work = work.repartition(max(series.sparkSession.sparkContext.defaultParallelism, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "block")
     types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches):
@@ -36,10 +37,12 @@ def surrogate_bands(series: DataFrame, keys: list[str], bands: dict[str, tuple[f
                 x = np.array([p["value"] for p in row["points"]], float)
                 phi, sigma = kernels.ar1_fit(x)
                 tapers = kernels.dpss(len(x), nw, max(1, int(2 * nw - 1)))
+                numbers = range(row["block"] * block, min(n_surrogates, (row["block"] + 1) * block))
+                streams = [np.random.default_rng([seed, s]) for s in numbers]
+                whites = [rng.normal(0, x.std(), len(x)) for rng in streams]
                 out = []
-                for s in range(row["block"] * block, min(n_surrogates, (row["block"] + 1) * block)):
-                    rng = np.random.default_rng([seed, s])
-                    for null, y in (("white", rng.normal(0, x.std(), len(x))), ("ar1", kernels.ar1_surrogate(len(x), phi, sigma, rng))):
+                for null, records in (("white", whites), ("ar1", kernels.ar1_surrogates(len(x), phi, sigma, streams))):
+                    for s, y in zip(numbers, records):
                         f, p = kernels.multitaper(y, fs, nw, tapers)
                         out += [(*(row[k] for k in keys), name, null, s, kernels.band_variance(f, p, *band)) for name, band in bands.items()]
                 yield pd.DataFrame(out, columns=[*keys, "band", "null", "surrogate", "variance"])
@@ -60,18 +63,23 @@ def observed_bands(series: DataFrame, keys: list[str], bands: dict[str, tuple[fl
     return series.select(*keys, "t", "value").groupBy(*keys).applyInPandas(run, f"{types}, band string, observed double, share_pct double")
 
 
-def monte_carlo(series: DataFrame, keys: list[str], **options) -> DataFrame:
-    """Median and 95th percentile of each null, and the observed value's percentile."""
-    bands = options.get("bands", BANDS)
-    observed = observed_bands(series, keys, bands)
-    null = surrogate_bands(series, keys, **options)
-    joined = null.join(observed, [*keys, "band"])
-    return joined.groupBy(*keys, "band", "null").agg(
+def against_null(observed: DataFrame, null: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and 95th percentile of each null, and the observed value's percentile.
+
+    ``observed``: keys, band, observed, share_pct; ``null``: keys, band, null, variance.
+    """
+    return null.join(observed, [*keys, "band"]).groupBy(*keys, "band", "null").agg(
         F.max("observed").alias("observed"), F.max("share_pct").alias("share_pct"), F.percentile("variance", F.lit(0.5)).alias("median"), F.percentile("variance", F.lit(0.95)).alias("p95"),
         F.avg(F.when(F.col("variance") < F.col("observed"), 100.0).otherwise(0.0)).alias("percentile"),
     )
 
 
+def monte_carlo(series: DataFrame, keys: list[str], **options) -> DataFrame:
+    """``against_null`` for surrogates of each series."""
+    observed = observed_bands(series, keys, options.get("bands", BANDS))
+    return against_null(observed, surrogate_bands(series, keys, **options), keys)
+
+
 def classify(phi: Column, decadal_pct: Column, decadal_white: Column, decadal_ar1: Column, annual_pct: Column, annual_white: Column, annual_ar1: Column) -> Column:
     """band-structured, red or white."""
     big_d = decadal_pct >= 2 * white_expectation_pct(*BANDS["decadal"])
@@ -86,14 +94,29 @@ def verdict(tests: DataFrame, keys: list[str]) -> DataFrame:
     return tests.groupBy(*keys, "band").agg(F.max(F.col("percentile") >= 95).alias("significant"), (F.max("share_pct") >= 5).alias("relevant"))
 
 
-def survey(residuals: DataFrame, keys: list[str], n_surrogates: int = 200, seed: int = 0) -> DataFrame:
-    """One row per series: moments, memory, band shares, percentiles and verdict."""
+def surveyed(tests: DataFrame, residuals: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per series from its tests: moments, memory, band shares, percentiles and verdict."""
     from seriesforge.operators.stats import lag1
 
-    tests = monte_carlo(residuals, keys, n_surrogates=n_surrogates, seed=seed)
     pick = lambda band, null, column: F.max(F.when((F.col("band") == band) & (F.col("null") == null), F.col(column)))
     wide = tests.groupBy(*keys).agg(*(pick(b, n, "percentile").alias(f"{b}_p_{n}") for b in BANDS for n in ("white", "ar1")), *(pick(b, "white", "share_pct").alias(f"{b}_pct") for b in BANDS))
     base = residuals.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.var_pop("value").alias("resid_var"))
     out = base.join(lag1(residuals, keys).drop("sigma"), keys).join(wide, keys)
     c = F.col
     return out.withColumn("verdict", classify(c("phi"), c("decadal_pct"), c("decadal_p_white"), c("decadal_p_ar1"), c("annual_pct"), c("annual_p_white"), c("annual_p_ar1")))
+
+
+def unusable(series: DataFrame, keys: list[str], least: int = 24) -> DataFrame:
+    """(keys, n_obs, verdict) of the series that cannot be surveyed: ``ERROR:`` and why."""
+    finite = F.col("value").isNotNull() & ~F.isnan("value")
+    checks = series.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.sum(finite.cast("long")).alias("_finite"), F.countDistinct(F.when(finite, F.col("value"))).alias("_values"))
+    why = F.when(F.col("_finite") < F.col("n_obs"), "missing values").when(F.col("n_obs") < least, f"fewer than {least} steps").when(F.col("_values") < 2, "no variance")
+    return checks.where(why.isNotNull()).select(*keys, "n_obs", F.concat(F.lit("ERROR: "), why).alias("verdict"))
+
+
+def survey(residuals: DataFrame, keys: list[str], n_surrogates: int = 500, seed: int = 0) -> DataFrame:
+    """``surveyed`` with surrogates of each series; one that fails gives a row that says why, not a failed job."""
+    failed = unusable(residuals, keys)
+    good = residuals.join(failed.select(*keys), keys, "left_anti")
+    out = surveyed(monte_carlo(good, keys, n_surrogates=n_surrogates, seed=seed), good, keys)
+    return out.unionByName(failed, allowMissingColumns=True)

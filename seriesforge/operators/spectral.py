@@ -1,13 +1,12 @@
-"""Power spectra as aggregates, and what is done with them.
+"""Power spectra of many series, and what is done with them.
 
-Short records are transformed by a joined aggregate (no Python); long ones by a
-grouped FFT (``fft_spectra``). Angles are reduced before they are used.
+A series is transformed by an FFT where its rows meet: Spark groups the rows by
+series, and each group is one record. What follows (bands, bounds,
+interpolation) are aggregates and equality joins on the spectra.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,27 +15,6 @@ from pyspark.sql import functions as F
 from seriesforge.functions import kernels
 
 
-def _sums(points: DataFrame, by: list[str], n: Column | str, weight: str = "_x") -> DataFrame:
-    """|DFT|^2 of ``weight`` over ``_j`` at each k up to n/2."""
-    size = F.col(n) if isinstance(n, str) else n
-    each = points.withColumn("_n", size.cast("long")).withColumn("k", F.explode(F.expr("sequence(0L, _n div 2)")))
-    angle = F.lit(2 * math.pi) * ((F.col("k") * F.col("_j")) % F.col("_n")) / F.col("_n")
-    total = each.groupBy(*by, "k").agg(F.sum(F.col(weight) * F.cos(angle)).alias("_c"), F.sum(F.col(weight) * F.sin(angle)).alias("_s"), F.first("_n").alias("_n"))
-    return total.select(*by, "k", "_n", (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")).alias("power"))
-
-
-def _centred(series: DataFrame, keys: list[str]) -> DataFrame:
-    stats = series.groupBy(*keys).agg(F.avg("value").alias("_m"), F.count("*").alias("_len"))
-    return series.join(stats, keys).select(*keys, F.col("t").cast("long").alias("_j"), (F.col("value") - F.col("_m")).alias("_x"), "_len")
-
-
-def periodogram(series: DataFrame, keys: list[str], fs: float = 12.0) -> DataFrame:
-    """(keys, k, freq, psd) of the whole record; the last bin is never doubled."""
-    spectrum = _sums(_centred(series, keys), keys, "_len")
-    double = F.when((F.col("k") == 0) | (F.col("k") == F.expr("_n div 2")), 1.0).otherwise(2.0)
-    return spectrum.select(*keys, "k", (F.col("k") * fs / F.col("_n")).alias("freq"), (double * F.col("power") / (fs * F.col("_n"))).alias("psd"))
-
-
 def segment_count(n: int, nperseg: int) -> int:
     """Half-overlapping segments in n steps (true hop, also for odd lengths)."""
     return 1 + (n - nperseg) // (nperseg - nperseg // 2)
@@ -50,19 +28,38 @@ def segments(series: DataFrame, nperseg: int) -> DataFrame:
     return series.where(F.col("_len") >= nperseg).where(last >= first).withColumn("segment", F.explode(F.sequence(first, last))).withColumn("_j", (F.col("t") - F.col("segment") * hop).cast("long"))
 
 
+def fft_spectra(series: DataFrame, keys: list[str], fs: float = 12.0, method: str = "periodogram", nperseg: int = 60, nw: float = 1.5) -> DataFrame:
+    """(keys, k, freq, psd, n_segments) of each series; a record's length is its own.
+
+    Rows without a value are left out; a series without any has no spectrum.
+    """
+    schema = ", ".join([*(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys), "k long, freq double, psd double, n_segments long"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n_segments = pdf.sort_values("t")["value"].to_numpy(float), 1
+        if method == "welch":
+            f, p, n_segments = kernels.welch(x, fs, nperseg)
+        elif method == "multitaper":
+            f, p = kernels.multitaper(x, fs, nw)
+        else:
+            f, p = kernels.periodogram(x, fs)
+        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(f) for k in keys})
+        return out.assign(k=np.arange(len(f)), freq=f, psd=p, n_segments=n_segments)
+
+    return series.select(*keys, "t", "value").where("value is not null").groupBy(*keys).applyInPandas(run, schema)
+
+
+def periodogram(series: DataFrame, keys: list[str], fs: float = 12.0) -> DataFrame:
+    """(keys, k, freq, psd) of the whole record; the last bin is never doubled."""
+    return fft_spectra(series, keys, fs).drop("n_segments")
+
+
 def welch(series: DataFrame, keys: list[str], nperseg: int = 60, fs: float = 12.0, alpha: float | None = None) -> DataFrame:
-    """Averaged periodic-Hann spectra (keys, k, freq, psd, n_segments), with bounds on request."""
-    counts = series.groupBy(*keys).agg(F.count("*").alias("_len"))
-    cut = segments(series.select(*keys, "t", "value").join(counts, keys), nperseg)
-    by = [*keys, "segment"]
-    means = cut.groupBy(*by).agg(F.avg("value").alias("_m"))
-    window = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col("_j") / nperseg)
-    tapered = cut.join(means, by).select(*by, "_j", ((F.col("value") - F.col("_m")) * window).alias("_x"))
-    energy = float(((0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)) ** 2).sum())
-    spectra = _sums(tapered, by, F.lit(nperseg))
-    double = F.when((F.col("k") == 0) | ((F.col("k") * 2) == nperseg), 1.0).otherwise(2.0)
-    out = spectra.groupBy(*keys, "k").agg((F.avg(F.col("power") * double) / (fs * energy)).alias("psd"), F.count("*").alias("n_segments"))
-    out = out.select(*keys, "k", (F.col("k") * (fs / nperseg)).alias("freq"), "psd", "n_segments")
+    """Averaged periodic-Hann spectra (keys, k, freq, psd, n_segments), with bounds on request.
+
+    A record shorter than ``nperseg`` is one segment of its own length.
+    """
+    out = fft_spectra(series, keys, fs, "welch", nperseg)
     return out if alpha is None else with_bounds(out, alpha)
 
 
@@ -78,45 +75,20 @@ def with_bounds(psd: DataFrame, alpha: float = 0.05) -> DataFrame:
     return psd.join(table, "n_segments").withColumn("ci_lower", F.col("psd") * nu / F.col("_hi")).withColumn("ci_upper", F.col("psd") * nu / F.col("_lo")).drop("_hi", "_lo")
 
 
-def tapers(spark, n: int, nw: float = 1.5, k: int | None = None) -> DataFrame:
-    """(taper, _j, w): Slepian tapers as a table of n rows each."""
-    k = max(1, int(2 * nw - 1)) if k is None else k
-    return spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(kernels.dpss(n, nw, k)) for j, v in enumerate(row)], "taper int, _j long, w double")
-
-
-def multitaper(series: DataFrame, keys: list[str], n: int, fs: float = 12.0, nw: float = 1.5) -> DataFrame:
-    """Mean of tapered periodograms, for records of n steps."""
-    tapered = _centred(series, keys).join(F.broadcast(tapers(series.sparkSession, n, nw)), "_j").withColumn("_x", F.col("_x") * F.col("w"))  # n rows a taper
-    spectra = _sums(tapered, [*keys, "taper"], F.lit(n))
-    double = F.when((F.col("k") == 0) | (F.col("k") == n // 2), 1.0).otherwise(2.0)
-    return spectra.groupBy(*keys, "k").agg((F.avg(F.col("power") * double) / fs).alias("psd")).select(*keys, "k", (F.col("k") * (fs / n)).alias("freq"), "psd")
-
-
-def fft_spectra(series: DataFrame, keys: list[str], fs: float = 12.0, method: str = "periodogram", nperseg: int = 60) -> DataFrame:
-    """Spectra of long records by a grouped FFT."""
-    schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys), "k long, freq double, psd double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["value"].to_numpy(float)
-        if method == "welch":
-            f, p = kernels.welch(x, fs, min(nperseg, len(x)))
-        else:
-            f, p = (kernels.multitaper if method == "multitaper" else kernels.periodogram)(x, fs)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(f) for k in keys})
-        return out.assign(k=np.arange(len(f)), freq=f, psd=p)
-
-    return series.select(*keys, "t", "value").groupBy(*keys).applyInPandas(run, schema)
+def multitaper(series: DataFrame, keys: list[str], fs: float = 12.0, nw: float = 1.5) -> DataFrame:
+    """Mean of tapered periodograms (keys, k, freq, psd), of the whole record."""
+    return fft_spectra(series, keys, fs, "multitaper", nw=nw).drop("n_segments")
 
 
-def interpolate_psd(psd: DataFrame, keys: list[str], step: float, n: int, fs: float = 12.0, bands: list[tuple[float, float, float]] | None = None) -> DataFrame:
+def interpolate_psd(psd: DataFrame, keys: list[str], n: int, fs: float = 12.0, bands: list[tuple[float, float, float]] | None = None) -> DataFrame:
     """Spectrum on the grid of a record of n steps, bands scaled by product.
 
-    The known bins are ``step`` apart: the bin below is found by arithmetic and
-    joined as an equality; beyond the last bin its value holds.
+    A series' known bins are equally spaced: the bin below is found by
+    arithmetic and joined as an equality; beyond the last bin its value holds.
     """
-    top = psd.groupBy(*keys).agg(F.max("k").alias("_top"))
+    top = psd.groupBy(*keys).agg(F.max("k").alias("_top"), F.max("freq").alias("_last"))
     grid = top.withColumn("k_out", F.explode(F.expr(f"sequence(0L, {n // 2}L)"))).withColumn("freq", F.col("k_out") * (fs / n))
-    place = F.least(F.col("freq") / step, F.col("_top").cast("double"))
+    place = F.least(F.col("freq") * F.col("_top") / F.col("_last"), F.col("_top").cast("double"))
     low = grid.withColumn("_at", place).withColumn("k", F.least(F.floor("_at"), F.col("_top") - 1))
     nxt = psd.select(*keys, (F.col("k") - 1).alias("k"), F.col("psd").alias("_next"))
     joined = low.join(psd.select(*keys, "k", F.col("psd").alias("_here")), [*keys, "k"]).join(nxt, [*keys, "k"])

@@ -28,6 +28,11 @@ class FittedGenerator:
     psd: DataFrame
     fs: float
 
+    def release(self) -> None:
+        """Free the fitted tables that are kept in memory."""
+        for df in (self.residuals, self.quantiles.knots, self.quantiles.tail, self.psd, self.decomposition.season, self.decomposition.trend):
+            df.unpersist()
+
 
 def fit_generator(series: DataFrame, keys: list[str], nperseg: int = 60, fs: float = 12.0, kind: str = preprocess.DAY) -> FittedGenerator:
     mean = series.groupBy(*keys).agg(F.avg("value").alias("mean"))
@@ -88,9 +93,16 @@ def generate(model: FittedGenerator, suite: list[Experiment]) -> DataFrame:
 
 
 def white_control(baseline: DataFrame, keys: list[str], ratio: float, seed: int = 0) -> DataFrame:
-    """The baseline plus white noise that lifts its total variance by the ratio."""
+    """The baseline plus white noise that lifts its total variance by the ratio.
+
+    A step's noise is drawn by a hash of the seed, the keys, the member and the
+    step (two uniform numbers, Box-Muller), so a task that runs again draws the
+    same.
+    """
     total = baseline.groupBy(*keys).agg(F.var_pop("value").alias("_v"))
-    noisy = baseline.join(total, keys).withColumn("_e", F.sqrt(F.lit(max(0.0, ratio - 1)) * F.col("_v")) * F.randn(seed))
+    draw = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), *keys, "member", "t"), 11) + F.lit(0.5)) / F.lit(float(2**53))
+    normal = F.sqrt(-2.0 * F.log(draw(0))) * F.cos(2.0 * np.pi * draw(1))
+    noisy = baseline.join(total, keys).withColumn("_e", F.sqrt(F.lit(max(0.0, ratio - 1)) * F.col("_v")) * normal)
     own = F.avg("_e").over(Window.partitionBy(*keys, "member"))
     return noisy.withColumn("value", F.col("value") + F.col("_e") - own).drop("_v", "_e")
 

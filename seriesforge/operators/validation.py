@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.operators import field as fields
@@ -69,5 +71,46 @@ def map_metrics(observed: DataFrame, ensemble: DataFrame) -> DataFrame:
     return o.join(s, "cell_id").agg(F.corr("om", "sm").alias("mean_corr"), F.corr("ov", "sv").alias("variance_corr"), F.try_divide(F.avg("sm"), F.avg("om")).alias("mean_ratio"), F.try_divide(F.avg("sv"), F.avg("ov")).alias("variance_ratio"), F.avg(F.try_divide("sv", "ov")).alias("map_ratio"))
 
 
+def field_halves(field: DataFrame) -> DataFrame:
+    """The field with ``half``: 0 for the first half of its times, 1 for the rest."""
+    n = field.agg(F.max("t").alias("_n"))
+    return field.crossJoin(F.broadcast(n)).withColumn("half", (F.col("t") >= F.expr("(_n + 1) div 2")).cast("int")).drop("_n")  # one row
+
+
+def against_other_half(halves: DataFrame, ensemble: Callable[[int], DataFrame]) -> DataFrame:
+    """``map_metrics`` of what is made from each half, against the other one."""
+    parts = [map_metrics(halves.where(F.col("half") == 1 - half), ensemble(half)).withColumn("fitted_half", F.lit(half)) for half in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+def field_calibration_split(field: DataFrame, cells: DataFrame, n_members: int = 10, n_years: int = 50, n_modes: int = 4, nperseg: int = 12, seed: int = 0) -> DataFrame:
+    """Fit fields on each half, score on the other."""
+    halves = field_halves(field)
+
+    def made(half: int) -> DataFrame:
+        part = halves.where(F.col("half") == half)
+        first = part.agg(F.min("t")).first()[0]
+        return fields.generate_field(part.drop("half").withColumn("t", F.col("t") - first), cells, Experiment(n_years, n_members, seed), n_modes, nperseg)
+
+    return against_other_half(halves, made)
+
+
+def component_metrics(residuals: DataFrame, cells: DataFrame, n_modes: int = 4, nperseg: int = 30, fs: float = 12.0) -> DataFrame:
+    """Per mode: share of the variance alone and with those before, and the distance of its spectra.
+
+    The distance is that of the Gaussianised component's Welch spectrum (60
+    steps, half the record at most) from the one it is synthesised from, both
+    on the bins of the former.
+    """
+    _, pcs, spectrum = fields.fit_eofs(residuals, cells, n_modes)
+    n = pcs.agg(F.max("t")).first()[0] + 1
+    scores = gaussian.gaussianize(pcs, ["mode"]).select("mode", "t", F.col("g").alias("value"))
+    observed = spectral.welch(scores, ["mode"], min(60, n // 2), fs)
+    used = spectral.interpolate_psd(spectral.welch(scores, ["mode"], nperseg, fs), ["mode"], min(60, n // 2), fs).select("mode", "k", F.col("psd").alias("_used"))
+    rms = stats.rms_difference(observed.where("k > 0").join(used, ["mode", "k"]), ["mode"], F.log10("psd"), F.log10("_used")).withColumnRenamed("rms", "psd_rms")
+    run = Window.orderBy("mode").rowsBetween(Window.unboundedPreceding, 0)  # a row per mode
+    return spectrum.withColumn("eof_cumvar", F.sum("expvar").over(run)).join(rms, "mode").select("mode", "expvar", "eof_cumvar", "psd_rms")
+
+
 def validate_fields(observed: DataFrame, cells: DataFrame, experiment, n_modes: int = 4) -> DataFrame:
     return map_metrics(observed, fields.generate_field(observed, cells, experiment, n_modes))

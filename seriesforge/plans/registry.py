@@ -1,5 +1,6 @@
 """Registered queries and the SQL that must give the same rows."""
 
+from seriesforge.plans import ensembles  # noqa: F401  (registers its queries)
 from seriesforge.plans.spectra import ORACLE_SQL, QUERIES, flagship
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -53,10 +53,10 @@ def series_summary(spark, sf_dir):
     return rounded(frames.summarize(region_month_series(spark, sf_dir), K))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def squeeze_dimension(spark, sf_dir):
-    one = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("height", F.lit(1))
-    return frames.drop_constant_dimensions(one, ["height"]).select("l_orderkey", "l_linenumber", frames.find_column(one, ("missing", "l_partkey")))
+    one = table(spark, sf_dir, "lineitem").withColumn("height", F.lit(1))
+    return frames.drop_constant_dimensions(one, ["height", "l_linenumber"]).select("l_orderkey", "l_linenumber", frames.find_column(one, ("missing", "l_partkey")))
 
 
 @query(with_(FIELD, "SELECT a.rlat, o.rlon, a.lat, CASE WHEN o.lon > 180 THEN o.lon - 360 ELSE o.lon END AS lon FROM (SELECT DISTINCT rlat, lat FROM cells) a CROSS JOIN (SELECT DISTINCT rlon, lon FROM cells) o"))

@@ -198,7 +198,7 @@ mp AS (SELECT series_id, k, k * (12e0 / {n}) AS freq, avg(power * CASE WHEN k =
 
 @query(_multitaper_sql())
 def multitaper(spark, sf_dir):
-    return rounded(spectral.multitaper(residuals(spark, sf_dir), K, 80), 2, freq=8)
+    return rounded(spectral.multitaper(residuals(spark, sf_dir), K), 2, freq=8)
 
 
 @query(with_(PERIODOGRAM, f"SELECT series_id, round(sum(CASE WHEN freq BETWEEN {1 / 1.5!r}e0 AND {1 / 0.8!r}e0 THEN psd ELSE 0e0 END) * max(CASE WHEN k = 1 THEN freq END), 3) AS variance, count(*) FILTER (freq BETWEEN {1 / 1.5!r}e0 AND {1 / 0.8!r}e0) AS n_bins FROM pg GROUP BY 1"))
@@ -225,7 +225,7 @@ ip AS (SELECT gi.series_id, ko AS k, gi.freq, (a.psd + (pos - gi.k) * (z.psd - a
 
 def _interpolated(spark, sf_dir):
     scores = gaussian.gaussianize(residuals(spark, sf_dir), K).select("series_id", "t", F.col("g").alias("value"))
-    return spectral.interpolate_psd(spectral.welch(scores, K, NPERSEG), K, 12.0 / NPERSEG, 1200, 12.0, [(0.8, 1.5, 10.0), (1.0, 2.0, 2.0)])
+    return spectral.interpolate_psd(spectral.welch(scores, K, NPERSEG), K, 1200, 12.0, [(0.8, 1.5, 10.0), (1.0, 2.0, 2.0)])
 
 
 @query(with_(INTERPOLATED, "SELECT series_id, k, round(freq, 6) AS freq, round(psd, 6) AS psd FROM ip"))
@@ -355,12 +355,12 @@ def verdict_counts(spark, sf_dir):
 
 @query()
 def monte_carlo(spark, sf_dir):
-    return rounded(significance.monte_carlo(residuals(spark, sf_dir), K, n_surrogates=100), 6)
+    return rounded(significance.monte_carlo(residuals(spark, sf_dir), K), 6)
 
 
 @query()
 def survey(spark, sf_dir):
-    return rounded(significance.survey(residuals(spark, sf_dir), K, 60), 6)
+    return rounded(significance.survey(residuals(spark, sf_dir), K), 6)
 
 
 # --- synthesis
@@ -404,7 +404,7 @@ def calibrate_curve(spark, sf_dir):
 def ensemble_metrics(spark, sf_dir):
     s = region_month_series(spark, sf_dir)
     ensemble = synthesis.generate(synthesis.fit_generator(s, K, NPERSEG), [Experiment.baseline(**SMALL), Experiment.annual_enhanced(**SMALL)])
-    return validation.compute_metrics(s.cache(), ensemble.cache(), K, NPERSEG)
+    return validation.compute_metrics(s, ensemble, K, NPERSEG)
 
 
 @query()
@@ -469,7 +469,8 @@ def eof_reconstruct(spark, sf_dir):
 def eof_fit(spark, sf_dir):
     cells = nation_cells(spark, sf_dir)
     eofs, pcs, spectrum = field.fit_eofs(_field_residuals(spark, sf_dir), cells, 4)
-    return field.north_rule(spectrum, 80).join(pcs.groupBy("mode").agg(F.var_pop("value").alias("pc_variance")), "mode")
+    n = pcs.agg(F.max("t")).first()[0] + 1
+    return field.north_rule(spectrum, n).join(pcs.groupBy("mode").agg(F.var_pop("value").alias("pc_variance")), "mode")
 
 
 @query(with_(PATTERNS + ", lm AS (SELECT mode, sqrt(sum(value * value)) AS sv FROM pj GROUP BY 1), nr AS (SELECT mode, sv, sv * sv AS l, lag(sv * sv) OVER (ORDER BY mode) AS p, lead(sv * sv) OVER (ORDER BY mode) AS q FROM lm)", f"SELECT mode, round(l * {float(np.sqrt(2 / 80))!r}e0, 1) AS error, round(least(coalesce(p - l, 1e300), coalesce(l - q, 1e300)), 1) > round(l * {float(np.sqrt(2 / 80))!r}e0, 1) AS separable FROM nr"))
@@ -502,7 +503,7 @@ def calibrated_suite(spark, sf_dir):
 
 @query()
 def suite_summary(spark, sf_dir):
-    return suite.suite_summary(synthesis.generate(_model(spark, sf_dir), Experiment.standard_suite(**SMALL)).cache(), K)
+    return suite.suite_summary(synthesis.generate(_model(spark, sf_dir), Experiment.standard_suite(**SMALL)), K)
 
 
 @query()
@@ -514,12 +515,12 @@ def band_variance_ratio(spark, sf_dir):
 
 @query()
 def spatial_diagnostic(spark, sf_dir):
-    return suite.spatial_diagnostic(_field_residuals(spark, sf_dir))
+    return rounded(suite.spatial_diagnostic(_field_residuals(spark, sf_dir)), 6, cell_variance=2, mean_variance=2)
 
 
 @query()
 def component_survey(spark, sf_dir):
-    return suite.component_survey(_field_residuals(spark, sf_dir).cache(), nation_cells(spark, sf_dir), 3, 30)
+    return suite.component_survey(_field_residuals(spark, sf_dir), nation_cells(spark, sf_dir), 3)
 
 
 @query(with_(RESID, "SELECT series_id, round(var_pop(value), 2) AS residual_variance, count(*) AS n FROM r GROUP BY 1"))

@@ -52,7 +52,7 @@ def suite_summary(ensembles: DataFrame, keys: list[str], baseline: str = "baseli
     annual = synthesis.delivered_band_variance(ensembles, keys, ANNUAL, fs).withColumnRenamed("delivered", "v_annual")
     decadal = synthesis.delivered_band_variance(ensembles, keys, DECADAL, fs).withColumnRenamed("delivered", "v_decadal")
     total = ensembles.groupBy("experiment", *keys).agg(F.var_pop("value").alias("v_total"), F.avg("value").alias("mean"))
-    every = total.join(annual, ["experiment", *keys]).join(decadal, ["experiment", *keys]).cache()
+    every = total.join(annual, ["experiment", *keys]).join(decadal, ["experiment", *keys])
     base = every.where(F.col("experiment") == baseline).select(*keys, *(F.col(c).alias(f"_{c}") for c in ("v_annual", "v_decadal", "v_total")))
     ratio = lambda c: (F.col(f"v_{c}") / F.when(F.col(f"_v_{c}") != 0, F.col(f"_v_{c}"))).alias(f"{c}_ratio")
     return every.join(base, keys).select("experiment", *keys, "v_annual", "v_decadal", "v_total", "mean", ratio("annual"), ratio("decadal"), ratio("total"))
@@ -82,15 +82,16 @@ def spatial_diagnostic(residuals: DataFrame, fs: float = 12.0) -> DataFrame:
 
     n = residuals.agg(F.countDistinct("cell_id").alias("n_cells"))
     cells = residuals.select("cell_id", "t", "value").groupBy("cell_id").applyInPandas(band_powers, "band string, v double").groupBy("band").agg(F.avg("v").alias("cell_variance"))
-    mean = residuals.groupBy("t").agg(F.avg("value").alias("value")).withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(lambda pdf: band_powers(pdf), "band string, v double").withColumnRenamed("v", "mean_variance")
+    # The mean over cells is one record, as long as any cell's.
+    mean = residuals.groupBy("t").agg(F.avg("value").alias("value")).groupBy().applyInPandas(band_powers, "band string, v double").withColumnRenamed("v", "mean_variance")
     out = cells.join(mean, "band").crossJoin(n)  # one row
     kept = F.try_divide("mean_variance", "cell_variance")
     return out.withColumn("suppression", kept).withColumn("coherence", F.try_divide(F.col("n_cells") * kept - 1, F.col("n_cells") - 1))
 
 
-def component_survey(residuals: DataFrame, cells: DataFrame, n_modes: int = 4, n_surrogates: int = 50) -> DataFrame:
+def component_survey(residuals: DataFrame, cells: DataFrame, n_modes: int = 4, n_surrogates: int = 500) -> DataFrame:
     """Whiteness of each principal component, its share and whether it is separable."""
     _, pcs, spectrum = field.fit_eofs(residuals, cells, n_modes)
     n = pcs.agg(F.max("t")).first()[0] + 1
-    rows = significance.survey(pcs.cache(), ["mode"], n_surrogates).select("mode", "phi", "decadal_pct", "annual_pct", "verdict")
+    rows = significance.survey(pcs, ["mode"], n_surrogates).select("mode", "phi", "decadal_pct", "annual_pct", "verdict")
     return rows.join(field.north_rule(spectrum, n).select("mode", "expvar", "separable"), "mode")

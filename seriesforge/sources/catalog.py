@@ -69,11 +69,11 @@ class Catalog:
         return self.entries.join(files.select("path").distinct(), "path", "left_anti")
 
     def regions(self) -> DataFrame:
-        return self.entries.where("region is not null").select("region").distinct()
+        return self.entries.where("region is not null").select("region").distinct().orderBy("region")
 
     def subregions(self, region: str | None = None) -> DataFrame:
         out = self.entries if region is None else self.entries.where(F.lower("region").contains(region.lower()))
-        return out.where("subregion is not null").select("region", "subregion").distinct()
+        return out.where("subregion is not null").select("subregion").distinct().orderBy("subregion")
 
     def by_region(self, column: str = "region") -> DataFrame:
         return self.entries.groupBy(F.coalesce(column, F.lit("Unknown")).alias(column)).agg(F.sort_array(F.collect_list("key")).alias("keys"))

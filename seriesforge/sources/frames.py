@@ -156,21 +156,24 @@ def coarsen(cells: DataFrame, n: int, rows: int, columns: int) -> DataFrame:
 
 
 def points_in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(cell_id, basin) of cell centres inside a polygon; rings of a basin are united.
+    """(cell_id, basin) of cell centres inside a polygon; polygons of a basin are united.
 
-    ``polygons``: basin, ring_id, seq, x, y with closed rings. A ray to the east
-    crosses a ring's edges an odd number of times from inside. The join is on
+    ``polygons``: basin, ring_id, seq, x, y with closed rings, and a column
+    polygon_id where polygons have several rings (else each ring is one). A ray
+    to the east crosses the edges of a polygon's rings an odd number of times
+    from inside, so a ring within another is a hole. The join is on
     the edge's latitude range: whole degrees first, as an equality.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("basin", "ring_id").orderBy("seq")
-    edges = polygons.select("basin", "ring_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("y2 is not null and y1 != y2")
+    w = Window.partitionBy("basin", "polygon_id", "ring_id").orderBy("seq")
+    polygons = polygons if "polygon_id" in polygons.columns else polygons.withColumn("polygon_id", F.col("ring_id"))
+    edges = polygons.select("basin", "polygon_id", F.col("x").alias("x1"), F.col("y").alias("y1"), F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2")).where("y2 is not null and y1 != y2")
     low, high = F.floor(F.least("y1", "y2")), F.floor(F.greatest("y1", "y2"))
     by_degree = edges.withColumn("deg", F.explode(F.sequence(low, high)))
     points = cells.select("cell_id", F.col("lon").alias("px"), F.col("lat").alias("py"), F.floor("lat").alias("deg"))
     crosses = ((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) & (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    hits = points.join(by_degree, "deg").where(crosses).groupBy("cell_id", "basin", "ring_id").agg(F.count("*").alias("n"))
+    hits = points.join(by_degree, "deg").where(crosses).groupBy("cell_id", "basin", "polygon_id").agg(F.count("*").alias("n"))
     return hits.where("n % 2 = 1").select("cell_id", "basin").distinct()
 
 
@@ -181,6 +184,16 @@ def basin_means(field: DataFrame, cells: DataFrame, cell_basin: DataFrame) -> Da
     return joined.groupBy("basin", "t").agg(F.coalesce(weighted, F.avg("value")).alias("value"), F.countDistinct("cell_id").alias("n_cells"))
 
 
+def sample_cells(cells: DataFrame, most: int = 500, seed: int = 0) -> DataFrame:
+    """At most ``most`` cells without replacement, the same ones for a seed in any order of rows."""
+    return cells.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string"))), "cell_id").limit(most)
+
+
+def split_by_membership(df: DataFrame, column: str, targets: list[str]) -> DataFrame:
+    """All rows, with ``is_target``: whether they belong to the named ones or to the background."""
+    return df.withColumn("is_target", F.coalesce(F.col(column).isin(targets), F.lit(False)))
+
+
 def write_ensemble(ensemble: DataFrame, path: str, experiments: DataFrame | None = None) -> None:
     """Ensembles by experiment, so that one of them is read without the others."""
     ensemble.write.mode("overwrite").partitionBy("experiment").parquet(f"{path}/ensemble")

@@ -30,6 +30,31 @@ def test_tapers_are_orthonormal():
     assert np.allclose(t @ t.T, np.eye(2), atol=1e-10)
 
 
+def test_long_tapers_equal_the_dense_problem():
+    n, t = 600, np.arange(600)
+    off = t[1:] * (n - t[1:]) / 2.0
+    matrix = np.diag(((n - 1 - 2 * t) / 2.0) ** 2 * np.cos(2 * np.pi * 2.5 / n)) + np.diag(off, 1) + np.diag(off, -1)
+    dense = np.linalg.eigh(matrix)[1][:, ::-1][:, :4].T
+    own = kernels.dpss(n, 2.5, 4)
+    assert np.allclose(np.abs((own * dense).sum(axis=1)), 1, atol=1e-9) and np.allclose(own @ own.T, np.eye(4), atol=1e-9)
+    long = kernels.dpss(6000, 1.5, 2)
+    assert np.allclose(long @ long.T, np.eye(2), atol=1e-9) and long[0].min() > 0 and (np.diff(np.sign(long[1])) != 0).sum() == 1
+
+
+def test_peaks_and_plateaus():
+    x = np.array([0.0, 1, 3, 3, 1, 2, 0, 5, 0, 4.5, 4.4, 4.6, 0])
+    assert kernels.find_peaks(x, 0.5) == [(2, 3.0), (5, 1.0), (7, 5.0), (11, 4.6)]
+    assert (9, pytest.approx(0.1)) in [(i, p) for i, p in kernels.find_peaks(x, 0.05)]
+
+
+def test_surrogates_follow_their_streams():
+    many = kernels.ar1_surrogates(50, 0.5, 1.0, [np.random.default_rng(s) for s in (1, 2)])
+    noise, y = np.random.default_rng(2).normal(0, 1.0, 50), [0.0]
+    for e in noise[1:]:
+        y.append(0.5 * y[-1] + e)
+    assert np.allclose(many[1], y)
+
+
 def test_planted_cycle():
     t = np.arange(540)
     x = np.sin(2 * np.pi * t / 144) + 0.5 * np.random.default_rng(0).normal(size=540)
@@ -45,7 +70,7 @@ def test_periodogram_holds_the_variance():
 
 def test_welch_matches_its_definition():
     x = rng.normal(size=200)
-    f, p = kernels.welch(x, 12.0, 60)
+    f, p, n_segments = kernels.welch(x, 12.0, 60)
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(60) / 60)
     spectra = [np.abs(np.fft.rfft((x[s : s + 60] - x[s : s + 60].mean()) * w)) ** 2 for s in range(0, 141, 30)]
     want = np.mean(spectra, axis=0) / (12 * (w**2).sum())
@@ -54,7 +79,7 @@ def test_welch_matches_its_definition():
 
 
 def test_members_have_unit_variance_and_do_not_depend_on_order():
-    f, p = kernels.welch(rng.normal(size=540), 12.0, 60)
+    f, p, _ = kernels.welch(rng.normal(size=540), 12.0, 60)
     amplitude = kernels.amplitudes(f, p, 1200, 12.0, None)
     g = kernels.synthesize(amplitude, 1200, 3, 5)
     assert g.var() == pytest.approx(1, abs=1e-10) and abs(g.mean()) < 1e-10

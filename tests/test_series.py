@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from seriesforge.functions import kernels
 from seriesforge.operators import bands, field, gaussian, preprocess, significance, spectral, stats, synthesis, validation
 from seriesforge.plans import suite
 from seriesforge.plans.experiments import Experiment, experiments_table
@@ -56,12 +57,17 @@ def test_tails_grow_with_the_scores(spark, model):
     assert spread[0] < spread[1] < spread[2]
 
 
-def test_spectra_equal_the_fft(model):
-    for kind, own in (("welch", spectral.welch(model.residuals, K, 60)), ("periodogram", spectral.periodogram(model.residuals, K)), ("multitaper", spectral.multitaper(model.residuals, K, 540))):
-        fast = spectral.fft_spectra(model.residuals, K, 12.0, kind)
-        pairs = own.select("k", F.col("psd").alias("a")).join(fast.select("k", "psd"), "k").collect()
-        top = max(r["psd"] for r in pairs)
-        assert len(pairs) == fast.count() and max(abs(r["a"] - r["psd"]) for r in pairs) < 1e-9 * top
+def test_spectra_equal_direct_transforms(spark, model):
+    x = column(model.residuals)
+    n = len(x)
+    dft = lambda y: np.abs(np.exp(-2j * np.pi * np.outer(np.arange(len(y) // 2 + 1), np.arange(len(y))) / len(y)) @ y) ** 2
+    double = lambda p: p * np.r_[1.0, np.full(len(p) - 2, 2.0), 1.0]
+    psd = lambda df: np.array([r["psd"] for r in df.orderBy("k").collect()])
+    assert psd(spectral.periodogram(model.residuals, K)) == pytest.approx(double(dft(x - x.mean())) / (12 * n), rel=1e-6, abs=1e-12)
+    tapers = kernels.dpss(n, 1.5, 2)
+    assert psd(spectral.multitaper(model.residuals, K)) == pytest.approx(double(np.mean([dft(w * (x - x.mean())) for w in tapers], axis=0)) / 12, rel=1e-6, abs=1e-12)
+    short = spectral.welch(model.residuals.where("t < 40"), K, 60, alpha=0.05).collect()  # one segment of its own length
+    assert {r["n_segments"] for r in short} == {1} and len(short) == 21 and max(r["freq"] for r in short) == 6.0
 
 
 def test_welch_segments_and_bounds(model):
@@ -118,12 +124,6 @@ def test_bands_do_not_count_a_bin_twice(spark):
     assert [r["label"] for r in sorted(rows, key=lambda r: r["band"])] == ["inter-annual", "annual", "sub-annual"]
 
 
-def test_peak_kernel_agrees(model):
-    psd = spectral.welch(model.residuals, K, 60)
-    native = {r["k"] for r in bands.local_maxima(bands.smooth_log_psd(psd, K).withColumn("smooth", F.log10("psd")), K).where("prominence >= 0.1").collect()}
-    assert native == {r["k"] for r in bands.peak_kernel(psd, K, 0.1).collect()}
-
-
 @pytest.fixture(scope="module")
 def patterned(spark):
     rng = np.random.default_rng(99)
@@ -216,3 +216,42 @@ def test_convergence_uses_prefixes(model, record):
 def test_percentile_rules(spark):
     df = spark.createDataFrame([(float(i),) for i in range(4)], "v double")
     assert stats.percentile_of(df, [], "v", F.lit(2.0)).first()[0] == 50 and stats.percentile_of(df, [], "v", F.lit(2.0), False).first()[0] == 75
+
+
+def test_eofs_from_either_side_agree(patterned, monkeypatch):
+    f, cells = patterned[:2]
+    one = [df.orderBy("mode").collect() for df in (field.fit_eofs(f, cells, 3)[2],)]
+    by_time = {(r["mode"], r["t"]): r["value"] for r in field.fit_eofs(f, cells, 3)[1].collect()}
+    n_cells = f.select("cell_id").distinct().count()
+    assert n_cells < 60
+    monkeypatch.setattr(field, "MOST", n_cells)
+    eofs, pcs, spectrum = field.fit_eofs(f, cells, 3)
+    assert [r["s"] for r in spectrum.orderBy("mode").collect()] == pytest.approx([r["s"] for r in one[0]], rel=1e-6)
+    got = {(r["mode"], r["t"]): r["value"] for r in pcs.collect()}
+    assert got.keys() == by_time.keys() and max(abs(got[k] - by_time[k]) for k in got) < 1e-6 * max(map(abs, got.values()))
+    monkeypatch.setattr(field, "MOST", 5)
+    with pytest.raises(ValueError):
+        field.fit_eofs(f, cells, 3)
+
+
+def test_survey_says_why_a_series_fails(spark):
+    rng = np.random.default_rng(5)
+    rows = [("good", t, float(v)) for t, v in enumerate(rng.normal(size=240))] + [("gap", t, None if t == 7 else float(t % 5)) for t in range(60)] + [("flat", t, 1.0) for t in range(60)] + [("short", t, float(t)) for t in range(10)]
+    out = {r["series_id"]: r["verdict"] for r in significance.survey(spark.createDataFrame(rows, "series_id string, t int, value double"), K, 50).collect()}
+    assert out.pop("good") in ("white", "red", "band-structured")
+    assert out == {"gap": "ERROR: missing values", "flat": "ERROR: no variance", "short": "ERROR: fewer than 24 steps"}
+
+
+def test_added_noise_does_not_depend_on_partitions(spark):
+    base = spark.range(2400).selectExpr("'a' AS series_id", "cast(id div 600 AS int) AS member", "cast(id % 600 AS int) AS t", "sin(id) AS value")
+    one, two = (synthesis.white_control(df, K, 2.0).orderBy("member", "t").collect() for df in (base.repartition(1), base.repartition(7)))
+    assert [r["value"] for r in one] == pytest.approx([r["value"] for r in two])
+    x = np.array([r["value"] for r in one])
+    assert x.var() == pytest.approx(2 * 0.5, rel=0.1)
+
+
+def test_months_that_the_fit_lacks_keep_their_rows(spark):
+    rows = [("a", t, t % 12 + 1, float(t % 12)) for t in range(36)]
+    s = spark.createDataFrame(rows, "series_id string, t int, month int, value double").withColumn("ts", F.expr("add_months(date'2000-01-01', t)"))
+    fitted = preprocess.fit(s.where("month != 12"), K, preprocess.STEP)
+    assert preprocess.transform(s, fitted).count() == 36

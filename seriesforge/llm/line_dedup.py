@@ -13,9 +13,10 @@ passage stands, and any repeated passage of two lines lies within chunks,
 whatever surrounds it. (Marks at fixed values of the rolling hash would lose
 every passage that happens to hold none.)
 
-The text of each chunk is compared with that of the earlier place, byte by
-byte (but for white space behind its last line), and equal ones are removed,
-where what is removed in one stretch has ``min_chars`` characters or more. The
+The text of each earlier place goes to the documents that repeat it. There it is
+compared with the chunk, byte by byte (but for white space behind its last
+line), and equal ones are removed, where what is removed in one stretch has
+``min_chars`` characters or more. The
 earlier place stays, and a chunk that overlaps its own earlier place is no
 repeat.
 
@@ -77,30 +78,17 @@ def _bare(text: str) -> str:
 def _rolling(rows: DataFrame) -> DataFrame:
     """(_key, document's columns, _lo, _hi): the hash of each two lines in a row, and of each long line.
 
-    Everything but the search for long lines is compiled: lines and their
-    followers are zipped and exploded, and hashed as rows.
+    Lines become hashes within their row, so that what is exploded is numbers.
     """
     who = [c for c in rows.columns if c != "_text"]
-    lines = rows.select(*who, F.expr(_lines("_text")).alias("_l"))
-    zipped = lines.select(*who, F.expr("arrays_zip(sequence(0, size(_l) - 1), _l, slice(_l, 2, size(_l)))").alias("_z"))
-    # A long line comes once more, with a negative number and no follower.
-    long = f"""transform(filter(_z, z -> length(z._l) >= {2 * LONG_LINE - 1} and regexp_count(z._l, '\\\\S+') >= {LONG_LINE}),
-        z -> named_struct('0', -1 - z['0'], '_l', z._l, '2', cast(null as string)))"""
-    each = zipped.select(*who, F.explode(F.expr(f"concat(_z, {long})")).alias("_e")).select(*who, F.col("_e.0").alias("_at"), F.col("_e._l").alias("_a"), F.expr(_bare("_e['2']")).alias("_b"))
+    # A long line has a negative number.
+    hashes = f"""element_at(transform(array({_lines("_text")}), l -> concat(
+        transform(slice(l, 2, size(l)), (x, i) -> named_struct('key', if({_bare("x")} = '', null, xxhash64(get(l, i), {_bare("x")})), 'at', i)),
+        filter(transform(l, (x, i) -> if(length(x) >= {2 * LONG_LINE - 1} and regexp_count(x, '\\\\S+') >= {LONG_LINE}, named_struct('key', xxhash64({_bare("x")}), 'at', -1 - i), null)), h -> h is not null))), 1)"""
+    each = rows.select(*who, F.explode(F.expr(hashes)).alias("_h")).select(*who, F.col("_h.key").alias("_key"), F.col("_h.at").alias("_at"))
     pair = F.col("_at") >= 0
-    each = each.where(~pair | (F.col("_b") != ""))
-    key = F.when(pair, F.xxhash64("_a", "_b")).otherwise(F.xxhash64(F.expr(_bare("_a"))))
     lo = F.when(pair, F.col("_at")).otherwise(-1 - F.col("_at"))
-    return each.select(key.alias("_key"), *who, lo.alias("_lo"), (lo + F.when(pair, 2).otherwise(1)).alias("_hi"))
-
-
-def _with_texts(chunks: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """The chunks (_doc, columns) with their bytes and the document's length. A document's chunks are bounded by its lines."""
-    by_doc = chunks.groupBy("_doc").agg(F.collect_list(F.struct(*columns)).alias("_chunks"))
-    lines = by_doc.join(texts, "_doc").select("_doc", F.length("_text").alias("_length"), F.expr(_lines("_text")).alias("_l"), "_chunks")
-    # A text is cut once below the explode, whatever the number of its chunks.
-    each = lines.select("_doc", "_length", "_l", F.explode("_chunks").alias("_c"))
-    return each.select("_doc", "_length", *(F.col(f"_c.{c}").alias(c) for c in columns), F.expr(_bare("array_join(slice(_l, _c._lo + 1, _c._hi - _c._lo), '')")).alias("_bytes"))
+    return each.where("_key is not null").select("_key", *who, lo.alias("_lo"), (lo + F.when(pair, 2).otherwise(1)).alias("_hi"))
 
 
 def _bucket(doc: str = "_doc") -> Column:
@@ -113,8 +101,8 @@ def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("_doc", "_text").withColumn("_bucket", _bucket()).join(wanted, "_bucket", "left_semi").dropDuplicates(["_doc"]).select("_doc", "_text")
 
 
-def repeated_chunks(rows: DataFrame) -> DataFrame:
-    """(_doc, _length, _lo, _hi, _chars, _holder) of the chunks whose bytes occur at an earlier place, in the document ``_holder``.
+def claimed_chunks(rows: DataFrame) -> DataFrame:
+    """(_doc, _lo, _hi, _bytes, _holder): chunks whose hashes occur at an earlier place, with the bytes there, in the document ``_holder``.
 
     ``rows``: _doc, _order (of the document among all), _text.
     """
@@ -132,34 +120,34 @@ def repeated_chunks(rows: DataFrame) -> DataFrame:
     chunks = later.withColumn("_chunk", F.col("_lo") - rank).groupBy("_doc", "_holder", "_shift", "_chunk").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     chunks = stash(chunks.select("_doc", "_lo", "_hi", "_holder", (F.col("_lo") + F.col("_shift")).alias("_flo"), (F.col("_hi") + F.col("_shift")).alias("_fhi")), "chunks")
     discard(repeated)
-    places = chunks.select(F.col("_holder").alias("_doc"), F.col("_flo").alias("_lo"), F.col("_fhi").alias("_hi")).distinct()
-    texts = _texts_of(rows, chunks.select("_doc").unionByName(chunks.select(F.col("_holder").alias("_doc"))))
-    own = _with_texts(chunks, texts, ["_lo", "_hi", "_holder", "_flo", "_fhi"])
-    first = _with_texts(places, texts, ["_lo", "_hi"]).select(F.col("_doc").alias("_holder"), F.col("_lo").alias("_flo"), F.col("_hi").alias("_fhi"), F.col("_bytes").alias("_of_first"))
-    same = own.join(first, ["_holder", "_flo", "_fhi"]).where("_bytes = _of_first")
-    found = stash(same.select("_doc", "_length", "_lo", "_hi", F.length("_bytes").alias("_chars"), "_holder"), "found")
+    places = chunks.select("_holder", "_flo", "_fhi").distinct().groupBy(F.col("_holder").alias("_doc")).agg(F.collect_list(F.struct("_flo", "_fhi")).alias("_places"))  # of a document's lines
+    texts = _texts_of(rows, chunks.select(F.col("_holder").alias("_doc")))
+    # A text is cut once below the explode, whatever the number of its places.
+    lines = places.join(texts, "_doc").select("_doc", F.expr(_lines("_text")).alias("_l"), "_places").select("_doc", "_l", F.explode("_places").alias("_p"))
+    firsts = lines.select(F.col("_doc").alias("_holder"), "_p._flo", "_p._fhi", F.expr(_bare("array_join(slice(_l, _p._flo + 1, _p._fhi - _p._flo), '')")).alias("_bytes"))
+    claims = stash(chunks.join(firsts, ["_holder", "_flo", "_fhi"]).select("_doc", "_lo", "_hi", "_bytes", "_holder"), "claims")
     discard(chunks)
-    return found
+    return claims
 
 
-def _spans(found: DataFrame) -> DataFrame:
-    """(_doc, _spans): the lines to take out of each document, as spans in order and apart."""
-    joined = F.expr(
-        """aggregate(array_sort(_all), cast(array() as array<struct<_lo:int,_hi:int>>), (done, s) ->
-             if(size(done) > 0 and element_at(done, -1)._hi >= s._lo,
-                concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1)._lo as _lo, greatest(element_at(done, -1)._hi, s._hi) as _hi))),
-                concat(done, array(s))))"""
-    )
-    return found.groupBy("_doc").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_all")).select("_doc", joined.alias("_spans"))
+def _by_document(claims: DataFrame) -> DataFrame:
+    """(_doc, _claims): a document's claims are bounded by its lines."""
+    return claims.groupBy("_doc").agg(F.collect_list(F.struct("_lo", "_hi", "_bytes")).alias("_claims"))
 
 
 def _cut(text: str, min_chars: int) -> str:
-    """SQL of struct(kept, removed): the text without its spans of ``min_chars``, and the number of lines removed."""
+    """SQL of struct(kept, removed): the text without the claimed chunks whose bytes are right, in stretches of ``min_chars``, and the number of lines removed."""
     size = f"length({_bare("array_join(slice(lines, s._lo + 1, s._hi - s._lo), '')")})"
+    right = f"filter(_claims, c -> {_bare("array_join(slice(lines, c._lo + 1, c._hi - c._lo), '')")} = c._bytes)"
+    places = f"array_sort(array_distinct(transform({right}, c -> struct(c._lo as _lo, c._hi as _hi))))"
+    joined = f"""aggregate({places}, cast(array() as array<struct<_lo:int,_hi:int>>), (done, s) ->
+        if(size(done) > 0 and element_at(done, -1)._hi >= s._lo,
+           concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1)._lo as _lo, greatest(element_at(done, -1)._hi, s._hi) as _hi))),
+           concat(done, array(s))))"""
     kept = """array_join(transform(concat(spans, array(struct(size(lines) as _lo, size(lines) as _hi))),
         (s, i) -> array_join(slice(lines, coalesce(get(spans, i - 1)._hi, 0) + 1, s._lo - coalesce(get(spans, i - 1)._hi, 0)), '')), '')"""
     removed = "aggregate(spans, 0L, (n, s) -> n + s._hi - s._lo)"
-    return f"""element_at(flatten(transform(array({_lines(text)}), lines -> transform(array(filter(_spans, s -> {size} >= {min_chars})),
+    return f"""element_at(flatten(transform(array({_lines(text)}), lines -> transform(array(filter({joined}, s -> {size} >= {min_chars})),
         spans -> struct({kept} as kept, {removed} as removed)))), 1)"""
 
 
@@ -170,18 +158,21 @@ def _shingles(text: str) -> str:
     return f"element_at(transform(array({words}), ws -> array_distinct(transform(sequence(0, greatest(size(ws) - 5, 0)), i -> xxhash64(slice(ws, i + 1, 5))))), 1)"
 
 
-def near_copies(rows: DataFrame, found: DataFrame, spans: DataFrame, share: float, min_chars: int) -> DataFrame:
+def near_copies(rows: DataFrame, claims: DataFrame, share: float, min_chars: int) -> DataFrame:
     """(_doc) of the documents that would lose ``share`` of their characters and are near-copies of what is kept of the document they repeat most."""
-    lost = found.groupBy("_doc").agg(F.sum("_chars").alias("_lost"), F.max("_length").alias("_length"))
-    large = stash(lost.where(F.col("_lost") >= share * F.col("_length")).select("_doc"), "large")
-    lines = found.join(large, "_doc", "left_semi").where("_holder != _doc").groupBy("_doc", "_holder").agg(F.sum("_chars").alias("_n"))
+    lost = claims.groupBy("_doc").agg(F.sum(F.length("_bytes")).alias("_lost"))
+    lengths = rows.select("_doc", F.length("_text").alias("_length")).dropDuplicates(["_doc"])
+    large = stash(lost.join(lengths, "_doc").where(F.col("_lost") >= share * F.col("_length")).select("_doc"), "large")
+    lines = claims.join(large, "_doc", "left_semi").where("_holder != _doc").groupBy("_doc", "_holder").agg(F.sum(F.length("_bytes")).alias("_n"))
     most = lines.groupBy("_doc").agg(F.max(F.struct("_n", "_holder")).alias("_m")).select("_doc", F.col("_m._holder").alias("_holder"))
     pairs = stash(most.join(large.select(F.col("_doc").alias("_holder")), "_holder", "left_anti"), "pairs")
     discard(large)
     texts = _texts_of(rows, pairs.select("_doc").unionByName(pairs.select(F.col("_holder").alias("_doc"))))
     copies = pairs.join(texts, "_doc").select("_doc", "_holder", F.expr(_shingles("_text")).alias("_a"))
-    cut = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.expr(_cut("_text", min_chars))["kept"])
-    holders = texts.join(pairs.select(F.col("_holder").alias("_doc")).distinct(), "_doc", "left_semi").join(spans, "_doc", "left").select(F.col("_doc").alias("_holder"), cut.alias("_text"))
+    cut = F.when(F.col("_claims").isNull(), F.col("_text")).otherwise(F.expr(_cut("_text", min_chars))["kept"])
+    wanted = pairs.select(F.col("_holder").alias("_doc")).distinct()
+    own = _by_document(claims.join(wanted, "_doc", "left_semi"))
+    holders = texts.join(wanted, "_doc", "left_semi").join(own, "_doc", "left").select(F.col("_doc").alias("_holder"), cut.alias("_text"))
     both = copies.join(holders.select("_holder", F.expr(_shingles("_text")).alias("_b")), "_holder")
     sizes = both.select("_doc", F.size("_a").alias("_na"), F.size("_b").alias("_nb"), F.size(F.array_intersect("_a", "_b")).alias("_n"))
     whole = stash(sizes.where(F.col("_n") / (F.col("_na") + F.col("_nb") - F.col("_n")) >= NEAR_COPY).select("_doc"), "whole")
@@ -204,15 +195,14 @@ def dedup_lines(documents: DataFrame, min_chars: int = 64, whole_copy_share: flo
     order = F.coalesce(number.cast("decimal(20,0)"), F.when(F.col(doc).isNotNull(), hashed), F.lit(Decimal(2**64))).cast("decimal(20,0)")
     order = (order * F.lit(2**16).cast("decimal(5,0)") + F.col("_doc").bitwiseAND(2**16 - 1)).cast("decimal(26,0)")  # rows of one id by their hash
     rows = keyed.select("_doc", order.alias("_order"), F.col(text).alias("_text")).where(F.length("_text") > 0)
-    found = repeated_chunks(rows)
-    spans = stash(_spans(found), "spans")
+    claims = claimed_chunks(rows)
     if whole_copy_share is not None:
-        whole = near_copies(rows, found, spans, whole_copy_share, min_chars)
-        spans = stash(spans.join(whole, "_doc", "left_anti"), "spans")
-    discard(found)
-    wanted = F.broadcast(spans.select(_bucket().alias("_bucket")).distinct())  # BUCKETS rows at most
+        whole = near_copies(rows, claims, whole_copy_share, min_chars)
+        every, claims = claims, stash(claims.join(whole, "_doc", "left_anti"), "claims")
+        discard(every)
+    wanted = F.broadcast(claims.select(_bucket().alias("_bucket")).distinct())  # BUCKETS rows at most
     with_bucket = keyed.withColumn("_bucket", F.when(F.length(text) > 0, _bucket()))
-    touched = with_bucket.join(wanted, "_bucket", "left_semi").join(spans, "_doc", "left").select(*inner, F.when(F.col("_spans").isNotNull(), F.expr(_cut(text, min_chars))).alias("_cut"))
+    touched = with_bucket.join(wanted, "_bucket", "left_semi").join(_by_document(claims), "_doc", "left").select(*inner, F.when(F.col("_claims").isNotNull(), F.expr(_cut(text, min_chars))).alias("_cut"))
     untouched = with_bucket.join(wanted, "_bucket", "left_anti").select(*inner, F.lit(None).cast(touched.schema["_cut"].dataType).alias("_cut"))
     out = touched.unionByName(untouched)
     columns = [(F.coalesce("_cut.kept", text) if i == text else F.col(i)).alias(c) for i, c in zip(inner, names) if c != removed_col]

@@ -5,11 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from seriesforge.llm import decontam, html_extract, line_dedup, media, packing, queries, secret_scan, sharding, simhash, token_counts, toxicity
+from seriesforge.llm import common, decontam, html_extract, line_dedup, media, packing, queries, secret_scan, sharding, simhash, token_counts, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece string, shard string"
 EDGE = [
@@ -766,3 +767,33 @@ def test_pipeline_stage_keeps_columns(edge):
     clash = edge.withColumn("_fp", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("_bands", F.lit(3)).withColumn("c0", F.lit(4))
     out = simhash.keep_one_per_component(clash)
     assert out.columns == clash.columns and sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, 1, 2, 5, 7]
+
+
+# --- shared helpers
+
+
+def test_shared_folder_without_checkpoint_dir():
+    class Stub:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    assert common.shared_dir(Stub(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_dir(Stub(**{"spark_sql_warehouse_dir": "hdfs://w"})) == "hdfs://w/_stash"  # never a folder of one machine
+
+
+def test_stashed_tables_are_discarded(spark):
+    one = common.stash(spark.range(10), "numbers")
+    assert one.count() == 10
+    path = spark._jvm.org.apache.hadoop.fs.Path(one.stash_path)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    common.discard(one)
+    assert not files.exists(path)
+
+
+def test_batches_are_cut_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 50 + ["y" * 100_000] + ["z"] * 9})
+    parts = list(common.slices([batch], 10_000))
+    assert sum(p.num_rows for p in parts) == 60 and max(p.num_rows for p in parts) < 10
+    assert pa.Table.from_batches(parts).column("t").to_pylist() == batch.column("t").to_pylist()
+    assert list(common.slices([batch.slice(0, 0)])) == []

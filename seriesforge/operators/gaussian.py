@@ -33,11 +33,13 @@ def gaussianize(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_quantiles(series: DataFrame, keys: list[str], least: int = 10) -> QuantileModel:
-    """Empirical knots, and a normal tail shifted to meet the first and last knot."""
-    ranked = hazen(series.select(*keys, "t", "value"), keys).where(F.col("n") >= least)
-    w = Window.partitionBy(*keys).orderBy("rank")
+    """Empirical knots, and a normal tail shifted to meet the first and last knot.
+
+    A series of fewer than ``least`` values is an error, which the job raises.
+    """
+    enough = F.when(F.col("n") >= least, F.col("n")).otherwise(F.raise_error(F.lit(f"a series has fewer than {least} values")).cast("long"))
+    ranked = hazen(series.select(*keys, "t", "value"), keys).withColumn("n", enough)
     knots = ranked.select(*keys, F.col("rank").alias("i"), "n", "p", F.col("value").alias("x")).withColumn("x_next", F.lead("x").over(Window.partitionBy(*keys).orderBy("i")))
-    del w
     moments = ranked.groupBy(*keys).agg(F.max("n").alias("n"), F.avg("value").alias("loc"), F.stddev_pop("value").alias("scale"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     ends = moments.withColumn("_p1", 0.5 / F.col("n")).withColumn("_pn", (F.col("n") - 0.5) / F.col("n"))
     tail = ends.withColumn("low_offset", F.col("_lo") - (F.col("loc") + F.col("scale") * norm_ppf("_p1"))).withColumn("high_offset", F.col("_hi") - (F.col("loc") + F.col("scale") * norm_ppf("_pn")))

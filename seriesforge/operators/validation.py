@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.operators import field as fields
-from seriesforge.operators import gaussian, spectral, stats, synthesis
+from seriesforge.operators import gaussian, preprocess, spectral, stats, synthesis
 from seriesforge.plans.experiments import Experiment
 
 
@@ -71,6 +71,15 @@ def map_metrics(observed: DataFrame, ensemble: DataFrame) -> DataFrame:
     return o.join(s, "cell_id").agg(F.corr("om", "sm").alias("mean_corr"), F.corr("ov", "sv").alias("variance_corr"), F.try_divide(F.avg("sm"), F.avg("om")).alias("mean_ratio"), F.try_divide(F.avg("sv"), F.avg("ov")).alias("variance_ratio"), F.avg(F.try_divide("sv", "ov")).alias("map_ratio"))
 
 
+def validate_generator(model: synthesis.FittedGenerator, n_check: int = 20, n_years: int = 50) -> DataFrame:
+    """All checks of a fitted generator: its transform, its synthesis, and that what it fits is stationary."""
+    keys = model.keys
+    transform = gaussian.validate_transform(model.residuals, keys).select(*keys, "d", "round_trip", F.col("passed").alias("transform_passed"))
+    synthetic = synthesis.validate_synthesis(model, n_check, n_years).select(*keys, "coverage", "mean_variance", F.col("passed").alias("synthesis_passed"))
+    out = transform.join(synthetic, keys).join(preprocess.stationarity(model.residuals, keys).select(*keys, "p_value", "stationary"), keys)
+    return out.withColumn("passed", F.col("transform_passed") & F.col("synthesis_passed") & F.col("stationary"))
+
+
 def field_halves(field: DataFrame) -> DataFrame:
     """The field with ``half``: 0 for the first half of its times, 1 for the rest."""
     n = field.agg(F.max("t").alias("_n"))

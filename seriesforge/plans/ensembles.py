@@ -15,7 +15,7 @@ from seriesforge.operators import field, preprocess, significance, spectral, sta
 from seriesforge.plans import suite
 from seriesforge.plans.experiments import ANNUAL, DECADAL
 from seriesforge.plans.relational import CATALOG, K, _catalog, query, residuals, rounded
-from seriesforge.plans.spectra import FRESID, NPERSEG, ORACLE_SQL, PATTERNS, _field_residuals, _patterns
+from seriesforge.plans.spectra import FRESID, NPERSEG, ORACLE_SQL, PATTERNS, _field_residuals, _model, _patterns
 from seriesforge.plans.sql import FIELD, PERIODOGRAM, RESID, SERIES, dft, welch, with_
 from seriesforge.sources import frames
 from seriesforge.sources.catalog import reference_first
@@ -104,7 +104,6 @@ def rolling_spread(spark, sf_dir):
 
 # --- significance against nulls that are tables
 
-TESTS = f"""{RESID}, {FRESID.split(FIELD, 1)[1].strip().removeprefix(',').strip()}"""
 NULLS = f"""{PERIODOGRAM}, {FIELD.strip()}, {FRESID.split(FIELD, 1)[1].strip().removeprefix(',').strip()},
 bd(band, low, high) AS (VALUES ('decadal', 8e0, 20e0), ('annual', 8e-1, 15e-1)),
 ov AS (SELECT series_id, band, sum(CASE WHEN freq BETWEEN 1 / high AND 1 / low THEN psd ELSE 0e0 END) * max(CASE WHEN k = 1 THEN freq END) AS observed, 100 * sum(CASE WHEN freq BETWEEN 1 / high AND 1 / low THEN psd ELSE 0e0 END) / sum(psd) AS share FROM pg, bd GROUP BY 1, 2),
@@ -260,6 +259,38 @@ def white_control_pairs(spark, sf_dir):
     return rounded(suite.with_white_controls(summary, K).select("label", "group", "series_id", "total_ratio", "control", "control_ratio"), 6)
 
 
+SUMMARY = "x AS (SELECT o_orderpriority AS label, CASE WHEN o_orderstatus = 'F' THEN 'annual' WHEN o_orderstatus = 'O' THEN 'decadal' ELSE 'seasonal' END AS kind, left(o_orderpriority, 1) AS \"group\", CAST(year(o_orderdate) AS VARCHAR) AS series_id, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1e6 AS injected, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean FROM orders GROUP BY 1, 2, 3, 4)"
+
+
+def _summary(spark, sf_dir) -> DataFrame:
+    kind = F.when(F.col("o_orderstatus") == "F", "annual").when(F.col("o_orderstatus") == "O", "decadal").otherwise("seasonal")
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("label"), kind.alias("kind"), F.substring("o_orderpriority", 1, 1).alias("group"), F.year("o_orderdate").cast("string").alias("series_id"))
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    return rows.agg((total / 1e6).alias("injected"), (total / F.count("*")).alias("mean")).withColumn("total_ratio", F.col("injected") / 10.0)
+
+
+@query(with_(SUMMARY, 'SELECT a."group", a.series_id, round(a.injected, 6) AS annual_injected, round(a.injected / 10, 6) AS annual_total, round(d.injected, 6) AS decadal_injected, round(d.injected / 10, 6) AS decadal_total, round(abs(a.injected - d.injected) / abs(a.injected), 6) AS difference FROM x a JOIN x d ON a."group" = d."group" AND a.series_id = d.series_id WHERE a.kind = \'annual\' AND d.kind = \'decadal\''))
+def matched_pair_checks(spark, sf_dir):
+    return rounded(suite.matched_pairs(_summary(spark, sf_dir), K), 6)
+
+
+@query(with_(SUMMARY, "SELECT series_id, bool_and(abs(y.mean - m) <= 1e-8 + 1e-1 * abs(m)) AS mean_preserved, count(*) FILTER (NOT abs(y.mean - m) <= 1e-8 + 1e-1 * abs(m)) AS n_off FROM x y JOIN (SELECT series_id, mean AS m FROM x WHERE label = '1-URGENT' AND kind = 'annual') b USING (series_id) WHERE kind = 'annual' GROUP BY 1"))
+def mean_checks(spark, sf_dir):
+    return suite.means_preserved(_summary(spark, sf_dir).where("kind = 'annual'"), K, "1-URGENT", 0.1)
+
+
+@query(with_(FIELD, "SELECT 'none' AS basin, t, round(avg(value), 4) AS value FROM f GROUP BY 2 UNION ALL SELECT 'south', t, round(avg(value), 4) FROM f JOIN cells USING (cell_id) WHERE lat < -75 GROUP BY 2"))
+def basin_or_all(spark, sf_dir):
+    f, cells = nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir)
+    parts = [frames.mean_over_basin(f, cells.where(where)).select(F.lit(name).alias("basin"), "t", "value") for name, where in (("none", "lat > 0"), ("south", "lat < -75"))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query()
+def generator_checks(spark, sf_dir):
+    return validation.validate_generator(_model(spark, sf_dir))
+
+
 # --- many series and long ones: the loads that grow with the tables
 
 

@@ -156,7 +156,16 @@ def ks_two_sample(spark, sf_dir):
     return rounded(gaussian.ks_two_sample(r, K), 8)
 
 
-@query()
+CHECKS = f"""{TAIL}, sc AS (SELECT series_id, t, g, value AS original FROM g), u1 AS (SELECT sc.*, n, loc, scale, low_offset, high_offset, u * n + 5e-1 AS place FROM (SELECT *, greatest(least({norm_cdf_sql('g')}, 1e0 - 1e-15), 1e-15) AS u FROM sc) sc JOIN tail USING (series_id)),
+u2 AS (SELECT *, CAST(least(greatest(floor(place), 1), n) AS BIGINT) AS i FROM u1), kn AS (SELECT series_id, rank AS i, value AS x, lead(value) OVER (PARTITION BY series_id ORDER BY rank) AS x_next FROM hp),
+bk AS (SELECT series_id, original, g, CASE WHEN place < 1 THEN loc + scale * ({norm_ppf_sql('u')}) + low_offset WHEN place > n THEN loc + scale * ({norm_ppf_sql('u')}) + high_offset ELSE x + (place - i) * (coalesce(x_next, x) - x) END AS value FROM u2 JOIN kn USING (series_id, i)),
+tr2 AS (SELECT series_id, max(abs(value - original)) AS round_trip, avg(g) AS g_mean, stddev_pop(g) AS g_std FROM bk GROUP BY 1),
+sp AS (SELECT q2.series_id, abs(abs(tail.loc + tail.scale * ({norm_ppf_sql('p1')}) + low_offset) - abs(lo)) AS splice_gap FROM q2 JOIN tail USING (series_id)),
+ks AS (SELECT series_id, max(n) AS n, max(greatest(abs(rank / CAST(n AS DOUBLE) - f), abs((rank - 1) / CAST(n AS DOUBLE) - f))) AS d FROM (SELECT series_id, rank, n, {norm_cdf_sql('g')} AS f FROM g) GROUP BY 1),
+kp AS (SELECT *, CASE WHEN sqrt(n) * d < 2e-1 THEN 1e0 ELSE least(greatest(list_sum(list_transform(range(1, 40), lambda k: 2e0 * pow(-1, k - 1) * exp(-2e0 * k * k * n * d * d))), 0e0), 1e0) END AS p_value FROM ks)"""
+
+
+@query(with_(CHECKS, "SELECT series_id, n, round(d, 6) AS d, round(p_value, 6) AS p_value, round(round_trip, 6) AS round_trip, round(g_mean, 6) + 0e0 AS g_mean, round(g_std, 6) AS g_std, round(splice_gap, 6) AS splice_gap, p_value > 5e-2 AND abs(g_mean) < 5e-2 AND abs(g_std - 1) < 5e-2 AND splice_gap < 1e-6 AS passed FROM kp JOIN tr2 USING (series_id) JOIN sp USING (series_id)"))
 def gaussian_checks(spark, sf_dir):
     return rounded(gaussian.validate_transform(residuals(spark, sf_dir), K), 6)
 

@@ -21,13 +21,17 @@ def suite_targets(baseline: DataFrame, keys: list[str]) -> DataFrame:
     spark = baseline.sparkSession
     rows = [(f"annual_{r:g}x", "annual", f"matched_{r:g}", r) for r in MATCHED_RATIOS] + [(f"decadal_{r:g}x", "decadal", f"matched_{r:g}", r) for r in MATCHED_RATIOS]
     rows += [(f"annual_{SUPPRESSION:g}x", "annual", "suppression", SUPPRESSION)] + [(f"seasonal_{r:g}x", "seasonal", f"seasonal_{r:g}", r) for r in SEASONAL_LADDER]
+    rows.append(("decadal_max", "decadal", "max", None))  # as much as the grid of factors gives
     plan = spark.createDataFrame(rows, "label string, kind string, `group` string, ratio double")
     base = baseline.select(*keys, "annual")  # both partners of a matched pair aim at the same annual change
     return plan.crossJoin(base).withColumn("target", F.col("annual") * F.col("ratio")).select("label", "kind", "group", *keys, "target")
 
 
 def calibrated_suite(model: synthesis.FittedGenerator, gammas: list[float], n_years: int = 20, n_members: int = 3, seed: int = 0) -> DataFrame:
-    """(label, kind, group, keys, target, gamma): factors that deliver the targets; null if none does."""
+    """(label, kind, group, keys, target, gamma): factors that deliver the targets; null if none does.
+
+    A row without target takes the grid's largest factor.
+    """
     keys = model.keys
     base = synthesis.delivered_band_variance(synthesis.generate(model, [Experiment(n_years, n_members, seed)]), keys, ANNUAL, model.fs).select(*keys, F.col("delivered").alias("annual"))
     targets = suite_targets(base, keys)
@@ -37,7 +41,25 @@ def calibrated_suite(model: synthesis.FittedGenerator, gammas: list[float], n_ye
     ]
     curve = curves[0].unionByName(curves[1]).unionByName(curves[2]).cache()
     found = bands.invert_curve(curve, targets.select("kind", *keys, "target").distinct(), ["kind", *keys])
-    return targets.join(found, ["kind", *keys, "target"]).select("label", "kind", "group", *keys, "target", "gamma")
+    gamma = F.when(F.col("target").isNull(), F.lit(float(max(gammas)))).otherwise(F.col("gamma")).alias("gamma")
+    return targets.join(found, ["kind", *keys, "target"], "left").select("label", "kind", "group", *keys, "target", gamma)
+
+
+def matched_pairs(summary: DataFrame, keys: list[str]) -> DataFrame:
+    """The annual and the decadal row of a group: how far what they inject differs, and their total ratios.
+
+    ``summary``: label, kind, group, keys, injected, total_ratio.
+    """
+    side = lambda kind: summary.where(F.col("kind") == kind).select("group", *keys, F.col("injected").alias(f"{kind}_injected"), F.col("total_ratio").alias(f"{kind}_total"))
+    both = side("annual").join(side("decadal"), ["group", *keys])
+    return both.withColumn("difference", F.try_divide(F.abs(F.col("annual_injected") - F.col("decadal_injected")), F.abs("annual_injected")))
+
+
+def means_preserved(summary: DataFrame, keys: list[str], baseline: str = "baseline", tolerance: float = 1e-4) -> DataFrame:
+    """Per series: whether every experiment's mean is the baseline's. ``summary``: label, keys, mean."""
+    base = summary.where(F.col("label") == baseline).select(*keys, F.col("mean").alias("_m"))
+    near = F.abs(F.col("mean") - F.col("_m")) <= 1e-8 + tolerance * F.abs("_m")
+    return summary.join(base, keys).groupBy(*keys).agg(F.bool_and(near).alias("mean_preserved"), F.sum((~near).cast("long")).alias("n_off"))
 
 
 def with_white_controls(summary: DataFrame, keys: list[str]) -> DataFrame:

@@ -136,6 +136,14 @@ def mask_cells(field: DataFrame, cells: DataFrame) -> DataFrame:
     return field.join(F.broadcast(cells.select("cell_id").distinct()) if cells.limit(200_001).count() <= 200_000 else cells.select("cell_id").distinct(), "cell_id", "left_semi")
 
 
+def mean_over_basin(field: DataFrame, cells: DataFrame) -> DataFrame:
+    """(t, value): plain mean over the basin's cells, or over all cells where the basin holds none."""
+    basin = cells.select("cell_id").distinct()
+    size = basin.agg(F.count("*").alias("_n"))  # one row
+    marked = field.join(basin.withColumn("_in", F.lit(True)), "cell_id", "left").crossJoin(F.broadcast(size))
+    return marked.where(F.col("_in") | (F.col("_n") == 0)).groupBy("t").agg(F.avg("value").alias("value"))
+
+
 def crop_to_cells(cells: DataFrame, basin: DataFrame, pad: int = 2) -> DataFrame:
     """Cells in the bounding box of the basin's cells, widened by ``pad``."""
     box = basin.agg(F.min("rlat").alias("a"), F.max("rlat").alias("b"), F.min("rlon").alias("c"), F.max("rlon").alias("d"))

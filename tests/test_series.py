@@ -67,7 +67,7 @@ def test_spectra_equal_direct_transforms(spark, model):
     tapers = kernels.dpss(n, 1.5, 2)
     assert psd(spectral.multitaper(model.residuals, K)) == pytest.approx(double(np.mean([dft(w * (x - x.mean())) for w in tapers], axis=0)) / 12, rel=1e-6, abs=1e-12)
     short = spectral.welch(model.residuals.where("t < 40"), K, 60, alpha=0.05).collect()  # one segment of its own length
-    assert {r["n_segments"] for r in short} == {1} and len(short) == 21 and max(r["freq"] for r in short) == 6.0
+    assert {r["n_segments"] for r in short} == {1} and len(short) == 21 and max(r["freq"] for r in short) == pytest.approx(6.0)
 
 
 def test_welch_segments_and_bounds(model):

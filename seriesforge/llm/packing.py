@@ -35,7 +35,7 @@ from .common import in_batches, slices, stash
 
 _SPACE = re.compile(r"[ \t\n\r]+")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space for str.split, not for the tokenizer
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHE_CHARS = 64
 ROUNDS = 6
 LEAN = 0.3  # added to a fitted count before it is rounded: every pattern fills its sequence, so rounding up wastes nothing

@@ -81,10 +81,10 @@ def _rolling(rows: DataFrame) -> DataFrame:
     Lines become hashes within their row, so that what is exploded is numbers.
     """
     who = [c for c in rows.columns if c != "_text"]
-    # A long line has a negative number.
+    # A long line has a negative number. Only lines that begin with white space can be blank, and these are less than '!'.
     hashes = f"""element_at(transform(array({_lines("_text")}), l -> concat(
-        transform(slice(l, 2, size(l)), (x, i) -> named_struct('key', if({_bare("x")} = '', null, xxhash64(get(l, i), {_bare("x")})), 'at', i)),
-        filter(transform(l, (x, i) -> if(length(x) >= {2 * LONG_LINE - 1} and regexp_count(x, '\\\\S+') >= {LONG_LINE}, named_struct('key', xxhash64({_bare("x")}), 'at', -1 - i), null)), h -> h is not null))), 1)"""
+        transform(slice(l, 2, size(l)), (x, i) -> named_struct('key', if(x < '!' and {_bare("x")} = '', null, xxhash64(get(l, i), {_bare("x")})), 'at', i)),
+        filter(transform(l, (x, i) -> if(octet_length(x) >= {2 * LONG_LINE - 1} and length(x) >= {2 * LONG_LINE - 1} and regexp_count(x, '\\\\S+') >= {LONG_LINE}, named_struct('key', xxhash64({_bare("x")}), 'at', -1 - i), null)), h -> h is not null))), 1)"""
     each = rows.select(*who, F.explode(F.expr(hashes)).alias("_h")).select(*who, F.col("_h.key").alias("_key"), F.col("_h.at").alias("_at"))
     pair = F.col("_at") >= 0
     lo = F.when(pair, F.col("_at")).otherwise(-1 - F.col("_at"))
@@ -104,11 +104,11 @@ def _texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def claimed_chunks(rows: DataFrame) -> DataFrame:
     """(_doc, _lo, _hi, _bytes, _holder): chunks whose hashes occur at an earlier place, with the bytes there, in the document ``_holder``.
 
-    ``rows``: _doc, _order (of the document among all), _text.
+    ``rows``: _doc, _order (of the document among all, in steps of 2**31), _text.
     """
     hashes = _rolling(rows)
     # A place is the document's order and the line, as one number: so the first place is found as the hashes are counted.
-    place = F.col("_order") * F.lit(2**31).cast("decimal(10,0)") + F.col("_lo")
+    place = F.col("_order") + F.col("_lo")
     counted = hashes.select("_key", "_doc", place.alias("_place")).groupBy("_key").agg(F.count("*").alias("_n"), F.min("_place").alias("_place"), F.min_by("_doc", "_place").alias("_holder"))
     repeated = counted.where("_n > 1").select("_key", "_holder", F.pmod("_place", F.lit(2**31).cast("decimal(10,0)")).cast("int").alias("_flo"))
     # Written by itself, so the join has two plain sides, and Spark can split hot hashes.
@@ -194,6 +194,7 @@ def dedup_lines(documents: DataFrame, min_chars: int = 64, whole_copy_share: flo
     hashed = F.shiftrightunsigned(F.xxhash64(F.col(doc).cast("string")), 2).cast("decimal(20,0)") + F.lit(Decimal(2**63))
     order = F.coalesce(number.cast("decimal(20,0)"), F.when(F.col(doc).isNotNull(), hashed), F.lit(Decimal(2**64))).cast("decimal(20,0)")
     order = (order * F.lit(2**16).cast("decimal(5,0)") + F.col("_doc").bitwiseAND(2**16 - 1)).cast("decimal(26,0)")  # rows of one id by their hash
+    order = (order * F.lit(2**31).cast("decimal(10,0)")).cast("decimal(36,0)")
     rows = keyed.select("_doc", order.alias("_order"), F.col(text).alias("_text")).where(F.length("_text") > 0)
     claims = claimed_chunks(rows)
     if whole_copy_share is not None:

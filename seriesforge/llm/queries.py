@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe_codec import encode_and_decode
 from .common import table
 from .decontam import find_passages
 from .html_extract import extract_pages
@@ -17,8 +18,10 @@ from .packing import pack_documents
 from .secret_scan import scan_secrets
 from .sharding import hilbert_shards
 from .simhash import near_duplicate_components
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
+from .whitening import whiten
 
 
 def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +83,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spelling_variants(table(spark, sf_dir, "documents"), slip_every=97)
+    return out.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    ids_text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_main_text, op2_pattern_packing, op3_secret_forest, op4_hilbert_shards, op5_toxicity_zstd, op6_qgram_decontamination, op7_iso_media, op8_line_chunks, op9_simhash_components, op10_token_counts)
+    f.__name__: f for f in (op1_html_main_text, op2_pattern_packing, op3_secret_forest, op4_hilbert_shards, op5_toxicity_zstd, op6_qgram_decontamination, op7_iso_media, op8_line_chunks, op9_simhash_components, op10_token_counts, op11_incremental_whitening, op12_spelling_variants, op13_bpe_codec)
 }
 
 ORACLE_SQL: dict[str, str] = {}

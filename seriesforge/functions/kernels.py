@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from seriesforge.functions import philox
+
 
 def chi2_ppf(p: float, dof: int) -> float:
     """Chi-squared quantile for even degrees of freedom: closed-form CDF, bisection."""
@@ -155,15 +157,21 @@ def amplitudes(freqs: np.ndarray, psd: np.ndarray, n: int, fs: float, bands: lis
     return out
 
 
-def synthesize(amplitude: np.ndarray, n: int, seed: int, member: int) -> np.ndarray:
-    """Phase-randomised unit-variance record.
-
-    A member starts where a sequential generator would have arrived, so members
-    can be made in any order and any task.
-    """
+def sequential_phases(count: int, seed: int, member: int) -> np.ndarray:
+    """Phases of a sequential generator, from where it would have arrived at this member."""
     bits = np.random.PCG64(seed)
-    bits.advance(member * len(amplitude))
-    phases = np.random.Generator(bits).uniform(-np.pi, np.pi, len(amplitude))
+    bits.advance(member * count)
+    return np.random.Generator(bits).uniform(-np.pi, np.pi, count)
+
+
+def counter_phases(count: int, seed: int, member: int) -> np.ndarray:
+    """Phases drawn alone at (bin, member) with the seed as key."""
+    return np.pi * (2.0 * philox.uniform(np.arange(count), member, seed) - 1.0)
+
+
+def synthesize(amplitude: np.ndarray, n: int, phases: np.ndarray) -> np.ndarray:
+    """Phase-randomised unit-variance record."""
+    phases = phases.copy()
     phases[0] = 0.0
     if n % 2 == 0:
         phases[-1] = 0.0

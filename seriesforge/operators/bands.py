@@ -58,6 +58,11 @@ def smooth_log_psd(psd: DataFrame, keys: list[str]) -> DataFrame:
     return logs.withColumn("smooth", (F.coalesce(F.lag("_l").over(w), "_l") + F.col("_l") + F.coalesce(F.lead("_l").over(w), "_l")) / 3.0).drop("_l")
 
 
+def with_keys(group: pd.DataFrame, keys: list[str], rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows with the group's keys in front, of the group's types even where there are no rows."""
+    return pd.concat([group[keys].iloc[np.zeros(len(rows), int)].reset_index(drop=True), rows.reset_index(drop=True)], axis=1)
+
+
 def find_peaks(psd: DataFrame, keys: list[str], least_prominence: float = 0.3, min_period: float = 0.5, max_period: float = 50.0) -> DataFrame:
     """Peaks with their half-power band, one bin wider on each side, ranked by share of variance.
 
@@ -78,10 +83,7 @@ def find_peaks(psd: DataFrame, keys: list[str], least_prominence: float = 0.3, m
             lo, hi = (left[-1] if len(left) else 0), (right[0] if len(right) else len(power) - 1)
             inside = power[lo : hi + 1].sum()
             rows.append((int(pdf["k"].iloc[i]), freq[i], power[i], prominence, 1 / freq[hi], 1 / freq[lo], inside * freq[0], inside / power.sum()))
-        out = pd.DataFrame(rows, columns=columns)
-        for k in keys:
-            out[k] = [pdf[k].iloc[0]] * len(out)
-        return out[[*keys, *columns]]
+        return with_keys(pdf, keys, pd.DataFrame(rows, columns=columns).astype({"k": "int64"} | dict.fromkeys(columns[1:], "float64")))
 
     found = smooth.groupBy(*keys).applyInPandas(run, f"{types}, k long, {', '.join(f'{c} double' for c in columns[1:])}")
     ranked = found.withColumn("period_peak", 1 / F.col("freq_peak")).withColumn("label", auto_label(1 / F.col("freq_peak")))

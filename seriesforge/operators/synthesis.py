@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesforge.functions import kernels
+from seriesforge.functions import kernels, philox
 from seriesforge.operators import gaussian, preprocess, spectral
 from seriesforge.plans.experiments import Experiment, experiments_table
 
@@ -48,13 +48,14 @@ def fit_generator(series: DataFrame, keys: list[str], nperseg: int = 60, fs: flo
     return FittedGenerator(keys, mean, start, model, residuals, scores, quantiles, psd, fs)
 
 
-def synthesize(psd: DataFrame, keys: list[str], suite: list[Experiment], fs: float = 12.0, seed: Column | None = None) -> DataFrame:
+def synthesize(psd: DataFrame, keys: list[str], suite: list[Experiment], fs: float = 12.0, seed: Column | None = None, sequential: bool = False) -> DataFrame:
     """(experiment, keys, member, t, g): unit-variance members with the scaled spectra.
 
     A task makes one member of one series: spectra are small arrays, members
-    are exploded, and each member's random stream starts where a sequential
-    generator would have arrived. With ``seed``, an expression over the plan,
-    the keys and the member, each member has a stream of its own instead.
+    are exploded, and each phase is drawn at its bin and member with the seed as
+    key. With ``sequential`` the phases are those of a generator that makes one
+    member after the other. With ``seed``, an expression over the plan, the keys
+    and the member, each member has a stream of its own instead.
     """
     spectra = psd.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("freq", "psd"))).alias("spectrum"))
     plan = experiments_table(psd.sparkSession, suite).select("name", "n_years", "n_members", "seed", "band_scales")
@@ -64,13 +65,15 @@ def synthesize(psd: DataFrame, keys: list[str], suite: list[Experiment], fs: flo
     work = work.repartition(max(8, psd.sparkSession.sparkContext.defaultParallelism), *keys, "name", "member")
     types = ", ".join(f"{k} {psd.schema[k].dataType.simpleString()}" for k in keys)
 
+    phases = kernels.sequential_phases if sequential else kernels.counter_phases
+
     def run(batches):
         for batch in batches:
             for row in batch.to_dict("records"):
                 freqs, power = np.array([p["freq"] for p in row["spectrum"]]), np.array([p["psd"] for p in row["spectrum"]])
                 n = round(row["n_years"] * fs)
                 bands = [(b["pmin"], b["pmax"], b["factor"]) for b in (row["band_scales"] if row["band_scales"] is not None else ())]
-                g = kernels.synthesize(kernels.amplitudes(freqs, power, n, fs, bands), n, row["seed"], row["_stream"])
+                g = kernels.synthesize(kernels.amplitudes(freqs, power, n, fs, bands), n, phases(n // 2 + 1, row["seed"], row["_stream"]))
                 yield pd.DataFrame({"experiment": row["name"], **{k: row[k] for k in keys}, "member": row["member"], "t": np.arange(n, dtype=np.int32), "g": g})
 
     return work.mapInPandas(run, f"experiment string, {types}, member int, t int, g double")
@@ -95,14 +98,15 @@ def generate(model: FittedGenerator, suite: list[Experiment]) -> DataFrame:
 def white_control(baseline: DataFrame, keys: list[str], ratio: float, seed: int = 0) -> DataFrame:
     """The baseline plus white noise that lifts its total variance by the ratio.
 
-    A step's noise is drawn by a hash of the seed, the keys, the member and the
-    step (two uniform numbers, Box-Muller), so a task that runs again draws the
-    same.
+    A step's noise comes from two uniform numbers (Box-Muller) drawn at the step
+    and the member; the key is made of the seed and the series.
     """
     total = baseline.groupBy(*keys).agg(F.var_pop("value").alias("_v"))
-    draw = lambda i: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), *keys, "member", "t"), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    normal = F.sqrt(-2.0 * F.log(draw(0))) * F.cos(2.0 * np.pi * draw(1))
-    noisy = baseline.join(total, keys).withColumn("_e", F.sqrt(F.lit(max(0.0, ratio - 1)) * F.col("_v")) * normal)
+    rows = baseline.join(total, keys).withColumn("_key", F.expr(philox.key_sql(f"concat_ws('|', {', '.join(f'`{k}`' for k in keys)})", seed, philox.SPARK)))
+    for i in (0, 1):
+        rows = philox.with_uniform(rows, f"_u{i}", F.col("t") * 2 + i, F.col("member"), F.col("_key"))
+    normal = F.sqrt(-2.0 * F.log("_u0")) * F.cos(2.0 * np.pi * F.col("_u1"))
+    noisy = rows.withColumn("_e", F.sqrt(F.lit(max(0.0, ratio - 1)) * F.col("_v")) * normal).drop("_key", "_u0", "_u1")
     own = F.avg("_e").over(Window.partitionBy(*keys, "member"))
     return noisy.withColumn("value", F.col("value") + F.col("_e") - own).drop("_v", "_e")
 
@@ -126,7 +130,7 @@ def calibrate(model: FittedGenerator, band: tuple[float, float], gammas: list[fl
     return delivered_band_variance(generate(model, suite), model.keys, band, model.fs).join(F.broadcast(table), "experiment").select(*model.keys, "gamma", "delivered")
 
 
-def validate_synthesis(model: FittedGenerator, n_check: int = 20, n_years: int = 50) -> DataFrame:
+def validate_synthesis(model: FittedGenerator, n_check: int = 20, n_years: int = 100) -> DataFrame:
     """Unit variance and spectral coverage of members against the chi-squared bounds."""
     keys = model.keys
     members = synthesize(model.psd, keys, [Experiment(n_years, n_check, 0)], model.fs)

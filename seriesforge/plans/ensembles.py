@@ -15,7 +15,8 @@ from seriesforge.operators import field, preprocess, significance, spectral, sta
 from seriesforge.plans import suite
 from seriesforge.plans.experiments import ANNUAL, DECADAL
 from seriesforge.plans.relational import CATALOG, K, _catalog, query, residuals, rounded
-from seriesforge.plans.spectra import FRESID, NPERSEG, ORACLE_SQL, PATTERNS, _field_residuals, _model, _patterns
+from seriesforge.plans.spectra import FRESID, NPERSEG, ORACLE_SQL, PATTERNS, _field_residuals, _patterns
+from seriesforge.plans.synthetic import _model
 from seriesforge.plans.sql import FIELD, PERIODOGRAM, RESID, SERIES, dft, welch, with_
 from seriesforge.sources import frames
 from seriesforge.sources.catalog import reference_first

@@ -102,7 +102,7 @@ def catalog_by_region(spark, sf_dir):
     return _catalog(spark, sf_dir).by_region()
 
 
-@query(with_(CATALOG, "SELECT DISTINCT region, subregion FROM cat WHERE subregion IS NOT NULL"))
+@query(with_(CATALOG, "SELECT DISTINCT subregion FROM cat WHERE subregion IS NOT NULL"))
 def catalog_subregions(spark, sf_dir):
     return _catalog(spark, sf_dir).subregions()
 

@@ -372,61 +372,6 @@ def survey(spark, sf_dir):
     return rounded(significance.survey(residuals(spark, sf_dir), K), 6)
 
 
-# --- synthesis
-
-
-def _model(spark, sf_dir):
-    return synthesis.fit_generator(region_month_series(spark, sf_dir), K, NPERSEG)
-
-
-SMALL = {"n_years": 20, "n_members": 4}
-
-
-@query()
-def synth_baseline(spark, sf_dir):
-    return synthesis.generate(_model(spark, sf_dir), [Experiment.baseline(**SMALL)])
-
-
-@query()
-def synth_suite(spark, sf_dir):
-    ens = synthesis.generate(_model(spark, sf_dir), Experiment.standard_suite(**SMALL))
-    return ens.groupBy("experiment", "series_id", "member").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.var_pop("g").alias("g_variance"))
-
-
-@query()
-def synth_checks(spark, sf_dir):
-    return synthesis.validate_synthesis(_model(spark, sf_dir), 6, 40)
-
-
-@query()
-def white_control(spark, sf_dir):
-    base = synthesis.generate(_model(spark, sf_dir), [Experiment.baseline(**SMALL)])
-    return synthesis.white_control(base, K, 2.0).groupBy("series_id", "member").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
-
-
-@query()
-def calibrate_curve(spark, sf_dir):
-    return synthesis.calibrate(_model(spark, sf_dir), (0.8, 1.5), [0.5, 1.0, 2.0, 5.0], 20, 3)
-
-
-@query()
-def ensemble_metrics(spark, sf_dir):
-    s = region_month_series(spark, sf_dir)
-    ensemble = synthesis.generate(synthesis.fit_generator(s, K, NPERSEG), [Experiment.baseline(**SMALL), Experiment.annual_enhanced(**SMALL)])
-    return validation.compute_metrics(s, ensemble, K, NPERSEG)
-
-
-@query()
-def convergence(spark, sf_dir):
-    s = region_month_series(spark, sf_dir)
-    return validation.convergence(s, synthesis.generate(synthesis.fit_generator(s, K, NPERSEG), [Experiment.baseline(n_years=20, n_members=10)]), K, [1, 2, 5, 10])
-
-
-@query()
-def calibration_split(spark, sf_dir):
-    return validation.calibration_split(region_month_series(spark, sf_dir), K, 3, 20)
-
-
 # --- fields
 
 
@@ -505,23 +450,6 @@ def field_generate(spark, sf_dir):
     return e.groupBy("member", "cell_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
 
 
-@query()
-def calibrated_suite(spark, sf_dir):
-    return suite.calibrated_suite(_model(spark, sf_dir), [0.5, 1.0, 3.0, 10.0, 30.0], 20, 2)
-
-
-@query()
-def suite_summary(spark, sf_dir):
-    return suite.suite_summary(synthesis.generate(_model(spark, sf_dir), Experiment.standard_suite(**SMALL)), K)
-
-
-@query()
-def band_variance_ratio(spark, sf_dir):
-    model = _model(spark, sf_dir)
-    base, scaled = (synthesis.generate(model, [e]) for e in (Experiment.baseline(**SMALL), Experiment.scaled("annual", (0.8, 1.5), 10.0, **SMALL)))
-    return suite.band_variance_ratio(base, scaled, K, (0.8, 1.5), NPERSEG)
-
-
 @query()
 def spatial_diagnostic(spark, sf_dir):
     return rounded(suite.spatial_diagnostic(_field_residuals(spark, sf_dir)), 6, cell_variance=2, mean_variance=2)

@@ -133,12 +133,16 @@ def multitaper(x: np.ndarray, fs: float, nw: float = 1.5, tapers: np.ndarray | N
 def welch(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Half-overlapping periodic-Hann segments, each without its mean; a shorter record is one segment."""
     nperseg = min(nperseg, len(x))
-    hop = nperseg - nperseg // 2
+    powers = segment_powers(x, fs, nperseg, nperseg - nperseg // 2)
+    return np.fft.rfftfreq(nperseg, 1 / fs), powers.mean(axis=0), len(powers)
+
+
+def segment_powers(x: np.ndarray, fs: float, nperseg: int, hop: int) -> np.ndarray:
+    """One-sided periodic-Hann power of each segment without its mean."""
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nperseg) / nperseg)
-    starts = range(0, len(x) - nperseg + 1, hop)
-    segments = np.stack([x[s : s + nperseg] for s in starts])
+    segments = np.lib.stride_tricks.sliding_window_view(x, nperseg)[::hop]
     spectra = np.abs(np.fft.rfft((segments - segments.mean(axis=1, keepdims=True)) * window, axis=1)) ** 2
-    return np.fft.rfftfreq(nperseg, 1 / fs), one_sided(spectra / (fs * (window**2).sum()), nperseg).mean(axis=0), len(segments)
+    return one_sided(spectra / (fs * (window**2).sum()), nperseg)
 
 
 def band_variance(freqs: np.ndarray, psd: np.ndarray, low_period: float, high_period: float) -> float:
@@ -226,14 +230,16 @@ def adf_test(x: np.ndarray) -> tuple[float, float, int]:
     a, y, beta, rss = regress(lag, lag)
     sigma2 = rss / max(1, len(y) - a.shape[1])
     statistic = float(beta[0] / math.sqrt(sigma2 * np.linalg.pinv(a.T @ a)[0, 0]))
+    return statistic, adf_p_value(statistic), lag
+
+
+def adf_p_value(statistic: float) -> float:
     if statistic > ADF_MAX:
-        p = 1.0
-    elif statistic < ADF_MIN:
-        p = 0.0
-    else:
-        powers = ADF_SMALL if statistic <= ADF_STAR else ADF_LARGE
-        p = 0.5 * math.erfc(-sum(c * statistic**i for i, c in enumerate(powers)) / math.sqrt(2))
-    return statistic, p, lag
+        return 1.0
+    if statistic < ADF_MIN:
+        return 0.0
+    powers = ADF_SMALL if statistic <= ADF_STAR else ADF_LARGE
+    return 0.5 * math.erfc(-sum(c * statistic**i for i, c in enumerate(powers)) / math.sqrt(2))
 
 
 def find_peaks(values: np.ndarray, least_prominence: float) -> list[tuple[int, float]]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels
+from seriesforge.operators.blocks import with_keys
 
 # Default edges in years.
 PERIOD_EDGES = (0.1, 0.8, 1.5, 8.0, 20.0, 100.0)
@@ -58,11 +59,6 @@ def smooth_log_psd(psd: DataFrame, keys: list[str]) -> DataFrame:
     return logs.withColumn("smooth", (F.coalesce(F.lag("_l").over(w), "_l") + F.col("_l") + F.coalesce(F.lead("_l").over(w), "_l")) / 3.0).drop("_l")
 
 
-def with_keys(group: pd.DataFrame, keys: list[str], rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows with the group's keys in front, of the group's types even where there are no rows."""
-    return pd.concat([group[keys].iloc[np.zeros(len(rows), int)].reset_index(drop=True), rows.reset_index(drop=True)], axis=1)
-
-
 def find_peaks(psd: DataFrame, keys: list[str], least_prominence: float = 0.3, min_period: float = 0.5, max_period: float = 50.0) -> DataFrame:
     """Peaks with their half-power band, one bin wider on each side, ranked by share of variance.
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesforge.operators import range_finder
+
 MOST = 4000  # rows of the matrix, on the shorter side of a field
 
 
@@ -67,13 +69,14 @@ def fit_eofs(field: DataFrame, cells: DataFrame, n_modes: int) -> tuple[DataFram
     """eofs(mode, cell_id, loading), pcs(mode, t, value), spectrum(mode, s, expvar).
 
     A mode's sign makes its first loading (least cell) that is not 0 positive.
-    The shorter side of the field, times or cells, may have MOST entries.
+    Where the shorter side of the field, times or cells, has over MOST entries,
+    the leading modes come from block power iteration on a random subspace.
     """
     spark = field.sparkSession
     n_times, n_cells = field.agg(F.max("t") + 1, F.countDistinct("cell_id")).first()
-    if min(n_times, n_cells) > MOST:
-        raise ValueError(f"fields of over {MOST} times and over {MOST} cells need a truncated decomposition")
     w = with_weights(field, cells).where("value is not null").select("cell_id", "t", (F.col("value") * F.col("weight")).alias("x"))
+    if min(n_times, n_cells) > MOST:
+        return _signed(*_truncated(w, min(n_modes, n_times - 1), n_times))
     by_time = n_times <= MOST
     if by_time:
         values, vectors, total = _decomposed(_gram(w, "cell_id", "t", n_times), n_times, min(n_modes, n_times - 1))
@@ -91,6 +94,20 @@ def fit_eofs(field: DataFrame, cells: DataFrame, n_modes: int) -> tuple[DataFram
     else:
         raw = spark.createDataFrame([(m, c, float(vectors[i, m])) for m in modes for i, c in enumerate(ids)], f"mode int, cell_id {field.schema['cell_id'].dataType.simpleString()}, loading double")
         pcs = w.join(F.broadcast(raw), "cell_id").groupBy("mode", "t").agg(F.sum(F.col("x") * F.col("loading")).alias("value"))  # cells x modes rows
+    return _signed(raw, pcs, spectrum)
+
+
+def _truncated(points: DataFrame, n_modes: int, n_times: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Loadings, components and spectrum of the leading modes of (cell_id, t, x)."""
+    found = range_finder.leading(points, n_modes)
+    total, k = points.agg(F.sum(F.col("x") * F.col("x"))).first()[0], len(found.values)
+    spectrum = points.sparkSession.createDataFrame([(m, float(np.sqrt(v)), float(v / total)) for m, v in enumerate(found.values)], "mode int, s double, expvar double")
+    raw = range_finder.rows_of(found.cells, "cb", k).join(found.numbers.withColumnRenamed("ci", "place"), ["cb", "place"]).select("mode", "cell_id", F.col("value").alias("loading"))
+    pcs = range_finder.rows_of(found.times, "tb", k).select("mode", (F.col("tb") * found.side + F.col("place")).cast("int").alias("t"), "value").where(F.col("t") < n_times)
+    return raw, pcs, spectrum
+
+
+def _signed(raw: DataFrame, pcs: DataFrame, spectrum: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sign = raw.where("abs(loading) > 1e-12").groupBy("mode").agg(F.signum(F.min_by("loading", "cell_id")).alias("_sign"))
     eofs = raw.join(F.broadcast(sign), "mode").select("mode", "cell_id", (F.col("loading") * F.col("_sign")).alias("loading"))
     pcs = pcs.join(F.broadcast(sign), "mode").select("mode", "t", (F.col("value") * F.col("_sign")).alias("value"))

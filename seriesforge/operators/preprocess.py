@@ -11,10 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesforge.operators import blocks
+
 DAY = "day"
 STEP = "step"
 
@@ -50,15 +51,39 @@ def fit_trend(series: DataFrame, keys: list[str], kind: str = DAY) -> DataFrame:
 
 
 def fit_polynomial(series: DataFrame, keys: list[str], degree: int) -> DataFrame:
-    """Coefficients of higher degree by a grouped kernel, highest power first."""
-    schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys), "coefficients array<double>"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = pdf["value"].notna()
-        c = np.polyfit(pdf.loc[good, "t"], pdf.loc[good, "value"], degree)
-        return pd.DataFrame([[*pdf[keys].iloc[0], c.tolist()]], columns=[*keys, "coefficients"])
+    """(keys, coefficients): least squares on t, highest power first; null for fewer different steps than coefficients.
 
-    return series.select(*keys, "t", "value").groupBy(*keys).applyInPandas(fit, schema)
+    The moments of Chebyshev polynomials on each series' span are aggregates, and
+    well conditioned; a row for each series is solved.
+    """
+    known = series.where("value is not null and not isnan(value)").select(*keys, F.col("t").cast("double").alias("_t"), "value")
+    span = known.groupBy(*keys).agg(((F.max("_t") + F.min("_t")) / 2).alias("_mid"), F.greatest((F.max("_t") - F.min("_t")) / 2, F.lit(1e-300)).alias("_half"), F.countDistinct("_t").alias("_steps"))
+    z = (F.col("_t") - F.col("_mid")) / F.col("_half")
+    work = known.join(span, keys).withColumn("_p0", F.lit(1.0)).withColumn("_p1", z)
+    for i in range(2, degree + 1):
+        work = work.withColumn(f"_p{i}", 2 * F.col("_p1") * F.col(f"_p{i - 1}") - F.col(f"_p{i - 2}"))
+    basis = [f"_p{i}" for i in range(degree + 1)]
+    sums = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(basis) for b in [*basis[i:], "value"]]
+    moments = work.groupBy(*keys, "_mid", "_half", "_steps").agg(F.array(*sums).alias("_sums"))
+    schema = ", ".join([*(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys), "coefficients array<double>"])
+
+    def solve(batches):
+        for pdf in batches:
+            found = []
+            for mid, half, steps, sums in zip(pdf["_mid"], pdf["_half"], pdf["_steps"], pdf["_sums"]):
+                m, y, place = np.zeros((degree + 1, degree + 1)), np.zeros(degree + 1), 0
+                for i in range(degree + 1):
+                    m[i, i:] = m[i:, i] = sums[place : place + degree + 1 - i]
+                    y[i] = sums[place + degree + 1 - i]
+                    place += degree + 2 - i
+                if steps <= degree:
+                    found.append(None)
+                    continue
+                powers = np.polynomial.Chebyshev(np.linalg.solve(m, y), domain=[mid - half, mid + half]).convert(kind=np.polynomial.Polynomial, domain=[-1, 1], window=[-1, 1])
+                found.append(np.pad(powers.coef, (0, degree + 1 - len(powers.coef)))[::-1].tolist())
+            yield pdf[keys].assign(coefficients=found)
+
+    return moments.select(*keys, "_mid", "_half", "_steps", "_sums").mapInPandas(solve, schema)
 
 
 def detrend(series: DataFrame, trend: DataFrame, keys: list[str], kind: str = DAY) -> DataFrame:
@@ -133,13 +158,5 @@ def fill_gaps(series: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stationarity(series: DataFrame, keys: list[str], level: float = 0.05) -> DataFrame:
-    """Augmented Dickey-Fuller per series."""
-    schema = ", ".join([*(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys), "statistic double, p_value double, lags int, stationary boolean"])
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        from seriesforge.functions.kernels import adf_test
-
-        stat, p, lags = adf_test(pdf.sort_values("t")["value"].to_numpy(float))
-        return pd.DataFrame([[*pdf[keys].iloc[0], stat, p, lags, p < level]], columns=[*keys, "statistic", "p_value", "lags", "stationary"])
-
-    return series.select(*keys, "t", "value").groupBy(*keys).applyInPandas(test, schema)
+    """Augmented Dickey-Fuller per series, from moments summed over blocks of it."""
+    return blocks.adf(series, keys, level)

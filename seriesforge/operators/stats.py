@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesforge.operators.blocks import autocorrelation as autocorrelation
+
 
 def moments(series: DataFrame, keys: list[str]) -> DataFrame:
     """Population moments; kurtosis is the excess."""
@@ -24,6 +26,35 @@ def percentiles(df: DataFrame, keys: list[str], column: str, at: list[float]) ->
     return df.groupBy(*keys).agg(*(F.percentile(column, F.lit(p)).alias(f"p{round(p * 100)}") for p in at))
 
 
+def refined_percentiles(df: DataFrame, keys: list[str], column: str, at: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(keys, p, value): exact percentiles as ``percentiles`` gives them, of groups that fit no task.
+
+    A mergeable rank sketch brackets each percentile; a second pass counts what
+    lies below the bracket and the few distinct values in it, and the order
+    statistics are read from running counts. A group whose bracket should miss
+    its percentile fails the job.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"))
+    margin = 4.0 / accuracy
+    ends = [min(1.0, max(0.0, p + d)) for p in at for d in (-margin, margin)]
+    sketch = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", ends, accuracy).alias("_q"))
+    few = F.col("_n") <= 2 * accuracy  # where a rank may be more than the margin
+    low = lambda i, p: F.when(few | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_q")[2 * i])
+    high = lambda i, p: F.when(few | F.lit(p >= 1 - margin), F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
+    brackets = F.array(*(F.struct(F.lit(p).alias("p"), low(i, p).alias("low"), high(i, p).alias("high")) for i, p in enumerate(at)))
+    sketch = sketch.select(*keys, "_n", brackets.alias("_brackets"))
+    rows = rows.join(sketch, keys) if keys else rows.crossJoin(F.broadcast(sketch))  # one row
+    placed = rows.select(*keys, "_n", "_v", F.explode(F.filter("_brackets", lambda b: F.col("_v") <= b["high"])).alias("_b"))
+    counts = placed.groupBy(*keys, "_n", F.col("_b.p").alias("p"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("_v"))  # the values of a bracket
+    reached = counts.withColumn("_run", F.sum("_c").over(run))
+    place = F.col("p") * (F.col("_n") - 1)
+    found = lambda rank: F.min(F.when(F.col("_run") > rank, F.struct(F.col("_v").isNotNull().alias("inside"), F.col("_v").alias("v"))))
+    out = reached.withColumn("_place", place).groupBy(*keys, "p").agg(F.max("_place").alias("_place"), found(F.floor("_place")).alias("_a"), found(F.ceil("_place")).alias("_b"))
+    checked = F.when(F.col("_a.inside") & F.col("_b.inside"), F.col("_a.v") + (F.col("_place") - F.floor("_place")) * (F.col("_b.v") - F.col("_a.v"))).otherwise(F.raise_error(F.lit("a percentile outside of its bracket")).cast("double"))
+    return out.select(*keys, "p", checked.alias("value"))
+
+
 def percentile_of(df: DataFrame, keys: list[str], column: str, observed: Column, strict: bool = True) -> DataFrame:
     """Share, in per cent, of values under (or up to) an observed one."""
     under = F.col(column) < observed if strict else F.col(column) <= observed
@@ -39,16 +70,6 @@ def density(df: DataFrame, keys: list[str], column: str, low: float, high: float
     return inside.withColumn("density", F.col("n") / (total * width))
 
 
-def autocorrelation(series: DataFrame, keys: list[str], lags: int) -> DataFrame:
-    """Biased: lagged products over all squares, lags from 0."""
-    means = series.groupBy(*keys).agg(F.avg("value").alias("_m"))
-    x = series.join(means, keys).select(*keys, "t", (F.col("value") - F.col("_m")).alias("_x"))
-    total = x.groupBy(*keys).agg(F.sum(F.col("_x") * F.col("_x")).alias("_all"))
-    shifted = x.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(lags)))).select(*keys, (F.col("t") - F.col("lag")).alias("t"), "lag", F.col("_x").alias("_y"))
-    sums = x.join(shifted, [*keys, "t"]).groupBy(*keys, "lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
-    return sums.join(total, keys).select(*keys, "lag", F.try_divide("_s", "_all").alias("acf"))
-
-
 def lag1(series: DataFrame, keys: list[str]) -> DataFrame:
     """AR(1) fit: clipped lag-one Pearson correlation, innovation spread and memory."""
     w = Window.partitionBy(*keys).orderBy("t")

@@ -81,11 +81,6 @@ def fill_gaps(spark, sf_dir):
     return rounded(preprocess.fill_gaps(s, K).select("series_id", "t", "value"), 6)
 
 
-@query()
-def adf(spark, sf_dir):
-    return rounded(preprocess.stationarity(residuals(spark, sf_dir), K), 6)
-
-
 # --- ranks and quantiles
 
 

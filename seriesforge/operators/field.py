@@ -114,6 +114,18 @@ def _signed(raw: DataFrame, pcs: DataFrame, spectrum: DataFrame) -> tuple[DataFr
     return eofs, pcs, spectrum
 
 
+def eofs_as_field(eofs: DataFrame, cells: DataFrame) -> DataFrame:
+    """(mode, rlat, rlon, loading): patterns without their weights, modes from 1."""
+    placed = with_weights(eofs, cells).join(cells.select("cell_id", "rlat", "rlon"), "cell_id")
+    return placed.select((F.col("mode") + 1).alias("mode"), "rlat", "rlon", (F.col("loading") / F.col("weight")).alias("loading"))
+
+
+def eof_summary(spectrum: DataFrame) -> DataFrame:
+    """(mode, var_pct, cumulative_pct, s): modes from 1."""
+    run = Window.orderBy("mode").rowsBetween(Window.unboundedPreceding, 0)  # a row per mode
+    return spectrum.select((F.col("mode") + 1).alias("mode"), (100 * F.col("expvar")).alias("var_pct"), (100 * F.sum("expvar").over(run)).alias("cumulative_pct"), "s")
+
+
 def project(field: DataFrame, cells: DataFrame, eofs: DataFrame) -> DataFrame:
     """(mode, t, value): the weighted field on the modes."""
     return with_weights(field, cells).join(eofs, "cell_id").groupBy("mode", "t").agg(F.sum(F.col("value") * F.col("weight") * F.col("loading")).alias("value"))

@@ -211,11 +211,6 @@ def field_calibration_split(spark, sf_dir):
     return validation.field_calibration_split(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir), 2, 10, 2, 12)
 
 
-@query()
-def component_metrics(spark, sf_dir):
-    return validation.component_metrics(_field_residuals(spark, sf_dir), nation_cells(spark, sf_dir), 4, NPERSEG)
-
-
 # --- selection
 
 

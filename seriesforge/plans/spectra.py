@@ -414,14 +414,6 @@ def eof_reconstruct(spark, sf_dir):
     return rounded(field.reconstruct(field.project(_field_residuals(spark, sf_dir), cells, e), e, cells))
 
 
-@query()
-def eof_fit(spark, sf_dir):
-    cells = nation_cells(spark, sf_dir)
-    eofs, pcs, spectrum = field.fit_eofs(_field_residuals(spark, sf_dir), cells, 4)
-    n = pcs.agg(F.max("t")).first()[0] + 1
-    return field.north_rule(spectrum, n).join(pcs.groupBy("mode").agg(F.var_pop("value").alias("pc_variance")), "mode")
-
-
 @query(with_(PATTERNS + ", lm AS (SELECT mode, sqrt(sum(value * value)) AS sv FROM pj GROUP BY 1), nr AS (SELECT mode, sv, sv * sv AS l, lag(sv * sv) OVER (ORDER BY mode) AS p, lead(sv * sv) OVER (ORDER BY mode) AS q FROM lm)", f"SELECT mode, round(l * {float(np.sqrt(2 / 80))!r}e0, 1) AS error, round(least(coalesce(p - l, 1e300), coalesce(l - q, 1e300)), 1) > round(l * {float(np.sqrt(2 / 80))!r}e0, 1) AS separable FROM nr"))
 def north_rule(spark, sf_dir):
     s = field.project(_field_residuals(spark, sf_dir), nation_cells(spark, sf_dir), _patterns(spark, sf_dir)).groupBy("mode").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("s"))

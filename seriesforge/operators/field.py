@@ -169,30 +169,36 @@ def coherence_table(field: DataFrame) -> DataFrame:
     return one.withColumn("suppression", kept).withColumn("coherence", F.try_divide(F.col("n_cells") * kept - 1, F.col("n_cells") - 1))
 
 
-def generate_field(field: DataFrame, cells: DataFrame, experiment, n_modes: int = 4, nperseg: int = 30) -> DataFrame:
-    """(experiment, member, cell_id, t, value): each mode is a series of its own.
+def generate_fields(field: DataFrame, cells: DataFrame, suite: list, n_modes: int = 4, nperseg: int = 30) -> DataFrame:
+    """(experiment, member, cell_id, t, value) of all experiments in one job: each mode is a series of its own.
 
     Modes without variance (below 1e-10) are left out. The seed of a mode and
-    member is ``seed + member + mode * (n_members + 1)``.
+    member is ``seed + member + mode * (n_members + 1)``. Trend, seasons and modes
+    are fitted once.
     """
     from seriesforge.operators import gaussian, preprocess, spectral
     from seriesforge.operators.synthesis import synthesize
+    from seriesforge.plans.experiments import experiments_table
 
     keys = ["cell_id"]
     model = preprocess.fit(field, keys, preprocess.STEP, centre=True)
     resid = preprocess.transform(field, model).select("cell_id", "ts", "t", "month", "value")
-    eofs, pcs, _ = fit_eofs(resid.cache(), cells, n_modes)
-    eofs = eofs.cache()
+    eofs, pcs, _ = fit_eofs(resid, cells, n_modes)
     alive = pcs.groupBy("mode").agg(F.var_pop("value").alias("v")).where("v >= 1e-10").select("mode")
     pcs = pcs.join(F.broadcast(alive), "mode", "left_semi")  # a row per mode
-    pcs = pcs.cache()
     scores = gaussian.gaussianize(pcs, ["mode"]).select("mode", "t", F.col("g").alias("value"))
     quantiles = gaussian.fit_quantiles(pcs, ["mode"])
     psd = spectral.welch(scores, ["mode"], nperseg)
-    seed = F.col("seed") + F.col("member") + F.col("mode") * (experiment.n_members + 1)
-    members = synthesize(psd, ["mode"], [experiment], seed=seed)
+    seed = F.col("seed") + F.col("member") + F.col("mode") * (F.col("n_members") + 1)
+    members = synthesize(psd, ["mode"], suite, seed=seed)
     spread = pcs.groupBy("mode").agg(F.avg("value").alias("_m"))
     back = gaussian.inverse_gaussianize(members, quantiles, ["experiment", "mode", "member"]).join(F.broadcast(spread), "mode")
     out = reconstruct(back.select("experiment", "mode", "member", "t", "value"), eofs, cells, ["experiment", "member"])
-    dated = out.withColumn("ts", F.expr("add_months(date'1979-01-01', t)")).withColumn("month", F.month("ts"))
-    return preprocess.inverse_transform(dated, model, season_scale=experiment.seasonal_amplitude, add_mean=True).select("experiment", "member", "cell_id", "t", "value")
+    scale = F.broadcast(experiments_table(field.sparkSession, suite).select(F.col("name").alias("experiment"), F.sqrt("seasonal_scale").alias("_a")))  # a row per experiment
+    dated = out.withColumn("ts", F.expr("add_months(date'1979-01-01', t)")).withColumn("month", F.month("ts")).join(scale, "experiment")
+    return preprocess.inverse_transform(dated, model, season_scale=F.col("_a"), add_mean=True).select("experiment", "member", "cell_id", "t", "value")
+
+
+def generate_field(field: DataFrame, cells: DataFrame, experiment, n_modes: int = 4, nperseg: int = 30) -> DataFrame:
+    """``generate_fields`` of one experiment."""
+    return generate_fields(field, cells, [experiment], n_modes, nperseg)

@@ -42,6 +42,17 @@ def compute_metrics(observed: DataFrame, ensemble: DataFrame, keys: list[str], n
     return out
 
 
+def suite_metrics(series: DataFrame, keys: list[str], suite: list[Experiment] | None = None, nperseg: int = 60) -> DataFrame:
+    """Fit, generate the suite and score it, for all series at once: one row per experiment and series."""
+    model = synthesis.fit_generator(series, keys, nperseg)
+    return compute_metrics(series, synthesis.generate(model, suite or Experiment.standard_suite()), keys, nperseg)
+
+
+def metrics_table(metrics: DataFrame, experiment: str = "baseline") -> DataFrame:
+    """The scores of one experiment, a row for each series."""
+    return metrics.where(F.col("experiment") == experiment).drop("experiment")
+
+
 def convergence(observed: DataFrame, ensemble: DataFrame, keys: list[str], counts: list[int]) -> DataFrame:
     """Ratios for the first n members; members do not depend on how many there are."""
     table = ensemble.sparkSession.createDataFrame([(c,) for c in counts], "n_members int")

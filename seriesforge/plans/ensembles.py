@@ -208,7 +208,7 @@ def half_map_metrics(spark, sf_dir):
 
 @query()
 def field_calibration_split(spark, sf_dir):
-    return validation.field_calibration_split(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir), 2, 10, 2, 12)
+    return validation.field_calibration_split(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir))
 
 
 # --- selection
@@ -216,12 +216,7 @@ def field_calibration_split(spark, sf_dir):
 
 @query(with_(CATALOG, "SELECT r.region, s.subregion FROM (SELECT DISTINCT region FROM cat WHERE region IS NOT NULL) r JOIN (SELECT DISTINCT region, subregion FROM cat WHERE subregion IS NOT NULL) s USING (region)"))
 def catalog_regions(spark, sf_dir):
-    c = _catalog(spark, sf_dir)
-    out = None
-    for row in c.regions().collect():  # a handful of regions
-        part = c.subregions(row["region"]).withColumn("region", F.lit(row["region"]))
-        out = part if out is None else out.unionByName(part)
-    return out.select("region", "subregion")
+    return _catalog(spark, sf_dir).region_tree()
 
 
 @query("SELECT n_name, CAST(row_number() OVER (ORDER BY n_name != 'PERU', n_name) AS BIGINT) AS place FROM nation")

@@ -11,6 +11,7 @@ from seriesforge.operators import field, validation
 from seriesforge.plans.relational import query, rounded
 from seriesforge.plans.spectra import FRESID, NPERSEG, _field_residuals
 from seriesforge.plans.sql import FIELD, welch, with_
+from seriesforge.plans.synthetic import renamed_welch
 from seriesforge.sources import geometry, netcdf
 from seriesforge.sources.frames import nation_cells, nation_month_field, table
 from seriesforge.sources.intermediate import shared_dir
@@ -126,9 +127,7 @@ def eof_summary(spark, sf_dir):
 
 def _component_sql() -> str:
     ranked = f"{eofs_sql(4)}, hp AS (SELECT mode, t, (row_number() OVER (PARTITION BY mode ORDER BY value, t) - 5e-1) / count(*) OVER (PARTITION BY mode) AS p FROM pj), g AS (SELECT mode, t, {norm_ppf_sql('p')} AS value FROM hp)"
-    fine = welch("g", "", 40, "mode").lstrip(",\n")
-    for name in ("wc", "ws", "wt", "we", "wp"):
-        fine = fine.replace(f"{name} AS (", f"o{name} AS (").replace(f"FROM {name})", f"FROM o{name})").replace(f"FROM {name} ", f"FROM o{name} ").replace(f"JOIN {name} ", f"JOIN o{name} ")
+    fine = renamed_welch("g", 40, "mode", "o")
     return with_(
         f"""{welch("g", ranked, NPERSEG, "mode")}, {fine}, us AS (SELECT mode, k, least(k * {NPERSEG / 40!r}e0, {NPERSEG // 2}e0) AS pos FROM owp), ul AS (SELECT *, CAST(least(floor(pos), {NPERSEG // 2 - 1}) AS BIGINT) AS lo FROM us),
 ui AS (SELECT ul.mode, ul.k, a.psd + (pos - lo) * (z.psd - a.psd) AS used FROM ul JOIN wp a ON a.mode = ul.mode AND a.k = lo JOIN wp z ON z.mode = ul.mode AND z.k = lo + 1),

@@ -433,7 +433,7 @@ def map_correlation(spark, sf_dir):
 
 @query()
 def field_generate(spark, sf_dir):
-    e = field.generate_field(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir), Experiment(5, 2, 0), 2, NPERSEG)
+    e = field.generate_field(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir), Experiment(50, 10, 0), 4, NPERSEG)
     return e.groupBy("member", "cell_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels, philox
 from seriesforge.functions.normal import norm_cdf_sql, norm_ppf_sql
-from seriesforge.operators import synthesis, validation
+from seriesforge.operators import figures, spectral, synthesis, validation
 from seriesforge.plans import suite
 from seriesforge.plans.experiments import ANNUAL, DECADAL, Experiment
 from seriesforge.plans.relational import K, query, rounded
@@ -63,6 +63,14 @@ sn AS (SELECT series_id, month, any_value(season) AS season FROM r GROUP BY 1, 2
 en AS (SELECT experiment, series_id, member, t, month, g, resid, resid + amp * coalesce(season, 0e0) + mean AS value FROM rs JOIN ex USING (experiment) JOIN me USING (series_id) LEFT JOIN sn USING (series_id, month))""".replace("SELECT gs.*, n, loc", "SELECT gs.experiment, gs.series_id, member, t, g, u, n, loc")
 
 
+def renamed_welch(source: str, nperseg: int, by: str, mark: str) -> str:
+    """CTEs of Welch spectra whose names start with ``mark``, beside others."""
+    out = welch(source, "", nperseg, by).lstrip(",\n")
+    for name in ("wc", "ws", "wt", "we", "wp"):
+        out = out.replace(f"{name} AS (", f"{mark}{name} AS (").replace(f"FROM {name})", f"FROM {mark}{name})").replace(f"FROM {name} ", f"FROM {mark}{name} ").replace(f"JOIN {name} ", f"JOIN {mark}{name} ")
+    return out
+
+
 def band_power_sql(low: float, high: float, name: str = "bp", source: str = "en") -> str:
     """CTE (experiment, series_id, member, v): periodogram power in a band, from the band's bins alone."""
     return f"""{name} AS (SELECT experiment, series_id, member, sum((c * c + s * s) * CASE WHEN 2 * k = n THEN 1e0 ELSE 2e0 END) / (n * CAST(n AS DOUBLE)) AS v FROM (
@@ -100,9 +108,7 @@ def _checks_sql(n_check: int = 20, n_years: int = 100) -> str:
     n = 1 + (80 - NPERSEG) // (NPERSEG - NPERSEG // 2)
     quantiles = ", ".join(f"({k}, {kernels.chi2_ppf(0.975, 2 * k)!r}e0, {kernels.chi2_ppf(0.025, 2 * k)!r}e0)" for k in range(1, n + 3))
     made = members_sql([Experiment(n_years, n_check, 0)])
-    spectra = welch("(SELECT series_id, member, t, g AS value FROM gs)", "", NPERSEG, "series_id, member").lstrip(",\n")
-    for name in ("wc", "ws", "wt", "we", "wp"):  # names of their own beside those of the series
-        spectra = spectra.replace(f"{name} AS (", f"m{name} AS (").replace(f"FROM {name})", f"FROM m{name})").replace(f"FROM {name} ", f"FROM m{name} ").replace(f"JOIN {name} ", f"JOIN m{name} ")
+    spectra = renamed_welch("(SELECT series_id, member, t, g AS value FROM gs)", NPERSEG, "series_id, member", "m")
     return with_(
         f"""{made}, {spectra}, qu(n_segments, hi, lo) AS (VALUES {quantiles}), sp AS (SELECT series_id, avg(v) AS mean_variance, stddev_pop(v) AS std_variance FROM (SELECT series_id, member, var_pop(g) AS v FROM gs GROUP BY 1, 2) GROUP BY 1),
 mp AS (SELECT series_id, k, avg(psd) AS p FROM mwp GROUP BY 1, 2),
@@ -159,9 +165,7 @@ RATIO_PAIR = [BASELINE, Experiment.scaled("annual", ANNUAL, 10.0, **SIZES)]
 
 
 def _ratio_sql() -> str:
-    spectra = welch("en", "", NPERSEG, "experiment, series_id, member").lstrip(",\n")
-    for name in ("wc", "ws", "wt", "we", "wp"):
-        spectra = spectra.replace(f"{name} AS (", f"m{name} AS (").replace(f"FROM {name})", f"FROM m{name})").replace(f"FROM {name} ", f"FROM m{name} ").replace(f"JOIN {name} ", f"JOIN m{name} ")
+    spectra = renamed_welch("en", NPERSEG, "experiment, series_id, member", "m")
     inside = f"freq BETWEEN {1 / ANNUAL[1]!r}e0 AND {1 / ANNUAL[0]!r}e0"
     ctes = f"{ensemble_sql(RATIO_PAIR)}, {spectra}, po AS (SELECT experiment, series_id, sum(CASE WHEN {inside} THEN psd ELSE 0e0 END) AS i, sum(CASE WHEN {inside} THEN 0e0 ELSE psd END) AS o FROM mwp WHERE k > 0 GROUP BY 1, 2)"
     return with_(ctes, "SELECT series_id, round(z.i / nullif(a.i, 0), 6) AS in_band, round(z.o / a.o, 6) AS out_of_band FROM (SELECT * FROM po WHERE experiment = 'baseline') a JOIN (SELECT * FROM po WHERE experiment = 'annual') z USING (series_id)")
@@ -202,11 +206,109 @@ def calibration_split(spark, sf_dir):
     return rounded(validation.calibration_split(region_month_series(spark, sf_dir), K), 6)
 
 
-@query()
+METRIC_PAIR = [BASELINE, Experiment.annual_enhanced(**SIZES)]
+BOTH = "experiment, series_id"
+METRICS = f"""{ensemble_sql(METRIC_PAIR)}, {renamed_welch("(SELECT * FROM en WHERE member = 0)", NPERSEG, BOTH, "m")}, {renamed_welch("s", NPERSEG, "series_id", "o")},
+xm AS (SELECT {BOTH}, avg(value) AS m, var_pop(value) AS v FROM en GROUP BY 1, 2), xo AS (SELECT series_id, avg(value) AS m, var_pop(value) AS v FROM s GROUP BY 1),
+bo AS (SELECT {BOTH}, value, 1 AS second FROM en UNION ALL SELECT experiment, series_id, value, 0 FROM s, ex), bc AS (SELECT {BOTH}, value, sum(1 - second) AS a, sum(second) AS b2 FROM bo GROUP BY 1, 2, 3),
+bk AS (SELECT {BOTH}, max(abs(fa - fb)) AS ks FROM (SELECT {BOTH}, sum(a) OVER w / sum(a) OVER (PARTITION BY {BOTH}) AS fa, sum(b2) OVER w / sum(b2) OVER (PARTITION BY {BOTH}) AS fb FROM bc WINDOW w AS (PARTITION BY {BOTH} ORDER BY value)) GROUP BY 1, 2),
+pr AS (SELECT {BOTH}, sqrt(avg(pow(log10(mwp.psd) - log10(owp.psd), 2))) AS rms FROM mwp JOIN owp USING (series_id, k) WHERE k > 0 GROUP BY 1, 2),
+ac AS (SELECT {BOTH}, t, value - avg(value) OVER (PARTITION BY {BOTH}) AS x FROM (SELECT {BOTH}, t, value FROM en WHERE member = 0 UNION ALL SELECT 'observed', series_id, t, value FROM s)),
+al AS (SELECT {BOTH}, lag, t + lag AS t, x FROM ac CROSS JOIN (VALUES (1), (12)) l(lag)),
+aa AS (SELECT {BOTH}, lag, sum(al.x * ac.x) / any_value(v) AS acf FROM al JOIN ac USING (experiment, series_id, t) JOIN (SELECT {BOTH}, sum(x * x) AS v FROM ac GROUP BY 1, 2) q USING (experiment, series_id) GROUP BY 1, 2, 3),
+ae AS (SELECT e.experiment, series_id, max(CASE WHEN lag = 1 THEN abs(e.acf - o.acf) END) AS e1, max(CASE WHEN lag = 12 THEN abs(e.acf - o.acf) END) AS e12 FROM aa e JOIN aa o USING (series_id, lag) WHERE o.experiment = 'observed' AND e.experiment != 'observed' GROUP BY 1, 2),
+sm AS (SELECT {BOTH}, sqrt(avg(pow(e.v - o.v, 2))) AS rmse FROM (SELECT {BOTH}, month, avg(value) AS v FROM en GROUP BY 1, 2, 3) e JOIN (SELECT series_id, month, avg(value) AS v FROM s GROUP BY 1, 2) o USING (series_id, month) GROUP BY 1, 2)"""
+SCORES = "round(xm.m / xo.m, 6) AS mean_ratio, round(xm.v / xo.v, 6) AS variance_ratio, round(ks, 6) AS ks_distance, round(rms, 6) AS psd_rms, round(e1, 6) AS acf_lag1_error, round(e12, 6) AS acf_lag12_error, round(rmse, 3) AS seasonal_rmse FROM xm JOIN xo USING (series_id) JOIN bk USING (experiment, series_id) JOIN pr USING (experiment, series_id) JOIN ae USING (experiment, series_id) JOIN sm USING (experiment, series_id)"
+
+
+@query(with_(METRICS, f"SELECT experiment, series_id, {SCORES}"))
 def ensemble_metrics(spark, sf_dir):
-    s = region_month_series(spark, sf_dir)
-    ensemble = synthesis.generate(_model(spark, sf_dir), [BASELINE, Experiment.annual_enhanced(**SIZES)])
-    return validation.compute_metrics(s, ensemble, K, NPERSEG)
+    return rounded(validation.suite_metrics(region_month_series(spark, sf_dir), K, METRIC_PAIR, NPERSEG), 6, seasonal_rmse=3)
+
+
+@query(with_(METRICS, f"SELECT series_id, {SCORES} WHERE experiment = 'baseline'"))
+def metrics_by_series(spark, sf_dir):
+    return rounded(validation.metrics_table(validation.suite_metrics(region_month_series(spark, sf_dir), K, METRIC_PAIR, NPERSEG)), 6, seasonal_rmse=3)
+
+
+# --- what figures show
+
+
+def _with_members(spark, sf_dir):
+    return region_month_series(spark, sf_dir), synthesis.generate(_model(spark, sf_dir), [BASELINE]).drop("experiment")
+
+
+MADE = ensemble_sql([BASELINE])
+SEGMENTS = spectral.segment_count(80, NPERSEG)
+
+
+@query(
+    with_(
+        f"{MADE}, {renamed_welch('en', NPERSEG, 'series_id, member', 'm')}, {renamed_welch('s', NPERSEG, 'series_id', 'o')}, mp AS (SELECT series_id, k, avg(psd) AS p FROM mwp GROUP BY 1, 2), ch(n_segments, hi, lo) AS (VALUES {', '.join(f'({k}, {kernels.chi2_ppf(0.975, 2 * k)!r}e0, {kernels.chi2_ppf(0.025, 2 * k)!r}e0)' for k in range(1, SEGMENTS + 3))})",
+        "SELECT series_id, k, round(freq, 6) AS freq, round(psd, 1) AS observed, round(psd * 2 * n_segments / hi, 1) AS ci_lower, round(psd * 2 * n_segments / lo, 1) AS ci_upper, round(p, 1) AS synthetic FROM owp JOIN mp USING (series_id, k) JOIN ch USING (n_segments) WHERE k > 0",
+    )
+)
+def spectrum_panel(spark, sf_dir):
+    return rounded(figures.spectrum_panel(*_with_members(spark, sf_dir), K, NPERSEG), 1, freq=6)
+
+
+@query(
+    with_(
+        f"{MADE}, bo AS (SELECT series_id, value, 0 AS made FROM s UNION ALL SELECT series_id, value, 1 FROM en), sp AS (SELECT series_id, min(value) AS lo, max(value) - min(value) AS w, sum(1 - made) AS n0, sum(made) AS n1 FROM bo GROUP BY 1)",
+        "SELECT series_id, CAST(least(floor((value - lo) / w * 45), 44) AS INTEGER) AS bin, round(any_value(lo) + CAST(least(floor((value - lo) / w * 45), 44) AS INTEGER) * any_value(w) / 45, 3) AS low, round(sum(1 - made) / any_value(n0 * w / 45), 8) AS observed, round(sum(made) / any_value(n1 * w / 45), 8) AS synthetic FROM bo JOIN sp USING (series_id) GROUP BY 1, 2",
+    )
+)
+def density_panel(spark, sf_dir):
+    return rounded(figures.density_panel(*_with_members(spark, sf_dir), K), 8, low=3)
+
+
+@query(
+    with_(
+        f"{MADE}, ac AS (SELECT series_id, member, t, value - avg(value) OVER (PARTITION BY series_id, member) AS x FROM (SELECT series_id, member, t, value FROM en UNION ALL SELECT series_id, -1, t, value FROM s)), al AS MATERIALIZED (SELECT series_id, member, lag, t + lag AS t, x FROM ac CROSS JOIN range(0, 37) l(lag)), aa AS (SELECT series_id, member, lag, sum(al.x * ac.x) / any_value(v) AS acf FROM al JOIN ac USING (series_id, member, t) JOIN (SELECT series_id, member, sum(x * x) AS v FROM ac GROUP BY 1, 2) q USING (series_id, member) GROUP BY 1, 2, 3)",
+        "SELECT series_id, CAST(lag AS INTEGER) AS lag, round(max(CASE WHEN member = -1 THEN acf END), 6) + 0e0 AS observed, round(avg(CASE WHEN member >= 0 THEN acf END), 6) + 0e0 AS synthetic FROM aa GROUP BY 1, 2",
+    )
+)
+def autocorrelation_panel(spark, sf_dir):
+    return rounded(figures.autocorrelation_panel(*_with_members(spark, sf_dir), K), 6)
+
+
+@query(
+    with_(
+        f"{MADE}, mm AS (SELECT series_id, member, month, avg(value) AS v FROM en GROUP BY 1, 2, 3), mt AS (SELECT series_id, month, quantile_cont(v, 5e-2) AS low, quantile_cont(v, 95e-2) AS high FROM mm GROUP BY 1, 2), ma AS (SELECT series_id, month, avg(value) AS v FROM en GROUP BY 1, 2), mo AS (SELECT series_id, month, avg(value) AS v FROM s GROUP BY 1, 2)",
+        "SELECT series_id, month, round(mo.v, 3) AS observed, round(ma.v, 3) AS synthetic, round(low, 3) AS low, round(high, 3) AS high FROM mo JOIN ma USING (series_id, month) JOIN mt USING (series_id, month)",
+    )
+)
+def season_panel(spark, sf_dir):
+    return rounded(figures.season_panel(*_with_members(spark, sf_dir), K), 3)
+
+
+YEARS = 5
+YEARLY = "ye AS (SELECT series_id, member, t // 12 AS year, avg(value) AS value FROM (SELECT series_id, member, t, value FROM en UNION ALL SELECT series_id, -1, t, value FROM s) GROUP BY 1, 2, 3 HAVING count(*) = 12)"
+
+
+@query(
+    with_(
+        f"{MADE}, {YEARLY}, wi AS (SELECT series_id, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS std, max(value) OVER w - min(value) OVER w AS range, count(*) OVER w AS n FROM ye WHERE member >= 0 WINDOW w AS (PARTITION BY series_id, member ORDER BY year ROWS BETWEEN CURRENT ROW AND {YEARS - 1} FOLLOWING)), wl AS (UNPIVOT (SELECT series_id, mean, std, range FROM wi WHERE n = {YEARS}) ON mean, std, range INTO NAME statistic VALUE v), ol AS (UNPIVOT (SELECT series_id, avg(value) AS mean, stddev_pop(value) AS std, max(value) - min(value) AS range FROM ye WHERE member = -1 GROUP BY 1) ON mean, std, range INTO NAME statistic VALUE o)",
+        "SELECT series_id, statistic, round(any_value(o), 3) AS observed, round(quantile_cont(v, 5e-2), 3) AS p5, round(quantile_cont(v, 5e-1), 3) AS median, round(quantile_cont(v, 95e-2), 3) AS p95, round(100 * avg(CASE WHEN v < o THEN 1e0 ELSE 0e0 END), 6) AS percentile FROM wl JOIN ol USING (series_id, statistic) GROUP BY 1, 2",
+    )
+)
+def window_panel(spark, sf_dir):
+    return rounded(figures.window_panel(*_with_members(spark, sf_dir), K, YEARS), 3, percentile=6)
+
+
+@query(with_(f"{MADE}, {YEARLY}, rk AS (SELECT *, row_number() OVER (PARTITION BY series_id, member ORDER BY value DESC, year) AS rank, count(*) OVER (PARTITION BY series_id, member) AS n FROM ye)", "SELECT series_id, CAST(member AS INTEGER) AS member, CAST(year AS INTEGER) AS year, round(value, 3) AS value, rank, round((n + 1) / rank, 6) AS return_period FROM rk"))
+def return_panel(spark, sf_dir):
+    return rounded(figures.return_panel(*_with_members(spark, sf_dir), K), 3, return_period=6)
+
+
+@query(with_(f"{ensemble_sql(RATIO_PAIR)}, {renamed_welch('en', NPERSEG, 'experiment, series_id, member', 'm')}", f"SELECT experiment, series_id, k, round(any_value(freq), 6) AS freq, round(avg(psd), 1) AS psd, CASE WHEN any_value(freq) BETWEEN {1 / ANNUAL[1]!r}e0 AND {1 / ANNUAL[0]!r}e0 THEN 'annual' WHEN any_value(freq) BETWEEN {1 / DECADAL[1]!r}e0 AND {1 / DECADAL[0]!r}e0 THEN 'decadal' ELSE 'none' END AS band FROM mwp WHERE k > 0 GROUP BY 1, 2, 3"))
+def band_panel(spark, sf_dir):
+    return rounded(figures.band_panel(synthesis.generate(_model(spark, sf_dir), RATIO_PAIR), K, {"annual": ANNUAL, "decadal": DECADAL}, NPERSEG), 1, freq=6)
+
+
+@query(with_(f"{ensemble_sql(RATIO_PAIR)}, xc AS (SELECT experiment, series_id, t, value - avg(value) OVER (PARTITION BY experiment, series_id) AS value FROM en WHERE member = 0)", "SELECT experiment, series_id, CAST(t AS INTEGER) AS t, round(value, 2) + 0e0 AS value FROM xc WHERE t < 240"))
+def series_excerpts(spark, sf_dir):
+    return rounded(figures.excerpts(synthesis.generate(_model(spark, sf_dir), RATIO_PAIR), K, 240), 2)
 
 
 @query()

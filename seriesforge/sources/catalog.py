@@ -75,6 +75,10 @@ class Catalog:
         out = self.entries if region is None else self.entries.where(F.lower("region").contains(region.lower()))
         return out.where("subregion is not null").select("subregion").distinct().orderBy("subregion")
 
+    def region_tree(self) -> DataFrame:
+        """(region, subregion): the named subregions of every region."""
+        return self.entries.where("region is not null and subregion is not null").select("region", "subregion").distinct()
+
     def by_region(self, column: str = "region") -> DataFrame:
         return self.entries.groupBy(F.coalesce(column, F.lit("Unknown")).alias(column)).agg(F.sort_array(F.collect_list("key")).alias("keys"))
 

@@ -173,6 +173,12 @@ def counter_phases(count: int, seed: int, member: int) -> np.ndarray:
     return np.pi * (2.0 * philox.uniform(np.arange(count), member, seed) - 1.0)
 
 
+def counter_normals(count: int, member: int, key: int) -> np.ndarray:
+    """Standard normal numbers of the steps of a member (Box-Muller), each drawn at its place."""
+    t = np.arange(count)
+    return np.sqrt(-2.0 * np.log(philox.uniform(2 * t, member, key))) * np.cos(2.0 * np.pi * philox.uniform(2 * t + 1, member, key))
+
+
 def synthesize(amplitude: np.ndarray, n: int, phases: np.ndarray) -> np.ndarray:
     """Phase-randomised unit-variance record."""
     phases = phases.copy()
@@ -193,13 +199,12 @@ def ar1_fit(x: np.ndarray) -> tuple[float, float]:
     return phi, float(x.std() * math.sqrt(max(1e-12, 1 - phi * phi)))
 
 
-def ar1_surrogates(n: int, phi: float, sigma: float, rngs: list[np.random.Generator]) -> np.ndarray:
-    """A record of each random stream: one step for all of them at a time."""
-    noise = np.stack([rng.normal(0, sigma, n) for rng in rngs], axis=1)
+def ar1_surrogates(noise: np.ndarray, phi: float) -> np.ndarray:
+    """A record for each row of noise, from 0 on: one step for all of them at a time."""
     out = np.zeros_like(noise)
-    for i in range(1, n):
-        out[i] = phi * out[i - 1] + noise[i]
-    return out.T
+    for i in range(1, noise.shape[1]):
+        out[:, i] = phi * out[:, i - 1] + noise[:, i]
+    return out
 
 
 # MacKinnon (1994, 2010), one variable, with constant.

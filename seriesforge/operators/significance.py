@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesforge.functions import kernels
+from seriesforge.functions import kernels, philox
 
+NULLS = ("white", "ar1")
 BANDS = {"decadal": (8.0, 20.0), "annual": (0.8, 1.5)}
 
 
@@ -25,8 +26,12 @@ def surrogate_bands(series: DataFrame, keys: list[str], bands: dict[str, tuple[f
     """(keys, band, null, surrogate, variance): band variances of noise like the series.
 
     Surrogates are made in blocks, a task each; tapers are made once a block.
+    Each value is drawn at its step and surrogate, with a key made of the seed,
+    the null and the series.
     """
     stats = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("points"))  # one series
+    text = lambda null: f"concat_ws('|', '{null}', {', '.join(f'`{k}`' for k in keys)})"
+    stats = stats.select("*", *(F.expr(philox.key_sql(text(null), seed, philox.SPARK)).alias(f"_{null}") for null in NULLS))
     work = stats.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_surrogates - 1) // block))))
     work = work.repartition(max(series.sparkSession.sparkContext.defaultParallelism, int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "block")
     types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
@@ -38,10 +43,9 @@ def surrogate_bands(series: DataFrame, keys: list[str], bands: dict[str, tuple[f
                 phi, sigma = kernels.ar1_fit(x)
                 tapers = kernels.dpss(len(x), nw, max(1, int(2 * nw - 1)))
                 numbers = range(row["block"] * block, min(n_surrogates, (row["block"] + 1) * block))
-                streams = [np.random.default_rng([seed, s]) for s in numbers]
-                whites = [rng.normal(0, x.std(), len(x)) for rng in streams]
+                whites, reds = (np.stack([kernels.counter_normals(len(x), s, row[f"_{null}"]) for s in numbers]) for null in NULLS)
                 out = []
-                for null, records in (("white", whites), ("ar1", kernels.ar1_surrogates(len(x), phi, sigma, streams))):
+                for null, records in (("white", x.std() * whites), ("ar1", kernels.ar1_surrogates(sigma * reds, phi))):
                     for s, y in zip(numbers, records):
                         f, p = kernels.multitaper(y, fs, nw, tapers)
                         out += [(*(row[k] for k in keys), name, null, s, kernels.band_variance(f, p, *band)) for name, band in bands.items()]

@@ -280,32 +280,3 @@ def basin_or_all(spark, sf_dir):
 @query()
 def generator_checks(spark, sf_dir):
     return validation.validate_generator(_model(spark, sf_dir))
-
-
-# --- many series and long ones: the loads that grow with the tables
-
-
-def _line_series(spark, sf_dir, key: str, count: int) -> DataFrame:
-    """(series_id, t, value): the lines of a part or supplier in the order of their shipment."""
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "lineitem").select((F.col(key) % count).alias("series_id"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"))
-    order = Window.partitionBy("series_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    return lines.select("series_id", (F.row_number().over(order) - 1).alias("t"), "value")
-
-
-@query()
-def welch_many_series(spark, sf_dir):
-    """Thousands of series of some sixty steps."""
-    return spectral.welch(_line_series(spark, sf_dir, "l_partkey", 10_000), K, NPERSEG)
-
-
-@query()
-def multitaper_long_series(spark, sf_dir):
-    """Fifty series, of twelve thousand steps at sf0.1."""
-    return spectral.multitaper(_line_series(spark, sf_dir, "l_suppkey", 50), K)
-
-
-@query()
-def periodogram_long_series(spark, sf_dir):
-    return spectral.periodogram(_line_series(spark, sf_dir, "l_suppkey", 50), K)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels
 from seriesforge.functions.normal import norm_cdf_sql
-from seriesforge.operators import blocks, preprocess, stats
+from seriesforge.operators import blocks, preprocess, spectral, stats
 from seriesforge.plans.relational import K, query, residuals, rounded
-from seriesforge.plans.sql import RESID, SERIES, welch, with_
+from seriesforge.plans.sql import RESID, SERIES, dft, welch, with_
 from seriesforge.sources.frames import region_month_series, table
 
 #: Small enough that the tables' records are cut.
@@ -138,3 +138,45 @@ def cubic_trend(spark, sf_dir):
     fitted = s.join(preprocess.fit_polynomial(s, K, 3), K)
     value = F.aggregate("coefficients", F.lit(0.0), lambda total, c: total * F.col("t") + c)
     return rounded(fitted.select("series_id", "t", value.alias("fitted")))
+
+
+# --- many series and long ones
+
+
+def _line_series(spark, sf_dir, key: str, count: int) -> DataFrame:
+    """(series_id, t, value): the lines of a part or supplier in the order of their shipment."""
+    from pyspark.sql import Window
+
+    lines = table(spark, sf_dir, "lineitem").select((F.col(key) % count).alias("series_id"), "l_shipdate", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"))
+    order = Window.partitionBy("series_id").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "value")
+    return lines.select("series_id", (F.row_number().over(order) - 1).alias("t"), "value")
+
+
+def _line_sql(key: str, count: int) -> str:
+    order = "PARTITION BY l_{0} % {1} ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice".format(key, count)
+    return f"ls AS (SELECT l_{key} % {count} AS series_id, row_number() OVER ({order}) - 1 AS t, l_extendedprice AS value, count(*) OVER (PARTITION BY l_{key} % {count}) AS n FROM lineitem)"
+
+
+ANY_WELCH = f"""{_line_sql('partkey', 10_000)}, lw AS (SELECT *, least({24}, n) AS p, least({24}, n) - least({24}, n) // 2 AS hop FROM ls),
+lg AS (SELECT *, t - segment * hop AS j FROM (SELECT *, unnest(range(0, (n - p) // hop + 1)) AS segment FROM lw) WHERE t BETWEEN segment * hop AND segment * hop + p - 1),
+lt AS (SELECT series_id, segment, p, j, (value - avg(value) OVER (PARTITION BY series_id, segment)) * (5e-1 - 5e-1 * cos(6.283185307179586e0 * j / p)) AS x FROM lg),
+lp AS (SELECT series_id, segment, p, k, pow(sum(x * cos(6.283185307179586e0 * ((k * j) % p) / p)), 2) + pow(sum(x * sin(6.283185307179586e0 * ((k * j) % p) / p)), 2) AS power FROM (SELECT *, unnest(range(0, p // 2 + 1)) AS k FROM lt) GROUP BY 1, 2, 3, 4),
+ln2 AS (SELECT p, sum(pow(5e-1 - 5e-1 * cos(6.283185307179586e0 * i / p), 2)) AS energy FROM (SELECT DISTINCT p FROM lw), range(0, 24) q(i) WHERE i < p GROUP BY 1)"""
+
+
+@query(with_(ANY_WELCH, "SELECT series_id, k, round(k * (12e0 / p), 8) AS freq, round(avg(power * CASE WHEN k = 0 OR 2 * k = p THEN 1e0 ELSE 2e0 END) / (12e0 * any_value(energy)), 0) + 0e0 AS psd, count(*) AS n_segments FROM lp JOIN ln2 USING (p) WHERE p > 1 GROUP BY 1, 2, p"))
+def welch_many_series(spark, sf_dir):
+    """Thousands of series of some sixty steps at sf0.1; those of one step hold no spectrum."""
+    psd = spectral.welch(_line_series(spark, sf_dir, "l_partkey", 10_000), K, 24)
+    return rounded(psd.where("not isnan(psd)"), 0, freq=8)
+
+
+@query()
+def multitaper_long_series(spark, sf_dir):
+    """Fifty series, of twelve thousand steps at sf0.1."""
+    return spectral.multitaper(_line_series(spark, sf_dir, "l_suppkey", 50), K)
+
+
+@query(with_(_line_sql("suppkey", 50) + ", lc AS (SELECT series_id, t AS j, value - avg(value) OVER (PARTITION BY series_id) AS x, n AS len FROM ls)", f"SELECT series_id, k, round(k * 12e0 / n, 8) AS freq, round(CASE WHEN k = 0 OR k = n // 2 THEN 1e0 ELSE 2e0 END * power / (12e0 * n), 0) + 0e0 AS psd FROM {dft('lc', 'series_id', 'len')}"))
+def periodogram_long_series(spark, sf_dir):
+    return rounded(spectral.periodogram(_line_series(spark, sf_dir, "l_suppkey", 50), K), 0, freq=8)

@@ -357,16 +357,6 @@ def verdict_counts(spark, sf_dir):
     return classify(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query()
-def monte_carlo(spark, sf_dir):
-    return rounded(significance.monte_carlo(residuals(spark, sf_dir), K), 6)
-
-
-@query()
-def survey(spark, sf_dir):
-    return rounded(significance.survey(residuals(spark, sf_dir), K), 6)
-
-
 # --- fields
 
 
@@ -442,11 +432,6 @@ def spatial_diagnostic(spark, sf_dir):
     return rounded(suite.spatial_diagnostic(_field_residuals(spark, sf_dir)), 6, cell_variance=2, mean_variance=2)
 
 
-@query()
-def component_survey(spark, sf_dir):
-    return suite.component_survey(_field_residuals(spark, sf_dir), nation_cells(spark, sf_dir), 3)
-
-
 @query(with_(RESID, "SELECT series_id, round(var_pop(value), 2) AS residual_variance, count(*) AS n FROM r GROUP BY 1"))
 def flagship(spark, sf_dir):
     return rounded(residuals(spark, sf_dir).groupBy("series_id").agg(F.var_pop("value").alias("residual_variance"), F.count("*").alias("n")), 2)

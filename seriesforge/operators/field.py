@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesforge.operators import range_finder
+from seriesforge.sources.intermediate import removed, written
 
 MOST = 4000  # rows of the matrix, on the shorter side of a field
 
@@ -183,7 +184,10 @@ def generate_fields(field: DataFrame, cells: DataFrame, suite: list, n_modes: in
     keys = ["cell_id"]
     model = preprocess.fit(field, keys, preprocess.STEP, centre=True)
     resid = preprocess.transform(field, model).select("cell_id", "ts", "t", "month", "value")
+    resid = written(resid, "residuals")
     eofs, pcs, _ = fit_eofs(resid, cells, n_modes)
+    eofs, pcs = written(eofs, "eofs"), written(pcs, "components")
+    removed(resid)
     alive = pcs.groupBy("mode").agg(F.var_pop("value").alias("v")).where("v >= 1e-10").select("mode")
     pcs = pcs.join(F.broadcast(alive), "mode", "left_semi")  # a row per mode
     scores = gaussian.gaussianize(pcs, ["mode"]).select("mode", "t", F.col("g").alias("value"))

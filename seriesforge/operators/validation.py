@@ -82,7 +82,7 @@ def map_metrics(observed: DataFrame, ensemble: DataFrame) -> DataFrame:
     return o.join(s, "cell_id").agg(F.corr("om", "sm").alias("mean_corr"), F.corr("ov", "sv").alias("variance_corr"), F.try_divide(F.avg("sm"), F.avg("om")).alias("mean_ratio"), F.try_divide(F.avg("sv"), F.avg("ov")).alias("variance_ratio"), F.avg(F.try_divide("sv", "ov")).alias("map_ratio"))
 
 
-def validate_generator(model: synthesis.FittedGenerator, n_check: int = 20, n_years: int = 50) -> DataFrame:
+def validate_generator(model: synthesis.FittedGenerator, n_check: int = 20, n_years: int = 100) -> DataFrame:
     """All checks of a fitted generator: its transform, its synthesis, and that what it fits is stationary."""
     keys = model.keys
     transform = gaussian.validate_transform(model.residuals, keys).select(*keys, "d", "round_trip", F.col("passed").alias("transform_passed"))

@@ -206,11 +206,6 @@ def half_map_metrics(spark, sf_dir):
     return rounded(validation.against_other_half(halves, lambda half: halves.where(F.col("half") == half)), 6)
 
 
-@query()
-def field_calibration_split(spark, sf_dir):
-    return validation.field_calibration_split(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir))
-
-
 # --- selection
 
 
@@ -275,8 +270,3 @@ def basin_or_all(spark, sf_dir):
     f, cells = nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir)
     parts = [frames.mean_over_basin(f, cells.where(where)).select(F.lit(name).alias("basin"), "t", "value") for name, where in (("none", "lat > 0"), ("south", "lat < -75"))]
     return rounded(parts[0].unionByName(parts[1]))
-
-
-@query()
-def generator_checks(spark, sf_dir):
-    return validation.validate_generator(_model(spark, sf_dir))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions.normal import norm_ppf_sql
 from seriesforge.operators import field, validation
+from seriesforge.plans.experiments import Experiment
 from seriesforge.plans.relational import query, rounded
-from seriesforge.plans.spectra import FRESID, NPERSEG, _field_residuals
-from seriesforge.plans.sql import FIELD, welch, with_
-from seriesforge.plans.synthetic import renamed_welch
+from seriesforge.plans.spectra import FRESID, NPERSEG, TAIL, _field_residuals
+from seriesforge.plans.sql import FIELD, RESID, welch, with_
+from seriesforge.plans.synthetic import renamed_welch, residuals_sql
 from seriesforge.sources import geometry, netcdf
 from seriesforge.sources.frames import nation_cells, nation_month_field, table
 from seriesforge.sources.intermediate import shared_dir
@@ -139,3 +140,41 @@ rm AS (SELECT mode, sqrt(avg(pow(log10(psd) - log10(used), 2))) AS rms FROM owp
 @query(_component_sql())
 def component_metrics(spark, sf_dir):
     return rounded(validation.component_metrics(_field_residuals(spark, sf_dir), nation_cells(spark, sf_dir), 4, NPERSEG), 6)
+
+
+# --- synthetic fields
+
+
+def fields_sql(experiments: list[Experiment], nperseg: int, n_modes: int = 4, source: str = FIELD) -> str:
+    """CTEs up to ``fe`` (experiment, member, cell_id, t, value): members of the modes, put together again with seasons and means."""
+    modes = eofs_sql(n_modes).replace(FIELD.strip(), source.strip())
+    ranked = TAIL.replace(RESID.strip(), modes + ", r AS (SELECT CAST(mode AS VARCHAR) AS series_id, t, value FROM pj)")
+    return f"""{residuals_sql(experiments, nperseg, ranked, by_mode=True)},
+fs AS (SELECT cell_id, month, avg(dv) AS season FROM fd GROUP BY 1, 2), fm2 AS (SELECT cell_id, avg(value) AS mean FROM f GROUP BY 1),
+fo AS (SELECT experiment, member, cell_id, t, month, sum(resid * loading) / any_value(weight) AS x FROM rs JOIN lo ON rs.series_id = CAST(lo.mode AS VARCHAR) JOIN cw USING (cell_id) GROUP BY 1, 2, 3, 4, 5),
+fe AS (SELECT experiment, member, cell_id, t, x + amp * coalesce(season, 0e0) + mean AS value FROM fo JOIN ex USING (experiment) LEFT JOIN fs USING (cell_id, month) JOIN fm2 USING (cell_id))"""
+
+
+FIELD_SUITE = [Experiment.baseline(n_years=50, n_members=10), Experiment.annual_enhanced(n_years=50, n_members=10)]
+
+
+@query(with_(fields_sql(FIELD_SUITE, NPERSEG), "SELECT experiment, CAST(member AS INTEGER) AS member, cell_id, count(*) AS n, round(avg(value), 3) AS mean, round(var_pop(value), 1) AS variance FROM fe GROUP BY 1, 2, 3"))
+def field_generate(spark, sf_dir):
+    e = field.generate_fields(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir), FIELD_SUITE, 4, NPERSEG)
+    return rounded(e.groupBy("experiment", "member", "cell_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance")), 3, variance=1)
+
+
+def _field_half_sql(half: int) -> str:
+    whole = FIELD.strip().replace("f AS (SELECT k.cell_id", "fa AS (SELECT k.cell_id", 1)
+    halved = f"{whole}, fh AS (SELECT *, CAST(t >= (max(t) OVER () + 1) // 2 AS INTEGER) AS half FROM fa), f AS (SELECT cell_id, ts, CAST(t - min(t) OVER () AS INTEGER) AS t, month, value FROM fh WHERE half = {half})"
+    ctes = fields_sql([Experiment(50, 10, 0)], 12, 4, halved)
+    maps = "avg(value) AS m, var_pop(value) AS v"
+    return with_(
+        f"{ctes}, oo AS (SELECT cell_id, {maps} FROM fh WHERE half = {1 - half} GROUP BY 1), ss AS (SELECT cell_id, {maps} FROM fe GROUP BY 1)",
+        f"SELECT {half} AS fitted_half, round(corr(oo.m, ss.m), 6) AS mean_corr, round(corr(oo.v, ss.v), 6) AS variance_corr, round(avg(ss.m) / avg(oo.m), 6) AS mean_ratio, round(avg(ss.v) / avg(oo.v), 6) AS variance_ratio, round(avg(ss.v / oo.v), 6) AS map_ratio FROM oo JOIN ss USING (cell_id)",
+    )
+
+
+@query(f"SELECT * FROM ({_field_half_sql(0)}) UNION ALL SELECT * FROM ({_field_half_sql(1)})")
+def field_calibration_split(spark, sf_dir):
+    return rounded(validation.field_calibration_split(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir)), 6)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels
 from seriesforge.functions.normal import norm_cdf_sql
-from seriesforge.operators import blocks, preprocess, spectral, stats
-from seriesforge.plans.relational import K, query, residuals, rounded
+from seriesforge.operators import blocks, preprocess, spectral, stats, validation
+from seriesforge.plans.relational import K, ORACLE_SQL, query, residuals, rounded
 from seriesforge.plans.sql import RESID, SERIES, dft, welch, with_
+from seriesforge.plans.synthetic import _model
 from seriesforge.sources.frames import region_month_series, table
 
 #: Small enough that the tables' records are cut.
@@ -76,6 +77,13 @@ def _daily(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("series_id"), day.alias("t")).agg(total.alias("value"))
 
 
+@query(
+    f"SELECT series_id, d, round_trip, a.passed AS transform_passed, coverage, mean_variance, b.passed AS synthesis_passed, c.p_value, stationary, a.passed AND b.passed AND stationary AS passed FROM ({ORACLE_SQL['gaussian_checks']}) a JOIN ({ORACLE_SQL['synth_checks']}) b USING (series_id) JOIN ({ORACLE_SQL['adf']}) c USING (series_id)"
+)
+def generator_checks(spark, sf_dir):
+    return rounded(validation.validate_generator(_model(spark, sf_dir)), 6, p_value=5)
+
+
 @query(adf_sql(DAILY, "da", 27))
 def adf_daily(spark, sf_dir):
     """Some 2,400 steps and 27 lags, in blocks."""

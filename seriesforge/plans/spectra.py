@@ -421,12 +421,6 @@ def map_correlation(spark, sf_dir):
     return rounded(validation.map_metrics(f.where("t < 40"), f.where("t >= 40")), 6)
 
 
-@query()
-def field_generate(spark, sf_dir):
-    e = field.generate_field(nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir), Experiment(50, 10, 0), 4, NPERSEG)
-    return e.groupBy("member", "cell_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"))
-
-
 @query()
 def spatial_diagnostic(spark, sf_dir):
     return rounded(suite.spatial_diagnostic(_field_residuals(spark, sf_dir)), 6, cell_variance=2, mean_variance=2)

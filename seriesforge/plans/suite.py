@@ -16,13 +16,16 @@ SEASONAL_LADDER = (2.0, 5.0, 10.0)
 SUPPRESSION = 0.5
 
 
-def suite_targets(baseline: DataFrame, keys: list[str]) -> DataFrame:
-    """(label, kind, group, keys, target): band variances that experiments are to deliver."""
-    spark = baseline.sparkSession
+def target_rows() -> list[tuple[str, str, str, float | None]]:
+    """(label, kind, group, ratio to the baseline's annual variance) of the plan."""
     rows = [(f"annual_{r:g}x", "annual", f"matched_{r:g}", r) for r in MATCHED_RATIOS] + [(f"decadal_{r:g}x", "decadal", f"matched_{r:g}", r) for r in MATCHED_RATIOS]
     rows += [(f"annual_{SUPPRESSION:g}x", "annual", "suppression", SUPPRESSION)] + [(f"seasonal_{r:g}x", "seasonal", f"seasonal_{r:g}", r) for r in SEASONAL_LADDER]
-    rows.append(("decadal_max", "decadal", "max", None))  # as much as the grid of factors gives
-    plan = spark.createDataFrame(rows, "label string, kind string, `group` string, ratio double")
+    return [*rows, ("decadal_max", "decadal", "max", None)]  # as much as the grid of factors gives
+
+
+def suite_targets(baseline: DataFrame, keys: list[str]) -> DataFrame:
+    """(label, kind, group, keys, target): band variances that experiments are to deliver."""
+    plan = baseline.sparkSession.createDataFrame(target_rows(), "label string, kind string, `group` string, ratio double")
     base = baseline.select(*keys, "annual")  # both partners of a matched pair aim at the same annual change
     return plan.crossJoin(base).withColumn("target", F.col("annual") * F.col("ratio")).select("label", "kind", "group", *keys, "target")
 

@@ -27,15 +27,26 @@ def _model(spark, sf_dir) -> synthesis.FittedGenerator:
     return synthesis.fit_generator(region_month_series(spark, sf_dir), K, NPERSEG)
 
 
-def members_sql(experiments: list[Experiment], nperseg: int = NPERSEG, ctes: str = TAIL) -> str:
-    """CTEs up to ``gs`` (experiment, series_id, member, t, g): ranked series, their spectra and the members made from these."""
+def members_sql(experiments: list[Experiment], nperseg: int = NPERSEG, ctes: str = TAIL, by_mode: bool = False) -> str:
+    """CTEs up to ``gs`` (experiment, series_id, member, t, g): ranked series, their spectra and the members made from these.
+
+    ``by_mode``: series are modes, and each mode and member has a stream of its own.
+    """
 
     def factor(e: Experiment) -> str:
         return " * ".join(f"CASE WHEN freq BETWEEN {1 / high!r}e0 AND {1 / low!r}e0 THEN {float(by)!r}e0 ELSE 1e0 END" for low, high, by in e.band_scales or ()) or "1e0"
 
     plan = ", ".join(f"('{e.name}', {e.n_months}, {e.n_members}, {e.seed}, {e.seasonal_amplitude!r}e0)" for e in experiments)
     scales = " ".join(f"WHEN experiment = '{e.name}' THEN {factor(e)}" for e in experiments)
-    places = "(SELECT n, seed, member, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT n, seed, unnest(range(0, members)) AS member FROM ex))"
+    streams = "n, seed, member"
+    if by_mode:
+        streams = "n, seed, members, series_id, member"
+        places = f"(SELECT {streams}, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT n, seed, members, series_id, unnest(range(0, members)) AS member FROM ex CROSS JOIN tp))"
+        draws = philox.uniform_sql(places, f"{streams}, k", "u", "k", "0", "seed + member + CAST(series_id AS BIGINT) * (members + 1)")
+    else:
+        places = f"(SELECT {streams}, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT DISTINCT n, seed, unnest(range(0, members)) AS member FROM ex))"
+        draws = philox.uniform_sql(places, f"{streams}, k", "u", "k", "member", "seed")
+    joined = "n, seed, members, series_id, k" if by_mode else "n, seed, k"
     return f"""{welch("(SELECT series_id, t - min(t) OVER (PARTITION BY series_id) AS t, g AS value FROM g)", ctes, nperseg)},
 ex(experiment, n, members, seed, amp) AS (VALUES {plan}),
 tp AS (SELECT series_id, max(k) AS top, max(freq) AS last FROM wp GROUP BY 1),
@@ -43,24 +54,29 @@ gk AS (SELECT experiment, series_id, n, k, k * (12e0 / n) AS freq, least(k * (12
 gi AS (SELECT *, CAST(least(floor(pos), top - 1) AS BIGINT) AS lo FROM gk),
 am AS (SELECT gi.experiment, gi.series_id, gi.n, gi.k, sqrt((a.psd + (pos - lo) * (z.psd - a.psd)) * (CASE {scales} END) * n * 6e0) AS a
   FROM (SELECT * FROM gi) gi JOIN (SELECT series_id, k, psd FROM wp) a ON a.series_id = gi.series_id AND a.k = lo JOIN (SELECT series_id, k, psd FROM wp) z ON z.series_id = gi.series_id AND z.k = lo + 1 WHERE gi.k > 0),
-ph AS (SELECT n, seed, member, k, CASE WHEN 2 * k = n THEN 0e0 ELSE {TWO_PI} * u - {TWO_PI} / 2 END AS phi FROM {philox.uniform_sql(places, 'n, seed, member, k', 'u', 'k', 'member', 'seed')}),
-cf AS (SELECT experiment, series_id, member, n, k, CASE WHEN 2 * k = n THEN 1e0 ELSE 2e0 END * a * cos(phi) / n AS re, CASE WHEN 2 * k = n THEN 1e0 ELSE 2e0 END * a * sin(phi) / n AS im FROM am JOIN ex USING (experiment, n) JOIN ph USING (n, seed, k) WHERE member < members),
+ph AS (SELECT {streams}, k, CASE WHEN 2 * k = n THEN 0e0 ELSE {TWO_PI} * u - {TWO_PI} / 2 END AS phi FROM {draws}),
+cf AS (SELECT experiment, series_id, member, n, k, CASE WHEN 2 * k = n THEN 1e0 ELSE 2e0 END * a * cos(phi) / n AS re, CASE WHEN 2 * k = n THEN 1e0 ELSE 2e0 END * a * sin(phi) / n AS im FROM am JOIN ex USING (experiment, n) JOIN ph USING ({joined}) WHERE member < members),
 xs AS (SELECT experiment, series_id, member, t, sum(re * cos({TWO_PI} * ((k * t) % n) / n) - im * sin({TWO_PI} * ((k * t) % n) / n)) AS x FROM (SELECT *, unnest(range(0, n)) AS t FROM cf) GROUP BY 1, 2, 3, 4),
 gs AS (SELECT experiment, series_id, member, t, x / stddev_pop(x) OVER (PARTITION BY experiment, series_id, member) AS g FROM xs)"""
 
 
-def ensemble_sql(experiments: list[Experiment], nperseg: int = NPERSEG, ctes: str = TAIL) -> str:
-    """CTEs up to ``en`` (experiment, series_id, member, t, month, g, resid, value)."""
+def residuals_sql(experiments: list[Experiment], nperseg: int = NPERSEG, ctes: str = TAIL, by_mode: bool = False) -> str:
+    """CTEs up to ``rs`` (experiment, series_id, member, t, month, g, resid)."""
     u = f"greatest(least({norm_cdf_sql('g')}, 1e0 - 1e-15), 1e-15)"
     normal = f"loc + scale * ({norm_ppf_sql('u')})"
-    return f"""{members_sql(experiments, nperseg, ctes)},
+    return f"""{members_sql(experiments, nperseg, ctes, by_mode)},
 iu AS (SELECT gs.*, n, loc, scale, low_offset, high_offset, u * n + 5e-1 AS place FROM (SELECT *, {u} AS u FROM gs) gs JOIN tail USING (series_id)),
 ii AS (SELECT *, CAST(least(greatest(floor(place), 1), n) AS BIGINT) AS i FROM iu),
 kn AS (SELECT series_id, rank AS i, value AS x, lead(value) OVER (PARTITION BY series_id ORDER BY rank) AS x_next FROM hp),
 iv AS (SELECT experiment, series_id, member, t, g, CASE WHEN place < 1 THEN {normal} + low_offset WHEN place > n THEN {normal} + high_offset ELSE x + (place - i) * (coalesce(x_next, x) - x) END AS v FROM ii JOIN kn USING (series_id, i)),
-rs AS (SELECT *, v - avg(v) OVER (PARTITION BY experiment, series_id, member) AS resid, CAST(t % 12 + 1 AS INTEGER) AS month FROM iv),
+rs AS (SELECT *, v - avg(v) OVER (PARTITION BY experiment, series_id, member) AS resid, CAST(t % 12 + 1 AS INTEGER) AS month FROM iv)""".replace("SELECT gs.*, n, loc", "SELECT gs.experiment, gs.series_id, member, t, g, u, n, loc")
+
+
+def ensemble_sql(experiments: list[Experiment], nperseg: int = NPERSEG, ctes: str = TAIL) -> str:
+    """CTEs up to ``en`` (experiment, series_id, member, t, month, g, resid, value)."""
+    return f"""{residuals_sql(experiments, nperseg, ctes)},
 sn AS (SELECT series_id, month, any_value(season) AS season FROM r GROUP BY 1, 2), me AS (SELECT series_id, avg(value) AS mean FROM s GROUP BY 1),
-en AS (SELECT experiment, series_id, member, t, month, g, resid, resid + amp * coalesce(season, 0e0) + mean AS value FROM rs JOIN ex USING (experiment) JOIN me USING (series_id) LEFT JOIN sn USING (series_id, month))""".replace("SELECT gs.*, n, loc", "SELECT gs.experiment, gs.series_id, member, t, g, u, n, loc")
+en AS (SELECT experiment, series_id, member, t, month, g, resid, resid + amp * coalesce(season, 0e0) + mean AS value FROM rs JOIN ex USING (experiment) JOIN me USING (series_id) LEFT JOIN sn USING (series_id, month))"""
 
 
 def renamed_welch(source: str, nperseg: int, by: str, mark: str) -> str:
@@ -311,6 +327,23 @@ def series_excerpts(spark, sf_dir):
     return rounded(figures.excerpts(synthesis.generate(_model(spark, sf_dir), RATIO_PAIR), K, 240), 2)
 
 
-@query()
+SUITE_GAMMAS, SUITE_SIZES = [0.5, 1.0, 3.0, 10.0, 30.0], {"n_years": 50, "n_members": 5}
+
+
+def _suite_sql() -> str:
+    kinds = {"annual": (ANNUAL, False), "seasonal": (ANNUAL, True), "decadal": (DECADAL, False)}
+    plan = [Experiment(**SUITE_SIZES, name="base|1.0")] + [Experiment(**SUITE_SIZES, name=f"{kind}|{g!r}", band_scales=((*band, g),), seasonal_scale=g if seasonal else 1.0) for kind, (band, seasonal) in kinds.items() for g in SUITE_GAMMAS]
+    rows = ", ".join(f"('{label}', '{kind}', '{group}', {'NULL::DOUBLE' if ratio is None else repr(ratio) + 'e0'})" for label, kind, group, ratio in suite.target_rows())
+    return with_(
+        f"""{ensemble_sql(plan)}, {band_power_sql(*ANNUAL, 'pa')}, {band_power_sql(*DECADAL, 'pd')},
+cv AS (SELECT series_id, split_part(experiment, '|', 1) AS kind, CAST(split_part(experiment, '|', 2) AS DOUBLE) AS gamma, CASE WHEN experiment LIKE 'decadal%' THEN avg(pd.v) ELSE avg(pa.v) END AS delivered FROM pa JOIN pd USING (experiment, series_id, member) GROUP BY experiment, series_id),
+pl(label, kind, "group", ratio) AS (VALUES {rows}), ta AS (SELECT label, pl.kind, "group", series_id, delivered * ratio AS target FROM pl, cv WHERE cv.kind = 'base'),
+st AS (SELECT *, lead(delivered) OVER w AS d, lead(gamma) OVER w AS g FROM cv WHERE kind != 'base' WINDOW w AS (PARTITION BY kind, series_id ORDER BY delivered, gamma)), en2 AS (SELECT kind, series_id, min(delivered) AS lo, max(delivered) AS hi, arg_min(gamma, (delivered, gamma)) AS fl FROM cv GROUP BY 1, 2),
+fo AS (SELECT label, ta.kind, "group", ta.series_id, target, CASE WHEN target IS NULL THEN {max(SUITE_GAMMAS)!r}e0 WHEN target <= any_value(lo) THEN any_value(fl) WHEN target >= any_value(hi) THEN NULL ELSE max(CASE WHEN target >= delivered AND target < d THEN gamma + (target - delivered) / (d - delivered) * (g - gamma) END) END AS gamma FROM ta JOIN en2 USING (kind, series_id) JOIN st USING (kind, series_id) GROUP BY 1, 2, 3, 4, 5)""",
+        'SELECT label, kind, "group", series_id, round(target, 2) AS target, round(gamma, 6) AS gamma FROM fo',
+    )
+
+
+@query(_suite_sql())
 def calibrated_suite(spark, sf_dir):
-    return suite.calibrated_suite(_model(spark, sf_dir), [0.5, 1.0, 3.0, 10.0, 30.0], 50, 5)
+    return rounded(suite.calibrated_suite(_model(spark, sf_dir), SUITE_GAMMAS, **SUITE_SIZES), 6, target=2)

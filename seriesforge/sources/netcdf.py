@@ -365,6 +365,18 @@ def read_grid(spark: SparkSession, path: str, variable: str, first: int | None =
     return out if last is None else out.where(F.col("t") <= last)
 
 
+def load_variable(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """A variable with its values in metres of water where the file states them in kg m-2."""
+    from seriesforge.sources.frames import convert_units
+
+    if not path.endswith(".nc") and not _files(path)[1]:
+        raise ValueError(f"no gridded files: {path}")
+    fs, paths = _files(path)
+    with fs.open_input_file(paths[0]) as file:
+        units = str(read_header(file).variables[variable].attributes.get("units", ""))
+    return read_grid(spark, path, variable).withColumn("value", convert_units(F.col("value"), F.lit(units)))
+
+
 def write_grid(field: DataFrame, path: str, rows: int, columns: int, variable: str = "value", start: str = "1979-01-01", units: str = "", partitions: int | None = None) -> None:
     """(t, rlat, rlon, value) as files by stretches of time."""
     register(field.sparkSession)

@@ -147,3 +147,13 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="out of bounds"):
         netcdf.write_grid(bad, path, 2, 2, partitions=2)
     assert not [f for f in os.listdir(path) if f.endswith(".nc")] and not os.listdir(f"{path}/_temporary")
+
+
+def test_units_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, 0, 500.0)], "t int, rlat int, rlon int, value double")
+    for units, value in (("kg m-2 yr-1", 0.5), ("m w.e.", 500.0)):
+        path = str(tmp_path / units.split()[0])
+        netcdf.write_grid(rows, path, 1, 2, "smb", units=units)
+        assert netcdf.load_variable(spark, path, "smb").first()["value"] == value
+    with pytest.raises(FileNotFoundError):
+        netcdf.load_variable(spark, str(tmp_path / "none.nc"), "smb")

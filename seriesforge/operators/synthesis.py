@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seriesforge.functions import kernels, philox
 from seriesforge.operators import gaussian, preprocess, spectral
 from seriesforge.plans.experiments import Experiment, experiments_table
+from seriesforge.sources.intermediate import removed, written
 
 
 @dataclass(frozen=True)
@@ -29,22 +30,21 @@ class FittedGenerator:
     fs: float
 
     def release(self) -> None:
-        """Free the fitted tables that are kept in memory."""
-        for df in (self.residuals, self.quantiles.knots, self.quantiles.tail, self.psd, self.decomposition.season, self.decomposition.trend):
-            df.unpersist()
+        """Delete the fitted tables, when nothing reads them any more."""
+        removed(self.mean, self.start, self.residuals, self.quantiles.knots, self.quantiles.tail, self.psd, self.decomposition.season, self.decomposition.trend)
 
 
 def fit_generator(series: DataFrame, keys: list[str], nperseg: int = 60, fs: float = 12.0, kind: str = preprocess.DAY) -> FittedGenerator:
-    mean = series.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    start = series.groupBy(*keys).agg(F.min(F.year("ts")).alias("start_year"))
+    mean = written(series.groupBy(*keys).agg(F.avg("value").alias("mean")), "mean")
+    start = written(series.groupBy(*keys).agg(F.min(F.year("ts")).alias("start_year")), "start")
     model = preprocess.fit(series, keys, kind)
-    # Fitted tables are small and read many times.
-    residuals = preprocess.transform(series, model).select(*keys, "ts", "t", "month", "value").cache()
+    # Fitted tables are small and read many times: they are written, and what reads them has short plans.
+    model = replace(model, mean=mean, season=written(model.season, "season"), trend=written(model.trend, "trend"))
+    residuals = written(preprocess.transform(series, model).select(*keys, "ts", "t", "month", "value"), "residuals")
     scores = gaussian.gaussianize(residuals, keys).select(*keys, "t", F.col("g").alias("value"))
     quantiles = gaussian.fit_quantiles(residuals, keys)
-    quantiles = gaussian.QuantileModel(keys, quantiles.knots.cache(), quantiles.tail.cache())
-    psd = spectral.welch(scores, keys, nperseg, fs).cache()
-    model = replace(model, season=model.season.cache(), trend=model.trend.cache())
+    quantiles = gaussian.QuantileModel(keys, written(quantiles.knots, "knots"), written(quantiles.tail, "tail"))
+    psd = written(spectral.welch(scores, keys, nperseg, fs), "psd")
     return FittedGenerator(keys, mean, start, model, residuals, scores, quantiles, psd, fs)
 
 

@@ -265,8 +265,8 @@ def mean_checks(spark, sf_dir):
     return suite.means_preserved(_summary(spark, sf_dir).where("kind = 'annual'"), K, "1-URGENT", 0.1)
 
 
-@query(with_(FIELD, "SELECT 'none' AS basin, t, round(avg(value), 4) AS value FROM f GROUP BY 2 UNION ALL SELECT 'south', t, round(avg(value), 4) FROM f JOIN cells USING (cell_id) WHERE lat < -75 GROUP BY 2"))
+@query(with_(FIELD, "SELECT 'none' AS basin, t, round(avg(value), 6) AS value FROM f GROUP BY 2 UNION ALL SELECT 'south', t, round(avg(value), 6) FROM f JOIN cells USING (cell_id) WHERE lat < -75 GROUP BY 2"))
 def basin_or_all(spark, sf_dir):
     f, cells = nation_month_field(spark, sf_dir), nation_cells(spark, sf_dir)
     parts = [frames.mean_over_basin(f, cells.where(where)).select(F.lit(name).alias("basin"), "t", "value") for name, where in (("none", "lat > 0"), ("south", "lat < -75"))]
-    return rounded(parts[0].unionByName(parts[1]))
+    return rounded(parts[0].unionByName(parts[1]), 6)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from seriesforge.functions import kernels
 from seriesforge.operators import bands, field, significance, spectral, synthesis
 from seriesforge.plans.experiments import ANNUAL, DECADAL, Experiment
+from seriesforge.sources.intermediate import written
 
 # The default plan.
 MATCHED_RATIOS = (2.0, 3.0)
@@ -42,7 +43,7 @@ def calibrated_suite(model: synthesis.FittedGenerator, gammas: list[float], n_ye
         synthesis.calibrate(model, band, gammas, n_years, n_members, seasonal, seed).withColumn("kind", F.lit(kind))
         for kind, band, seasonal in (("annual", ANNUAL, False), ("seasonal", ANNUAL, True), ("decadal", DECADAL, False))
     ]
-    curve = curves[0].unionByName(curves[1]).unionByName(curves[2]).cache()
+    curve = written(curves[0].unionByName(curves[1]).unionByName(curves[2]), "curves")
     found = bands.invert_curve(curve, targets.select("kind", *keys, "target").distinct(), ["kind", *keys])
     gamma = F.when(F.col("target").isNull(), F.lit(float(max(gammas)))).otherwise(F.col("gamma")).alias("gamma")
     return targets.join(found, ["kind", *keys, "target"], "left").select("label", "kind", "group", *keys, "target", gamma)

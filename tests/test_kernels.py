@@ -47,12 +47,14 @@ def test_peaks_and_plateaus():
     assert (9, pytest.approx(0.1)) in [(i, p) for i, p in kernels.find_peaks(x, 0.05)]
 
 
-def test_surrogates_follow_their_streams():
-    many = kernels.ar1_surrogates(50, 0.5, 1.0, [np.random.default_rng(s) for s in (1, 2)])
-    noise, y = np.random.default_rng(2).normal(0, 1.0, 50), [0.0]
-    for e in noise[1:]:
+def test_surrogates_follow_their_noise():
+    noise = np.stack([kernels.counter_normals(50, s, 7) for s in (1, 2)])
+    many, y = kernels.ar1_surrogates(noise, 0.5), [0.0]
+    for e in noise[1][1:]:
         y.append(0.5 * y[-1] + e)
     assert np.allclose(many[1], y)
+    draws = kernels.counter_normals(20_000, 3, 7)
+    assert abs(draws.mean()) < 0.03 and abs(draws.std() - 1) < 0.02 and np.array_equal(draws[:50], kernels.counter_normals(50, 3, 7))
 
 
 def test_planted_cycle():

@@ -1,4 +1,4 @@
-"""Queries on gridded files, map projection, unions of polygons and EOFs."""
+"""Queries on gridded files, polygon files, map projection, unions of polygons and EOFs."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from seriesforge.plans.relational import query, rounded
 from seriesforge.plans.spectra import FRESID, NPERSEG, TAIL, _field_residuals
 from seriesforge.plans.sql import FIELD, RESID, welch, with_
 from seriesforge.plans.synthetic import renamed_welch, residuals_sql
-from seriesforge.sources import geometry, netcdf
+from seriesforge.sources import geometry, netcdf, shapefile
 from seriesforge.sources.frames import nation_cells, nation_month_field, table
 from seriesforge.sources.intermediate import shared_dir
 
@@ -49,18 +49,39 @@ tu AS (SELECT *, 2 * (row_number() OVER (PARTITION BY basin, a, p ORDER BY lo +
 op AS (SELECT *, sum(step) OVER w AS depth, lead(lo) OVER w AS lo2, lead(hi) OVER w AS hi2 FROM tu WINDOW w AS (PARTITION BY basin, a ORDER BY lo + hi, step DESC))"""
 
 
-@query(with_(DIAMONDS, "SELECT basin, round(sum((b - a) * (lo2 - lo + hi2 - hi) / 2), 5) AS area FROM op WHERE depth > 0 GROUP BY 1"))
-def union_areas(spark, sf_dir):
-    """Area of the union of the suppliers' diamonds in each region."""
+def _diamonds(spark, sf_dir):
+    """(basin, s_suppkey, ring): a diamond for each supplier, closed, from its lowest corner."""
     names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     d = table(spark, sf_dir, "supplier").join(names, F.col("s_nationkey") == F.col("n_nationkey"))
     cx, cy, w, h = F.col("s_suppkey") % 37 + F.col("s_acctbal") / 1e4, F.col("s_acctbal") / 1e3, F.lit(1.5) + F.col("s_nationkey") % 3, F.lit(1.0) + (F.col("s_suppkey") % 4) * 0.5
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring = F.array(corner(cx, cy - h), corner(cx + w, cy), corner(cx, cy + h), corner(cx - w, cy), corner(cx, cy - h))
-    polygons = d.select(F.col("r_name").alias("basin"), F.col("s_suppkey").alias("ring_id"), F.posexplode(ring).alias("seq", "c")).select("basin", "ring_id", "seq", "c.x", "c.y")
+    return d.select(F.col("r_name").alias("basin"), "s_suppkey", ring.alias("ring"))
+
+
+@query(with_(DIAMONDS, "SELECT basin, round(sum((b - a) * (lo2 - lo + hi2 - hi) / 2), 5) AS area FROM op WHERE depth > 0 GROUP BY 1"))
+def union_areas(spark, sf_dir):
+    """Area of the union of the suppliers' diamonds in each region."""
+    polygons = _diamonds(spark, sf_dir).select("basin", F.col("s_suppkey").alias("ring_id"), F.posexplode("ring").alias("seq", "c")).select("basin", "ring_id", "seq", "c.x", "c.y")
     return rounded(geometry.union_area(geometry.dissolve(polygons)), 5)
 
 
+@query(
+    with_(
+        DIAMONDS.split("ed AS")[0].rstrip().rstrip(","),
+        "SELECT 's_' || p AS name, translate(basin, ' /', '_-') AS region, p AS s_suppkey, CAST(i AS INTEGER) AS seq, round(CASE i WHEN 1 THEN cx + w WHEN 3 THEN cx - w ELSE cx END, 6) + 0e0 AS x, round(CASE i WHEN 0 THEN cy - h WHEN 2 THEN cy + h WHEN 4 THEN cy - h ELSE cy END, 6) + 0e0 AS y FROM di, range(5) AS r(i)",
+    )
+)
+def polygon_files(spark, sf_dir):
+    """The suppliers' diamonds, written as polygon files and read back as sectors."""
+    path = f"{shared_dir(spark)}/shapes-{uuid.uuid4().hex}"
+    shapes = _diamonds(spark, sf_dir).select(F.concat(F.lit("s "), F.col("s_suppkey").cast("string")).alias("NAME"), F.col("basin").alias("REGION"), F.col("s_suppkey").cast("long").alias("s_suppkey"), F.array("ring").alias("rings"))
+    shapefile.write_shapes(shapes, path)
+    sectors = shapefile.load_sectors(spark, path)
+    points = sectors.select("name", "region", "s_suppkey", F.posexplode(F.col("rings")[0]).alias("seq", "p"))
+    return rounded(points.select("name", "region", "s_suppkey", "seq", "p.x", "p.y"), 6)
+
+
 @query("SELECT translate(trim(n_name || ' / ' || n_nationkey), ' /', '_-') AS name, translate(trim(r_name), ' /', '_-') AS region, n_nationkey FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey != 2")
 def sector_names(spark, sf_dir):
     regions = table(spark, sf_dir, "region").where("r_regionkey != 2")

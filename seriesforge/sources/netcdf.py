@@ -132,14 +132,14 @@ def read_header(file) -> Header:
     return header
 
 
-def _files(path: str) -> tuple[pafs.FileSystem, list[str]]:
+def _files(path: str, suffix: str = ".nc") -> tuple[pafs.FileSystem, list[str]]:
     fs, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
     info = fs.get_file_info(place)
     if info.type == pafs.FileType.File:
         return fs, [place]
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    return fs, sorted(f.path for f in fs.get_file_info(pafs.FileSelector(place)) if f.path.endswith(".nc"))
+    return fs, sorted(f.path for f in fs.get_file_info(pafs.FileSelector(place)) if f.path.endswith(suffix))
 
 
 def _dates(values: np.ndarray, units: str) -> list[datetime.date | None]:

@@ -150,14 +150,15 @@ def band_variance(freqs: np.ndarray, psd: np.ndarray, low_period: float, high_pe
     return float(psd[inside].sum() * (freqs[1] - freqs[0]))
 
 
-def amplitudes(freqs: np.ndarray, psd: np.ndarray, n: int, fs: float, bands: list[tuple[float, float, float]] | None) -> np.ndarray:
-    """Spectral amplitudes for a synthetic record of n steps; bands compose by product."""
+def amplitudes(freqs: np.ndarray, psd: np.ndarray, n: int, fs: float, bands: list[tuple[float, float, float]] | None, offset: bool = False) -> np.ndarray:
+    """Spectral amplitudes for a synthetic record of n steps; bands compose by product. ``offset`` keeps the power at zero."""
     grid = np.fft.rfftfreq(n, 1 / fs)
     power = np.interp(grid, freqs, psd)
     for low, high, factor in bands or ():
         power[(grid >= 1 / high) & (grid <= 1 / low)] *= factor
     out = np.sqrt(power * n * fs / 2)
-    out[0] = 0.0
+    if not offset:
+        out[0] = 0.0
     return out
 
 
@@ -179,13 +180,15 @@ def counter_normals(count: int, member: int, key: int) -> np.ndarray:
     return np.sqrt(-2.0 * np.log(philox.uniform(2 * t, member, key))) * np.cos(2.0 * np.pi * philox.uniform(2 * t + 1, member, key))
 
 
-def synthesize(amplitude: np.ndarray, n: int, phases: np.ndarray) -> np.ndarray:
-    """Phase-randomised unit-variance record."""
+def synthesize(amplitude: np.ndarray, n: int, phases: np.ndarray, unit: bool = True) -> np.ndarray:
+    """Phase-randomised record, with ``unit`` of variance one."""
     phases = phases.copy()
     phases[0] = 0.0
     if n % 2 == 0:
         phases[-1] = 0.0
     x = np.fft.irfft(amplitude * np.exp(1j * phases), n)
+    if not unit:
+        return x
     spread = x.std()
     if spread < 1e-10:
         raise ValueError("the spectrum holds no variance")

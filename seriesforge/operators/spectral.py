@@ -101,6 +101,17 @@ def in_band(freq: Column, low_period: float, high_period: float) -> Column:
     return freq.between(1 / high_period, 1 / low_period)
 
 
+def frequency_grid(lengths: DataFrame, keys: list[str], fs: float = 12.0) -> DataFrame:
+    """(keys, n, k, freq): bins of records of ``n`` steps."""
+    bins = lengths.select(*keys, F.col("n").cast("long").alias("n"), F.explode(F.expr("sequence(0L, cast(n as long) div 2)")).alias("k"))
+    return bins.withColumn("freq", F.col("k") * (fs / F.col("n")))
+
+
+def bandpass(grid: DataFrame, low_period: float, high_period: float) -> DataFrame:
+    """The bins of a band."""
+    return grid.where(in_band(F.col("freq"), low_period, high_period))
+
+
 def scale_bands(psd: DataFrame, bands: list[tuple[float, float, float]]) -> DataFrame:
     factor = F.lit(1.0)
     for low, high, by in bands:

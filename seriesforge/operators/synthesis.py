@@ -6,12 +6,13 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels, philox
 from seriesforge.operators import gaussian, preprocess, spectral
 from seriesforge.plans.experiments import Experiment, experiments_table
+from seriesforge.sources import frames, netcdf
 from seriesforge.sources.intermediate import removed, written
 
 
@@ -48,14 +49,37 @@ def fit_generator(series: DataFrame, keys: list[str], nperseg: int = 60, fs: flo
     return FittedGenerator(keys, mean, start, model, residuals, scores, quantiles, psd, fs)
 
 
-def synthesize(psd: DataFrame, keys: list[str], suite: list[Experiment], fs: float = 12.0, seed: Column | None = None, sequential: bool = False) -> DataFrame:
+def fit_from_path(spark: SparkSession, path: str, variable: str, nperseg: int = 60, fs: float = 12.0, kind: str = preprocess.DAY) -> FittedGenerator:
+    """The generator of a series in gridded files; its key ``series_id`` is the variable's name.
+
+    A field, a series of under a year or one with gaps is an error.
+    """
+    loaded = netcdf.load_variable(spark, path, variable)
+    if set(loaded.columns) != {"t", "ts", "value"}:
+        raise ValueError(f"a series of dated steps is needed; {variable} has {loaded.columns}")
+    months = F.month(F.max("ts")) - F.month(F.min("ts")) + 12 * (F.year(F.max("ts")) - F.year(F.min("ts")))
+    span = loaded.agg(F.min("t"), F.max("t"), F.count("*"), months).first()
+    if span[0] is None or span[1] - span[0] + 1 != span[2] or (fs == 12 and span[3] is not None and span[3] + 1 != span[2]):
+        raise ValueError(f"steps without a value in {variable}")
+    series = loaded.select(F.lit(variable).alias("series_id"), "ts", "t", F.month("ts").alias("month"), "value")
+    return fit_generator(frames.validate_series(series, ["series_id"]), ["series_id"], nperseg, fs, kind)
+
+
+def reassemble(residuals: DataFrame, mean: Column, trend: tuple[Column, Column] | None = None) -> DataFrame:
+    """Residuals of members plus a mean and, on request, a line (its value at the first step, its slope a step)."""
+    line = F.lit(0.0) if trend is None else trend[0] + trend[1] * F.col("t")
+    return residuals.withColumn("value", F.col("value") + mean + line)
+
+
+def synthesize(psd: DataFrame, keys: list[str], suite: list[Experiment], fs: float = 12.0, seed: Column | None = None, sequential: bool = False, unit: bool = True) -> DataFrame:
     """(experiment, keys, member, t, g): unit-variance members with the scaled spectra.
 
     A task makes one member of one series: spectra are small arrays, members
     are exploded, and each phase is drawn at its bin and member with the seed as
     key. With ``sequential`` the phases are those of a generator that makes one
     member after the other. With ``seed``, an expression over the plan, the keys
-    and the member, each member has a stream of its own instead.
+    and the member, each member has a stream of its own instead. Without ``unit``
+    members keep the variance that the spectrum gives them, and its offset.
     """
     spectra = psd.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("freq", "psd"))).alias("spectrum"))
     plan = experiments_table(psd.sparkSession, suite).select("name", "n_years", "n_members", "seed", "band_scales")
@@ -73,7 +97,7 @@ def synthesize(psd: DataFrame, keys: list[str], suite: list[Experiment], fs: flo
                 freqs, power = np.array([p["freq"] for p in row["spectrum"]]), np.array([p["psd"] for p in row["spectrum"]])
                 n = round(row["n_years"] * fs)
                 bands = [(b["pmin"], b["pmax"], b["factor"]) for b in (row["band_scales"] if row["band_scales"] is not None else ())]
-                g = kernels.synthesize(kernels.amplitudes(freqs, power, n, fs, bands), n, phases(n // 2 + 1, row["seed"], row["_stream"]))
+                g = kernels.synthesize(kernels.amplitudes(freqs, power, n, fs, bands, not unit), n, phases(n // 2 + 1, row["seed"], row["_stream"]), unit)
                 yield pd.DataFrame({"experiment": row["name"], **{k: row[k] for k in keys}, "member": row["member"], "t": np.arange(n, dtype=np.int32), "g": g})
 
     return work.mapInPandas(run, f"experiment string, {types}, member int, t int, g double")

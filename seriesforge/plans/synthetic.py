@@ -6,6 +6,8 @@ grid of bins, a draw for each bin and member, and a sum of cosines.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels, philox
@@ -16,7 +18,9 @@ from seriesforge.plans.experiments import ANNUAL, DECADAL, Experiment
 from seriesforge.plans.relational import K, query, rounded
 from seriesforge.plans.spectra import NPERSEG, TAIL
 from seriesforge.plans.sql import SERIES, TWO_PI, welch, with_
+from seriesforge.sources import netcdf
 from seriesforge.sources.frames import region_month_series
+from seriesforge.sources.intermediate import shared_dir
 
 #: A thousand steps a member and more, as tests of generators use them; the defaults are 1000 years and 30 members.
 SIZES = {"n_years": 100, "n_members": 10}
@@ -347,3 +351,38 @@ fo AS (SELECT label, ta.kind, "group", ta.series_id, target, CASE WHEN target IS
 @query(_suite_sql())
 def calibrated_suite(spark, sf_dir):
     return rounded(suite.calibrated_suite(_model(spark, sf_dir), SUITE_GAMMAS, **SUITE_SIZES), 6, target=2)
+
+
+# --- helpers of older scripts
+
+
+@query(with_(TAIL, "SELECT series_id, n, k, round(freq, 6) AS freq FROM (SELECT *, k * (12e0 / n) AS freq FROM (SELECT series_id, n, unnest(range(0, n // 2 + 1)) AS k FROM (SELECT series_id, count(*) AS n FROM r GROUP BY 1))) WHERE freq BETWEEN 1e0 / 15e-1 AND 1e0 / 5e-1"))
+def bandpass_bins(spark, sf_dir):
+    """The bins of the annual band in each series' spectrum."""
+    lengths = region_month_series(spark, sf_dir).groupBy(*K).agg(F.count("*").alias("n"))
+    return rounded(spectral.bandpass(spectral.frequency_grid(lengths, K), 0.5, 1.5), 6)
+
+
+LINE = (10.0, 0.25)
+UNSCALED = f"""{members_sql([BASELINE])}, me AS (SELECT series_id, avg(value) AS mean FROM s GROUP BY 1), of AS (SELECT series_id, psd FROM wp WHERE k = 0),
+un AS (SELECT experiment, series_id, member, t, x + sqrt(psd * {BASELINE.n_months} * 6e0) / {BASELINE.n_months} + mean + {LINE[0]!r}e0 + {LINE[1]!r}e0 * t AS value FROM xs JOIN of USING (series_id) JOIN me USING (series_id))"""
+
+
+@query(with_(UNSCALED, "SELECT experiment, series_id, CAST(member AS INTEGER) AS member, count(*) AS n, round(avg(value), 4) AS mean, round(var_pop(value), 4) AS variance, round(min(value), 4) AS low, round(max(value), 4) AS high FROM un GROUP BY 1, 2, 3"))
+def reassembled_unscaled(spark, sf_dir):
+    """Members with the spectrum's own variance, put together with the mean and a line."""
+    model = _model(spark, sf_dir)
+    members = synthesis.synthesize(model.psd, K, [BASELINE], unit=False).withColumnRenamed("g", "value").join(model.mean, K)
+    out = synthesis.reassemble(members, F.col("mean"), (F.lit(LINE[0]), F.lit(LINE[1])))
+    return rounded(out.groupBy("experiment", *K, "member").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), F.min("value").alias("low"), F.max("value").alias("high")))
+
+
+@query(with_(welch("(SELECT series_id, t - min(t) OVER (PARTITION BY series_id) AS t, g AS value FROM g WHERE series_id = 'ASIA')", TAIL, NPERSEG), "SELECT 'orders' AS series_id, CAST(k AS INTEGER) AS k, round(freq, 6) AS freq, round(psd, 6) AS psd FROM wp"))
+def generator_from_file(spark, sf_dir):
+    """A region's series, written as a gridded file; the spectrum of the generator fitted from it."""
+    path = f"{shared_dir(spark)}/series-{uuid.uuid4().hex}"
+    series = region_month_series(spark, sf_dir).where("series_id = 'ASIA'")
+    start = series.agg(F.min("ts")).first()[0]
+    netcdf.write_grid(series.withColumn("rlat", F.lit(0)).withColumn("rlon", F.lit(0)), path, 1, 1, "orders", str(start)[:10])
+    psd = synthesis.fit_from_path(spark, path, "orders", NPERSEG).psd
+    return rounded(psd.select(*K, F.col("k").cast("int").alias("k"), "freq", "psd"), 6)

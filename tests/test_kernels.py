@@ -117,3 +117,13 @@ def test_ar1():
 
 def test_peaks_with_plateau():
     assert kernels.find_peaks(np.array([0, 1, 0, 3, 3, 3, 1, 2, 0.0]), 0.5) == [(1, 1.0), (4, 3.0), (7, 1.0)]
+
+
+def test_members_without_unit_variance_keep_the_spectrum():
+    rng = np.random.default_rng(5)
+    freqs, psd, n, fs = np.linspace(0, 6, 13), rng.uniform(1, 2, 13), 240, 12.0
+    amplitude = kernels.amplitudes(freqs, psd, n, fs, None, offset=True)
+    x = kernels.synthesize(amplitude, n, rng.uniform(-np.pi, np.pi, n // 2 + 1), unit=False)
+    f, p = kernels.periodogram(x, fs)
+    assert x.mean() == pytest.approx(np.sqrt(psd[0] * fs * n / 2) / n)
+    assert np.asarray(p)[1:-1] == pytest.approx(np.interp(f, freqs, psd)[1:-1], rel=1e-9)

@@ -255,3 +255,21 @@ def test_months_that_the_fit_lacks_keep_their_rows(spark):
     s = spark.createDataFrame(rows, "series_id string, t int, month int, value double").withColumn("ts", F.expr("add_months(date'2000-01-01', t)"))
     fitted = preprocess.fit(s.where("month != 12"), K, preprocess.STEP)
     assert preprocess.transform(s, fitted).count() == 36
+
+
+def test_generator_needs_a_whole_series_in_the_file(spark, tmp_path):
+    from seriesforge.operators import synthesis
+    from seriesforge.sources import netcdf
+
+    rows = [(t, 0, 0, float(t % 12 + (t * 7) % 5)) for t in range(60)]
+    columns = "t int, rlat int, rlon int, value double"
+    netcdf.write_grid(spark.createDataFrame(rows, columns), str(tmp_path / "a"), 1, 1, "smb")
+    model = synthesis.fit_from_path(spark, str(tmp_path / "a"), "smb", 24)
+    assert model.mean.first()["mean"] == pytest.approx(sum(r[3] for r in rows) / 60) and model.psd.count() == 13
+    model.release()
+    netcdf.write_grid(spark.createDataFrame(rows[:20] + rows[21:], columns), str(tmp_path / "b"), 1, 1, "smb")
+    with pytest.raises(ValueError, match="without a value"):
+        synthesis.fit_from_path(spark, str(tmp_path / "b"), "smb")
+    netcdf.write_grid(spark.createDataFrame(rows, columns), str(tmp_path / "c"), 1, 2, "smb")
+    with pytest.raises(ValueError, match="a series of dated"):
+        synthesis.fit_from_path(spark, str(tmp_path / "c"), "smb")

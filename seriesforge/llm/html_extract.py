@@ -5,13 +5,19 @@ block by its stop-word density, its length and its link density. Where the
 block stands and what the elements around it are called are further evidence
 with a weight beside these (``Weights``); only elements that hold no text of an
 article by their nature (menus, the page's header, footers, asides, forms) and
-hidden ones decide alone. Blocks of a clear score are decided, short ones and
-those of a middle score are ambiguous. In the second pass they inherit the
+hidden ones decide alone. A name on a text's own element (paragraph, heading,
+cell) weighs less than one on what surrounds it, and its id nothing, as ids of
+texts are made of their words. What follows a heading such as "Comments" up to
+the next one of its level, and a sentence that says outside an article that the
+site uses cookies, count as named so. A button or label in the middle of a text
+belongs to the text. Blocks of a clear score are decided, short ones and those
+of a middle score are ambiguous. In the second pass they inherit the
 label of their nearest decided neighbours: blocks of an article from those of
 the same article, others from all others. Where the two sides differ, a block
 of the article, a heading in front of text and a block of fair density stay,
 short ones go. An article without any decided block is kept as it is; on a page
-without article and good blocks the fair ones count as decided.
+without article and good blocks the fair ones count as decided, or if there are
+none the short ones.
 
 Defined results: null and empty html give empty text. Malformed markup is read
 as far as it goes: a tag that never ends is text, an open script runs to the
@@ -65,6 +71,12 @@ WHOLE_HINTS = frozenset("header footer form site-header site-footer page-header
 # Parts that make a name a state of the page, not a kind of element.
 STATES = frozenset("has no is not with without open closed enabled disabled hidden layout page single type format status category tag post entry hentry main body content container wrapper".split())
 ARTICLES = frozenset(("article", "main"))
+# Elements that hold a text itself; controls that can stand in the middle of one.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th pre blockquote caption figcaption".split())
+CONTROLS = frozenset(("button", "label"))
+# Headings above what readers wrote, and sentences of notices on cookies.
+_READERS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|replies|responses|kommentare|commentaires|comentarios)(?: \(?\d+\)?)?:?|(?:leave|post|add|write) a (?:comment|reply)|join the (?:discussion|conversation)", re.I)
+_COOKIES = re.compile(r"\b(?:we|(?:this|our) (?:web ?)?site)(?: and (?:our|its) partners)? uses? cookies\b|\b(?:wir|diese (?:web)?seite) verwende[nt] cookies\b|\b(?:nous utilisons|ce site utilise) des cookies\b|\b(?:este sitio )?(?:utiliza|usa|utilizamos|usamos) cookies\b", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -98,6 +110,7 @@ class Weights:
     article: int = 1
     outside: int = -4  # not in the page's article, where it has one
     hint: int = -5
+    text_hint: int = -3  # on the text's own element
     good_from: int = 3
     bad_to: int = -1
 
@@ -112,13 +125,14 @@ def _hidden(attributes: dict[str, str]) -> bool:
     return attributes.get("aria-hidden", "").lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
 
 
-def _hinted(attributes: dict[str, str]) -> bool:
-    """Whether a name of the element is, or has as a part, one that marks what surrounds articles."""
-    for name in " ".join(attributes.get(k, "") for k in ("class", "id", "role", "aria-label")).split():
+def _hinted(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a name of the element is one that marks what surrounds articles, or such words make up half of it."""
+    given = ("class", "role", "aria-label") if tag in TEXT_TAGS else ("class", "id", "role", "aria-label")
+    for name in " ".join(attributes.get(k, "") for k in given).split():
         if name.lower() in WHOLE_HINTS:
             return True
-        parts = {p.lower() for p in _PARTS.split(name)}
-        if parts & HINTS and not parts & STATES:
+        parts = {p.lower() for p in _PARTS.split(name) if p}
+        if 2 * len(parts & HINTS) >= len(parts) > 0 and not parts & STATES:
             return True
     return False
 
@@ -126,25 +140,34 @@ def _hinted(attributes: dict[str, str]) -> bool:
 class _Block:
     __slots__ = ("parts", "linked", "heading", "barred", "hinted", "article")
 
-    def __init__(self, heading: bool, barred: bool, hinted: bool, article: int):
+    def __init__(self, heading: int, barred: bool, hinted: int, article: int):
         self.parts, self.linked, self.heading, self.barred, self.hinted, self.article = [], 0, heading, barred, hinted, article
 
 
-def _blocks(html: str) -> list[tuple[str, float, bool, bool, bool, int]]:
-    """(text, link density, heading, barred, hinted, number of its article or 0) in page order."""
-    out: list[tuple[str, float, bool, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # open block elements: name, barred, hinted, article
+def _blocks(html: str) -> list[tuple[str, float, int, bool, int, int]]:
+    """(text, link density, level of the heading or 0, barred, hinted, number of its article or 0) in page order.
+
+    Hinted is 2 by a name around the text, 1 by one of the text's own element.
+    """
+    out: list[tuple[str, float, int, bool, int, int]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # open block elements: name, barred, hinted, article
     articles = breaks = in_link = 0
     unseen: list[str] = []  # open inline elements from the first hidden one on
-    block = _Block(False, False, False, 0)
+    block = _Block(0, False, 0, 0)
+    readers: tuple[int, int] | None = None  # level and article of the heading above what readers wrote
 
     def flush() -> None:
-        nonlocal block, breaks
+        nonlocal block, breaks, readers
         text = " ".join(unescape("".join(block.parts)).split())
         if text:
-            out.append((text, min(1.0, block.linked / len(text)), block.heading, block.barred, block.hinted, block.article))
-        name, barred, hinted, article = stack[-1] if stack else ("", False, False, 0)
-        block = _Block(len(name) == 2 and name[0] == "h" and name[1].isdigit(), barred, hinted, article)
+            if readers and (block.article != readers[1] or 0 < block.heading <= readers[0]):
+                readers = None
+            if block.heading and not readers and _READERS.fullmatch(text):
+                readers = (block.heading, block.article)
+            named = 2 if readers or (not block.article and _COOKIES.search(text)) else block.hinted
+            out.append((text, min(1.0, block.linked / len(text)), block.heading, block.barred, named, block.article))
+        name, barred, hinted, article = stack[-1] if stack else ("", False, 0, 0)
+        block = _Block(int(name[1]) if len(name) == 2 and name[0] == "h" and name[1].isdigit() else 0, barred, hinted, article)
         breaks = 0
 
     def say(text: str) -> None:
@@ -168,7 +191,7 @@ def _blocks(html: str) -> list[tuple[str, float, bool, bool, bool, int]]:
             block.parts.append(" ")
             if breaks > 1:
                 flush()
-        elif tag in BLOCK_TAGS or tag in NEVER_TEXT:
+        elif (tag in BLOCK_TAGS or tag in NEVER_TEXT) and not (tag in CONTROLS and stack and stack[-1][0] in TEXT_TAGS):
             unseen.clear()
             if m["close"]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -179,14 +202,14 @@ def _blocks(html: str) -> list[tuple[str, float, bool, bool, bool, int]]:
                     stack.pop()
                 if tag not in ("p", "li", "td", "th", "tr", "dd", "dt") and stack and stack[-1][0] == "p":
                     stack.pop()
-                _, barred, hinted, article = stack[-1] if stack else ("", False, False, 0)
+                _, barred, hinted, article = stack[-1] if stack else ("", False, 0, 0)
                 attributes = _attributes(m["attrs"]) if m["attrs"] and tag not in ("html", "body") else {}
-                hint = tag != "main" and _hinted(attributes)
+                hint = (1 if tag in TEXT_TAGS else 2) * (tag != "main" and _hinted(tag, attributes))
                 if tag in ARTICLES and not article and not hint:
                     articles += 1
-                    article, hinted = articles, False  # names around an article say nothing of it
+                    article, hinted = articles, 0  # names around an article say nothing of it
                 barred = barred or tag in NEVER_TEXT or (tag == "header" and not article) or _hidden(attributes)
-                stack.append((tag, barred, hinted or hint, article))
+                stack.append((tag, barred, max(hinted, hint), article))
             in_link = 0 if tag != "li" else in_link
             flush()
         elif tag not in VOID_TAGS:
@@ -207,13 +230,13 @@ def _blocks(html: str) -> list[tuple[str, float, bool, bool, bool, int]]:
 GOOD, BAD, FAIR, SHORT = 1, 0, 2, 3
 
 
-def _first_pass(block: tuple[str, float, bool, bool, bool, int], has_article: bool, w: Weights) -> int:
+def _first_pass(block: tuple[str, float, int, bool, int, int], has_article: bool, w: Weights) -> int:
     """A block's label by its score, FAIR or SHORT if it is ambiguous."""
     text, links, _, barred, hinted, article = block
     if barred:
         return BAD
     score = w.article if article else w.outside * has_article
-    score += w.hint * hinted + (w.linked_inside if article else w.linked) * (links > w.link_limit)
+    score += (0, w.text_hint, w.hint)[hinted] + (w.linked_inside if article else w.linked) * (links > w.link_limit)
     if len(text) < w.short:
         return BAD if score <= w.bad_to else SHORT
     if w.density:
@@ -255,7 +278,8 @@ def extract_main_text(html: str | None, weights: Weights = Weights()) -> str:
     has_article = any(b[5] and not b[3] for b in blocks)
     label = [_first_pass(b, has_article, weights) for b in blocks]
     if GOOD not in label and not has_article:
-        label = [GOOD if x == FAIR else x for x in label]
+        best = FAIR if FAIR in label else SHORT
+        label = [GOOD if x == best else x for x in label]
     label = _second_pass(blocks, label)
     return "\n".join(b[0] for b, kept in zip(blocks, label) if kept == GOOD)
 

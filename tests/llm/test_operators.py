@@ -96,6 +96,33 @@ def test_density_decides():
     assert kept[0] == "The linked heading of it" and len(kept) == 5 and kept[3] == words.strip()
 
 
+def test_names_of_texts_weigh_less_than_their_words():
+    read = html_extract.extract_main_text
+    assert read(f'<article><h2 id="social-security-reform">On reform</h2><p id="legal-notice-periods">{FAIR}</p></article>') == f"On reform\n{FAIR}"
+    assert read(f'<article><p class="copyright">{LONG}</p></article>') == LONG.strip()
+    assert read(f'<article><p>{LONG}</p><p class="ad">Buy it now</p><div class="ad-box"><p>{LONG}</p></div><p>{FAIR}</p></article>') == f"{LONG.strip()}\n{FAIR}"
+    assert read(f'<article><section id="search-for-the-lost-ship"><p>{FAIR}</p></section></article>') == FAIR
+
+
+def test_controls_in_a_text_belong_to_it():
+    read = html_extract.extract_main_text
+    assert read(f"<article><p>{LONG}</p><p>Press <button>/</button> to go on, or the <label>box</label> beside it.</p><button>Send</button></article>") == f"{LONG.strip()}\nPress / to go on, or the box beside it."
+
+
+def test_comments_and_notices_without_names():
+    read = html_extract.extract_main_text
+    article = f"<article><h1>Head</h1><p>{LONG}</p><h3>Comments</h3><div><h4>One</h4><p>{LONG} I said.</p></div><h2>More</h2><p>{FAIR}</p></article>"
+    assert read(article) == f"Head\n{LONG.strip()}\nMore\n{FAIR}"
+    assert read(f"<article><h2>Comments on the law</h2><p>{FAIR}</p></article>") == f"Comments on the law\n{FAIR}"
+    notice = "We use cookies so that all that you have read and what you do on it can be kept for you and for us, and more of that."
+    assert read(f"<body><div>{notice}</div><div><p>{LONG}</p><p>{FAIR}</p></div></body>") == f"{LONG.strip()}\n{FAIR}"
+    assert read(f"<article><p>{notice}</p></article>") == notice
+
+
+def test_pages_of_short_texts_only():
+    assert html_extract.extract_main_text("<body><p>Back soon.</p><div><a href=x>Home</a></div></body>") == "Back soon."
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(1, None, "u", "t"), (2, "", "u", "t"), (2, f"<p>{LONG}</p>", None, "t"), (2, f"<p>{LONG}</p>", None, "t"), (None, f"<p>{FAIR}</p>" * 3000, "u", "t")], "page_id long, html string, _page_html string, text string")
     out = html_extract.extract_pages(pages)

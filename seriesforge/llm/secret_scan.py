@@ -77,7 +77,8 @@ def find_candidates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # Cheap tests first: most words are short and follow a word that ends in a letter.
     found = F.expr(
         rf"""filter(transform(_w, (w, i) -> if(
-               (length(w) >= 12 and (w rlike '[0-9]' or length(w) >= 20 or contains(w, '=') or contains(w, ':')))
+               (length(w) >= 12 and (w rlike '[0-9]' or length(w) >= 20))
+               or (length(w) >= 7 and (contains(w, '=') or contains(w, ':')))
                or (length(w) >= 6 and i > 0 and right(get(_w, i - 1), 1) in ('=', ':', '>', '"', "'")),
                struct(i as word_no, w as word, concat_ws(' ', get(_w, i - 2), get(_w, i - 1)) as before, coalesce(get(_w, i + 1), '') as after), null)),
              c -> c is not null)"""

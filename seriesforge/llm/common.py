@@ -18,9 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse, unless that is a local folder on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stash"
+    if named:
+        return named.rstrip("/")
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), spark.sparkContext.master
+    if warehouse.startswith(("file:", "/")) and master != "local" and not master.startswith(("local[", "local-")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_stash"
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:

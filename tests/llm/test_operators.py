@@ -826,11 +826,16 @@ def test_pipeline_stage_keeps_columns(edge):
 
 def test_shared_folder_without_checkpoint_dir():
     class Stub:
-        def __init__(self, **conf):
+        def __init__(self, master="spark://h:7077", **conf):
             self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+            self.sparkContext = type("Context", (), {"master": master})
 
     assert common.shared_dir(Stub(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
-    assert common.shared_dir(Stub(**{"spark_sql_warehouse_dir": "hdfs://w"})) == "hdfs://w/_stash"  # never a folder of one machine
+    assert common.shared_dir(Stub(spark_sql_warehouse_dir="hdfs://w")) == "hdfs://w/_stash"
+    assert common.shared_dir(Stub("local[4]", spark_sql_warehouse_dir="file:/w")) == "file:/w/_stash"
+    for folder in ("file:/w", "/w"):  # never a folder of one machine on a cluster
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(Stub(spark_sql_warehouse_dir=folder))
 
 
 def test_stashed_tables_are_discarded(spark):

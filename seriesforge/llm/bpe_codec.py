@@ -9,8 +9,8 @@ would cost the square of its length; there a heap of boundaries over linked
 neighbours takes the same merges in the same order.
 
 White space is dropped before merging, so a text is the row of its chunks
-between white space. What a chunk gives (ids and pieces) is kept in a memo of
-bounded size in each worker process; frequent chunks are merged once.
+between white space. What a chunk and what a word in it gives (ids and pieces)
+is kept in memos of bounded size in each worker process.
 
 Ids and pieces equal those of the ``tokenizers`` library for byte-level BPE
 files that mark the end of a word by a suffix and have no decoder: special
@@ -27,6 +27,8 @@ import heapq
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -109,23 +111,45 @@ class RankTable:
         return [p for p in parts if p >= 0]
 
 
-class Codec(dict):
+def _joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    return b"".join([ids for ids, _ in found]), " ".join([pieces for _, pieces in found])
+
+
+class Memo(dict):
+    """What ``make`` gives for a text. Two generations: when the young one is full it becomes the old one, so what is in use stays."""
+
+    def __init__(self, make: Callable[[str], tuple[bytes, str]]):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text: str) -> tuple[bytes, str]:
+        found = self.old.get(text) or self.make(text)
+        if len(text) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+class Codec(Memo):
     """Chunk between white space -> (ids as little-endian 32-bit bytes, pieces joined by a space).
 
-    A memo of two generations: when the young one is full it becomes the old
-    one, so what is in use stays.
+    Words that are merged have memos of their own: chunks of different case and
+    punctuation share them.
     """
 
     kept: dict[str, Codec] = {}
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(self.encode_chunk)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)  # for its Unicode rules only
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.table, self.old = RankTable(path), {}
+        self.table = RankTable(path)
+        self.plain, self.words = Memo(self._encode_plain), Memo(self._encode_word)
         self.letters = byte_letters()
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.table.special, key=len, reverse=True)) or "((?!))")
 
@@ -135,32 +159,32 @@ class Codec(dict):
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        found = self.old.get(chunk) or self.encode_chunk(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
     def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        ids, table, at = [], self.table, 0
+        if not self.special.search(chunk):
+            found = self._segment(chunk)
+            return found[0] if len(found) == 1 else _joined(found)
+        found, at = [], 0
         for hit in self.special.finditer(chunk):
-            ids += self._segment(chunk[at : hit.start()])
-            ids.append(table.special[hit[0]])
+            found += self._segment(chunk[at : hit.start()])
+            found.append(self._packed([self.table.special[hit[0]]]))
             at = hit.end()
-        ids += self._segment(chunk[at:])
-        return np.array(ids, "<i4").tobytes(), self.decode(ids)
+        return _joined(found + self._segment(chunk[at:]))
 
-    def _segment(self, text: str) -> list[int]:
+    def _segment(self, text: str) -> list[tuple[bytes, str]]:
         if not text:
             return []
         if _PLAIN.match(text):
-            words = ["".join([self.letters[b] for b in w.encode()]) for w in _PRE.findall(text.lower())]
-        else:
-            words = [w for w, _ in self.cut(self.normalize(text))]
-        return [i for w in words for i in self.table.merge(self.table.parts(w))]
+            return [*map(self.plain.__getitem__, _PRE.findall(text.lower()))]
+        return [*map(self.words.__getitem__, [w for w, _ in self.cut(self.normalize(text))])]
+
+    def _encode_plain(self, word: str) -> tuple[bytes, str]:
+        return self._encode_word("".join([self.letters[b] for b in word.encode()]))
+
+    def _encode_word(self, letters: str) -> tuple[bytes, str]:
+        return self._packed(self.table.merge(self.table.parts(letters)))
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return struct.pack(f"<{len(ids)}i", *ids), self.decode(ids)
 
     def decode(self, ids) -> str:
         return " ".join(map(self.table.piece.__getitem__, ids))
@@ -169,8 +193,7 @@ class Codec(dict):
         if not text:
             return b"", ""
         chunks = _SPACE.split(text) if _CONTROL.search(text) else text.split()
-        found = [x for x in map(self.__getitem__, chunks) if x[0]]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found])
+        return _joined([x for x in map(self.__getitem__, chunks) if x[0]])
 
 
 def encode_and_decode(documents: DataFrame, path: str, keep: list[str] = ("doc_id",), text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -174,6 +174,15 @@ def test_memo_stays_bounded(monkeypatch):
     assert len(codec) <= 50 and len(codec.old) <= 50 and "z" * 500 not in codec
 
 
+def test_chunks_share_the_merges_of_their_words(monkeypatch, library):
+    codec, merges = bpe_codec.Codec(PATH), []
+    merge = bpe_codec.RankTable.merge
+    monkeypatch.setattr(bpe_codec.RankTable, "merge", lambda self, parts: merges.append(len(parts)) or merge(self, parts))
+    text = "Seriesforge seriesforge, SERIESFORGE. (seriesforge) Éseries éseries,"
+    same(library, codec, text)
+    assert len(merges) == 6  # seriesforge , . ( ) éseries
+
+
 def test_codec_query_equals_the_library(spark, sf_dir, edge, empty, library):
     def want(rows):
         out = Counter()

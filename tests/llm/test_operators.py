@@ -802,6 +802,32 @@ def test_band_keys_agree_by_similarity():
     assert len(simhash.band_keys(a[:0])) == 0 and (simhash.band_keys(a[:1]) == simhash.band_keys(a[:1])).all()
 
 
+def test_a_crowd_of_texts_just_too_different_is_not_compared_in_pairs(spark, monkeypatch):
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    edited = lambda words, n: [word() if i in places else w for places in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    base = [word() for _ in range(200)]
+    copies = [edited(base, rng.choice([2, 6, 7, 8, 9])) for _ in range(240)]
+    copies += [edited(c, rng.choice([1, 2, 4, 5])) for c in copies[:60]]
+    copies += [base[:170] + edited(base, 40)[170:], base[30:], base[:150], base]
+    texts = [" ".join(c) for c in copies]
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for t in texts for w in [t.split()]]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if least[i] != least[j] and (len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or bin(prints[i] ^ prints[j]).count("1") <= 3):
+                old, new = max(least[i], least[j]), min(least[i], least[j])
+                least = [new if x == old else x for x in least]
+    compared, exact = [], simhash.exact_links
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    monkeypatch.setattr(simhash, "exact_links", lambda pairs, *rest: compared.append(pairs.count()) or exact(pairs, *rest))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one_per_component(frame).collect()} == set(least)
+    assert 100 < len(set(least)) and sum(compared) < 6 * len(texts)
+
+
 def test_crowded_bands_are_split(spark, monkeypatch):
     """With every band crowded the pairs are those that agree in AGREE bands, all the same."""
     rng = random.Random(31)

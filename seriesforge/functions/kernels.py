@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,7 @@ def _top_eigenvalues(diagonal: np.ndarray, off: np.ndarray, k: int) -> list[floa
     """The k largest eigenvalues of a symmetric tridiagonal matrix, by bisection on sign counts."""
     reach = np.abs(np.append(off, 0.0)) + np.abs(np.append(0.0, off))
     low, high = float((diagonal - reach).min()), float((diagonal + reach).max())
-    d, squares, tiny = diagonal.tolist(), (off * off).tolist(), 1e-300
+    d, squares, tiny = array("d", diagonal), array("d", off * off), 1e-300
 
     def above(x: float) -> int:
         q, n = d[0] - x, 0
@@ -59,16 +60,16 @@ def _top_eigenvalues(diagonal: np.ndarray, off: np.ndarray, k: int) -> list[floa
 def _inverse_iteration(diagonal: np.ndarray, off: np.ndarray, value: float, found: list[np.ndarray], steps: int = 4) -> np.ndarray:
     """The unit eigenvector of an eigenvalue; ``found`` are those to stay orthogonal to."""
     n = len(diagonal)
-    shifted, o = (diagonal - value).tolist(), off.tolist()
+    shifted, o = array("d", diagonal - value), array("d", off)  # eight bytes a number, a list has forty
     least = 1e-16 * float(np.abs(diagonal).max())
-    pivots, factors = [0.0] * n, [0.0] * n
+    pivots, factors = array("d", bytes(8 * n)), array("d", bytes(8 * n))
     for i in range(n):
         pivot = shifted[i] - (factors[i - 1] * o[i - 1] if i else 0.0)
         pivots[i] = pivot if abs(pivot) > least else least
         factors[i] = o[i] / pivots[i] if i < n - 1 else 0.0
     x = np.cos(np.arange(n) * 0.7) + 1.5
     for _ in range(steps):
-        y = x.tolist()
+        y = array("d", x)
         for i in range(1, n):
             y[i] -= factors[i - 1] * y[i - 1]
         y[-1] /= pivots[-1]
@@ -82,13 +83,21 @@ def _inverse_iteration(diagonal: np.ndarray, off: np.ndarray, value: float, foun
     return x
 
 
-@lru_cache(maxsize=16)
+#: Steps of a record up to which tapers of several lengths are kept.
+KEPT = 1 << 15
+
+
 def dpss(n: int, nw: float, k: int) -> np.ndarray:
     """The first k Slepian tapers (unit norm) from the tridiagonal eigenproblem.
 
-    Made once per process and record length. Long records never hold a matrix:
-    their few vectors come from bisection and inverse iteration.
+    Made once per process and record length; of lengths over KEPT only the last
+    one's are kept. Long records never hold a matrix: their few vectors come
+    from bisection and inverse iteration.
     """
+    return (_kept_tapers if n <= KEPT else _last_tapers)(n, nw, k)
+
+
+def _tapers(n: int, nw: float, k: int) -> np.ndarray:
     t = np.arange(n)
     w = nw / n
     diagonal = ((n - 1 - 2 * t) / 2.0) ** 2 * np.cos(2 * np.pi * w)
@@ -108,6 +117,9 @@ def dpss(n: int, nw: float, k: int) -> np.ndarray:
     return tapers
 
 
+_kept_tapers, _last_tapers = lru_cache(maxsize=16)(_tapers), lru_cache(maxsize=1)(_tapers)
+
+
 def one_sided(power: np.ndarray, n: int) -> np.ndarray:
     """Double all bins but the first and, for even n, the last."""
     power = power.copy()
@@ -117,7 +129,9 @@ def one_sided(power: np.ndarray, n: int) -> np.ndarray:
 
 def periodogram(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
     n = len(x)
-    power = np.abs(np.fft.rfft(x - x.mean())) ** 2 / (fs * n)
+    power = np.abs(np.fft.rfft(x - x.mean()))
+    power *= power
+    power /= fs * n
     power[1:-1] *= 2
     return np.fft.rfftfreq(n, 1 / fs), power
 
@@ -125,7 +139,13 @@ def periodogram(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
 def multitaper(x: np.ndarray, fs: float, nw: float = 1.5, tapers: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     n = len(x)
     tapers = dpss(n, nw, max(1, int(2 * nw - 1))) if tapers is None else tapers
-    power = (np.abs(np.fft.rfft(tapers * (x - x.mean()), axis=1)) ** 2).mean(axis=0) / fs
+    centred, power = x - x.mean(), np.zeros(n // 2 + 1)
+    for taper in tapers:  # one at a time: a long record's transform is large
+        one = np.abs(np.fft.rfft(taper * centred))
+        one *= one
+        power += one
+    power /= len(tapers)
+    power /= fs
     power[1:-1] *= 2
     return np.fft.rfftfreq(n, 1 / fs), power
 

@@ -1,5 +1,6 @@
 """Numpy kernels and normal expressions against known values and definitions."""
 
+import tracemalloc
 from statistics import NormalDist
 
 import numpy as np
@@ -127,3 +128,12 @@ def test_members_without_unit_variance_keep_the_spectrum():
     f, p = kernels.periodogram(x, fs)
     assert x.mean() == pytest.approx(np.sqrt(psd[0] * fs * n / 2) / n)
     assert np.asarray(p)[1:-1] == pytest.approx(np.interp(f, freqs, psd)[1:-1], rel=1e-9)
+
+
+def test_tapers_of_long_records_do_not_pile_up():
+    for n in (40_000, 40_002):
+        tracemalloc.start()
+        tapers = kernels.dpss(n, 1.5, 2)
+        assert tracemalloc.get_traced_memory()[1] < 160 * n, "bytes while tapers are made"
+        tracemalloc.stop()
+    assert tapers is kernels.dpss(40_002, 1.5, 2) and kernels._last_tapers.cache_info().currsize == 1 and kernels._kept_tapers.cache_info().maxsize * 8 * 2 * kernels.KEPT < 2**24

@@ -7,13 +7,18 @@ interpolation) are aggregates and equality joins on the spectra.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesforge.functions import kernels
 
+#: Rows of a spectrum that leave a task at once.
+BATCH_ROWS = 1 << 16
+
 
 def segment_count(n: int, nperseg: int) -> int:
     """Half-overlapping segments in n steps (true hop, also for odd lengths)."""
@@ -35,18 +40,27 @@ def fft_spectra(series: DataFrame, keys: list[str], fs: float = 12.0, method: st
     """
     schema = ", ".join([*(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys), "k long, freq double, psd double, n_segments long"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n_segments = pdf.sort_values("t")["value"].to_numpy(float), 1
+    names = [*keys, "k", "freq", "psd", "n_segments"]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A record comes and its spectrum goes in batches; only numbers are held."""
+        t, x = zip(*((np.array(b.column("t")), np.array(b.column("value"), float)) for b in batches))
+        t = np.argsort(np.concatenate(t), kind="stable")
+        x = np.concatenate(x)[t]
+        del t
+        n_segments = 1
         if method == "welch":
             f, p, n_segments = kernels.welch(x, fs, nperseg)
         elif method == "multitaper":
             f, p = kernels.multitaper(x, fs, nw)
         else:
             f, p = kernels.periodogram(x, fs)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(f) for k in keys})
-        return out.assign(k=np.arange(len(f)), freq=f, psd=p, n_segments=n_segments)
+        for at in range(0, len(f), BATCH_ROWS):
+            n = min(BATCH_ROWS, len(f) - at)
+            columns = [np.arange(at, at + n), f[at : at + n], p[at : at + n], np.full(n, n_segments)]
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(v, n) for v in key), *map(pa.array, columns)], names=names)
 
-    return series.select(*keys, "t", "value").where("value is not null").groupBy(*keys).applyInPandas(run, schema)
+    return series.select(*keys, "t", F.col("value").cast("double").alias("value")).where("value is not null").groupBy(*keys).applyInArrow(run, schema)
 
 
 def periodogram(series: DataFrame, keys: list[str], fs: float = 12.0) -> DataFrame:

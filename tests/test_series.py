@@ -273,3 +273,15 @@ def test_generator_needs_a_whole_series_in_the_file(spark, tmp_path):
     netcdf.write_grid(spark.createDataFrame(rows, columns), str(tmp_path / "c"), 1, 2, "smb")
     with pytest.raises(ValueError, match="a series of dated"):
         synthesis.fit_from_path(spark, str(tmp_path / "c"), "smb")
+
+
+def test_spectra_of_long_records_come_in_batches(spark, capsys):
+    n = 150_001
+    series = spark.range(n).select(F.lit("a").alias("series_id"), (n - F.col("id")).alias("t"), (F.abs(F.hash("id")) % 1000).alias("value"))
+    psd = spectral.periodogram(series, ["series_id"])
+    psd.explain()
+    assert "FlatMapGroupsInArrow" in capsys.readouterr().out
+    got = psd.orderBy("k").toPandas()
+    x = series.orderBy("t").toPandas()["value"].to_numpy(float)
+    f, p = kernels.periodogram(x, 12.0)
+    assert list(got["k"]) == list(range(len(f))) and got["freq"].to_numpy() == pytest.approx(f) and got["psd"].to_numpy() == pytest.approx(p)

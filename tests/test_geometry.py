@@ -58,6 +58,25 @@ def test_pieces_hold_the_same_points(spark):
     assert inside(pieces) == inside(source)
 
 
+def test_crowded_polygons_are_cut_at_the_rim_of_their_union_only(spark):
+    rng = random.Random(5)
+    diamonds = [[(x, y - 1), (x + 1.5, y), (x, y + 1), (x - 1.5, y)] for x, y in ((rng.uniform(0, 3), rng.uniform(0, 2)) for _ in range(150))]
+    corners = [[[(rng.randint(0, 8), rng.randint(0, 8)) for _ in range(rng.randint(3, 6))] for _ in range(2)] for _ in range(40)]  # upright edges, on borders of tiles, doubled
+    source = polygons(spark, {"diamonds": [[d] for d in diamonds * 2], "corners": corners}).cache()
+    pieces = geometry.dissolve(source, row=0.5).cache()
+    assert pieces.where("basin = 'diamonds'").count() < 3000  # a slab for each height of a crossing: over 10,000
+    heights = (np.arange(3000) + 0.5) / 3000 * 4 - 1
+    inside = 0.0
+    for y in heights:
+        end = -9.0
+        for a, b in sorted((d[0][0] - 1.5 * (1 - abs(y - d[1][1])), d[0][0] + 1.5 * (1 - abs(y - d[1][1]))) for d in diamonds if abs(y - d[1][1]) < 1):
+            inside, end = inside + max(0.0, b - max(a, end)), max(end, b)
+    assert geometry.union_area(pieces).where("basin = 'diamonds'").first()["area"] == pytest.approx(inside * 4 / 3000, abs=1e-3)
+    points = spark.createDataFrame([(i, rng.uniform(-2, 9), rng.uniform(-2, 9)) for i in range(3000)], "cell_id int, lon double, lat double")
+    found = lambda p: {tuple(r) for r in frames.points_in_polygons(points, p).collect()}
+    assert found(geometry.as_polygons(pieces)) == found(source)
+
+
 def test_sectors_and_metadata(spark):
     table = spark.createDataFrame([(" Pine Island ", "West / A", 1), ("A/B", None, 2), (None, "x", 3), (" ", "x", 4), ("A/B", "East", 5)], "Name string, REGION string, k int")
     out = geometry.sectors(table)

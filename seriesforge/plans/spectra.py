@@ -13,6 +13,7 @@ from seriesforge.plans.experiments import Experiment
 from seriesforge.plans.relational import ORACLE_SQL, QUERIES, K, query, residuals, rounded
 from seriesforge.plans.sql import FIELD, PERIODOGRAM, RANKED, RESID, SERIES, TWO_PI, dft, welch, with_
 from seriesforge.sources.frames import nation_cells, nation_month_field, region_month_series
+from seriesforge.sources.intermediate import written
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
 NPERSEG = 24
@@ -58,7 +59,7 @@ def seasonal_rescale(spark, sf_dir):
     )
 )
 def diag_preprocess(spark, sf_dir):
-    s = region_month_series(spark, sf_dir)
+    s = written(region_month_series(spark, sf_dir), "series")  # read a dozen times
     model = preprocess.fit(s, K, preprocess.STEP, centre=True, positional=True, recentre_season=True)
     return rounded(preprocess.transform(s, model).select("series_id", "t", "value"))
 

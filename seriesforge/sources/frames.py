@@ -77,27 +77,27 @@ def calendar_spine(sums: DataFrame, keys: list[str], ts: str = "ts", fill: float
     return joined.select(*keys, ts, t.alias("t"), F.month(ts).alias("month"), F.coalesce("value", F.lit(fill)).alias("value"))
 
 
+def _nation_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_nationkey, ts, p): order totals of each nation and month.
+
+    Customers are dealt out by their key: sent whole to every task, they would
+    grow its memory with the table.
+    """
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").hint("shuffle_hash")
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "ts").agg(F.sum("p").alias("p"))
+
+
 def region_month_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly order totals, in thousands, of each region."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
-    by_nation = (
-        orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey", "ts")
-        .agg(F.sum("p").alias("p"))
-    )
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    sums = by_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("series_id"), "ts").agg((F.sum("p").cast("double") / 1000.0).alias("value"))
+    sums = _nation_months(spark, sf_dir).join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("r_name").alias("series_id"), "ts").agg((F.sum("p").cast("double") / 1000.0).alias("value"))
     return calendar_spine(sums, ["series_id"])
 
 
 def nation_month_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly order totals, in thousands, of each nation: a field of 25 cells."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("ts"), F.col("o_totalprice").cast("decimal(18,2)").alias("p"))
-    sums = (
-        orders.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("cell_id")), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("cell_id", "ts")
-        .agg((F.sum("p").cast("double") / 1000.0).alias("value"))
-    )
+    sums = _nation_months(spark, sf_dir).select(F.col("c_nationkey").alias("cell_id"), "ts", (F.col("p").cast("double") / 1000.0).alias("value"))
     return calendar_spine(sums, ["cell_id"])
 
 

@@ -7,6 +7,7 @@ from seriesforge.functions import kernels
 from seriesforge.operators import bands, field, gaussian, preprocess, significance, spectral, stats, synthesis, validation
 from seriesforge.plans import suite
 from seriesforge.plans.experiments import Experiment, experiments_table
+from seriesforge.plans.registry import QUERIES
 from seriesforge.sources import frames
 from seriesforge.sources.catalog import Catalog
 
@@ -285,3 +286,12 @@ def test_spectra_of_long_records_come_in_batches(spark, capsys):
     x = series.orderBy("t").toPandas()["value"].to_numpy(float)
     f, p = kernels.periodogram(x, 12.0)
     assert list(got["k"]) == list(range(len(f))) and got["freq"].to_numpy() == pytest.approx(f) and got["psd"].to_numpy() == pytest.approx(p)
+
+
+def test_customers_are_dealt_out_and_the_series_is_read_once(spark, sf_dir):
+    """A task's memory does not grow with the customers, nor with the times that a plan names the series."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for source in (frames.region_month_series, frames.nation_month_field):
+        joined = plan(source(spark, sf_dir))
+        assert "ShuffledHashJoin [o_custkey" in joined and "BroadcastHashJoin [o_custkey" not in joined
+    assert "o_custkey" not in plan(QUERIES["diag_preprocess"](spark, sf_dir))

@@ -40,7 +40,7 @@ from .common import in_batches, slices
 from .packing import _CONTROL, _PLAIN, _PRE, _SPACE
 
 SHORT_WORD = 96
-MEMO_ENTRIES = 120_000  # in each of two generations
+MEMO_ENTRIES = 240_000  # in each of two generations
 MEMO_CHARS = 64  # longer chunks are not kept
 NO_RANK = 1 << 40
 
@@ -67,10 +67,14 @@ class RankTable:
         self.made = [vocab[a + b] for a, b in pairs]
         self.inner = {c: vocab[c] for c in byte_letters()}
         self.last = {c: vocab[c + suffix] for c in byte_letters()}
+        self.inner_byte, self.last_byte = [*self.inner.values()], [*self.last.values()]  # by byte: the letters' order
 
     def parts(self, letters: str) -> list[int]:
         return [*map(self.inner.__getitem__, letters[:-1]), self.last[letters[-1]]]
 
+    def byte_parts(self, word: bytes) -> list[int]:
+        return [*map(self.inner_byte.__getitem__, word[:-1]), self.last_byte[word[-1]]]
+
     def merge(self, parts: list[int]) -> list[int]:
         """The parts after all merges."""
         if len(parts) > SHORT_WORD:
@@ -112,7 +116,9 @@ class RankTable:
 
 
 def _joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-    return b"".join([ids for ids, _ in found]), " ".join([pieces for _, pieces in found])
+    """All ids and all pieces; what has none adds no space."""
+    pieces = [pieces for _, pieces in found]
+    return b"".join([ids for ids, _ in found]), " ".join(filter(None, pieces) if "" in pieces else pieces)
 
 
 class Memo(dict):
@@ -150,7 +156,7 @@ class Codec(Memo):
         self.normalize, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.table = RankTable(path)
         self.plain, self.words = Memo(self._encode_plain), Memo(self._encode_word)
-        self.letters = byte_letters()
+        self.letters_plain = not any(s.isalpha() for s in self.table.special)
         self.special = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.table.special, key=len, reverse=True)) or "((?!))")
 
     @classmethod
@@ -160,6 +166,8 @@ class Codec(Memo):
         return cls.kept[path]
 
     def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
+        if self.letters_plain and chunk.isalpha() and _PLAIN.match(chunk):
+            return self.plain[chunk.lower()]  # one word, no special string
         if not self.special.search(chunk):
             found = self._segment(chunk)
             return found[0] if len(found) == 1 else _joined(found)
@@ -178,7 +186,7 @@ class Codec(Memo):
         return [*map(self.words.__getitem__, [w for w, _ in self.cut(self.normalize(text))])]
 
     def _encode_plain(self, word: str) -> tuple[bytes, str]:
-        return self._encode_word("".join([self.letters[b] for b in word.encode()]))
+        return self._packed(self.table.merge(self.table.byte_parts(word.encode())))
 
     def _encode_word(self, letters: str) -> tuple[bytes, str]:
         return self._packed(self.table.merge(self.table.parts(letters)))
@@ -193,7 +201,7 @@ class Codec(Memo):
         if not text:
             return b"", ""
         chunks = _SPACE.split(text) if _CONTROL.search(text) else text.split()
-        return _joined([x for x in map(self.__getitem__, chunks) if x[0]])
+        return _joined([*map(self.__getitem__, chunks)])
 
 
 def encode_and_decode(documents: DataFrame, path: str, keep: list[str] = ("doc_id",), text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:

@@ -183,6 +183,16 @@ def test_chunks_share_the_merges_of_their_words(monkeypatch, library):
     assert len(merges) == 6  # seriesforge , . ( ) éseries
 
 
+def test_words_that_come_again_after_many_others_are_not_merged_again(monkeypatch):
+    codec, merges = bpe_codec.Codec(PATH), []
+    monkeypatch.setattr(bpe_codec.RankTable, "merge", lambda self, parts: merges.append(1) or parts)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26] + letters[i // 17_576 % 26] for i in range(250_000)]
+    for _ in range(2):
+        codec.encode(" ".join(words))
+    assert len(merges) == len(words)
+
+
 def test_codec_query_equals_the_library(spark, sf_dir, edge, empty, library):
     def want(rows):
         out = Counter()
